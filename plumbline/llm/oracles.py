@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: lower-cases A-Z only
 _ASCII_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -11,7 +11,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, {_WORDS.format(text=_ASCII_LOWER.format(text="coalesce(text, '')"))} AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
 ), sized AS (SELECT doc_id, len(s) AS n, s FROM sets), flat AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
 common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n, any_value(a.n) + any_value(b.n) AS all_n
@@ -26,4 +26,18 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS compon
 FROM sized LEFT JOIN comp ON node = doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR}
+SUBSTRING = f"""
+WITH words AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words WHERE len(w) >= 50)
+), lows AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM windows JOIN lows USING (h) WHERE doc_id > low
+), lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY 1)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN lists ON lists.doc_id = words.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR, "op9_substring_dedup": SUBSTRING}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op3_near_duplicates]
+    found = [op3_near_duplicates, op9_substring_dedup]
     return {f.__name__: f for f in found}
 
 
