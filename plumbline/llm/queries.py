@@ -6,23 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.bpe import bpe_digests
+from plumbline.llm.langid import fold, learn_profiles, predict_language
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.quality import fit_quality, score_quality
 from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    return predict_language(docs, learn_profiles(docs.filter(~held_out)), held_out)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_near_duplicates, op9_substring_dedup]
+    found = [op1_bpe, op2_language_id, op3_near_duplicates, op5_quality, op9_substring_dedup]
     return {f.__name__: f for f in found}
 
 
