@@ -40,4 +40,18 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0
 FROM words LEFT JOIN lists ON lists.doc_id = words.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR, "op9_substring_dedup": SUBSTRING}
+TOP_K = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
+  FROM rows q JOIN rows x ON x.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+"""
+
+ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR, "op9_substring_dedup": SUBSTRING, "op10_top_k": TOP_K}

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import bpe_digests
 from plumbline.llm.langid import fold, learn_profiles, predict_language
+from plumbline.llm.mtree import mtree_top_k
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.quality import fit_quality, score_quality
 from plumbline.llm.substring_dedup import remove_repeats
@@ -40,8 +42,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op2_language_id, op3_near_duplicates, op5_quality, op9_substring_dedup]
+    found = [op1_bpe, op2_language_id, op3_near_duplicates, op5_quality, op9_substring_dedup, op10_top_k]
     return {f.__name__: f for f in found}
 
 
