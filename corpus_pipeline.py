@@ -1,12 +1,68 @@
-"""The corpus pipeline: ordered stages, each a corpus operator whose decisions take effect."""
+"""The corpus pipeline: ordered stages, each a corpus operator whose decisions take effect.
+
+Every stage but the last returns the columns of its input; rows with a null doc_id pass every
+filter that needs an id. Stages handle nulls, empty tables and further columns as their operators
+do.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.bpe import bpe_digests
+from plumbline.llm.common import ids_only
+from plumbline.llm.langid import fold
+from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.quality import fit_quality, quality_mask
+from plumbline.llm.substring_dedup import with_repeats_cut
+from plumbline.session import Workspace
+from plumbline.sources.tables import read_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good; it learns from the labelled documents in its input."""
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return docs.mapInArrow(quality_mask(model), docs.schema)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id."""
+    ws = Workspace(spark, "pipeline-near")
+    gone = ws.save(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return ids_only(docs, gone, "doc_id", gone.count(), keep=False)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that repeat from a document with a smaller doc_id; n_chars follows the text."""
+    cut = with_repeats_cut(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: files and the rows in them follow mix_slot."""
+    mixed = mix_sources(docs)
+    return mixed.sort("mix_slot", "mix_block", "doc_id").select(*docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents' ids and of the decoded texts."""
+    return bpe_digests(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("bpe", bpe)]
 
-STAGES: list = []
+#: The quality stage cannot be stated in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole documents table, each stage's result written and read again."""
+    ws = Workspace(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = ws.save(docs, name)
+    return docs

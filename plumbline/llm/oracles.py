@@ -54,4 +54,47 @@ WITH rows AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
-ORACLES: dict[str, str] = {"op3_near_duplicates": NEAR, "op9_substring_dedup": SUBSTRING, "op10_top_k": TOP_K}
+#: Base32 digit by digit: five hexadecimal digits of the SHA-1 make four.
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((part >> {shift}) & 31 AS INTEGER), 1)"
+_DIGITS = " || ".join(_BASE32.format(shift=s) for s in (15, 10, 5, 0))
+WARC = f"""
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages
+), parts AS (
+  SELECT page_id, i, CAST('0x' || substr(sha, 5 * i + 1, 5) AS BIGINT) AS part FROM (SELECT *, unnest(range(0, 8)) AS i FROM sized)
+), digests AS (SELECT page_id, string_agg({_DIGITS}, '' ORDER BY i) AS digest FROM parts GROUP BY page_id),
+firsts AS (SELECT sha, min(page_id) AS first FROM sized GROUP BY sha)
+SELECT s.page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN s.page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN s.page_id <> first THEN first END AS refers_to
+FROM sized s JOIN digests d ON d.page_id = s.page_id JOIN firsts f ON f.sha = s.sha
+"""
+
+CHAT = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<|_im_') AS text,
+    CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS segment FROM conversations
+), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+lines AS (
+  SELECT t.*, speaker, role = speaker AS own,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+    text || '<|im_end|>' AS body
+  FROM turns t JOIN speakers s ON t.conv_id = s.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn, role, text
+    ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS pos FROM lines
+)
+SELECT conv_id, speaker, segment, CAST(0 AS BIGINT) AS piece, CAST(count(*) AS INTEGER) AS n_messages,
+  string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS rendered,
+  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn, role, text) AS mask,
+  coalesce(string_agg(CASE WHEN own THEN CAST(pos AS VARCHAR) || '-' || CAST(pos + length(body) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS spans
+FROM placed GROUP BY conv_id, speaker, segment
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_near_duplicates": NEAR,
+    "op6_warc": WARC,
+    "op7_chat": CHAT,
+    "op9_substring_dedup": SUBSTRING,
+    "op10_top_k": TOP_K,
+}

@@ -10,6 +10,7 @@ window by window. Overlapping repeats are merged to maximal ones, all at least W
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,57 +148,41 @@ def _cut(raw: bytes, words: tuple[np.ndarray, np.ndarray], gone: np.ndarray) ->
     return np.frombuffer(raw, np.uint8)[keep].tobytes()
 
 
-def _kept(with_text: bool):
-    import hashlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans") if "spans" in batch.schema.names else None
-            for low, high, raw, offsets in text_slices(batch.column("text")):
-                n_words, n_gone, digest, texts = [], [], [], []
-                for i in range(high - low):
-                    body = raw[offsets[i] : offsets[i + 1]].tobytes()
-                    words = body.split()
-                    n_words.append(len(words))
-                    cuts = spans[low + i].as_py() if spans is not None else None
-                    if cuts:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(edge, [c["lo"] for c in cuts], 1)
-                        np.add.at(edge, [c["hi"] for c in cuts], -1)
-                        gone = np.cumsum(edge)[:-1] > 0
-                        n_gone.append(int(gone.sum()))
-                        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
-                        if with_text:
-                            cells = np.frombuffer(body, np.uint8)
-                            white = np.isin(cells, [32, 9, 10, 11, 12, 13])
-                            step = np.diff(np.concatenate([[0], (~white).astype(np.int8), [0]]))
-                            texts.append(_cut(body, (np.flatnonzero(step == 1), np.flatnonzero(step == -1)), gone))
-                    else:
-                        n_gone.append(0)
-                        kept = b" ".join(words)
-                        if with_text:
-                            texts.append(body)
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                out = [batch.column("doc_id").slice(low, high - low), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest)]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    out.append(pa.array(texts, pa.binary()).cast(pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    return run
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column("spans") if "spans" in batch.schema.names else None
+        for low, high, raw, offsets in text_slices(batch.column("text")):
+            n_words, n_gone, digest = [], [], []
+            for i in range(high - low):
+                body = raw[offsets[i] : offsets[i + 1]].tobytes()
+                words = body.split()
+                n_words.append(len(words))
+                cuts = spans[low + i].as_py() if spans is not None else None
+                if cuts:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, [c["lo"] for c in cuts], 1)
+                    np.add.at(edge, [c["hi"] for c in cuts], -1)
+                    gone = np.cumsum(edge)[:-1] > 0
+                    n_gone.append(int(gone.sum()))
+                    kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
+                else:
+                    n_gone.append(0)
+                    kept = b" ".join(words)
+                digest.append(hashlib.sha256(kept).hexdigest())
+            out = [batch.column("doc_id").slice(low, high - low), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(digest)]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """Whole texts without the words of repeated windows: (doc_id, n_words, n_removed, kept_sha256), a row per input row.
 
     Words are runs of bytes outside 09-0D and 20, unchanged. A word goes if a window of ``window``
     words that covers it also starts in a row with a smaller doc_id; windows are judged on the
-    input. ``kept_sha256`` is of the kept words joined by one space. With ``with_text`` a column
-    ``kept_text`` holds the text without the removed words, its other white space as it was.
+    input. ``kept_sha256`` is of the kept words joined by one space.
 
     Null and empty texts have no words. Texts shorter than a window keep all. Rows that repeat a
     doc_id do not remove each other's words, and each loses what a smaller doc_id has. Rows with a
@@ -207,11 +192,58 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("tag", F.hash("text"))
     spans = repeated_spans(ws, docs, window, seed)
-    schema = _RESULT + (", kept_text string" if with_text else "")
+    schema = _RESULT
     n = spans.count()
     if n > BROADCAST_ROWS:
-        return docs.join(spans, ["doc_id", "tag"], "left").mapInArrow(_kept(with_text), schema)
+        return docs.join(spans, ["doc_id", "tag"], "left").mapInArrow(_kept, schema)
     ids = spans.select("doc_id").distinct()
-    free = docs.join(F.broadcast(ids), "doc_id", "left_anti").mapInArrow(_kept(with_text), schema)
-    cut = ids_only(docs, ids, "doc_id", n).join(spans, ["doc_id", "tag"], "left").mapInArrow(_kept(with_text), schema)
+    free = docs.join(F.broadcast(ids), "doc_id", "left_anti").mapInArrow(_kept, schema)
+    cut = ids_only(docs, ids, "doc_id", n).join(spans, ["doc_id", "tag"], "left").mapInArrow(_kept, schema)
     return free.union(cut)
+
+
+def _cut_text(position: int):
+    """Texts (the column at ``position``) without the words of ``spans``, the last column; other columns pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(position).cast(pa.large_binary())
+            out = []
+            for text, cuts in zip(texts, batch.column(batch.num_columns - 1), strict=True):
+                body = text.as_py()
+                if body is not None and cuts.is_valid:
+                    cells = np.frombuffer(body, np.uint8)
+                    white = np.isin(cells, [32, 9, 10, 11, 12, 13])
+                    step = np.diff(np.concatenate([[0], (~white).astype(np.int8), [0]]))
+                    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+                    edge = np.zeros(len(start) + 1, np.int64)
+                    spans = cuts.as_py()
+                    np.add.at(edge, [c["lo"] for c in spans], 1)
+                    np.add.at(edge, [c["hi"] for c in spans], -1)
+                    body = _cut(body, (start, stop), np.cumsum(edge)[:-1] > 0)
+                out.append(body)
+            columns = batch.columns[:-1]
+            columns[position] = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def with_repeats_cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """``docs`` with all its columns, its texts without repeated windows as ``remove_repeats`` defines them.
+
+    A removed run goes with the white space after it, all else stays as it is; texts that lose
+    nothing are unchanged, and null texts stay null. Texts that lose every word become empty.
+    """
+    ws = Workspace(docs.sparkSession, "substring")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.hash(F.col(text_col).cast("string")).alias("tag"))
+    spans = repeated_spans(ws, slim, window, seed)
+    keys = spans.select(F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag"), F.col("spans").alias("_spans"))
+    n = spans.count()
+    ids = spans.select(F.col("doc_id").alias(id_col)).distinct()
+    join = lambda d: d.join(keys, (F.col(id_col).cast("long") == F.col("_span_id")) & (F.hash(F.col(text_col).cast("string")) == F.col("_span_tag")), "left").drop("_span_id", "_span_tag")
+    cut = _cut_text(docs.columns.index(text_col))
+    if n > BROADCAST_ROWS:
+        return join(docs).mapInArrow(cut, docs.schema)
+    free = docs.join(F.broadcast(ids), id_col, "left_anti").select(*docs.columns)
+    return free.unionByName(join(ids_only(docs, ids, id_col, n).select(*docs.columns)).mapInArrow(cut, docs.schema))
