@@ -24,8 +24,12 @@ from plumbline.llm.common import text_slices
 
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a Python worker remembers.
-CACHE_PIECES = 700_000
+#: Pieces that a Python worker remembers, at most twice as many for a while.
+CACHE_PIECES = 400_000
+#: White space, ASCII first; next to a blank it moves the place where a pre-token begins.
+_ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ASCII_PAIRS, _PAIRS = (list(dict.fromkeys([" " + c for c in cs] + [c + " " for c in cs])) for cs in (_ASCII_SPACE, _SPACE))
 #: Symbols of a matrix of pre-tokens, so that it stays in the processor's cache.
 BLOCK = 1 << 16
 
@@ -58,7 +62,7 @@ class SegmentTreeBPE:
         self.token_bytes = {str(i): bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
         self.token_bytes |= {str(i): t.encode() for t, i in self.special.items()}
         self.cache: dict[str, str] = {}  # pieces after a space
-        self.irregular = regex.compile(r" \s|\s ")
+        self.older: dict[str, str] = {}
         self.boundary = regex.compile(r"(?<=\S) (?=\S)")
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: int, none: int) -> np.ndarray:
@@ -132,7 +136,8 @@ class SegmentTreeBPE:
 
     def pieces(self, text: str) -> list[str]:
         """Parts of the text whose tokens do not depend on each other; all but the first have lost a leading space."""
-        return self.boundary.split(text) if self.irregular.search(text) else text.split(" ")
+        irregular = any(x in text for x in (_ASCII_PAIRS if text.isascii() else _PAIRS))
+        return self.boundary.split(text) if irregular else text.split(" ")
 
     def encode_many(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by commas. A piece after the first is stored with its space."""
@@ -154,8 +159,10 @@ class SegmentTreeBPE:
                 if not isinstance(run, str):
                     later.update(run[1:])
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = [p for p in later if p not in self.cache]
+            self.cache, self.older = {}, self.cache
+        unseen = [p for p in later if p not in self.cache]
+        self.cache.update((p, self.older[p]) for p in unseen if p in self.older)
+        new = [p for p in unseen if p not in self.older]
         self.cache.update(zip(new, self.encode_pieces([" " + p for p in new]), strict=True))
         look = self.cache.__getitem__
         out = []
