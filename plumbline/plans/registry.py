@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import page_queries, run_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return run_queries.Q | page_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return run_queries.SQL | page_queries.SQL
