@@ -44,6 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to a size that long texts cannot blow up."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 class Workspace:
     """Intermediate tables of one run, written as Parquet below the shared folder.
 
@@ -52,6 +65,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/plumbline/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
