@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import text_slices
+from plumbline.session import bounded_batches
 
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a Python worker remembers, at most twice as many for a while.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: White space, ASCII first; next to a blank it moves the place where a pre-token begins.
 _ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -242,6 +243,7 @@ def default_vocabulary() -> str:
 
 def _shared(df: DataFrame, vocabulary: str | None):
     """The vocabulary file (a few MB, fixed) for all executors; it is read on the driver only."""
+    bounded_batches(df.sparkSession)
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.session import Workspace
 
 #: Text bytes that one vectorised step handles; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: The most rows of an id set that are sent to every executor; a larger set is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 

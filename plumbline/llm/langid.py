@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import bounded_batches
+
 MAX_N, PROFILE = 3, 300
 #: Languages times profile rows that may go to every executor.
 MOST_LANGUAGES = 2_000
@@ -95,6 +97,7 @@ def _count(most: int):
 
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE, most: int = MAX_N) -> DataFrame:
     """(lang, gram, rank): the most frequent n-grams of every language over all given texts, ties to the smaller code."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counts = docs.mapInArrow(_count(most), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")

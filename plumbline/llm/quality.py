@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import bounded_batches
+
 #: Labelled rows of each class that the dictionaries, and that the calibration, may use.
 FIT_ROWS = 1_500
 #: Bytes of whole texts of each class that the driver takes for either.
@@ -116,6 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str =
     Rows without a label of 0 or 1, and without text, are not used. With one class or none the
     score is the share of good labels (1 without any label).
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and doc_id is not null")
     labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(train)
     labelled = labelled.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
