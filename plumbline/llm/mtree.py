@@ -73,7 +73,7 @@ _PAGE_SCHEMA = "dim int, page string, n int, routing array<long>, radius double,
 
 
 def _build_page(shared):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         top = shared.value[1]
         dim = int(key[0])
         x = np.stack(pdf["v"].to_numpy()).astype(np.int64) if dim else np.zeros((len(pdf), 0), np.int64)
@@ -147,7 +147,7 @@ def search_pages(q: np.ndarray, q_ids: np.ndarray, pages: list[tuple], top: floa
 
 
 def _search(shared, k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         top = shared.value[1]
         out = {"query_id": [], "mark": [], "vec_id": [], "score": []}
         if len(left) and len(right):

@@ -7,8 +7,13 @@ looked at deeper: its sub-regions are used where they are small enough, and at t
 document is paired with its next NEXT neighbours. So candidates grow with the documents, not with
 the square of a region. All candidates end in one component or are checked on full sets.
 
+What a large region may hide after that is closed exactly: where it still holds several components,
+blocks of its documents are compared by all their MinHash values, and each document that may be
+similar to another component is checked on full sets against blocks of that component's members.
+Only links come out of either step.
+
 At similarity 0.75 a pair misses all TREES base prefixes with probability (1 - 0.75**3)**32, about
-2e-8.
+2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 1e-10.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ SHINGLE, PERCENT = 5, 75
 TREES, BASE_DEPTH, DEEPER = 32, 3, 4
 SIGNATURE = 128
 REGION, NEXT = 8, 2
+#: Equal values of two signatures below which a pair of a large region is not looked at.
+CLOSE = 64
+#: Documents of a block, in the steps that compare blocks.
+BLOCK = 256
 #: Best candidates of a document that are checked before the first components are formed.
 FIRST_LINKS = 3
 
@@ -66,6 +75,7 @@ def _signatures(k: int):
                 some = np.flatnonzero(sizes)
                 base = np.zeros((len(sets), TREES), U64)
                 deep = np.zeros((len(sets), TREES), U64)
+                sketch = np.zeros((len(sets), SIGNATURE), np.uint8)
                 if len(some):
                     flat = np.concatenate([sets[i] for i in some])
                     starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
@@ -74,6 +84,7 @@ def _signatures(k: int):
                         sig[:, j] = np.minimum.reduceat(flat * _FACTORS[j], starts)
                     tree = np.arange(TREES, dtype=U64)
                     base[some] = mix((sig[:, _BASE] * _KEY).sum(axis=2, dtype=U64) + tree * U64(0x632BE59BD9B4E019))
+                    sketch[some] = mix(sig) >> U64(56)
                     for d in range(DEEPER):
                         deep[some] = (deep[some] << U64(16)) | (mix(sig[:, _DEEP[:, d]]) >> U64(48))
                 n, lists = len(sets), lambda x: pa.ListArray.from_arrays(np.arange(0, (len(x) + 1) * TREES, TREES, dtype=np.int32), signed(np.ascontiguousarray(x).ravel()))
@@ -85,8 +96,9 @@ def _signatures(k: int):
                         pa.array(signed(digests[:, 1].copy())),
                         lists(base),
                         lists(deep ^ U64(1 << 63)),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "base", "deep"],
+                    ["doc_id", "n", "d1", "d2", "base", "deep", "sketch"],
                 )
 
     return run
@@ -124,6 +136,8 @@ def _pairs_of(keys: np.ndarray, order: np.ndarray, docs: np.ndarray, sizes: np.n
     return left[fit], right[fit], depth[fit]
 
 
+#: Mark of rows that lie in a large region.
+LARGE = -1
 _CANDIDATES = "a long, b long, depth int, key long, ord long, doc long, n int"
 
 
@@ -141,6 +155,14 @@ def _neighbours(percent: int, edges: bool):
             none = pa.nulls(len(a), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth.astype(np.int32)), none, none, none, pa.nulls(len(a), pa.int32())], _CANDIDATE_NAMES)
 
+        def large(rows: list[np.ndarray]) -> pa.RecordBatch:
+            keys, _, docs, sizes = rows
+            starts = np.concatenate([[True], keys[1:] != keys[:-1]])
+            number = np.cumsum(starts) - 1
+            at = np.flatnonzero(np.bincount(number)[number] > REGION)
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(at), LARGE, np.int32)), pa.array(keys[at]), none, pa.array(docs[at]), pa.array(sizes[at].astype(np.int32))], _CANDIDATE_NAMES)
+
         def edge(rows: list[np.ndarray]) -> pa.RecordBatch:
             keys, order, docs, sizes = rows
             none = pa.nulls(len(keys), pa.int64())
@@ -161,10 +183,13 @@ def _neighbours(percent: int, edges: bool):
             start = int(np.searchsorted(rows[0], rows[0][-1]))
             keep = start if len(rows[0]) - start <= 20_000 else len(rows[0]) - REGION
             if keep:
-                yield out([x[:keep] if keep == start else x for x in rows])
+                whole = [x[:keep] if keep == start else x for x in rows]
+                yield out(whole)
+                yield large(whole)
             held = [x[keep:] for x in rows]
         if held is not None:
             yield out(held)
+            yield large(held)
             if edges:
                 yield edge([x[-REGION:] for x in held])
 
@@ -174,18 +199,104 @@ def _neighbours(percent: int, edges: bool):
 _CANDIDATE_NAMES = ["a", "b", "depth", "key", "ord", "doc", "n"]
 
 
-def _candidates(ws: Workspace, signatures: DataFrame, percent: int) -> DataFrame:
+def _candidates(ws: Workspace, signatures: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs with their common depth over all trees, and the rows (key, doc, n) of large regions."""
     rows = signatures.filter("n > 0").select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode(F.arrays_zip("base", "deep")).alias("tree", "at"))
     rows = rows.select(F.col("at.base").alias("key"), F.col("at.deep").alias("ord"), "doc", "n")
     parts = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "key", "ord", "doc").sortWithinPartitions("key", "ord", "doc")
     found = ws.save(ordered.mapInArrow(_neighbours(percent, True), _CANDIDATES), "found")
-    ends = found.filter("key is not null").select("key", "ord", "doc", "n").distinct()
+    ends = found.filter("depth is null").select("key", "ord", "doc", "n").distinct()
     over = ends.repartition("key").sortWithinPartitions("key", "ord", "doc").mapInArrow(_neighbours(percent, False), _CANDIDATES)
-    pairs = found.filter("key is null").unionByName(over).groupBy("a", "b").agg(F.sum("depth").alias("weight"))
-    out = ws.save(pairs, "candidates")
-    ws.drop(found)
-    return out
+    over = ws.save(over, "over")
+    both = found.unionByName(over)
+    pairs = ws.save(both.filter("a is not null").groupBy("a", "b").agg(F.sum("depth").alias("weight")), "candidates")
+    large = ws.save(both.filter(F.col("depth") == LARGE).select("key", "doc", "n").distinct(), "large")
+    ws.drop(found, over)
+    return pairs, large
+
+
+def _in_blocks(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with a block number such that a block of one ``by`` has about BLOCK rows, and the number of blocks."""
+    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
+    return rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int"))
+
+
+def _suspects(percent: int):
+    """Of two blocks of a region: (x, component) of documents that look similar to one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high, block = (table.column(c).to_numpy() for c in ("low", "high", "doc_block"))
+        docs, parts, sizes = (table.column(c).to_numpy() for c in ("doc", "component", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        # the side of a pair of components that has fewer documents here is the one to be checked
+        size_of = dict(zip(*np.unique(parts, return_counts=True), strict=True))
+        found = set()
+        for i in left:
+            other = right[(parts[right] != parts[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
+            if len(other):
+                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= CLOSE]
+                for j in other:
+                    a, b = (i, j) if (size_of[parts[i]], parts[i]) < (size_of[parts[j]], parts[j]) else (j, i)
+                    found.add((int(docs[a]), int(parts[b])))
+        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "component": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _first_links(percent: int):
+    """A link of each checked document with a member of the component's block, by full sets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            members = right.column("y").to_numpy()
+            sets = right.column("theirs").combine_chunks()
+            flat, sizes = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(members)), sizes)
+            for x, own in zip(left.column("x").to_pylist(), left.column("own").to_pylist(), strict=True):
+                own = np.sort(np.array(own, np.int64))
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.bincount(owner[own[at] == flat], minlength=len(members))
+                hit = np.flatnonzero(100 * both >= percent * (sizes + len(own) - both))
+                out += [(x, int(members[k])) for k in hit[:1] if members[k] != x]
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links that join components which meet in large regions, None if none meet."""
+    labels = first.select(F.col("node").alias("doc"), "component")
+    rows = large.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = ws.save(rows, "regions")
+    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    several = ws.save(several.select("key"), "several")
+    rows = ws.save(rows.join(several, "key"), "rows")
+    rows = _in_blocks(rows.join(sketches, "doc"), "key", "doc")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("doc_blocks") - 1)))
+    rows = rows.withColumn("low", F.least("doc_block", "with")).withColumn("high", F.greatest("doc_block", "with"))
+    rows = rows.select("key", "low", "high", "doc_block", "doc", "component", "n", "sketch")
+    suspects = rows.groupBy("key", "low", "high").applyInArrow(_suspects(percent), "x long, component long").distinct()
+    suspects = ws.save(suspects, "suspects")
+    if suspects.isEmpty():
+        return None
+    targets = suspects.select("component").distinct()
+    inside = first.select(F.col("node").alias("y"), "component").join(targets, "component", "left_semi")
+    members = ws.save(inside.union(targets.select(F.col("component").alias("y"), "component")).distinct(), "members")
+    ids = ws.save(members.select(F.col("y").alias("doc_id")).union(suspects.select("x")).distinct(), "closing-ids")
+    sets = ws.save(ids_only(docs, ids, "doc_id", ids.count()).mapInArrow(_set_rows(k), "doc_id long, shingles array<long>").filter(F.size("shingles") > 0), "closing-sets")
+    left, right = _in_blocks(suspects, "component", "x"), _in_blocks(members, "component", "y")
+    sizes = lambda df, name: df.groupBy("component").agg(F.max(f"{name}_blocks").alias("times"))
+    left, right = ws.save(left, "left"), ws.save(right, "right")
+    spread = lambda df, other, name, key: df.join(sizes(other, name), "component").withColumn(key, F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    xs = spread(left, right, "y", "y_block").join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("own")), "x")
+    ys = spread(right, left, "x", "x_block").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("theirs")), "y")
+    xs = xs.toDF(*xs.columns).select(*[F.col(c).alias(f"l_{c}") for c in ("component", "x_block", "y_block")], "x", "own")
+    ys = ys.toDF(*ys.columns).select(*[F.col(c).alias(f"r_{c}") for c in ("component", "x_block", "y_block")], "y", "theirs")
+    left_keys, right_keys = (xs.columns[:3], ys.columns[:3])
+    return ws.save(xs.groupBy(*left_keys).cogroup(ys.groupBy(*right_keys)).applyInArrow(_first_links(percent), "a long, b long"), "closing")
 
 
 def _set_rows(k: int):
@@ -224,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_rows = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, base array<long>, deep array<long>"), "signatures")
+    signed_rows = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, base array<long>, deep array<long>, sketch binary"), "signatures")
     # equal word sequences: one stands for all
     classes = signed_rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = ws.save(classes, "classes")
@@ -232,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = signed_rows.filter("n > 0 and doc_id is not null").select("d1", "d2", "doc_id").join(repeated, ["d1", "d2"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     copies = ws.save(copies, "copies")
     lone = ids_only(signed_rows.filter("doc_id is not null"), copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", copies.count(), keep=False)
-    pairs = _candidates(ws, lone, percent)
+    pairs, large = _candidates(ws, lone, percent)
 
     ids = ws.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     some = ids_only(docs, ids, "doc_id", ids.count())
@@ -248,8 +359,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("not coalesce(ca = cb, false)")
     more = ws.save(_confirmed(open_pairs, sets, percent), "more")
     ws.drop(sets, pairs)
+    links = links.union(more)
+    joined = first if more.isEmpty() else ws.save(connected_components(ws, links), "joined")
+    sketches = signed_rows.filter("n > 0").select(F.col("doc_id").alias("doc"), "sketch")
+    closing = _closing_links(ws, docs, large, sketches, joined, k, percent)
+    links = links if closing is None else links.union(closing)
     # copies hang on what their representative is linked with
-    components = ws.save(connected_components(ws, links.union(more).union(copies)), "components")
+    components = ws.save(connected_components(ws, links.union(copies)), "components")
 
     rows = signed_rows.select("doc_id", F.col("n").alias("n_shingles"))
     out = rows.join(components, rows.doc_id == components.node, "left")
