@@ -138,9 +138,19 @@ def actions_anywhere() -> list[str]:
 
 
 def consume_budget(requests: DataFrame, ts: str, key: str, per_hour: int = RUNS_PER_HOUR, per_day: int = RUNS_PER_DAY, prefix: str = "runs") -> DataFrame:
-    """Requests with their place in the UTC hour and day; the day is judged first, and refused requests count too."""
-    place = lambda unit: F.row_number().over(Window.partitionBy(F.date_trunc(unit, ts)).orderBy(ts, key))
-    out = requests.withColumn("hour_count", place("hour")).withColumn("day_count", place("day"))
+    """Requests with their place in the UTC hour and day; the day is judged first, and refused requests count too.
+
+    A place is the requests of earlier minutes of the hour (day) and the place within the minute, so
+    no task ranks more than a minute's requests.
+    """
+    out = requests.withColumn("_minute", F.date_trunc("minute", ts))
+    minutes = out.groupBy(F.col("_minute").alias("_at")).agg(F.count("*").alias("_n"))
+    earlier = lambda unit: F.coalesce(F.sum("_n").over(Window.partitionBy(F.date_trunc(unit, "_at")).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = minutes.withColumn("_hour", earlier("hour")).withColumn("_day", earlier("day"))
+    out = out.withColumn("_place", F.row_number().over(Window.partitionBy("_minute").orderBy(ts, key)))
+    out = out.join(minutes, F.col("_minute").eqNullSafe(F.col("_at")))
+    out = out.withColumn("hour_count", (F.col("_hour") + F.col("_place")).cast("int")).withColumn("day_count", (F.col("_day") + F.col("_place")).cast("int"))
+    out = out.drop("_minute", "_at", "_n", "_hour", "_day", "_place")
     over_day, over_hour = F.col("day_count") > per_day, F.col("hour_count") > per_hour
     window = F.when(over_day, "day").when(over_hour, "hour")
     out = out.withColumn("refused_by", window).withColumn("allowed", window.isNull())
