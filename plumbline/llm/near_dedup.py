@@ -216,9 +216,12 @@ def _candidates(ws: Workspace, signatures: DataFrame, percent: int) -> tuple[Dat
     return pairs, large
 
 
-def _in_blocks(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """``rows`` with a block number such that a block of one ``by`` has about BLOCK rows, and the number of blocks."""
-    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks"))
+def _in_blocks(ws: Workspace, rows: DataFrame, by: str, name: str) -> DataFrame:
+    """A written table's rows with a block number such that a block of one ``by`` has about BLOCK rows, and the number of blocks.
+
+    Counts are written too: small ones are then broadcast, and else AQE can split a hot ``by``.
+    """
+    counts = ws.save(rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{name}_blocks")), "block-counts")
     return rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int"))
 
 
@@ -274,7 +277,7 @@ def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: D
     several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     several = ws.save(several.select("key"), "several")
     rows = ws.save(rows.join(several, "key"), "rows")
-    rows = _in_blocks(rows.join(sketches, "doc"), "key", "doc")
+    rows = _in_blocks(ws, rows, "key", "doc").join(sketches, "doc")
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("doc_blocks") - 1)))
     rows = rows.withColumn("low", F.least("doc_block", "with")).withColumn("high", F.greatest("doc_block", "with"))
     rows = rows.select("key", "low", "high", "doc_block", "doc", "component", "n", "sketch")
@@ -287,9 +290,9 @@ def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: D
     members = ws.save(inside.union(targets.select(F.col("component").alias("y"), "component")).distinct(), "members")
     ids = ws.save(members.select(F.col("y").alias("doc_id")).union(suspects.select("x")).distinct(), "closing-ids")
     sets = ws.save(ids_only(docs, ids, "doc_id", ids.count()).mapInArrow(_set_rows(k), "doc_id long, shingles array<long>").filter(F.size("shingles") > 0), "closing-sets")
-    left, right = _in_blocks(suspects, "component", "x"), _in_blocks(members, "component", "y")
-    sizes = lambda df, name: df.groupBy("component").agg(F.max(f"{name}_blocks").alias("times"))
+    left, right = _in_blocks(ws, suspects, "component", "x"), _in_blocks(ws, members, "component", "y")
     left, right = ws.save(left, "left"), ws.save(right, "right")
+    sizes = lambda df, name: ws.save(df.groupBy("component").agg(F.max(f"{name}_blocks").alias("times")), "times")
     spread = lambda df, other, name, key: df.join(sizes(other, name), "component").withColumn(key, F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     xs = spread(left, right, "y", "y_block").join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("own")), "x")
     ys = spread(right, left, "x", "x_block").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("theirs")), "y")
