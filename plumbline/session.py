@@ -87,3 +87,10 @@ class Workspace:
         for table in tables:
             where = jvm.org.apache.hadoop.fs.Path(table._plumbline_path)  # noqa: SLF001
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
+def clean_workspaces(spark: SparkSession) -> None:
+    """Delete all intermediate tables below the shared folder. Results that still read them must be written first."""
+    jvm = spark._jvm  # noqa: SLF001
+    where = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001

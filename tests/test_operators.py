@@ -198,3 +198,13 @@ def test_unique_slugs_do_not_meet_a_base(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2")], "id int, base string")
     slugs = [r.slug for r in catalog.unique_slugs(rows, "base", "id").collect()]
     assert len(set(slugs)) == 3
+
+
+def test_workspace_lies_in_the_shared_folder(spark):
+    from plumbline.session import Workspace, shared_dir
+
+    ws = Workspace(spark, "t")
+    table = ws.save(spark.range(3), "ids")
+    assert table.count() == 3 and table.inputFiles()[0].split(":")[-1].replace("///", "/").startswith(shared_dir(spark).split(":")[-1].replace("///", "/"))
+    ws.drop(table)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
