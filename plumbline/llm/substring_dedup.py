@@ -107,20 +107,23 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, seed: i
     docs = docs.filter("doc_id is not null")
     schema = "anchor long, reach long, doc_id long, tag int, lo int, n int"
     seeds = ws.save(docs.mapInArrow(_anchors(window, seed), schema), "seeds")
-    common = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    common = ws.save(common.select("anchor"), "common")
+    span = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    common = seeds.groupBy("anchor").agg(*span, (F.min("reach") == F.max("reach")).alias("single")).filter("low < high")
+    common = ws.save(common.select("anchor", "low", "single"), "common")
     shared = ws.save(seeds.join(common, "anchor"), "shared")
     ws.drop(seeds, common)
+    interval = ["doc_id", "tag", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")]
+    # anchors with one reach: the smallest document is known already
+    alike = shared.filter("single and doc_id > low").select(*interval)
 
     # a reach is one row here, however often it occurs
-    reaches = ws.save(shared.groupBy("anchor", "reach").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "reaches")
-    several = ws.save(reaches.groupBy("anchor").agg(F.count("*").alias("k"), F.min("low").alias("first")).filter("k > 1").select("anchor", "first"), "several")
+    shared = shared.filter("not single").select("anchor", "reach", "doc_id", "tag", "lo", "n")
+    reaches = ws.save(shared.groupBy("anchor", "reach").agg(*span), "reaches")
     later = reaches.filter("low < high").select("anchor", "reach", "low")
-    whole = shared.join(later, ["anchor", "reach"]).filter("doc_id > low").select("doc_id", "tag", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi"))
-    whole = ws.save(whole, "whole")
+    whole = ws.save(shared.join(later, ["anchor", "reach"]).filter("doc_id > low").select(*interval), "whole")
 
-    # anchors with several reaches: the smallest document of each reach, window by window
-    partial = reaches.join(several, "anchor").select("anchor", "reach", F.col("low").alias("doc_id"), "first")
+    # where reaches differ: the smallest document of each, window by window
+    partial = reaches.select("anchor", "reach", F.col("low").alias("doc_id"))
     sources = shared.join(partial, ["anchor", "reach", "doc_id"])
     sources = ws.save(sources.groupBy("doc_id", "tag", "anchor", "reach").agg(F.min("lo").alias("lo"), F.first("n").alias("n")), "sources")
     lists = ws.save(sources.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "reach", "lo", "n")).alias("spans")), "lists")
@@ -133,8 +136,8 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, seed: i
     steps = ws.save(steps.groupBy("anchor", "reach", "doc_id").agg(F.collect_set("step").alias("steps")), "steps")
     some = shared.join(steps, ["anchor", "reach", "doc_id"]).select("doc_id", "tag", F.explode("steps").alias("step"), "lo")
     some = some.select("doc_id", "tag", (F.col("lo") + F.col("step")).alias("lo"), (F.col("lo") + F.col("step") + window).alias("hi"))
-    out = ws.save(whole.union(some).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
-    ws.drop(shared, reaches, several, whole, sources, lists, windows, lows, steps)
+    out = ws.save(alike.union(whole).union(some).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")), "spans")
+    ws.drop(reaches, whole, sources, lists, windows, lows, steps)
     return out
 
 
