@@ -17,6 +17,9 @@ SLICE_BYTES = 1 << 18
 #: The most rows of an id set that are sent to every executor; a larger set is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Edges (both directions) of a graph that one task may hold; its rounds then need no exchange.
+SMALL_GRAPH = 10_000
+
 U64 = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -140,7 +143,7 @@ def row_words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     return words, start, stop, bounds
 
 
-def ids_only(df: DataFrame, ids: DataFrame, key: str, n: int, keep: bool = True) -> DataFrame:
+def ids_only(df: DataFrame, ids: DataFrame, key: str | list[str], n: int, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is (or, with keep=False, is not) in ``ids``, a table of ``n`` distinct keys.
 
     A set of up to BROADCAST_ROWS goes to every executor, so ``df`` is not shuffled; a larger one
@@ -163,20 +166,39 @@ def connected_components(ws: Workspace, edges: DataFrame, a: str = "a", b: str =
     self-join of the labels; labels are written to the shared folder, none goes to the driver.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = ws.save(both.union(both.select("v", "u")).distinct(), "edges")
+    edges = ws.save(both.union(both.select("v", "u")).distinct(), "edges")
+    small = edges.count() <= SMALL_GRAPH
+    both = edges.coalesce(1) if small else edges
+    read = (lambda t: F.broadcast(t.coalesce(1))) if small else (lambda t: t)
     first = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label"))
     labels = ws.save(first, "labels")
     total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     now = total(labels)
     while True:
-        near = both.join(labels, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label")
-        lower = ws.save(near.union(labels.select("node", "label")).groupBy("node").agg(F.min("label").alias("label")), "hooked")
+        near = both.join(read(labels), F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label")
+        lower = near.union(labels.select("node", "label"))
+        lower = ws.save((lower.coalesce(1) if small else lower).groupBy("node").agg(F.min("label").alias("label")), "hooked")
         target = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = ws.save(lower.join(target, F.col("label") == F.col("at")).select("node", F.col("next").alias("label")), "labels")
+        jumped = ws.save((lower.coalesce(1) if small else lower).join(read(target), F.col("label") == F.col("at")).select("node", F.col("next").alias("label")), "labels")
         before, now = now, total(jumped)
         ws.drop(labels, lower)
         labels = jumped
         if before == now:
             break
-    ws.drop(both)
+    ws.drop(edges)
     return labels.select("node", F.col("label").alias("component"))
+
+
+def merged_components(ws: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b): only the components that links join are looked at again."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct()
+    ends = ws.save(ends, "joined")
+    if ends.isEmpty():
+        return labels
+    over = ws.save(connected_components(ws, ends), "over")
+    top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = over.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return ws.save(moved.union(alone), "merged")

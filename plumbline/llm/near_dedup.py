@@ -29,6 +29,7 @@ from plumbline.llm.common import (
     U64,
     connected_components,
     ids_only,
+    merged_components,
     mix,
     row_words,
     sequence_sums,
@@ -343,9 +344,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed_rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = ws.save(classes, "classes")
     repeated = classes.filter("copies > 1").select("d1", "d2", "rep")
-    copies = signed_rows.filter("n > 0 and doc_id is not null").select("d1", "d2", "doc_id").join(repeated, ["d1", "d2"]).filter("doc_id > rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    copies = signed_rows.filter("n > 0 and doc_id is not null").select("d1", "d2", "doc_id").join(repeated, ["d1", "d2"]).filter("doc_id > rep").distinct()
     copies = ws.save(copies, "copies")
-    lone = ids_only(signed_rows.filter("doc_id is not null"), copies.select(F.col("b").alias("doc_id")).distinct(), "doc_id", copies.count(), keep=False)
+    lone = ids_only(signed_rows.filter("doc_id is not null"), copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], copies.count(), keep=False)
     pairs, large = _candidates(ws, lone, percent)
 
     ids = ws.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
@@ -362,13 +363,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("not coalesce(ca = cb, false)")
     more = ws.save(_confirmed(open_pairs, sets, percent), "more")
     ws.drop(sets, pairs)
-    links = links.union(more)
-    joined = first if more.isEmpty() else ws.save(connected_components(ws, links), "joined")
+    labels = merged_components(ws, first, more)
     sketches = signed_rows.filter("n > 0").select(F.col("doc_id").alias("doc"), "sketch")
-    closing = _closing_links(ws, docs, large, sketches, joined, k, percent)
-    links = links if closing is None else links.union(closing)
-    # copies hang on what their representative is linked with
-    components = ws.save(connected_components(ws, links.union(copies)), "components")
+    closing = _closing_links(ws, docs, large, sketches, labels, k, percent)
+    if closing is not None:
+        labels = merged_components(ws, labels, closing)
+
+    # a copy has its representative's component; a doc_id with several texts joins those of all of them
+    pairs = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    twice = signed_rows.filter("n > 0").groupBy("doc_id").agg(*[f(c).alias(f"{c}{i}") for c in ("d1", "d2") for i, f in enumerate((F.min, F.max))])
+    twice = ws.save(twice.filter("d10 <> d11 or d20 <> d21").select(F.col("doc_id").alias("b")), "twice")
+    if not twice.isEmpty():
+        labels = merged_components(ws, labels, pairs.join(twice, "b", "left_semi"))
+    of_copies = pairs.join(labels, F.col("a") == F.col("node"), "left").groupBy(F.col("b").alias("node")).agg(F.min(F.coalesce("component", "a")).alias("component"))
+    components = labels.union(of_copies.join(labels.select("node"), "node", "left_anti").select("node", "component"))
+    components = ws.save(components, "components")
 
     rows = signed_rows.select("doc_id", F.col("n").alias("n_shingles"))
     out = rows.join(components, rows.doc_id == components.node, "left")

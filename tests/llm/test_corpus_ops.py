@@ -179,6 +179,12 @@ def test_near_duplicates_edges(odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_a_doc_id_with_several_texts_joins_them(spark):
+    rows = [(1, "a b c"), (5, "a b c"), (5, "x y z"), (2, "x y z"), (7, "x y z"), (8, "p q r")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 2: 1, 7: 1, 8: 8}
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """Hundreds of near copies of one text, some at the threshold: the dense regions' way."""
     rng = random.Random(5)
@@ -198,7 +204,16 @@ def test_near_duplicates_of_a_large_group(spark):
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in common.connected_components(Workspace(spark, "t"), edges).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 7: 0}
+
+
+def test_components_of_larger_graphs_and_merges(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL_GRAPH", 0)
+    ws = Workspace(spark, "t")
+    labels = ws.save(common.connected_components(ws, spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "a long, b long")), "l")
+    assert {r.node: r.component for r in labels.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+    more = common.merged_components(ws, labels, spark.createDataFrame([(4, 6), (9, 5), (1, 2), (10, 11)], "a long, b long"))
+    assert {r.node: r.component for r in more.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 9: 3, 10: 10, 11: 10}
 
 
 # --- op4 ------------------------------------------------------------------------------------
