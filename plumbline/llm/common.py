@@ -161,32 +161,32 @@ def signed(x: np.ndarray) -> np.ndarray:
 def connected_components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge table; component is its smallest node.
 
-    Labels fall to the smallest label of a neighbour and then to their label's label, until their
-    sum stays the same. A round is one join on the edges, one pre-aggregated grouping and one
-    self-join of the labels; labels are written to the shared folder, none goes to the driver.
+    In a round every node hooks to its smallest neighbour if that is smaller, and on to that one's;
+    nodes that meet become one, and the edges between what is left make the next round, which has a
+    fraction of them. Tables of a round are written to the shared folder, none goes to the driver.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    edges = ws.save(both.union(both.select("v", "u")).distinct(), "edges")
-    small = edges.count() <= SMALL_GRAPH
-    both = edges.coalesce(1) if small else edges
-    read = (lambda t: F.broadcast(t.coalesce(1))) if small else (lambda t: t)
-    first = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("node"), F.least("u", "low").alias("label"))
-    labels = ws.save(first, "labels")
-    total = lambda t: t.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    now = total(labels)
+    pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = ws.save(pair.union(pair.select("v", "u")).distinct(), "edges")
+    nodes = None
     while True:
-        near = both.join(read(labels), F.col("v") == F.col("node")).select(F.col("u").alias("node"), "label")
-        lower = near.union(labels.select("node", "label"))
-        lower = ws.save((lower.coalesce(1) if small else lower).groupBy("node").agg(F.min("label").alias("label")), "hooked")
-        target = lower.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        jumped = ws.save((lower.coalesce(1) if small else lower).join(read(target), F.col("label") == F.col("at")).select("node", F.col("next").alias("label")), "labels")
-        before, now = now, total(jumped)
-        ws.drop(labels, lower)
-        labels = jumped
-        if before == now:
-            break
-    ws.drop(edges)
-    return labels.select("node", F.col("label").alias("component"))
+        small = both.count() <= SMALL_GRAPH
+        one = (lambda t: t.coalesce(1)) if small else (lambda t: t)
+        read = (lambda t: F.broadcast(t.coalesce(1))) if small else (lambda t: t)
+        hook = one(both).groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
+        hook = ws.save(hook, "hooks")
+        onward = read(hook.select(F.col("u").alias("to"), F.col("to").alias("next")))
+        hook = ws.save(one(hook).join(onward, "to").select("u", F.col("next").alias("to")), "hooks")
+        if nodes is None:
+            nodes = ws.save(hook.select(F.col("u").alias("node"), F.col("to").alias("component")), "nodes")
+        else:
+            moved = nodes.join(read(hook), nodes["component"] == hook["u"], "left")
+            nodes = ws.save(moved.select("node", F.coalesce("to", "component").alias("component")), "nodes")
+        at = lambda c: read(hook.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to")))
+        left = one(both).join(at("u"), "u").join(at("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"))
+        before, both = both, ws.save(left.filter("u <> v").distinct(), "edges")
+        ws.drop(before, hook)
+        if both.isEmpty():
+            return nodes
 
 
 def merged_components(ws: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:

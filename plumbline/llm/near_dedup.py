@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed_rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = ws.save(classes, "classes")
     repeated = classes.filter("copies > 1").select("d1", "d2", "rep")
-    copies = signed_rows.filter("n > 0 and doc_id is not null").select("d1", "d2", "doc_id").join(repeated, ["d1", "d2"]).filter("doc_id > rep").distinct()
+    copies = signed_rows.filter("n > 0 and doc_id is not null").select("d1", "d2", "doc_id").join(repeated, ["d1", "d2"]).filter("doc_id > rep")
     copies = ws.save(copies, "copies")
     lone = ids_only(signed_rows.filter("doc_id is not null"), copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], copies.count(), keep=False)
     pairs, large = _candidates(ws, lone, percent)
