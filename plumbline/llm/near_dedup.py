@@ -13,7 +13,7 @@ similar to another component is checked on full sets against blocks of that comp
 Only links come out of either step.
 
 At similarity 0.75 a pair misses all TREES base prefixes with probability (1 - 0.75**3)**32, about
-2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 1e-10.
+2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 4e-5.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ TREES, BASE_DEPTH, DEEPER = 32, 3, 4
 SIGNATURE = 128
 REGION, NEXT = 8, 2
 #: Equal values of two signatures below which a pair of a large region is not looked at.
-CLOSE = 64
+CLOSE = 76
 #: Documents of a block, in the steps that compare blocks.
 BLOCK = 256
 #: Best candidates of a document that are checked before the first components are formed.
