@@ -7,7 +7,8 @@ do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import bpe_digests
@@ -46,9 +47,28 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.sort("mix_slot", "mix_block", "doc_id").select(*docs.columns)
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """A written table's rows with ``place``, the number of a row in the order of the table's files and their rows.
+
+    Spark packs files by size, so only the files' names and the rows' numbers in them tell the order
+    in which a table was written. The window has a row per file. A frame without files is written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = Workspace(docs.sparkSession, "pipeline-place").save(docs, "docs")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "place"], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").withColumn("place", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents' ids and of the decoded texts."""
-    return bpe_digests(docs)
+    """Token counts and digests of the documents' ids and of the decoded texts, and each row's place in the mixture.
+
+    ``place`` counts from 0 in the order of the input's files and rows, which the mixing stage sets.
+    """
+    return bpe_digests(with_place(docs), carry=["place"])
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("bpe", bpe)]

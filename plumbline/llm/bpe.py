@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -188,7 +188,7 @@ def _loaded(source: str) -> SegmentTreeBPE:
     return SegmentTreeBPE(source)
 
 
-def _digests(shared):
+def _digests(shared, carry: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _loaded(shared.value)
         for batch in batches:
@@ -203,8 +203,9 @@ def _digests(shared):
                         pa.array(counts, pa.int64()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in encoded]),
                         pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in encoded]),
+                        *[batch.column(c).slice(low, high - low) for c in carry],
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *carry],
                 )
 
     return run
@@ -264,13 +265,14 @@ def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     return tokens.mapInArrow(_texts(_shared(tokens, vocabulary)), f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Encode whole texts and decode the ids: (doc_id, n_tokens, ids_sha256, decoded_sha256), a row per input row.
 
     The strings of special tokens in a text become their ids; none are added. Null texts count as
     empty: no tokens, digests of the empty string. Repeated rows and null ids are returned as they
-    come, other columns are ignored. There is no shuffle.
+    come with the columns named in ``carry``, other columns are ignored. There is no shuffle.
     """
-    docs = _id_text(docs, id_col, text_col)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.mapInArrow(_digests(_shared(docs, vocabulary)), schema)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *carry)}
+    schema = ", ".join([f"doc_id {kinds['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string", *[f"`{c}` {kinds[c]}" for c in carry]])
+    return docs.mapInArrow(_digests(_shared(docs, vocabulary), carry), schema)

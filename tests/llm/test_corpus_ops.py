@@ -508,3 +508,29 @@ def test_pipeline_against_brute_force(spark, sf):
     assert {i: hashlib.sha256(b" ".join(t.encode().split())).hexdigest() for i, t in texts.items()} == want
     got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
+
+
+def test_pipeline_rows_carry_the_order_of_the_mixture(spark, sf, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "big" if i % 4 else "small") for i in range(3_000)], "doc_id long, text string, source string")
+    corpus_pipeline.mixing(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    want = [r.doc_id for r in mixing.mix_sources(docs).sort("mix_slot", "mix_block", "doc_id").collect()]
+    assert want != sorted(want)
+    # files of very different sizes, which Spark would read in another order
+    rows = spark.createDataFrame([(k, i) for k, i in enumerate(want)], "place long, doc_id long").join(docs, "doc_id")
+    sized = rows.repartitionByRange(5, F.expr("int(sqrt(place))")).sortWithinPartitions("place").drop("place")
+    sized.write.parquet(str(tmp_path / "sized"))
+    for name in ("mixed", "sized"):
+        found = corpus_pipeline.bpe(spark, spark.read.parquet(str(tmp_path / name)), sf).collect()
+        assert [r.doc_id for r in sorted(found, key=lambda r: r.place)] == want, name
+        assert sorted(r.place for r in found) == list(range(len(want)))
+
+
+def test_pipeline_result_follows_the_weights(spark, sf, monkeypatch):
+    sources = sorted(r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect())
+    weights = {s: 2.0**k for k, s in enumerate(sources)}
+    mix = lambda docs: mixing.mix_sources(docs, weights, block=2)
+    monkeypatch.setattr(corpus_pipeline, "mix_sources", mix)
+    got = [r.doc_id for r in sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: r.place)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").filter(F.col("doc_id").isin(got))
+    order = lambda df: [r.doc_id for r in df.sort("mix_slot", "mix_block", "doc_id").collect()]
+    assert got == order(mix(docs)) != order(mixing.mix_sources(docs))
