@@ -3,21 +3,27 @@
 Every source's documents form blocks. With target weight w, block i (from 0) of a source is
 released at slot floor(i / w) and due at slot ceil((i + 1) / w). Earliest deadline first over the
 released blocks gives each slot one block, and no source is ever a whole block ahead of or behind
-its weight. Weights are whole parts of a period of CYCLE slots, so the schedule repeats: it is
-worked out for one period, a table of CYCLE rows, and joined to all blocks.
+its weight. Weights are exact fractions, so the schedule does not repeat: one task walks all blocks
+in order, with a state of one row per source, writes a row per block, and that table is joined to
+the rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import Workspace
 
-#: Documents of a block; slots of a period (at least SHARE for each source).
-BLOCK, CYCLE, SHARE = 64, 1_000, 4
+#: Documents of a block; the least slots of each source in a period, where one is asked for.
+BLOCK, SHARE = 64, 4
 #: Default weights are the sources' sizes to this power: above 0 and below 1 lifts small sources.
 POWER = 0.5
 #: The most sources, whose names and sizes the driver holds.
@@ -37,34 +43,66 @@ def whole_parts(weights: dict[str, float], cycle: int) -> dict[str, int]:
     return parts
 
 
-def pfair_schedule(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of one period: earliest deadline first, ties by the source's name."""
-    cycle = sum(parts.values())
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as whole numbers in exactly the given proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * unit) for s, x in exact.items()}
+    most = math.gcd(*parts.values())
+    return {s: p // most for s, p in parts.items()}
+
+
+def walk_schedule(parts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of all blocks in the order of slots: earliest deadline first, ties by the source's name.
+
+    A source's weight is its part of the sum of all parts. After its last block it takes no more slots.
+    """
+    total = sum(parts.values())
     names = sorted(parts, key=lambda s: (s is not None, s))
-    waiting: dict[int, list[int]] = {0: list(range(len(names)))}
+    waiting = [(0, k) for k, s in enumerate(names) if blocks[s]]
     ready: list[tuple[int, int]] = []
     done = [0] * len(names)
-    out = []
-    for slot in range(cycle):
-        for k in waiting.pop(slot, ()):
-            heapq.heappush(ready, (-(-(done[k] + 1) * cycle // parts[names[k]]), k))
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[names[k]]), k))
         deadline, k = heapq.heappop(ready)
         i, part = done[k], parts[names[k]]
-        out.append((names[k], i, i * cycle // part, deadline, slot))
+        yield names[k], i, i * total // part, deadline, slot
         done[k] += 1
-        if done[k] < part:
-            again = max(slot + 1, done[k] * cycle // part)
-            waiting.setdefault(again, []).append(k)
-    return out
+        slot += 1
+        if done[k] < blocks[names[k]]:
+            heapq.heappush(waiting, (done[k] * total // part, k))
+
+
+def pfair_schedule(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The schedule of one period, in which every source has as many blocks as parts."""
+    return list(walk_schedule(parts, parts))
+
+
+def _plan(parts: dict[str, int], blocks: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(batch.num_rows for batch in batches):
+            for rows in batched(walk_schedule(parts, blocks), 10_000):
+                source, *numbers = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), *[pa.array(x, pa.int64()) for x in numbers]], ["s3", "turn", "release", "deadline", "slot"])
+
+    return run
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, cycle: int = CYCLE, power: float = POWER) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, cycle: int | None = None, power: float = POWER) -> DataFrame:
     """The rows with their place in the mixture: all columns and mix_block, mix_release, mix_deadline, mix_slot.
 
     ``mix_slot`` orders the mixture; the rows of a slot are one block. While no source has run out,
-    any source's share of the first n slots is within one block of its weight; a source that has run
-    out leaves its slots empty, and no row is dropped or repeated. Without ``weights`` they are the
-    sources' sizes to the power ``power``; a source that ``weights`` lacks weighs as the least.
+    any source's share of the first n slots is within one block of its weight, however many slots
+    there are. When a source has run out, its share of the slots stays empty; every other block keeps
+    its release and deadline. No row is dropped or repeated.
+    Without ``weights`` they are the sources' sizes to the power ``power``; a source that ``weights``
+    lacks weighs as the least. Weights are kept exactly; only where ``cycle`` is given, they are first
+    rounded to whole parts of that many slots (SHARE for each source at least), and the schedule repeats.
 
     Blocks are cut in the order of the ids within a source (nulls first; repeated ids by all other
     columns' hash). A null source is a source. An empty table gives no rows. Input columns named
@@ -90,9 +128,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     if any(w <= 0 for w in given.values()):
         raise ValueError("weights must be above 0")
     given = {r.s: given.get(r.s, min(given.values())) for r in sizes}
-    cycle = max(cycle, SHARE * len(given))
-    parts = whole_parts(given, cycle)
-    plan = docs.sparkSession.createDataFrame([(*x, parts[x[0]]) for x in pfair_schedule(parts)], "s string, turn long, release long, deadline long, slot long, part long")
+    parts = whole_parts(given, max(cycle, SHARE * len(given))) if cycle else exact_parts(given)
+    blocks = {r.s: -(-r.n // block) for r in sizes}
+    plan = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_plan(parts, blocks), "s3 string, turn long, release long, deadline long, slot long")
+    plan = ws.save(plan, "plan")
 
     # rank within a source: rows before the range, and the place in it
     before = F.sum("n").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
@@ -101,11 +140,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     ranked = rows.withColumn("place", F.row_number().over(within) - 1)
     ranked = ranked.join(starts.select(F.col("s").alias("s1"), F.col("range").alias("r1"), "start"), F.col("s").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1")))
     ranked = ranked.withColumn("block", F.floor((F.col("start") + F.col("place")) / block))
-    share = {s: p for s, p in parts.items()}
-    facts = docs.sparkSession.createDataFrame([(s, p) for s, p in share.items()], "s2 string, parts long")
-    ranked = ranked.join(F.broadcast(facts), F.col("s").eqNullSafe(F.col("s2")))
-    ranked = ranked.withColumn("period", F.floor(F.col("block") / F.col("parts"))).withColumn("turn_of", F.col("block") % F.col("parts"))
-    plan = plan.select(F.col("s").alias("s3"), "turn", "release", "deadline", "slot")
-    ranked = ranked.join(F.broadcast(plan), F.col("s").eqNullSafe(F.col("s3")) & (F.col("turn_of") == F.col("turn")))
-    at = lambda c: (F.col("period") * cycle + F.col(c)).cast("long")
-    return ranked.select("row.*", F.col("block").cast("long").alias("mix_block"), at("release").alias("mix_release"), at("deadline").alias("mix_deadline"), at("slot").alias("mix_slot"))
+    ranked = ranked.join(plan, F.col("s").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("turn")))
+    at = lambda c: F.col(c).cast("long").alias(f"mix_{c}")
+    return ranked.select("row.*", at("block"), at("release"), at("deadline"), at("slot"))

@@ -478,6 +478,24 @@ def test_bounds_avoid_computations():
     assert computed < 0.5 * 5 * len(every)
 
 
+@pytest.mark.parametrize("weights", [{"big": 0.91} | {f"s{i}": 0.01 for i in range(9)}, {f"s{i:03d}": 1.0 + i % 7 for i in range(300)}])
+def test_mixing_keeps_exact_weights_over_many_periods(spark, weights):
+    total = sum(weights.values())
+    sizes = {s: int(24_000 * w / total) for s, w in weights.items()}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    done = dict.fromkeys(weights, 0)
+    rows = sorted(mixing.mix_sources(docs, weights, block=1).collect(), key=lambda r: r.mix_slot)
+    assert len(rows) == sum(sizes.values())
+    for n, r in enumerate(rows, 1):
+        assert r.mix_slot == n - 1 and r.mix_release <= r.mix_slot < r.mix_deadline
+        done[r.source] += 1
+        if n % 97 == 0 or n > 23_000:
+            assert all(abs(done[s] - n * w / total) < 1 for s, w in weights.items())
+        if any(done[s] == sizes[s] for s in sizes):
+            break
+    assert n > 20_000
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 
