@@ -7,13 +7,14 @@ looked at deeper: its sub-regions are used where they are small enough, and at t
 document is paired with its next NEXT neighbours. So candidates grow with the documents, not with
 the square of a region. All candidates end in one component or are checked on full sets.
 
-What a large region may hide after that is closed exactly: where it still holds several components,
-blocks of its documents are compared by all their MinHash values, and each document that may be
-similar to another component is checked on full sets against blocks of that component's members.
-Only links come out of either step.
+What a large region may hide after that is closed: where it still holds several components, blocks
+of its documents are compared by all their MinHash values, and each document that may be similar to
+another component is checked on full sets against blocks of that component's members. Only links
+come out of either step. The likeliest pairs go first (LIKELY equal values); the components they
+join leave fewer pairs of different components for the second round, which asks for CLOSE.
 
 At similarity 0.75 a pair misses all TREES base prefixes with probability (1 - 0.75**3)**32, about
-2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 4e-5.
+2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 3e-10.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ TREES, BASE_DEPTH, DEEPER = 32, 3, 4
 SIGNATURE = 128
 REGION, NEXT = 8, 2
 #: Equal values of two signatures below which a pair of a large region is not looked at.
-CLOSE = 76
+CLOSE = 64
+#: Equal values asked for in a first round, whose links leave the second one less to check.
+LIKELY = 76
 #: Documents of a block, in the steps that compare blocks.
 BLOCK = 256
 #: Best candidates of a document that are checked before the first components are formed.
@@ -226,7 +229,7 @@ def _in_blocks(ws: Workspace, rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int"))
 
 
-def _suspects(percent: int):
+def _suspects(percent: int, close: int = CLOSE):
     """Of two blocks of a region: (x, component) of documents that look similar to one of another component."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -240,7 +243,7 @@ def _suspects(percent: int):
         for i in left:
             other = right[(parts[right] != parts[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
             if len(other):
-                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= CLOSE]
+                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= close]
                 for j in other:
                     a, b = (i, j) if (size_of[parts[i]], parts[i]) < (size_of[parts[j]], parts[j]) else (j, i)
                     found.add((int(docs[a]), int(parts[b])))
@@ -270,8 +273,8 @@ def _first_links(percent: int):
     return run
 
 
-def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links that join components which meet in large regions, None if none meet."""
+def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: DataFrame, first: DataFrame, k: int, percent: int, close: int) -> DataFrame | None:
+    """Links that join components which meet in large regions with ``close`` equal values, None if none meet."""
     labels = first.select(F.col("node").alias("doc"), "component")
     rows = large.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = ws.save(rows, "regions")
@@ -282,7 +285,7 @@ def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: D
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("doc_blocks") - 1)))
     rows = rows.withColumn("low", F.least("doc_block", "with")).withColumn("high", F.greatest("doc_block", "with"))
     rows = rows.select("key", "low", "high", "doc_block", "doc", "component", "n", "sketch")
-    suspects = rows.groupBy("key", "low", "high").applyInArrow(_suspects(percent), "x long, component long").distinct()
+    suspects = rows.groupBy("key", "low", "high").applyInArrow(_suspects(percent, close), "x long, component long").distinct()
     suspects = ws.save(suspects, "suspects")
     if suspects.isEmpty():
         return None
@@ -365,9 +368,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws.drop(sets, pairs)
     labels = merged_components(ws, first, more)
     sketches = signed_rows.filter("n > 0").select(F.col("doc_id").alias("doc"), "sketch")
-    closing = _closing_links(ws, docs, large, sketches, labels, k, percent)
-    if closing is not None:
-        labels = merged_components(ws, labels, closing)
+    for close in (LIKELY, CLOSE):
+        closing = _closing_links(ws, docs, large, sketches, labels, k, percent, close)
+        if closing is not None:
+            labels = merged_components(ws, labels, closing)
 
     # a copy has its representative's component; a doc_id with several texts joins those of all of them
     pairs = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

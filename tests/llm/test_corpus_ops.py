@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -216,6 +217,15 @@ def test_components_of_larger_graphs_and_merges(spark, monkeypatch):
     assert {r.node: r.component for r in more.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 9: 3, 10: 10, 11: 10}
 
 
+@pytest.mark.parametrize("equal", [64, 70, 75, 100])
+def test_pairs_of_large_regions_are_checked_from_64_equal_values(equal):
+    sketch = np.zeros((2, near_dedup.SIGNATURE), np.uint8)
+    sketch[1, equal:] = 1
+    columns = {"low": [0, 0], "high": [0, 0], "doc_block": [0, 0], "doc": [1, 2], "component": [1, 2], "n": [100, 100]}
+    table = pa.table(columns | {"sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
+    assert near_dedup._suspects(75)(table).to_pylist() == [{"x": 1, "component": 2}]
+
+
 # --- op4 ------------------------------------------------------------------------------------
 
 
