@@ -291,7 +291,8 @@ def clean_pages(spark, d):
 def backfill_missing(spark, d):
     wanted = px.read_table(spark, d, "lineitem").filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("part_id"))
     have = px.read_table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("part_id"))
-    return catalog.insert_missing(have.limit(0), wanted.join(have, "part_id", "left_anti"), "part_id")
+    stored = catalog.insert_missing(have.withColumn("fresh", F.lit(False)), wanted.withColumn("fresh", F.lit(True)), "part_id")
+    return stored.filter("fresh").select("part_id")
 
 
 @query(f"""WITH {px.PAGES_SQL}, {px.RUNS_SQL}

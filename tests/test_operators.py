@@ -208,3 +208,13 @@ def test_workspace_lies_in_the_shared_folder(spark):
     assert table.count() == 3 and table.inputFiles()[0].split(":")[-1].replace("///", "/").startswith(shared_dir(spark).split(":")[-1].replace("///", "/"))
     ws.drop(table)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_backfill_gives_the_operator_the_stored_rows(spark, sf, monkeypatch):
+    from plumbline.plans import run_queries
+
+    met = []
+    insert = catalog.insert_missing
+    monkeypatch.setattr(catalog, "insert_missing", lambda stored, incoming, key: met.append((stored.count(), stored.join(incoming, key).count())) or insert(stored, incoming, key))
+    run_queries.backfill_missing(spark, sf).count()
+    assert len(met) == 1 and min(met[0]) > 0
