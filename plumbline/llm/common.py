@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +14,12 @@ from plumbline.session import Workspace
 
 #: Text bytes that one vectorised step handles; bounds a Python worker's memory.
 SLICE_BYTES = 1 << 18
-#: The most rows of an id set that are sent to every executor; a larger set is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: The most bytes of a counted table that are sent to every executor; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a broadcast row besides its values, and of a value by type (a string's are taken as 64).
+ROW_BYTES, VALUE_BYTES = 24, {"bigint": 8, "int": 8, "string": 64}
 
-#: Edges (both directions) of a graph that one task may hold; its rounds then need no exchange.
+#: Edges (both directions) of a graph that one task may hold.
 SMALL_GRAPH = 10_000
 
 U64 = np.uint64
@@ -26,9 +28,10 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RNG = np.random.default_rng(20240517)
-_BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE_STEP, _WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_LANES = _RNG.integers(1, 2**63, (2, 3), dtype=np.uint64) * U64(2) + U64(1)
 _SHINGLE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+#: Bytes up to which a word is hashed in the vectorised loop; longer ones are hashed one by one.
+SHORT_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,24 +43,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(4)
-def _powers(step: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd step and of its inverse modulo 2**64, 2**bits + 1 of each."""
-    back = pow(step, -1, 1 << 64)
-    both = []
-    for base in (step, back):
-        x = np.full((1 << bits) + 1, base, U64)
-        x[0] = 1
-        both.append(np.cumprod(x, dtype=U64))
-    return both[0], both[1]
+def _hash_words(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """Independent 64-bit hashes of the words' bytes: eight bytes a step through ``mix``, xxh3 for long words.
 
-
-def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(step, max(16, int(n).bit_length()))
-
-
-def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word (run of bytes outside 09-0D and 20) of a UTF-8 buffer."""
+    Each step is a bijection of the state that multiplies and shifts, so no pattern of letters
+    cancels out, as it can in a polynomial.
+    """
+    size = stop - start
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    out = [mix(size.astype(U64) * _LANES[k, 0] + _LANES[k, 1]) for k in range(lanes)]
+    live = np.flatnonzero(size <= SHORT_WORD)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[start[live] + at]
+        part = left < 8
+        chunk[part] &= (U64(1) << (U64(8) * left[part].astype(U64))) - U64(1)
+        for k in range(lanes):
+            out[k][live] = mix((out[k][live] ^ chunk) * _LANES[k, 2] + _LANES[k, 1])
+        live = live[left > 8]
+        at += 8
+    for i in np.flatnonzero(size > SHORT_WORD):
+        body = raw[start[i] : stop[i]].tobytes()
+        for k in range(lanes):
+            out[k][i] = xxhash.xxh3_64_intdigest(body, seed=int(_LANES[k, 1]))
+    return out
+
+
+def word_hashes(raw: np.ndarray, lower: bool = False, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes (one array a lane), start and end of every word (run of bytes outside 09-0D and 20) of a UTF-8 buffer."""
     out, at, n = [], 0, len(raw)
     while at < n:
         end = min(n, at + SLICE_BYTES)
@@ -75,27 +91,34 @@ def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nd
         word[1:-1] = ~_WHITE[part]
         step = np.diff(word)
         start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        power, back = powers(_BYTE_STEP, len(part))
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTE_CODE[part] * power[: len(part)], out=total[1:])
-        out.append((mix((total[stop] - total[start]) * back[start]), start + at, stop + at))
+        out.append((*_hash_words(part, start, stop, lanes), start + at, stop + at))
         at = end
     if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return [np.zeros(0, U64)] * lanes, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    *words, start, stop = (np.concatenate(x) for x in zip(*out, strict=True))
+    return words, start, stop
 
 
-def sequence_sums(words: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``span_hash`` takes the hash of any run of words."""
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * powers(_WORD_STEP, len(words))[0][: len(words)], out=total[1:])
-    return total
+def combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of a pair of hashes, a bijection of either for a fixed other one."""
+    return mix(mix(x + U64(0x9E3779B97F4A7C15)) ^ (y * U64(0xD6E8FEB86659FD93)))
 
 
-def span_hash(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hash of words ``start`` to ``stop`` (not included); equal runs have equal hashes."""
-    back = powers(_WORD_STEP, len(total))[1]
-    return mix((total[stop] - total[start]) * back[start] + (stop - start).astype(U64))
+def run_hashes(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size the hashes of all runs of so many words, built by doubling: equal runs have equal hashes."""
+    done: list[np.ndarray | None] = [None] * len(sizes)
+    taken = [0] * len(sizes)
+    power, length = words, 1
+    while length <= max(sizes):
+        for i, size in enumerate(sizes):
+            if size & length:
+                n = max(0, len(words) - taken[i] - length + 1)
+                done[i] = power[:n] if done[i] is None else combined(done[i][:n], power[taken[i] :][:n])
+                taken[i] += length
+        n = max(0, len(words) - 2 * length + 1)
+        power = combined(power[:n], power[length:][:n])
+        length *= 2
+    return done
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -129,8 +152,8 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at = end
 
 
-def row_words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, starts and ends of a slice, and for each row its first word's index (with the end).
+def row_words(raw: np.ndarray, offsets: np.ndarray, lower: bool, lanes: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes (an array a lane), starts and ends of a slice, and for each row its first word's index (with the end).
 
     Rows lie one after another without a separator, so rows are parted by hand where needed.
     """
@@ -138,18 +161,24 @@ def row_words(raw: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.nda
     cuts[:] = 0x20
     shift = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     cuts[np.arange(len(raw)) + shift] = raw
-    words, start, stop = word_hashes(cuts, lower)
+    words, start, stop = word_hashes(cuts, lower, lanes)
     bounds = np.searchsorted(start, offsets + np.arange(len(offsets)))
     return words, start, stop, bounds
 
 
+def fits_broadcast(df: DataFrame, n: int) -> bool:
+    """Whether ``n`` rows of ``df`` (numbers and short strings) stay within BROADCAST_BYTES."""
+    width = ROW_BYTES + sum(VALUE_BYTES.get(f.dataType.simpleString(), 64) for f in df.schema.fields)
+    return n * width <= BROADCAST_BYTES
+
+
 def ids_only(df: DataFrame, ids: DataFrame, key: str | list[str], n: int, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is (or, with keep=False, is not) in ``ids``, a table of ``n`` distinct keys.
 
-    A set of up to BROADCAST_ROWS goes to every executor, so ``df`` is not shuffled; a larger one
+    A set of up to BROADCAST_BYTES goes to every executor, so ``df`` is not shuffled; a larger one
     is joined by shuffle.
     """
-    small = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+    small = F.broadcast(ids) if fits_broadcast(ids, n) else ids
     return df.join(small, key, "left_semi" if keep else "left_anti")
 
 
@@ -158,35 +187,63 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _whole_graph(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, to) with the smallest node of u's component, for a graph of at most SMALL_GRAPH edges in one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            low, high = sorted((root(u), root(v)))
+            parent[high] = low
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["u", "to"])
+
+
 def connected_components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge table; component is its smallest node.
 
-    In a round every node hooks to its smallest neighbour if that is smaller, and on to that one's;
-    nodes that meet become one, and the edges between what is left make the next round, which has a
-    fraction of them. Tables of a round are written to the shared folder, none goes to the driver.
+    Random contraction: in a round every node draws a priority by hash, hooks to the neighbour (or
+    itself) of least priority and on to that one's; nodes that meet become one, and the edges between
+    what is left make the next round. As priorities are drawn anew, a constant part of the nodes goes
+    in each round, whatever the order of the ids: rounds grow with the logarithm of the graph, also on
+    a path. What has at most SMALL_GRAPH edges left is finished in one task. Tables of a round are
+    written to the shared folder, none goes to the driver.
     """
-    pair = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = ws.save(pair.union(pair.select("v", "u")).distinct(), "edges")
-    nodes = None
-    while True:
-        small = both.count() <= SMALL_GRAPH
-        one = (lambda t: t.coalesce(1)) if small else (lambda t: t)
-        read = (lambda t: F.broadcast(t.coalesce(1))) if small else (lambda t: t)
-        hook = one(both).groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to"))
-        hook = ws.save(hook, "hooks")
-        onward = read(hook.select(F.col("u").alias("to"), F.col("to").alias("next")))
-        hook = ws.save(one(hook).join(onward, "to").select("u", F.col("next").alias("to")), "hooks")
-        if nodes is None:
-            nodes = ws.save(hook.select(F.col("u").alias("node"), F.col("to").alias("component")), "nodes")
+    pair = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    pair = ws.save(pair.union(pair.select("v", "u")).distinct(), "edges")
+    nodes = ws.save(pair.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "nodes")
+    both = pair.filter("u <> v")
+    left = both.count()
+    rounds = 0
+    while left:
+        if left <= SMALL_GRAPH:
+            hook = ws.save(both.coalesce(1).mapInArrow(_whole_graph, "u long, to long"), "hooks")
         else:
-            moved = nodes.join(read(hook), nodes["component"] == hook["u"], "left")
-            nodes = ws.save(moved.select("node", F.coalesce("to", "component").alias("component")), "nodes")
-        at = lambda c: read(hook.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to")))
-        left = one(both).join(at("u"), "u").join(at("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"))
-        before, both = both, ws.save(left.filter("u <> v").distinct(), "edges")
-        ws.drop(before, hook)
-        if both.isEmpty():
-            return nodes
+            draw = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("p"), F.col(c).alias("x"))  # noqa: B023, E731
+            first = both.groupBy("u").agg(F.min(draw("v")).alias("v")).select("u", F.least("v", draw("u"))["x"].alias("to"))
+            first = ws.save(first, "first")
+            onward = first.select(F.col("u").alias("to"), F.col("to").alias("next"))
+            hook = ws.save(first.join(onward, "to").select("u", F.col("next").alias("to")), "hooks")
+            ws.drop(first)
+        moved = nodes.join(hook, nodes["label"] == hook["u"], "left")
+        before, nodes = nodes, ws.save(moved.select("node", F.coalesce("to", "label").alias("label")), "nodes")
+        ws.drop(before)
+        rounds += 1
+        if left <= SMALL_GRAPH:
+            break
+        at = lambda c: hook.select(F.col("u").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+        rest = both.join(at("u"), "u").join(at("v"), "v").select(F.col("u_to").alias("u"), F.col("v_to").alias("v"))
+        both = ws.save(rest.filter("u <> v").distinct(), "edges")
+        ws.drop(hook)
+        left = both.count()
+    least = nodes.groupBy("label").agg(F.min("node").alias("component"))
+    return ws.save(nodes.join(ws.save(least, "least"), "label").select("node", "component"), "components")
 
 
 def merged_components(ws: Workspace, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -197,7 +254,7 @@ def merged_components(ws: Workspace, labels: DataFrame, links: DataFrame) -> Dat
     ends = ws.save(ends, "joined")
     if ends.isEmpty():
         return labels
-    over = ws.save(connected_components(ws, ends), "over")
+    over = connected_components(ws, ends)
     top = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
     moved = labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = over.join(labels.select("node"), "node", "left_anti").select("node", "component")

@@ -9,6 +9,7 @@ than letters part words.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,16 @@ from pyspark.sql import functions as F
 from plumbline.session import bounded_batches
 
 MAX_N, PROFILE = 3, 300
-#: Languages times profile rows that may go to every executor.
+#: Languages whose profiles go to every executor at a time; more are compared in several passes.
 MOST_LANGUAGES = 2_000
 _BITS = 21  # a code point; three fit a long
 _BLANK = 1
 
 
 def _letter_table() -> np.ndarray:
-    """Lower-case code point of every letter below 0x30000, 0 for what is no letter; higher ones stay as they are."""
-    table = np.zeros(0x30000, np.int32)
-    for c in range(0x30000):
+    """Lower-case code point of every letter of any plane, 0 for what is no letter."""
+    table = np.zeros(sys.maxunicode + 1, np.int32)
+    for c in range(len(table)):
         x = chr(c)
         if x.isalpha():
             low = x.lower()
@@ -46,8 +47,7 @@ def _codes(text: str) -> np.ndarray:
         _TABLE = _letter_table()
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out = np.zeros(len(raw) + 2, np.int64)
-    low = raw < len(_TABLE)
-    out[1:-1] = np.where(low, _TABLE[np.where(low, raw, 0)], 0)
+    out[1:-1] = _TABLE[raw]
     return out
 
 
@@ -96,7 +96,11 @@ def _count(most: int):
 
 
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE, most: int = MAX_N) -> DataFrame:
-    """(lang, gram, rank): the most frequent n-grams of every language over all given texts, ties to the smaller code."""
+    """(lang, gram, rank): the most frequent n-grams of every language over all given texts, ties to the smaller code.
+
+    Rows with a null language or text teach nothing; repeated rows count each time; texts of any length
+    count whole. Other columns are ignored. An empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     counts = docs.mapInArrow(_count(most), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -104,33 +108,44 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     return counts.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= size).select("lang", "gram", "rank")
 
 
+def nearest(top: np.ndarray, starts: np.ndarray, grams: np.ndarray, langs: np.ndarray, ranks: np.ndarray, n_langs: int, size: int) -> np.ndarray:
+    """Out-of-place distance of a document's ranked n-grams to every language.
+
+    ``grams`` are the distinct n-grams of all profiles, sorted; those of ``grams[i]`` are the
+    (language, rank) pairs from ``starts[i]`` on.
+    """
+    out = np.full(n_langs, size * len(top), np.int64)
+    at = np.minimum(np.searchsorted(grams, top), max(len(grams) - 1, 0))
+    hit = np.flatnonzero(grams[at] == top) if len(grams) else np.zeros(0, np.int64)
+    first, count = starts[at[hit]], starts[at[hit] + 1] - starts[at[hit]]
+    pairs = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    own = np.repeat(hit + 1, count)
+    np.subtract.at(out, langs[pairs], np.maximum(size - np.abs(ranks[pairs] - own), 0))
+    return out
+
+
 def _predict(shared, size: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, grams, ranks = shared.value
+        names, *profiles = shared.value
         for batch in batches:
             best, scores = [], []
-            for text in _texts(batch.column("text")):
+            for text, lang, score in zip(_texts(batch.column("text")), batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist(), strict=True):
                 gram, count = _grams(text, most)
-                if not len(gram) or not len(langs):
-                    best.append("und")
-                    scores.append(0.0)
-                    continue
-                if len(gram) > size:
-                    least = np.partition(count, len(count) - size)[len(count) - size]
-                    near = np.flatnonzero(count >= least)
-                    gram, count = gram[near], count[near]
-                top = np.lexsort((gram, -count))[:size]
-                at = np.searchsorted(grams, gram[top])
-                hit = (at < len(grams)) & (grams[np.minimum(at, len(grams) - 1)] == gram[top])
-                own = np.arange(1, len(top) + 1)
-                out = np.full((len(langs), len(top)), size, np.int64)
-                theirs = ranks[:, at[hit]]
-                out[:, hit] = np.where(theirs > 0, np.minimum(np.abs(theirs - own[hit]), size), size)
-                distance = out.sum(axis=1)
-                k = int(distance.argmin())
-                best.append(langs[k])
-                scores.append(1.0 - float(distance[k]) / (size * len(top)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                if len(gram):
+                    if len(gram) > size:
+                        least = np.partition(count, len(count) - size)[len(count) - size]
+                        near = np.flatnonzero(count >= least)
+                        gram, count = gram[near], count[near]
+                    top = gram[np.lexsort((gram, -count))[:size]]
+                    distance = nearest(top, *profiles, len(names), size)
+                    k = int(distance.argmin())
+                    found = 1.0 - float(distance[k]) / (size * len(top))
+                    if found > score:
+                        lang, score = names[k], found
+                best.append(lang)
+                scores.append(score)
+            columns = [pa.array(best, pa.string()) if c == "lang_pred" else pa.array(scores, pa.float64()) if c == "score" else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return run
 
@@ -140,22 +155,27 @@ def predict_language(docs: DataFrame, profiles: DataFrame, held_out: Column | No
 
     ``score`` is 1 - distance / greatest distance. Null texts, texts without a letter, and any text
     when no language was learned get ``und`` and 0. Equal distances go to the language that sorts
-    first. Repeated rows and null ids are returned as they come; other columns are ignored. The
-    profiles, MOST_LANGUAGES times ``size`` rows at most, go to every executor; there is no shuffle.
+    first. Repeated rows and null ids are returned as they come; other columns are ignored; texts of
+    any length count whole. An empty table gives no rows.
+
+    The profiles of MOST_LANGUAGES at a time go to every executor, and the texts pass a comparison
+    with each such group; there is no shuffle. The driver holds the names of all languages.
     """
-    rows = profiles.limit(MOST_LANGUAGES * size + 1).collect()
-    if len(rows) > MOST_LANGUAGES * size:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted({r.lang for r in rows})
-    grams = np.unique(np.array([r.gram for r in rows], np.int64))
-    ranks = np.zeros((len(langs), len(grams)), np.int32)
-    place = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        ranks[place[r.lang], np.searchsorted(grams, r.gram)] = r["rank"]
-    shared = docs.sparkSession.sparkContext.broadcast((langs, grams, ranks))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    every = sorted(r.lang for r in profiles.select("lang").distinct().collect())
     held = F.lit(False) if held_out is None else held_out
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    return docs.mapInArrow(_predict(shared, size, most), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("lang_pred"), F.lit(-1.0).alias("score"))
+    for a in range(0, len(every), MOST_LANGUAGES):
+        names = every[a : a + MOST_LANGUAGES]
+        some = profiles.filter(F.col("lang").between(names[0], names[-1])) if len(every) > MOST_LANGUAGES else profiles
+        place = {x: i for i, x in enumerate(names)}
+        table = np.array([(r.gram, place[r.lang], r["rank"]) for r in some.collect()], np.int64).reshape(-1, 3)
+        table = table[np.argsort(table[:, 0], kind="stable")]
+        grams, starts = np.unique(table[:, 0], return_index=True)
+        shared = spark.sparkContext.broadcast((names, np.append(starts, len(table)), grams, table[:, 1].copy(), table[:, 2].copy()))
+        rows = rows.mapInArrow(_predict(shared, size, most), rows.schema)
+    return rows.select("doc_id", "held_out", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.greatest("score", F.lit(0.0)).alias("score"))
 
 
 def fold(key: str, parts: int) -> Column:

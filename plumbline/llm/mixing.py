@@ -3,9 +3,12 @@
 Every source's documents form blocks. With target weight w, block i (from 0) of a source is
 released at slot floor(i / w) and due at slot ceil((i + 1) / w). Earliest deadline first over the
 released blocks gives each slot one block, and no source is ever a whole block ahead of or behind
-its weight. Weights are exact fractions, so the schedule does not repeat: one task walks all blocks
-in order, with a state of one row per source, writes a row per block, and that table is joined to
-the rows.
+its weight.
+
+Weights are kept as exact fractions. After as many slots as their common denominator the schedule
+repeats, so one period is scheduled, and each block takes its slot from the period's table by its
+number modulo the source's part. Where the period would be longer than MOST_SLOTS, all blocks are
+walked in order instead, by one task with a state of one row per source.
 """
 
 from __future__ import annotations
@@ -19,127 +22,132 @@ from itertools import batched
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.session import Workspace
 
-#: Documents of a block; the least slots of each source in a period, where one is asked for.
-BLOCK, SHARE = 64, 4
-#: Default weights are the sources' sizes to this power: above 0 and below 1 lifts small sources.
-POWER = 0.5
-#: The most sources, whose names and sizes the driver holds.
-MOST_SOURCES = 100_000
-#: Ids of a range within which rows are ranked by one task.
-RANGE = 4_096
+#: Documents of a block.
+BLOCK = 64
+#: Default weights are the sources' sizes to this power (above 0 and below 1 lifts small sources), in parts of PARTS.
+POWER, PARTS = 0.5, 65_536
+#: The longest period whose schedule is made once and repeated.
+MOST_SLOTS = 4_000_000
+#: Given weights that are the floats nearest to fractions with denominators up to this are taken as those.
+DENOMINATOR = 100_000
+#: The most sources, of which the driver and the scheduling task hold a name, a weight and a size.
+MOST_SOURCES = 1_000_000
+_NEW = ["mix_block", "mix_release", "mix_deadline", "mix_slot"]
 
 
-def whole_parts(weights: dict[str, float], cycle: int) -> dict[str, int]:
-    """Weights as whole parts of a cycle, at least 1 each, by largest remainder (ties by name)."""
-    names = sorted(weights, key=lambda s: (s is not None, s))
-    total = sum(weights.values())
-    exact = {s: weights[s] / total * (cycle - len(names)) for s in names}
-    parts = {s: int(exact[s]) + 1 for s in names}
-    for s in sorted(names, key=lambda s: -(exact[s] - int(exact[s])))[: cycle - sum(parts.values())]:
-        parts[s] += 1
-    return parts
+def default_parts(sizes: dict[str, int], power: float = POWER) -> dict[str, int]:
+    """The default target weights: sizes to a power as whole parts, about PARTS in all and 1 at least for each."""
+    lifted = {s: float(n) ** power for s, n in sizes.items()}
+    unit = max(PARTS, 4 * len(sizes)) / sum(lifted.values())
+    return {s: max(1, round(x * unit)) for s, x in lifted.items()}
 
 
 def exact_parts(weights: dict[str, float]) -> dict[str, int]:
-    """Weights as whole numbers in exactly the given proportions."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
-    unit = math.lcm(*(x.denominator for x in exact.values()))
-    parts = {s: int(x * unit) for s, x in exact.items()}
+    """Weights as whole numbers in exactly the given proportions (0.91 is 91 / 100)."""
+
+    def exact(w: float) -> Fraction:
+        near = Fraction(w).limit_denominator(DENOMINATOR)
+        return near if near and float(near) == float(w) else Fraction(w)
+
+    found = {s: exact(w) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in found.values()))
+    parts = {s: int(x * unit) for s, x in found.items()}
     most = math.gcd(*parts.values())
     return {s: p // most for s, p in parts.items()}
 
 
-def walk_schedule(parts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of all blocks in the order of slots: earliest deadline first, ties by the source's name.
+def schedule(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source's number, block, release, deadline, slot) of all blocks in the order of slots: earliest deadline first, ties by number.
 
     A source's weight is its part of the sum of all parts. After its last block it takes no more slots.
     """
-    total = sum(parts.values())
-    names = sorted(parts, key=lambda s: (s is not None, s))
-    waiting = [(0, k) for k, s in enumerate(names) if blocks[s]]
+    total = sum(parts)
+    done = [0] * len(parts)
+    waiting = [(0, k) for k, n in enumerate(blocks) if n]
     ready: list[tuple[int, int]] = []
-    done = [0] * len(names)
     slot = 0
     while waiting or ready:
         if not ready:
             slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[names[k]]), k))
+            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
         deadline, k = heapq.heappop(ready)
-        i, part = done[k], parts[names[k]]
-        yield names[k], i, i * total // part, deadline, slot
+        yield k, done[k], done[k] * total // parts[k], deadline, slot
         done[k] += 1
         slot += 1
-        if done[k] < blocks[names[k]]:
-            heapq.heappush(waiting, (done[k] * total // part, k))
+        if done[k] < blocks[k]:
+            heapq.heappush(waiting, (done[k] * total // parts[k], k))
 
 
-def pfair_schedule(parts: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """The schedule of one period, in which every source has as many blocks as parts."""
-    return list(walk_schedule(parts, parts))
-
-
-def _plan(parts: dict[str, int], blocks: dict[str, int]):
+def _plan(names: list, parts: list[int], blocks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(batch.num_rows for batch in batches):
-            for rows in batched(walk_schedule(parts, blocks), 10_000):
+            for rows in batched(schedule(parts, blocks), 10_000):
                 source, *numbers = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), *[pa.array(x, pa.int64()) for x in numbers]], ["s3", "turn", "release", "deadline", "slot"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in source], pa.string()), *[pa.array(x, pa.int64()) for x in numbers]], ["s3", "turn", "release", "deadline", "slot"])
 
     return run
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, cycle: int | None = None, power: float = POWER) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, power: float = POWER) -> DataFrame:
     """The rows with their place in the mixture: all columns and mix_block, mix_release, mix_deadline, mix_slot.
 
     ``mix_slot`` orders the mixture; the rows of a slot are one block. While no source has run out,
     any source's share of the first n slots is within one block of its weight, however many slots
     there are. When a source has run out, its share of the slots stays empty; every other block keeps
     its release and deadline. No row is dropped or repeated.
-    Without ``weights`` they are the sources' sizes to the power ``power``; a source that ``weights``
-    lacks weighs as the least. Weights are kept exactly; only where ``cycle`` is given, they are first
-    rounded to whole parts of that many slots (SHARE for each source at least), and the schedule repeats.
+    Without ``weights`` they are the sources' sizes to the power ``power``, as whole parts
+    (``default_parts``); a source that ``weights`` lacks weighs as the least. Weights are kept exactly.
 
     Blocks are cut in the order of the ids within a source (nulls first; repeated ids by all other
-    columns' hash). A null source is a source. An empty table gives no rows. Input columns named
-    like the new ones are replaced.
+    columns' hash). Texts of any length pass unread. A null source is a source. An empty table gives
+    no rows. Input columns named like the new ones are replaced.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
-    docs = docs.drop("mix_block", "mix_release", "mix_deadline", "mix_slot")
-    names = docs.columns
+    spark = docs.sparkSession
+    ws = Workspace(spark, "mixing")
+    docs = docs.drop(*_NEW)
     # work names cannot clash: input columns travel in a struct
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source_col).cast("string").alias("s"), F.col(id_col).cast("long").alias("k"))
-    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("k") / RANGE), F.lit(-(2**50))))
-    counts = ws.save(rows.groupBy("s", "range").agg(F.count("*").alias("n")), "counts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{source_col}`").cast("string").alias("s"), F.col(f"`{id_col}`").cast("long").alias("k"))
+    rows = rows.withColumns({"h": F.xxhash64("row"), "m": F.monotonically_increasing_id()})
+    order = [F.asc_nulls_first("s"), F.asc_nulls_first("k"), F.asc("h"), F.asc("m")]
+    # ranges of rows, not of ids: a hot source or id is many ranges
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranked = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ranked = ws.save(ranked.select("row", "s", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "ranked")
+    counts = ws.save(ranked.groupBy("s", "range").agg(F.count("*").alias("n"), F.min("at").alias("first")), "counts")
     sizes = counts.groupBy("s").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    shape = docs.schema.fields
     if not sizes:
-        from pyspark.sql import types as T
-
-        extra = [T.StructField(c, T.LongType()) for c in ("mix_block", "mix_release", "mix_deadline", "mix_slot")]
-        return docs.sparkSession.createDataFrame([], T.StructType([*shape, *extra]))
-    given = weights or {r.s: float(r.n) ** power for r in sizes}
-    if any(w <= 0 for w in given.values()):
+        return spark.createDataFrame([], T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in _NEW]]))
+    sizes = {r.s: r.n for r in sizes}
+    if weights and any(w <= 0 for w in weights.values()):
         raise ValueError("weights must be above 0")
-    given = {r.s: given.get(r.s, min(given.values())) for r in sizes}
-    parts = whole_parts(given, max(cycle, SHARE * len(given))) if cycle else exact_parts(given)
-    blocks = {r.s: -(-r.n // block) for r in sizes}
-    plan = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(_plan(parts, blocks), "s3 string, turn long, release long, deadline long, slot long")
+    exact = exact_parts({s: weights.get(s, min(weights.values())) for s in sizes}) if weights else default_parts(sizes, power)
+    names = sorted(sizes, key=lambda s: (s is not None, s))
+    parts, blocks = [exact[s] for s in names], [-(-sizes[s] // block) for s in names]
+    total = sum(parts)
+    if max(-(-n * total // p) for n, p in zip(blocks, parts, strict=True)) >= 2**62:
+        raise ValueError("weights are too far from the sizes of the sources for slots of 64 bits")
+    again = total <= MOST_SLOTS
+    plan = spark.range(0, 1, 1, 1).mapInArrow(_plan(names, parts, parts if again else blocks), "s3 string, turn long, release long, deadline long, slot long")
     plan = ws.save(plan, "plan")
 
-    # rank within a source: rows before the range, and the place in it
+    # a row's number in its source: rows of the source in the ranges before, and its place in the range
     before = F.sum("n").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = ws.save(counts.select("s", "range", F.coalesce(before, F.lit(0)).alias("start")), "starts")
-    within = Window.partitionBy("s", "range").orderBy(F.asc_nulls_first("k"), F.xxhash64("row"))
-    ranked = rows.withColumn("place", F.row_number().over(within) - 1)
-    ranked = ranked.join(starts.select(F.col("s").alias("s1"), F.col("range").alias("r1"), "start"), F.col("s").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1")))
-    ranked = ranked.withColumn("block", F.floor((F.col("start") + F.col("place")) / block))
-    ranked = ranked.join(plan, F.col("s").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("turn")))
-    at = lambda c: F.col(c).cast("long").alias(f"mix_{c}")
-    return ranked.select("row.*", at("block"), at("release"), at("deadline"), at("slot"))
+    starts = counts.select(F.col("s").alias("s1"), F.col("range").alias("r1"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    ranked = ranked.join(ws.save(starts, "starts"), F.col("s").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1")))
+    ranked = ranked.withColumn("block", F.floor((F.col("shift") + F.col("at")) / block))
+    if again:
+        ranked = ranked.join(F.broadcast(spark.createDataFrame(list(zip(names, parts, strict=True)), "s2 string, part long")), F.col("s").eqNullSafe(F.col("s2")))
+        ranked = ranked.withColumn("round", F.floor(F.col("block") / F.col("part")) * total).withColumn("own", F.col("block") % F.col("part"))
+    else:
+        ranked = ranked.withColumn("round", F.lit(0)).withColumn("own", F.col("block"))
+    ranked = ranked.join(plan, F.col("s").eqNullSafe(F.col("s3")) & (F.col("own") == F.col("turn")))
+    at = lambda c: (F.col(c) + F.col("round")).cast("long").alias(f"mix_{c}")
+    return ranked.select("row.*", F.col("block").cast("long").alias("mix_block"), at("release"), at("deadline"), at("slot"))

@@ -7,18 +7,19 @@ looked at deeper: its sub-regions are used where they are small enough, and at t
 document is paired with its next NEXT neighbours. So candidates grow with the documents, not with
 the square of a region. All candidates end in one component or are checked on full sets.
 
-What a large region may hide after that is closed: where it still holds several components, blocks
-of its documents are compared by all their MinHash values, and each document that may be similar to
-another component is checked on full sets against blocks of that component's members. Only links
-come out of either step. The likeliest pairs go first (LIKELY equal values); the components they
-join leave fewer pairs of different components for the second round, which asks for CLOSE.
+What a large region may hide after that is closed: where it still holds several components, the
+documents outside its largest one (outsiders) are compared with all its documents by WIDE MinHash
+values, block by block, and each outsider that may be similar to another component is checked on
+full sets against that component's members. Only links come out of either step.
 
 At similarity 0.75 a pair misses all TREES base prefixes with probability (1 - 0.75**3)**32, about
-2e-8, and has fewer than CLOSE of SIGNATURE equal values with about 3e-10.
+2e-8; it has fewer than CLOSE[1] of WIDE equal values with 3e-10, and fewer than CLOSE[0] of the
+first SIGNATURE ones, which are looked at before, with as much.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,24 +34,20 @@ from plumbline.llm.common import (
     merged_components,
     mix,
     row_words,
-    sequence_sums,
     shingle_hashes,
     signed,
-    span_hash,
     text_slices,
 )
 from plumbline.session import Workspace
 
 SHINGLE, PERCENT = 5, 75
 TREES, BASE_DEPTH, DEEPER = 32, 3, 4
-SIGNATURE = 128
+SIGNATURE, WIDE = 128, 512
 REGION, NEXT = 8, 2
-#: Equal values of two signatures below which a pair of a large region is not looked at.
-CLOSE = 64
-#: Equal values asked for in a first round, whose links leave the second one less to check.
-LIKELY = 76
+#: Equal values among the first SIGNATURE and among all WIDE below which a pair of a large region is not checked.
+CLOSE = 64, 321
 #: Documents of a block, in the steps that compare blocks.
-BLOCK = 256
+BLOCK = 512
 #: Best candidates of a document that are checked before the first components are formed.
 FIRST_LINKS = 3
 
@@ -58,56 +55,78 @@ _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(1, 2**63, SIGNATURE, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = np.arange(TREES * BASE_DEPTH).reshape(TREES, BASE_DEPTH)
 _DEEP = np.stack([_RNG.permutation(SIGNATURE)[:DEEPER] for _ in range(TREES)])
+_WIDE_FACTORS = _RNG.integers(1, 2**63, WIDE, dtype=np.uint64) * U64(2) + U64(1)
 _KEY = _RNG.integers(1, 2**63, BASE_DEPTH, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _distinct_shingles(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray], list[tuple[int, int]]]]:
-    """First row of each slice, with every row's sorted distinct shingle hashes and sequence digest."""
-    for low, high, raw, offsets in text_slices(batch.column("text")):
-        words, _, _, bounds = row_words(raw, offsets, lower=True)
-        sums, other = sequence_sums(words), sequence_sums(mix(words))
-        ends = np.array([bounds[:-1], bounds[1:]])
-        digests = np.stack([span_hash(sums, *ends), span_hash(other, *ends)], axis=1)
-        yield low, [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], digests
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray], list[bytes]]]:
+    """First row of each slice, with every row's sorted distinct shingle hashes and folded text (words joined by a blank)."""
+    for low, _, raw, offsets in text_slices(batch.column("text")):
+        (words,), _, _, bounds = row_words(raw, offsets, lower=True)
+        sets = [np.unique(shingle_hashes(words[a:b], k)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield low, sets, [b" ".join(raw[a:b].tobytes().lower().split()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose set is not empty, their elements one after another, and where each begins."""
+    sizes = np.array([len(s) for s in sets])
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return some, np.zeros(0, U64), some
+    return some, np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+
+
+def _least(flat: np.ndarray, starts: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """MinHash values of all sets, a column per factor."""
+    out = np.empty((len(starts), len(factors)), U64)
+    for j, factor in enumerate(factors):
+        out[:, j] = np.minimum.reduceat(flat * factor, starts)
+    return out
 
 
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, sets, digests in _distinct_shingles(batch, k):
-                sizes = np.array([len(s) for s in sets])
-                some = np.flatnonzero(sizes)
-                base = np.zeros((len(sets), TREES), U64)
-                deep = np.zeros((len(sets), TREES), U64)
-                sketch = np.zeros((len(sets), SIGNATURE), np.uint8)
+            for low, sets, folded in _sets(batch, k):
+                n = len(sets)
+                some, flat, starts = _flat(sets)
+                base, deep = np.zeros((n, TREES), U64), np.zeros((n, TREES), U64)
                 if len(some):
-                    flat = np.concatenate([sets[i] for i in some])
-                    starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-                    sig = np.empty((len(some), SIGNATURE), U64)
-                    for j in range(SIGNATURE):
-                        sig[:, j] = np.minimum.reduceat(flat * _FACTORS[j], starts)
+                    sig = _least(flat, starts, _FACTORS)
                     tree = np.arange(TREES, dtype=U64)
                     base[some] = mix((sig[:, _BASE] * _KEY).sum(axis=2, dtype=U64) + tree * U64(0x632BE59BD9B4E019))
-                    sketch[some] = mix(sig) >> U64(56)
                     for d in range(DEEPER):
                         deep[some] = (deep[some] << U64(16)) | (mix(sig[:, _DEEP[:, d]]) >> U64(48))
-                n, lists = len(sets), lambda x: pa.ListArray.from_arrays(np.arange(0, (len(x) + 1) * TREES, TREES, dtype=np.int32), signed(np.ascontiguousarray(x).ravel()))
+                digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in folded), np.int64).reshape(-1, 2)
+                lists = lambda x: pa.ListArray.from_arrays(np.arange(0, (len(x) + 1) * TREES, TREES, dtype=np.int32), signed(np.ascontiguousarray(x).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(low, n),
-                        pa.array(sizes.astype(np.int64)),
-                        pa.array(signed(digests[:, 0].copy())),
-                        pa.array(signed(digests[:, 1].copy())),
+                        pa.array(np.array([len(x) for x in sets], np.int64)),
+                        pa.array(digests[:, 0].copy()),
+                        pa.array(digests[:, 1].copy()),
                         lists(base),
                         lists(deep ^ U64(1 << 63)),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "base", "deep", "sketch"],
+                    ["doc_id", "n", "d1", "d2", "base", "deep"],
                 )
 
     return run
 
 
+def _sketches(k: int):
+    """WIDE MinHash values of whole texts, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, sets, _ in _sets(batch, k):
+                some, flat, starts = _flat(sets)
+                rows = (mix(_least(flat, starts, _WIDE_FACTORS)) >> U64(56)).astype(np.uint8) if len(some) else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, len(sets)).take(pa.array(some)), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc", "sketch"])
+
+    return run
+
+
 def _pairs_of(keys: np.ndarray, order: np.ndarray, docs: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among rows sorted by (key, order): left, right row and the length of the common prefix."""
     n = len(keys)
@@ -229,24 +248,25 @@ def _in_blocks(ws: Workspace, rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int"))
 
 
-def _suspects(percent: int, close: int = CLOSE):
-    """Of two blocks of a region: (x, component) of documents that look similar to one of another component."""
-
-    def run(table: pa.Table) -> pa.Table:
-        low, high, block = (table.column(c).to_numpy() for c in ("low", "high", "doc_block"))
-        docs, parts, sizes = (table.column(c).to_numpy() for c in ("doc", "component", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        # the side of a pair of components that has fewer documents here is the one to be checked
-        size_of = dict(zip(*np.unique(parts, return_counts=True), strict=True))
-        found = set()
-        for i in left:
-            other = right[(parts[right] != parts[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))]
-            if len(other):
-                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= close]
-                for j in other:
-                    a, b = (i, j) if (size_of[parts[i]], parts[i]) < (size_of[parts[j]], parts[j]) else (j, i)
-                    found.add((int(docs[a]), int(parts[b])))
+def _alike(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the sketches may belong to texts similar to that of ``x``."""
+    at = np.flatnonzero((others[:, :SIGNATURE] == x[:SIGNATURE]).sum(axis=1) >= CLOSE[0])
+    return at[(others[at] == x).sum(axis=1) >= CLOSE[1]]
+
+
+def _suspects(percent: int):
+    """Of a block of a region's outsiders and a block of its documents: (x, component) of outsiders that look similar to one of another component."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: set[tuple[int, int]] = set()
+        if left.num_rows and right.num_rows:
+            docs, parts, sizes = (left.column(f"l_{c}").to_numpy() for c in ("doc", "component", "n"))
+            r_docs, r_parts, r_sizes, r_out = (right.column(f"r_{c}").to_numpy() for c in ("doc", "component", "n", "outside"))
+            sketch, r_sketch = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for t, c in ((left, "l_sketch"), (right, "r_sketch")))
+            for i in range(len(docs)):
+                fit = (r_parts != parts[i]) & (100 * np.minimum(r_sizes, sizes[i]) >= percent * np.maximum(r_sizes, sizes[i]))
+                other = np.flatnonzero(fit & (~r_out | (r_docs > docs[i])))  # two outsiders meet twice
+                found.update((int(docs[i]), int(c)) for c in np.unique(r_parts[other[_alike(sketch[i], r_sketch[other])]]))
         return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "component": pa.array([f[1] for f in found], pa.int64())})
 
     return run
@@ -273,20 +293,31 @@ def _first_links(percent: int):
     return run
 
 
-def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: DataFrame, first: DataFrame, k: int, percent: int, close: int) -> DataFrame | None:
-    """Links that join components which meet in large regions with ``close`` equal values, None if none meet."""
+def _region_suspects(ws: Workspace, docs: DataFrame, large: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+    """(x, component): outsiders of large regions that may be linked with a component which they are not in."""
     labels = first.select(F.col("node").alias("doc"), "component")
     rows = large.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = ws.save(rows, "regions")
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    several = ws.save(several.select("key"), "several")
-    rows = ws.save(rows.join(several, "key"), "rows")
-    rows = _in_blocks(ws, rows, "key", "doc").join(sketches, "doc")
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("doc_blocks") - 1)))
-    rows = rows.withColumn("low", F.least("doc_block", "with")).withColumn("high", F.greatest("doc_block", "with"))
-    rows = rows.select("key", "low", "high", "doc_block", "doc", "component", "n", "sketch")
-    suspects = rows.groupBy("key", "low", "high").applyInArrow(_suspects(percent, close), "x long, component long").distinct()
-    suspects = ws.save(suspects, "suspects")
+    parts = ws.save(rows.groupBy("key", "component").agg(F.count("*").alias("docs")), "parts")
+    main = parts.groupBy("key").agg(F.max(F.struct("docs", "component")).alias("m"), F.sum("docs").alias("docs"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = ws.save(main.select("key", F.col("m.component").alias("main"), blocks(F.col("docs")).alias("blocks"), blocks(F.col("docs") - F.col("m.docs")).alias("out_blocks")), "main")
+    rows = ws.save(rows.join(main, "key").withColumn("outside", F.col("component") != F.col("main")), "rows")
+    ids = ws.save(rows.select(F.col("doc").alias("doc_id")).distinct(), "region-ids")
+    sketches = ws.save(ids_only(docs, ids, "doc_id", ids.count()).mapInArrow(_sketches(k), "doc long, sketch binary"), "sketches")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("out_block", F.pmod(F.xxhash64("doc"), "out_blocks").cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["key", "out_block", "block", "doc", "component", "n", "outside", "sketch"]
+    side = lambda df, mark: df.join(sketches, "doc").select(*[F.col(c).alias(f"{mark}_{c}") for c in columns])
+    left = side(rows.filter("outside").withColumn("block", every("blocks")), "l")
+    right = side(rows.withColumn("out_block", every("out_blocks")), "r")
+    both = left.groupBy(*left.columns[:3]).cogroup(right.groupBy(*right.columns[:3]))
+    return ws.save(both.applyInArrow(_suspects(percent), "x long, component long").distinct(), "suspects")
+
+
+def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links that join components which meet in large regions, None if no two may be similar."""
+    suspects = _region_suspects(ws, docs, large, first, k, percent)
     if suspects.isEmpty():
         return None
     targets = suspects.select("component").distinct()
@@ -309,7 +340,7 @@ def _closing_links(ws: Workspace, docs: DataFrame, large: DataFrame, sketches: D
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, sets, _ in _distinct_shingles(batch, k):
+            for low, sets, _ in _sets(batch, k):
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 hashes = np.concatenate(sets) if sets else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, len(sets)), pa.ListArray.from_arrays(offsets, signed(hashes))], ["doc_id", "shingles"])
@@ -342,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "near")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed_rows = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, base array<long>, deep array<long>, sketch binary"), "signatures")
+    signed_rows = ws.save(docs.mapInArrow(_signatures(k), "doc_id long, n long, d1 long, d2 long, base array<long>, deep array<long>"), "signatures")
     # equal word sequences: one stands for all
     classes = signed_rows.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = ws.save(classes, "classes")
@@ -361,17 +392,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = ends.groupBy("x").agg(F.expr(f"slice(reverse(array_sort(collect_list(struct(weight, -b as nb, a, b)))), 1, {FIRST_LINKS})").alias("top"))
     best = best.select(F.explode("top").alias("t")).select("t.a", "t.b").distinct()
     links = ws.save(_confirmed(best, sets, percent), "links")
-    first = ws.save(connected_components(ws, links), "first")
+    first = connected_components(ws, links)
     at = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     open_pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("not coalesce(ca = cb, false)")
     more = ws.save(_confirmed(open_pairs, sets, percent), "more")
     ws.drop(sets, pairs)
     labels = merged_components(ws, first, more)
-    sketches = signed_rows.filter("n > 0").select(F.col("doc_id").alias("doc"), "sketch")
-    for close in (LIKELY, CLOSE):
-        closing = _closing_links(ws, docs, large, sketches, labels, k, percent, close)
-        if closing is not None:
-            labels = merged_components(ws, labels, closing)
+    closing = _closing_links(ws, docs, large, labels, k, percent)
+    if closing is not None:
+        labels = merged_components(ws, labels, closing)
 
     # a copy has its representative's component; a doc_id with several texts joins those of all of them
     pairs = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -72,22 +72,23 @@ FROM sized s JOIN digests d ON d.page_id = s.page_id JOIN firsts f ON f.sha = s.
 
 CHAT = """
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<|_im_') AS text,
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<|_im_') AS text,
+    replace(replace(replace(role, chr(13), ' '), chr(10), ' '), '<|im_', '<|_im_') AS name,
     CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS segment FROM conversations
-), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+), speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role IS DISTINCT FROM 'system'),
 lines AS (
-  SELECT t.*, speaker, role = speaker AS own,
-    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+  SELECT t.*, speaker, role IS NOT DISTINCT FROM speaker AS own,
+    '<|im_start|>' || CASE WHEN role IS NOT DISTINCT FROM speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE coalesce('user name=' || name, 'user') END || chr(10) AS head,
     text || '<|im_end|>' AS body
-  FROM turns t JOIN speakers s ON t.conv_id = s.conv_id
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn, role, text
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text
     ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS pos FROM lines
 )
-SELECT conv_id, speaker, segment, CAST(0 AS BIGINT) AS piece, CAST(count(*) AS INTEGER) AS n_messages,
-  string_agg(head || body || chr(10), '' ORDER BY turn, role, text) AS rendered,
-  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn, role, text) AS mask,
-  coalesce(string_agg(CASE WHEN own THEN CAST(pos AS VARCHAR) || '-' || CAST(pos + length(body) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS spans
+SELECT conv_id, speaker, segment, CAST(0 AS BIGINT) AS piece, CAST(min(pos - length(head)) AS BIGINT) AS start, CAST(count(*) AS INTEGER) AS n_messages,
+  string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered,
+  string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS mask,
+  coalesce(string_agg(CASE WHEN own THEN CAST(pos AS VARCHAR) || '-' || CAST(pos + length(body) AS VARCHAR) END, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text), '') AS spans
 FROM placed GROUP BY conv_id, speaker, segment
 """
 

@@ -13,15 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import bounded_batches
+from plumbline.session import Workspace, bounded_batches
 
-#: Labelled rows of each class that the dictionaries, and that the calibration, may use.
-FIT_ROWS = 1_500
-#: Bytes of whole texts of each class that the driver takes for either.
-FIT_BYTES = 4_000_000
+#: Labelled rows of each class that the dictionaries, and that the calibration, may use, and the bytes of their whole
+#: texts that the driver takes; a text that would go over the bytes is passed over.
+FIT_ROWS, FIT_BYTES = 1_500, 4_000_000
 DICTIONARY, BLOCK, LEVEL = 110 * 1024, 400, 3
 THRESHOLD = 0.3
 
@@ -82,23 +81,23 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICTIONARY:] or b"\n"
 
 
-def _sampled(labelled: DataFrame, docs: DataFrame, salt: str) -> list[tuple[int, bytes]]:
-    """Up to FIT_ROWS rows and FIT_BYTES of whole texts of each label, in the order of a salted hash of their ids."""
-    order = F.xxhash64(F.lit(salt), F.col("doc_id"))
-    picked = []
-    for label in (0, 1):
-        rows = labelled.filter(F.col("label") == label).select("doc_id").distinct().orderBy(order, "doc_id").limit(FIT_ROWS).collect()
-        ids = [r.doc_id for r in rows]
-        some = docs.filter(F.col("doc_id").isin(ids) & (F.octet_length("text") <= FIT_BYTES // 50))
-        sizes = {r.doc_id: r.size for r in some.groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("size")).collect()}
-        keep, total = [], 0
-        for i in ids:
-            if i in sizes and total + sizes[i] <= FIT_BYTES:
-                keep.append(i)
-                total += sizes[i]
-        texts = {r.doc_id: r.text for r in docs.filter(F.col("doc_id").isin(keep)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
-        picked += [(label, texts[i].encode()) for i in keep if texts.get(i)]
-    return picked
+def _sampled(docs: DataFrame, labelled: DataFrame, rows: int, size: int) -> dict[tuple[str, int], list[bytes]]:
+    """Texts by (purpose, label): up to ``rows`` rows and ``size`` bytes of each, in the order of a salted hash of their ids.
+
+    ``labelled`` is (doc_id, label, size, purpose). Ids and sizes are chosen first, then the chosen texts fetched.
+    """
+    order = Window.partitionBy("purpose", "label").orderBy(F.xxhash64("purpose", "doc_id"), "doc_id")
+    first = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).orderBy("purpose", "label", "place").collect()
+    keep: dict[tuple[str, int], list[int]] = {}
+    total: dict[tuple[str, int], int] = {}
+    for r in first:
+        key = r.purpose, r.label
+        if total.get(key, 0) + r.size <= size:
+            keep.setdefault(key, []).append(r.doc_id)
+            total[key] = total.get(key, 0) + r.size
+    ids = sorted({i for x in keep.values() for i in x})
+    texts = {r.doc_id: r.text for r in docs.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()} if ids else {}
+    return {key: [texts[i].encode() for i in x if texts.get(i)] for key, x in keep.items()}
 
 
 class QualityModel:
@@ -112,27 +111,32 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES
+) -> QualityModel:
     """Fit on labelled rows for which ``train`` (over doc_id) holds; half of them make dictionaries, half the calibration.
 
-    Rows without a label of 0 or 1, and without text, are not used. With one class or none the
-    score is the share of good labels (1 without any label).
+    Of each class and half a sample is used: up to ``rows`` rows and ``size`` bytes of whole texts, in
+    the order of a hash; a text that would go over ``size`` is passed over. The share of good labels is
+    that of all labelled rows. Rows without a label of 0 or 1, and without text, are not used; a
+    document with both labels counts as either; of rows that repeat a doc_id the least text is taken.
+    Other columns are ignored. With one class or none the score is the share of good labels (1 without any label).
     """
-    bounded_batches(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "quality")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null and doc_id is not null")
-    labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(train)
-    labelled = labelled.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(train).distinct()
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
+    purpose = F.when(F.xxhash64(F.lit("half"), F.col("doc_id")) % 2 == 0, "dictionary").otherwise("calibration")
+    labelled = ws.save(sizes.join(labelled, "doc_id").groupBy("doc_id", "label").agg(F.max("size").alias("size")).withColumn("purpose", purpose), "labelled")
     share = labelled.agg(F.avg("label").alias("share")).first().share
-    half = F.xxhash64(F.lit("half"), F.col("doc_id")) % 2 == 0
     base = 1.0 if share is None else min(max(float(share), 1e-3), 1 - 1e-3)
     flat = QualityModel(b"\n", b"\n", np.array([np.log(base / (1 - base)) if share is not None else 30.0] + [0.0] * 8))
-    first = _sampled(labelled.filter(half), docs, "dictionary")
-    second = _sampled(labelled.filter(~half), docs, "calibration")
-    if len({x for x, _ in first}) < 2 or len({x for x, _ in second}) < 2:
+    found = _sampled(docs, labelled, rows, size)
+    if any(not found.get((p, label)) for p in ("dictionary", "calibration") for label in (0, 1)):
         return flat
-    good, bad = (_dictionary([t for x, t in first if x == label]) for label in (1, 0))
-    x = np.array([features(t, good, bad) for _, t in second])
-    y = np.array([label for label, _ in second], float)
+    good, bad = (_dictionary(found["dictionary", label]) for label in (1, 0))
+    x = np.array([features(t, good, bad) for label in (0, 1) for t in found["calibration", label]])
+    y = np.array([label for label in (0, 1) for _ in found["calibration", label]], float)
     weights = fit_logistic(x, y)
     # the sample holds as many rows of either class as there are; the prior of all labels comes back
     rate = y.mean()
@@ -157,9 +161,10 @@ def _score(shared, threshold: float, with_held: bool):
 def score_quality(docs: DataFrame, model: QualityModel, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of whole texts, a row per input row; ``held_out`` is passed through.
 
-    Null and empty texts are scored as empty. Repeated rows and null ids are returned as they come;
-    other columns are ignored. There is no shuffle.
+    Null and empty texts are scored as empty, texts of any length by all their blocks. Repeated rows and
+    null ids are returned as they come; other columns are ignored. An empty table gives no rows. There is no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))
     held = F.lit(False) if held_out is None else held_out
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
@@ -167,7 +172,10 @@ def score_quality(docs: DataFrame, model: QualityModel, held_out: Column | None
 
 
 def quality_mask(model: QualityModel, threshold: float = THRESHOLD):
-    """A filter for ``mapInArrow`` that keeps the rows whose ``text`` is predicted good, all columns as they are."""
+    """A filter for ``mapInArrow`` that keeps the rows whose ``text`` is predicted good, all columns as they are.
+
+    Each row is judged alone, repeated ones alike; null and empty texts are judged as empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS
+from plumbline.llm.common import fits_broadcast
 from plumbline.session import Workspace
 
 #: Raw bytes of records in a frame, and of a bundle.
@@ -36,11 +36,19 @@ _PAGE = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def _filesystem(where: str):
+    """File system and path of a folder or file; without a scheme it is a local one (``_qualified`` adds the scheme)."""
     from pyarrow import fs
 
-    if "://" in where or where.startswith("file:"):
-        return fs.FileSystem.from_uri(where)
-    return fs.LocalFileSystem(), where
+    if where.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + where.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+
+
+def _qualified(pages: DataFrame, where: str) -> str:
+    """The path with the scheme of Spark's default file system where it has none, so that tasks write where Spark reads."""
+    jvm = pages.sparkSession._jvm  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()  # noqa: SLF001
 
 
 def record_name(page_id: int | None) -> str:
@@ -179,10 +187,10 @@ def write_warc(pages: DataFrame, ws: Workspace, id_col: str = "page_id", url_col
     sized = ws.save(pages.select("page_id", "sha", F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes")), "digests")
     same = sized.filter(F.col("bytes") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     same = ws.save(same.filter("n > 1 and first is not null").select("sha", F.col("first").alias("refers_to")), "same")
-    small = F.broadcast(same) if same.count() <= BROADCAST_ROWS else same
+    small = F.broadcast(same) if fits_broadcast(same, same.count()) else same
     rows = pages.join(small, "sha", "left")
     rows = rows.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("refers_to"), F.lit(True)), F.col("refers_to")))
-    folder = ws.path("bundles")
+    folder = _qualified(pages, ws.path("bundles"))
     return ws.save(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder, date), _INDEX), "index")
 
 
@@ -196,47 +204,64 @@ def _page_row(raw: bytes) -> tuple:
     return number(warc["warc-record-id"]), int(http["content-length"]), digest, kind, number(warc.get("warc-refers-to"))
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches of an index in the order of bundle and frame, each with its rows' raw records; a frame is read once."""
+    reader, now, held = None, None, (-1, b"")
+    for batch in batches:
+        out = []
+        for where, frame, offset, size in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "size")), strict=True):
+            if where != now:
+                if reader is not None:
+                    reader.close()
+                reader, now, held = BundleReader(where), where, (-1, b"")
+            if held[0] != frame:
+                held = frame, reader.frame(frame)
+            out.append(held[1][offset : offset + size])
+        yield batch, out
+    if reader is not None:
+        reader.close()
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    for batch in batches:
-        for where in batch.column("bundle").to_pylist():
-            reader = BundleReader(where)
-            for i in range(len(reader.sizes)):
-                frame, at, rows = reader.frame(i), 0, []
-                while at < len(frame):
-                    head = frame.index(b"\r\n\r\n", at)
-                    length = int(frame[at:head].lower().rpartition(b"\r\ncontent-length: ")[2])
-                    end = head + 4 + length + 4
-                    rows.append(_page_row(frame[at:end]))
-                    at = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _PAGE.split(", ")])
-            reader.close()
+    for batch, records in _records(batches):
+        rows = []
+        for name, record in zip(batch.column("record_id").to_pylist(), records, strict=True):
+            if parse_record(record)[0]["warc-record-id"] != name:
+                raise ValueError(f"the index places {name} wrongly")
+            rows.append(_page_row(record))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in _PAGE.split(", ")])
+
+
+def _in_place(index: DataFrame) -> DataFrame:
+    """The index with a bundle's rows in one task and in the order of their places."""
+    tasks = max(1, min(READERS, index.select("bundle").distinct().count()))
+    return index.repartition(tasks, "bundle").sortWithinPartitions("bundle", "frame", "offset")
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """Every record of the index's bundles: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    bundles = index.select("bundle").distinct()
-    # a row stands for up to BUNDLE bytes: rows are dealt one to a task, up to READERS tasks
-    return bundles.repartition(max(1, min(READERS, bundles.count()))).mapInArrow(_read, _PAGE)
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the index, a row per index row.
+
+    Each record is taken from its frame and offset; its identifier and its payload's digest are
+    checked. Repeated index rows give repeated rows; other columns are ignored; an empty index gives none.
+    """
+    return _in_place(index.select("record_id", "bundle", "frame", "offset", "size")).mapInArrow(_read, _PAGE)
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        reader, now, held = None, None, (-1, b"")
-        out = []
-        for page, where, frame, offset, size in zip(*(batch.column(c).to_pylist() for c in ("page_id", "bundle", "frame", "offset", "size")), strict=True):
-            if where != now:
-                reader, now, held = BundleReader(where), where, (-1, b"")
-            if held[0] != frame:
-                held = frame, reader.frame(frame)
-            out.append((page, held[1][offset : offset + size]))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["page_id", "record"])
+    for batch, records in _records(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(records, pa.binary())], ["page_id", "record"])
 
 
 def fetch_records(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(page_id, record): raw records of the wanted page_ids, each read from its frame alone."""
-    some = index.join(wanted.select("page_id").distinct(), "page_id").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
-    return some.select("page_id", "bundle", "frame", "offset", "size").mapInArrow(_fetch, "page_id long, record binary")
+    """(page_id, record): raw records of the wanted page_ids, each read from its frame alone.
+
+    Null and unknown ids give no row, repeated ones are one; pages with repeated records give each. Other
+    columns are ignored; empty tables give no rows.
+    """
+    some = index.join(wanted.select("page_id").distinct(), "page_id")
+    return _in_place(some.select("page_id", "bundle", "frame", "offset", "size")).mapInArrow(_fetch, "page_id long, record binary")
 
 
 def archive_pages(pages: DataFrame, **columns) -> DataFrame:

@@ -126,6 +126,39 @@ def test_language_edges(spark, odd):
     assert langid.predict_language(few.limit(0), profiles).count() == 0
 
 
+def brute_grams(text: str) -> list[str]:
+    """N-grams of a text by falling count, then code points."""
+    count: dict[str, int] = {}
+    for word in re.findall(r"[^\W\d_]+", "".join(c.lower() if len(c.lower()) == 1 else c for c in text)):
+        padded = f"\x01{word}\x01"
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                if (g := padded[i : i + n]) != "\x01":
+                    count[g] = count.get(g, 0) + 1
+    code = lambda g: tuple(map(ord, g))
+    return sorted(count, key=lambda g: (-count[g], len(g), code(g)))
+
+
+@pytest.mark.parametrize("at_a_time", [2_000, 2])
+def test_predictions_equal_brute_force(spark, sf, at_a_time, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", at_a_time)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    han = spark.createDataFrame([(10**6, chr(0x30010) * 3 + " " + chr(0x31360), "hx"), (10**6 + 1, chr(0x30010), None), (10**6 + 2, "𝐀𝐁 ə", "mx"), (10**6 + 3, "12 !", None)], "doc_id long, text string, lang string")
+    docs = docs.filter("doc_id % 4 = 0").unionByName(han)
+    train: dict[str, list[str]] = {}
+    for r in docs.collect():
+        if r.lang is not None:
+            train.setdefault(r.lang, []).append(r.text or "")
+    ranks = {lang: {g: i for i, g in enumerate(brute_grams("\n".join(texts))[:300], 1)} for lang, texts in train.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_language(docs, langid.learn_profiles(docs)).collect()}
+    for r in docs.collect():
+        top = brute_grams(r.text or "")[:300]
+        far = {lang: sum(min(abs(i - rank[g]), 300) if g in rank else 300 for i, g in enumerate(top, 1)) for lang, rank in sorted(ranks.items())}
+        lang = min(far, key=far.get) if top else "und"
+        assert got[r.doc_id] == (lang, pytest.approx(1 - far[lang] / (300 * len(top)) if top else 0.0))
+    assert got[10**6 + 1][0] == "hx" and got[10**6 + 3] == ("und", 0.0)
+
+
 def test_profile_counts_equal_brute_force(spark):
     text = "Ab, ab cÉ"
     want: dict[str, int] = {}
@@ -208,6 +241,18 @@ def test_components_of_long_paths(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 7: 0}
 
 
+def test_components_take_rounds_by_the_logarithm(spark, monkeypatch):
+    """An ordered path of 100,000 nodes, the worst case of hooking to the least neighbour."""
+    rounds = []
+    drop = Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: rounds.append(name) or drop(self, df, name))
+    monkeypatch.setattr(common, "SMALL_GRAPH", 100)
+    n = 100_000
+    got = common.connected_components(Workspace(spark, "t"), spark.range(n).selectExpr("id AS a", "id + 1 AS b"))
+    assert got.groupBy("component").count().collect() == [(0, n + 1)]
+    assert rounds.count("hooks") < 25
+
+
 def test_components_of_larger_graphs_and_merges(spark, monkeypatch):
     monkeypatch.setattr(common, "SMALL_GRAPH", 0)
     ws = Workspace(spark, "t")
@@ -217,13 +262,48 @@ def test_components_of_larger_graphs_and_merges(spark, monkeypatch):
     assert {r.node: r.component for r in more.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 9: 3, 10: 10, 11: 10}
 
 
-@pytest.mark.parametrize("equal", [64, 70, 75, 100])
-def test_pairs_of_large_regions_are_checked_from_64_equal_values(equal):
-    sketch = np.zeros((2, near_dedup.SIGNATURE), np.uint8)
+@pytest.mark.parametrize("equal, found", [(321, True), (400, True), (320, False)])
+def test_pairs_of_large_regions_are_checked_from_the_stated_equal_values(equal, found):
+    sketch = np.zeros((2, near_dedup.WIDE), np.uint8)
     sketch[1, equal:] = 1
-    columns = {"low": [0, 0], "high": [0, 0], "doc_block": [0, 0], "doc": [1, 2], "component": [1, 2], "n": [100, 100]}
-    table = pa.table(columns | {"sketch": pa.array([x.tobytes() for x in sketch], pa.binary())})
-    assert near_dedup._suspects(75)(table).to_pylist() == [{"x": 1, "component": 2}]
+    side = lambda mark, i, out: pa.table({f"{mark}_doc": [i + 1], f"{mark}_component": [i + 1], f"{mark}_n": [100], f"{mark}_outside": [out], f"{mark}_sketch": pa.array([sketch[i].tobytes()], pa.binary())})
+    assert near_dedup._suspects(75)(side("l", 0, True), side("r", 1, False)).to_pylist() == [{"x": 1, "component": 2}] * found
+
+
+def test_chance_to_miss_a_true_link():
+    from math import comb
+
+    below = lambda n, k: sum(comb(n, i) * 0.75**i * 0.25 ** (n - i) for i in range(k))
+    assert below(near_dedup.SIGNATURE, near_dedup.CLOSE[0]) < 4e-10 and below(near_dedup.WIDE, near_dedup.CLOSE[1]) < 4e-10
+
+
+def thue_morse(n: int, swap: bool) -> str:
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Words whose polynomial hashes modulo 2**64 are equal whatever the step."""
+    one, two = thue_morse(1024, False), thue_morse(1024, True)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+    words = prose(77, 60).split()
+    texts = [" ".join([*words[:30], w, *words[31:]]) for w in (one, two)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(rows).collect()} == {0: 0, 1: 0}
+    letters = [thue_morse(2048, swap) for swap in (False, True)]
+    texts = [" ".join("first" if c == "a" else "second" for c in x) for x in letters]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {r: c for r, c in brute_components(list(enumerate(texts))).items()}
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    rng = random.Random(2)
+    words = [rng.randbytes(rng.choice([1, 3, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200])).hex().encode()[: rng.randrange(1, 300)] for _ in range(400)]
+    words += [w[:-1] + b"z" for w in words if len(w) > 1]
+    lanes, start, stop = common.word_hashes(np.frombuffer(b" ".join(words), np.uint8), lanes=2)
+    assert len(start) == len(words)
+    for lane in lanes:
+        assert len(dict(zip(words, lane.tolist(), strict=True))) == len(set(lane.tolist())) == len(set(words))
 
 
 # --- op4 ------------------------------------------------------------------------------------
@@ -276,6 +356,67 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_scores_equal_brute_force(spark, sf):
+    """Sample, dictionaries, fit and scores of the query, worked out again without Spark and from the definitions."""
+    import zstandard
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    train = {(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5 and docs.get(r.doc_id) is not None}
+    ids = spark.createDataFrame([(i, x) for i, x in train], "doc_id long, label int")
+    at = {r.doc_id: r for r in ids.select("doc_id", (F.xxhash64(F.lit("half"), "doc_id") % 2).alias("half"), *[F.xxhash64(F.lit(p), "doc_id").alias(p) for p in ("dictionary", "calibration")]).collect()}
+    chosen = {}
+    for purpose in ("dictionary", "calibration"):
+        for label in (0, 1):
+            own = sorted((at[i][purpose], i) for i, x in train if x == label and (at[i].half == 0) == (purpose == "dictionary"))[: quality.FIT_ROWS]
+            chosen[purpose, label], total = [], 0
+            for _, i in own:
+                text = docs[i].encode()
+                if total + len(text) <= quality.FIT_BYTES:
+                    total += len(text)
+                    chosen[purpose, label] += [text] if text else []
+    coders = []
+    for label in (1, 0):
+        raw = quality._dictionary(chosen["dictionary", label])
+        coders.append(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def brute_features(text: bytes) -> list[float]:
+        n = max(1, round(len(text) / 400))
+        d, least = [], []
+        for i in range(n):
+            block = text[len(text) * i // n : len(text) * (i + 1) // n]
+            good, bad = (len(c.compress(block)) for c in coders)
+            d.append((bad - good) / (bad + good))
+            least.append(min(good, bad) / (len(block) + 8))
+        short, shrunk, mean = 1 / (1 + len(text) / 100), float(np.log(min(least))), 10 * sum(d) / n
+        return [1.0, mean, 10 * float(np.percentile(d, 25)), 10 * min(d), shrunk, shrunk**2, short, short * mean, short * shrunk]
+
+    x = np.array([brute_features(t) for label in (0, 1) for t in chosen["calibration", label]])
+    y = np.array([label for label in (0, 1) for _ in chosen["calibration", label]], float)
+    model = quality.fit_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), langid.fold("doc_id", 5) != 0)
+    weights, share, rate = model.weights.copy(), np.mean([x for _, x in train]), y.mean()
+    weights[0] -= np.log(share / (1 - share)) - np.log(rate / (1 - rate))
+    slope = x.T @ (1 / (1 + np.exp(-(x @ weights))) - y) / len(y) + 1e-3 * weights  # of the penalised likelihood
+    assert np.abs(slope).max() < 1e-6
+    got = {r.doc_id: r.score for r in queries()["op5_quality"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, text in list(docs.items())[::3]:
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-float(np.array(brute_features((text or "").encode())) @ model.weights))), abs=1e-9)
+
+
+def test_quality_learns_from_long_texts(spark, monkeypatch):
+    rows = [(i, prose(i, 40) if i % 2 else f"buy {i} now!! " * 12) for i in range(60)] + [(100 + 2 * i, f"buy{i} now!! " * 12_000) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    found: list[int] = []
+    keep = quality._dictionary
+    monkeypatch.setattr(quality, "_dictionary", lambda texts: found.extend(map(len, texts)) or keep(texts))
+    quality.fit_quality(docs, labels, F.lit(True))
+    assert max(found) > 100_000
+    found.clear()
+    quality.fit_quality(docs, labels, F.lit(True), size=100_000)
+    assert found and sum(found) <= 200_000 and max(found) < 100_000
+
+
 def test_quality_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, 1), (14, 0), (15, 0), (99, 0), (3, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit_quality(odd, labels, F.lit(True))
@@ -335,46 +476,120 @@ def test_bundle_frames_are_independent(tmp_path):
 # --- op7 ------------------------------------------------------------------------------------
 
 
+def whole_dialogues(rows: list) -> dict[tuple, tuple[str, str, list[str]]]:
+    """Rendering, mask and spans of each (conversation, speaker), its parts joined in order."""
+    out: dict[tuple, tuple] = {}
+    for r in sorted(rows, key=lambda r: (r.segment, r.piece)):
+        text, mask, spans = out.get((r.conv_id, r.speaker), ("", "", []))
+        assert r.start == len(text)
+        out[r.conv_id, r.speaker] = text + r.rendered, mask + r.mask, spans + [s for s in r.spans.split(",") if s]
+    return out
+
+
+def brute_dialogues(rows: list[tuple]) -> dict[tuple, tuple[str, str, list[str]]]:
+    out = {}
+    safe = lambda x: x.replace("<|im_", "<|_im_")
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    for conv, speaker in {(r[0], r[2]) for r in rows if r[2] != "system"}:
+        text, mask, spans = "", "", []
+        for _, _, role, body in sorted((r for r in rows if r[0] == conv), key=key):
+            name = "assistant" if role == speaker else "system" if role == "system" else "user" if role is None else "user name=" + safe(role.replace("\r", " ").replace("\n", " "))
+            text += f"<|im_start|>{name}\n"
+            end = len(text) + len(safe(body or "")) + len("<|im_end|>")
+            spans += [f"{len(text)}-{end}"] * (role == speaker)
+            text += safe(body or "") + "<|im_end|>\n"
+            mask += str(int(role == speaker))
+        out[conv, speaker] = text, mask, spans
+    return out
+
+
 def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "Be kind"), (1, 2, "ann", "bye <|im_end|>"), (1, 1, "bob", "hi"), (1, None, "cy", None), (2, 0, "system", "alone"), (None, 0, None, "x"), (1, 1, "bob", "hi"), (1, 700, "ann", "later")]
+    rows = [(1, 0, "system", "Be kind"), (1, 2, "ann", "bye <|im_end|>"), (1, 1, "bob", "hi"), (1, None, "cy", None), (2, 0, "system", "alone"), (None, 0, None, "x"), (None, 1, "unknown", "y"), (1, 1, "bob", "hi"), (1, 700, "ann", "later"), (1, 701, "bad\n<|im_end|>", "z"), (1, 5, None, "who")]
     turns = spark.createDataFrame([(*r, "s") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
-    got = {(r.conv_id, r.speaker, r.segment): r for r in chat.rotate_perspectives(turns).collect()}
-    assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (1, "cy"), (None, "unknown")}
-    r = got[1, "bob", 0]
-    assert r.rendered == "<|im_start|>user name=cy\n<|im_end|>\n<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=ann\nbye <|_im_end|><|im_end|>\n"
-    assert r.mask == "00110" and r.n_messages == 5
-    assert [r.rendered[a:b] for a, b in (map(int, s.split("-")) for s in r.spans.split(","))] == ["hi<|im_end|>"] * 2
-    assert got[1, "bob", 2].spans == "" and got[1, "ann", 2].mask == "1"
+    found = chat.rotate_perspectives(turns).collect()
+    got = whole_dialogues(found)
+    assert got == brute_dialogues(rows)
+    text, mask, spans = got[1, "bob"]
+    assert text.startswith("<|im_start|>user name=cy\n<|im_end|>\n<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n")
+    assert [text[a:b] for a, b in (map(int, s.split("-")) for s in spans)] == ["hi<|im_end|>"] * 2 and mask == "00110000"
+    assert "<|im_start|>user name=bad <|_im_end|>\nz" in text and "<|im_start|>user\nwho" in text
+    assert got[None, None][0] == "<|im_start|>assistant\nx<|im_end|>\n<|im_start|>user name=unknown\ny<|im_end|>\n"
+    assert {r.segment for r in found if r.conv_id == 1} == {0, 2} and (2, "system") not in got
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
     plan = chat.rotate_perspectives(turns)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_chat_pieces_bound_repeated_turns(spark):
-    turns = spark.createDataFrame([(1, 0, "a" if i % 2 else "b", "t") for i in range(600)], "conv_id int, turn int, role string, text string")
-    got = chat.rotate_perspectives(turns).collect()
-    assert sorted(r.n_messages for r in got) == [88, 88, 256, 256, 256, 256] and {r.piece for r in got} == {0, 1, 2}
+def test_chat_parts_of_one_dialogue_join(spark):
+    rows = [(1, 0, "a" if i % 2 else "b", f"t{i}") for i in range(600)] + [(2, i, "ab"[i % 2], "x" * i) for i in range(700)]
+    found = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
+    assert sorted(r.n_messages for r in found if r.conv_id == 1) == [88, 88, 256, 256, 256, 256] and {r.piece for r in found} == {0, 1, 2}
+    assert whole_dialogues(found) == brute_dialogues(rows)
 
 
 # --- op8 ------------------------------------------------------------------------------------
 
 
-def test_pfair_schedule_stays_within_a_block():
-    for weights in ({"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1}, {f"s{i}": i * i + 1 for i in range(12)}, {"only": 2}, {None: 1, "x": 9}):
-        parts = mixing.whole_parts(weights, 997)
-        assert sum(parts.values()) == 997 and min(parts.values()) >= 1
-        plan = mixing.pfair_schedule(parts)
-        assert sorted(x[4] for x in plan) == list(range(997))
-        done = dict.fromkeys(parts, 0)
-        for source, block, release, deadline, slot in plan:
-            assert release <= slot < deadline and block == done[source]
-            done[source] += 1
-            for s, p in parts.items():
-                assert abs(done[s] - (slot + 1) * p / 997) < 1
+@pytest.mark.parametrize(
+    "weights", [{"a": 1, "b": 1}, {"a": 0.9, "b": 0.1}, {"a": 1 / 3, "b": 2 / 3}, {"a": 5, "b": 3, "c": 1}, {f"s{i}": i * i + 1 for i in range(12)}, {"only": 2}, {None: 1, "x": 9}, {"big": 0.91} | {f"s{i}": 0.001 for i in range(90)}]
+)
+def test_pfair_schedule_stays_within_a_block(weights):
+    """Over many periods every slot is given once, and every share is within a block of the given weight."""
+    from fractions import Fraction
+
+    names = sorted(weights, key=lambda s: (s is not None, s))
+    exact = mixing.exact_parts(weights)
+    parts, total = [exact[s] for s in names], sum(exact.values())
+    near = lambda w: Fraction(w).limit_denominator(1000)
+    assert all(Fraction(exact[s], total) == near(weights[s]) / sum(map(near, weights.values())) for s in names)
+    slots, done = 20_000, [0] * len(names)
+    for slot, (k, block, release, deadline, at) in zip(range(slots), mixing.schedule(parts, [10**9] * len(names)), strict=False):
+        assert at == slot and release == block * total // parts[k] and deadline == -(-(block + 1) * total // parts[k])
+        assert release <= slot < deadline and block == done[k]
+        done[k] += 1
+        if slot % 11 == 0:
+            assert all(abs(n * total - (slot + 1) * p) < total for n, p in zip(done, parts, strict=True))
+
+
+def test_schedule_equals_earliest_deadline_first_slot_by_slot():
+    rng = random.Random(8)
+    for _ in range(30):
+        parts = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 8))]
+        blocks = [rng.randrange(60) for _ in parts]
+        total, want, done = sum(parts), [], [0] * len(parts)
+        for slot in range(60 * total):
+            open_now = [(-(-(n + 1) * total // p), k) for k, (n, p) in enumerate(zip(done, parts, strict=True)) if n < blocks[k] and n * total // p <= slot]
+            if open_now:
+                deadline, k = min(open_now)
+                want.append((k, done[k], done[k] * total // parts[k], deadline, slot))
+                done[k] += 1
+        assert list(mixing.schedule(parts, blocks)) == want
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_mixing_equals_the_schedule(spark, most, monkeypatch):
+    """The query's weights and given ones, by a repeated period and by a walk over all blocks, against the schedule itself."""
+    monkeypatch.setattr(mixing, "MOST_SLOTS", most)
+    docs = spark.createDataFrame([(i, f"s{(i * i) % 7 % 5}") for i in range(3_000)], "doc_id long, source string").repartition(5)
+    sizes = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    for weights in (None, {"s0": 0.5, "s1": 0.25, "s2": 0.125, "s4": 0.125}):
+        exact = mixing.exact_parts(weights) if weights else mixing.default_parts(sizes)
+        names = sorted(sizes)
+        parts = [exact[s] for s in names]
+        blocks = [-(-sizes[s] // 16) for s in names]
+        # after the first source has run out, a repeated period leaves its slots empty
+        limit = min(n * sum(parts) // p for n, p in zip(blocks, parts, strict=True))
+        want = {(names[k], *rest) for k, *rest in mixing.schedule(parts, blocks)}
+        rows = mixing.mix_sources(docs, weights, block=16).collect()
+        got = {(r.source, r.mix_block, r.mix_release, r.mix_deadline, r.mix_slot) for r in rows}
+        assert {x[:4] for x in got} == {x[:4] for x in want}
+        assert {x for x in got if x[4] < limit} == {x for x in want if x[4] < limit} and limit > 40
+        if most == 1:
+            assert got == want
 
 
 def test_mixing_places_every_row(spark, odd):
-    rows = mixing.mix_sources(odd, {"s0": 3.0, "s1": 1.0}, block=2, cycle=10).collect()
+    rows = mixing.mix_sources(odd, {"s0": 3.0, "s1": 1.0}, block=2).collect()
     assert len(rows) == odd.count()
     slots: dict[int, set] = {}
     for r in rows:
@@ -386,10 +601,21 @@ def test_mixing_places_every_row(spark, odd):
         sizes[r.source, r.mix_block] = sizes.get((r.source, r.mix_block), 0) + 1
     for (source, block), n in sizes.items():
         assert n == 2 or (source, block + 1) not in sizes
+    for source in {r.source for r in rows}:  # blocks follow the ids, nulls first
+        ids = [r.doc_id if r.doc_id is not None else -1 for r in sorted((r for r in rows if r.source == source), key=lambda r: (r.mix_block, r.doc_id or -1))]
+        assert ids == sorted(ids)
     empty = mixing.mix_sources(odd.limit(0))
     assert empty.count() == 0 and empty.columns[-1] == "mix_slot"
 
 
+def test_mixing_of_one_id_and_of_sources_that_run_out(spark):
+    docs = spark.createDataFrame([(5, "a", "x")] * 500 + [(i * 10**12, "b", "y") for i in range(40)] + [(None, "c", "z")], "doc_id long, source string, s string").repartition(7)
+    rows = mixing.mix_sources(docs, {"a": 0.1, "b": 0.8, "c": 0.1}, block=1).collect()
+    assert len(rows) == 541 and len({r.mix_slot for r in rows}) == 541
+    assert {r.s for r in rows} == {"x", "y", "z"} and sorted(r.mix_block for r in rows if r.source == "a") == list(range(500))
+    assert max(r.mix_slot for r in rows) >= 4990
+
+
 # --- op9 ------------------------------------------------------------------------------------
 
 
