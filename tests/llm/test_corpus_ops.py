@@ -714,6 +714,34 @@ def test_bounds_avoid_computations():
     assert computed < 0.5 * 5 * len(every)
 
 
+def test_the_tree_leaves_out_most_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 32)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(25, 6)) * 600
+    data = np.concatenate([centers[i] + rng.normal(size=(60, 6)) * 10 for i in range(25)]).astype(np.int64)
+    top = float((data * data).sum(axis=1).max())
+    rows = spark.createDataFrame([(i, [int(c) for c in v], 6) for i, v in enumerate(data)], "vec_id long, v array<long>, dim int")
+    leaves, nodes = mtree.build_tree(Workspace(spark, "t"), rows, top, 64)
+    kept = nodes.collect()
+    unit_of = {r.vec_id: r.unit for r in leaves.collect()}
+    assert len(unit_of) == len(data) and max(n.node.count(".") for n in kept) >= 2
+    below = {n.node: [i for i, u in unit_of.items() if u == n.node or (u or "").startswith(n.node + ".")] for n in kept}
+    for n in kept:  # covering radii hold all rows below
+        if n.routing is not None and below[n.node]:
+            far = mtree._distance(mtree._lift(np.array([n.routing]), top), mtree._lift(data[below[n.node]], top)).max()
+            assert far <= n.radius + 1e-6 or n.unit != n.node
+    trees, names = mtree._tree_lists([n for n in kept if n.unit is None or n.unit == n.node], top)
+    q = data[::97]
+    scores = q @ data.T
+    least = np.sort(scores, axis=1)[:, -10]
+    found, computed = mtree.units_to_search(q, least.astype(float), trees[6], top)
+    units = [n for n in kept if n.unit == n.node]
+    for i, own in enumerate(found):
+        near = {names[6][u] for u in own}
+        assert {unit_of[j] for j in np.flatnonzero(scores[i] >= least[i])} <= near
+    assert sum(map(len, found)) < 0.5 * len(q) * len(units) and computed < len(q) * len(trees[6])
+
+
 @pytest.mark.parametrize("weights", [{"big": 0.91} | {f"s{i}": 0.01 for i in range(9)}, {f"s{i:03d}": 1.0 + i % 7 for i in range(300)}])
 def test_mixing_keeps_exact_weights_over_many_periods(spark, weights):
     total = sum(weights.values())
