@@ -4,7 +4,8 @@ Texts are cut at single spaces between non-space characters, where a pre-token a
 the pieces into pre-tokens by the tokenizer's pattern. Each pre-token's bytes are merged by a
 segment tree whose leaves are the ranks of adjacent pairs: the root yields the leftmost pair of
 lowest rank, a merge updates three leaves and the nodes above them, until no pair can merge. Many
-pre-tokens of like length are merged together, one row of a matrix each. A worker keeps the pieces
+pre-tokens of like length are merged together, one row of a matrix each; a few, among them very
+long ones, are merged one by one, where a merge costs microseconds. A worker keeps the pieces
 that it has encoded up to a bound.
 """
 
@@ -25,8 +26,10 @@ from plumbline.session import bounded_batches
 
 #: The pre-token pattern of byte-level BPE vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a Python worker remembers, at most twice as many for a while.
-CACHE_PIECES = 250_000
+#: Bytes of pieces and their ids that a Python worker remembers, at most twice as many for a while, and what an entry adds to its text.
+CACHE_BYTES, ENTRY_BYTES = 50 << 20, 170
+#: Pre-tokens of one length up to which each is merged on its own.
+FEW = 12
 #: White space, ASCII first; next to a blank it moves the place where a pre-token begins.
 _ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _SPACE = _ASCII_SPACE + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -54,16 +57,20 @@ class SegmentTreeBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.byte_id = np.array([vocab[c] for c in symbols], np.int64)
+        self.byte_ids = self.byte_id.tolist()
         pairs = [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.rank_of = {key: rank for rank, key in reversed(list(enumerate(keys.tolist())))}
+        self.new_id = self.made.tolist()
         back = {c: b for b, c in enumerate(symbols)}
         self.token_bytes = {str(i): bytes(back[c] for c in t) for t, i in vocab.items() if all(c in back for c in t)}
         self.token_bytes |= {str(i): t.encode() for t, i in self.special.items()}
         self.cache: dict[str, str] = {}  # pieces after a space
         self.older: dict[str, str] = {}
+        self.cached = 0  # bytes
         self.boundary = regex.compile(r"(?<=\S) (?=\S)")
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, bits: int, none: int) -> np.ndarray:
@@ -80,10 +87,60 @@ class SegmentTreeBPE:
         width = np.where(sizes > 1, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(int), 1)
         for w in np.unique(width):
             rows = np.flatnonzero((width == w) & (sizes > 0))
+            if len(rows) <= FEW:
+                for i in rows:
+                    out[i] = self._merge_one(words[i])
+                continue
             for a in range(0, len(rows), max(1, BLOCK // int(w))):
                 self._merge_alike([words[i] for i in rows[a : a + max(1, BLOCK // int(w))]], int(w), rows[a:], out)
         return out
 
+    def _merge_one(self, word: bytes) -> list[int]:
+        """Token ids of one pre-token. A point update stops where a node's least does not change."""
+        ids, rank_of = [self.byte_ids[b] for b in word], self.rank_of
+        n = len(ids)
+        width = 1 << max(1, (n - 1).bit_length())
+        bits = width.bit_length()
+        mask, none = (1 << bits) - 1, 1 << 62
+        tree = [none] * (2 * width)
+        for i in range(n - 1):
+            rank = rank_of.get(ids[i] << 32 | ids[i + 1])
+            if rank is not None:
+                tree[width + i] = rank << bits | i
+        for i in range(width - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while tree[1] < none:
+            root = tree[1]
+            place = root & mask
+            gone = after[place]
+            follow, prior = after[gone], before[place]
+            new = ids[place] = self.new_id[root >> bits]
+            ids[gone] = -1
+            after[place] = follow
+            updates = [(gone, none)]
+            if follow < n:
+                before[follow] = place
+                rank = rank_of.get(new << 32 | ids[follow])
+                updates.append((place, none if rank is None else rank << bits | place))
+            else:
+                updates.append((place, none))
+            if prior >= 0:
+                rank = rank_of.get(ids[prior] << 32 | new)
+                updates.append((prior, none if rank is None else rank << bits | prior))
+            for leaf, value in updates:
+                node = width + leaf
+                tree[node] = value
+                node >>= 1
+                while node:
+                    left, right = tree[2 * node], tree[2 * node + 1]
+                    least = left if left < right else right
+                    if tree[node] == least:
+                        break
+                    tree[node] = least
+                    node >>= 1
+        return [x for x in ids if x >= 0]
+
     def _merge_alike(self, words: list[bytes], width: int, at: np.ndarray, out: list[list[int]]) -> None:
         n = len(words)
         ids = np.full((n, width + 1), -1, np.int32)  # the last column stays empty
@@ -159,12 +216,14 @@ class SegmentTreeBPE:
             for run in runs:
                 if not isinstance(run, str):
                     later.update(run[1:])
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.older = {}, self.cache
+        if self.cached > CACHE_BYTES:
+            self.cache, self.older, self.cached = {}, self.cache, 0
         unseen = [p for p in later if p not in self.cache]
         self.cache.update((p, self.older[p]) for p in unseen if p in self.older)
         new = [p for p in unseen if p not in self.older]
-        self.cache.update(zip(new, self.encode_pieces([" " + p for p in new]), strict=True))
+        fresh = self.encode_pieces([" " + p for p in new])
+        self.cache.update(zip(new, fresh, strict=True))
+        self.cached += sum(map(len, new)) + sum(map(len, fresh)) + ENTRY_BYTES * len(unseen)
         look = self.cache.__getitem__
         out = []
         for runs in parts:
@@ -254,13 +313,21 @@ def _id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of whole texts. Null and empty texts have no ids."""
+    """(doc_id, ids array<int>) of whole texts, a row per input row. Null and empty texts have no ids.
+
+    Texts and unbroken words of any length are encoded whole. Repeated rows and null ids are returned as they come; other
+    columns are ignored. An empty table gives no rows. There is no shuffle.
+    """
     docs = _id_text(docs, id_col, text_col)
     return docs.mapInArrow(_token_ids(_shared(docs, vocabulary)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def bpe_decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, text) of token ids, special tokens included. Null and empty lists give empty texts."""
+    """(doc_id, text) of token ids, special tokens included, a row per input row. Null and empty lists give empty texts.
+
+    Bytes that are no UTF-8 become U+FFFD. Repeated rows and null ids are returned as they come; other columns are
+    ignored. An empty table gives no rows.
+    """
     tokens = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return tokens.mapInArrow(_texts(_shared(tokens, vocabulary)), f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, text string")
 

@@ -2,7 +2,8 @@
 
 A window is WINDOW consecutive words. Winnowing gives each window one anchor: the leftmost least
 hash among its SEED-word runs. Equal windows have equal anchors at equal places, so a window can
-only repeat where its anchor does. The windows that chose an anchor are its reach.
+only repeat where its anchor does. The windows that chose an anchor are its reach. In periodic text
+one reach may follow on itself many times; such a run is kept as one.
 
 Seeds are anchors that are least among their neighbours in the document; each takes the anchors
 nearest to it as its block. Documents are joined on seeds: a block is matched with that of the
@@ -32,8 +33,8 @@ from plumbline.session import Workspace
 WINDOW, SEED = 50, 16
 #: Anchors on either side among which a seed is least, and the farthest that a seed's block goes.
 NEAR, FAR = 2, 16
-_ENTRY = ["anchor", "ra", "rb", "lo", "n"]
-_ENTRIES = "array<struct<anchor: long, ra: long, rb: long, lo: int, n: int>>"
+_ENTRY = ["anchor", "ra", "rb", "lo", "n", "times"]
+_ENTRIES = "array<struct<anchor: long, ra: long, rb: long, lo: int, n: int, times: int>>"
 
 
 def _windows(raw: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -99,6 +100,13 @@ def _blocks(window: int, seed: int):
                 count = np.diff(np.concatenate([first, [len(start)]]))
                 lo, anchor, row = start[first], pick[first], row[first]
                 reaches = [_reach_hash(lane, lo, count, anchor - lo) for lane in lanes]
+                # in periodic text one reach follows on itself: such a run is one entry
+                again = (row[1:] == row[:-1]) & (grams[anchor[1:]] == grams[anchor[:-1]]) & (count[1:] == count[:-1])
+                for reach in reaches:
+                    again &= reach[1:] == reach[:-1]
+                first = np.flatnonzero(np.concatenate([[True], ~again]))
+                times = np.diff(np.append(first, len(lo)))
+                lo, anchor, row, count, reaches = lo[first], anchor[first], row[first], count[first], [reach[first] for reach in reaches]
                 begin, owner = _blocks_of(grams[anchor], row)
                 entries = pa.StructArray.from_arrays(
                     [
@@ -107,6 +115,7 @@ def _blocks(window: int, seed: int):
                         pa.array(signed(reaches[1])),
                         pa.array((lo - bounds[row]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
+                        pa.array(times.astype(np.int32)),
                     ],
                     _ENTRY,
                 )
@@ -168,7 +177,7 @@ def _extended(blocks: DataFrame, models: DataFrame, window: int) -> DataFrame:
         "doc_id",
         "tag",
         F.when(settled, first["lo"]).alias("lo"),
-        F.when(settled, last["lo"] + last["n"] - 1 + window).alias("hi"),
+        F.when(settled, last["lo"] + last["n"] * last["times"] - 1 + window).alias("hi"),
         F.when(settled, outside).otherwise(F.col("entries")).alias("rest"),
     )
 
@@ -197,7 +206,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, seed: i
     common = anchors.groupBy("anchor").agg(*span, single.alias("single")).filter("low < high")
     common = ws.save(common.select("anchor", "low", "single"), "common")
     met = shared = ws.save(anchors.join(common, "anchor"), "shared")
-    interval = ["doc_id", "tag", "lo", (F.col("lo") + F.col("n") - 1 + window).alias("hi")]
+    interval = ["doc_id", "tag", "lo", (F.col("lo") + F.col("n") * F.col("times") - 1 + window).alias("hi")]
     # anchors with one reach: the smallest document is known already
     alike = shared.filter("single and doc_id > low").select(*interval)
 
@@ -211,7 +220,7 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, seed: i
     # where reaches differ: the smallest document of each, window by window
     partial = reaches.select(*reach, F.col("low").alias("doc_id"))
     sources = shared.join(partial, [*reach, "doc_id"])
-    sources = ws.save(sources.groupBy("doc_id", "tag", *reach).agg(F.min("lo").alias("lo"), F.first("n").alias("n")), "sources")
+    sources = ws.save(sources.groupBy("doc_id", "tag", *reach).agg(F.min("lo").alias("lo"), F.first("n").alias("n"), F.lit(1).alias("times")), "sources")
     lists = ws.save(sources.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*_ENTRY)).alias("spans")), "lists")
     texts = ids_only(docs, lists.select("doc_id").distinct(), "doc_id", lists.count()).join(lists, ["doc_id", "tag"])
     windows = texts.select("doc_id", "text", "spans").mapInArrow(_window_rows(window, seed), "anchor long, wa long, wb long, ra long, rb long, doc_id long, step int")
@@ -220,9 +229,11 @@ def repeated_spans(ws: Workspace, docs: DataFrame, window: int = WINDOW, seed: i
     lows = ws.save(lows.select("anchor", "wa", "wb", "low"), "lows")
     steps = windows.join(lows, ["anchor", "wa", "wb"]).filter("doc_id > low")
     steps = ws.save(steps.groupBy(*reach, "doc_id").agg(F.collect_set("step").alias("steps")), "steps")
-    some = shared.join(steps, [*reach, "doc_id"]).select("doc_id", "tag", F.explode("steps").alias("step"), "lo")
-    some = some.select("doc_id", "tag", (F.col("lo") + F.col("step")).alias("lo"), (F.col("lo") + F.col("step") + window).alias("hi"))
-    out = settled.union(alike).union(whole).union(some).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    some = shared.join(steps, [*reach, "doc_id"])
+    every = some.filter(F.size("steps") == F.col("n")).select(*interval)
+    some = some.filter(F.size("steps") < F.col("n")).withColumn("step", F.explode("steps")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    some = some.withColumn("lo", F.col("lo") + F.col("turn") * F.col("n") + F.col("step")).select("doc_id", "tag", "lo", (F.col("lo") + window).alias("hi"))
+    out = settled.union(alike).union(whole).union(every).union(some).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     out = ws.save(out, "spans")
     ws.drop(extended, common, met, reaches, whole, sources, lists, windows, lows, steps)
     return out

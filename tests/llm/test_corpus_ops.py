@@ -95,6 +95,30 @@ def test_bpe_fuzz():
     assert [coder.decode(x) for x in got] == texts
 
 
+def test_bpe_of_very_long_words():
+    import time
+
+    from tokenizers import Tokenizer
+
+    coder, reference = bpe.SegmentTreeBPE(open(bpe.default_vocabulary()).read()), Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(1)
+    for n in (2, 3, 64, 1023, 50_000):
+        for letters in ("acgt", "abcdefghijklmnopqrstuvwxyz", "é漢"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert coder.encode_many([text]) == [",".join(map(str, reference.encode(text, add_special_tokens=False).ids))]
+    began = time.process_time()
+    coder.encode_many(["".join(rng.choices("acgt", k=1_000_000))])
+    assert time.process_time() - began < 30
+
+
+def test_bpe_remembers_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    coder = bpe.SegmentTreeBPE(open(bpe.default_vocabulary()).read())
+    for i in range(60):
+        coder.encode_many([prose(i, 40)])
+        assert sum(map(len, coder.cache)) + sum(map(len, coder.older)) < 60_000
+
+
 def test_bpe_digests_of_edges(odd):
     rows = bpe.bpe_digests(odd).collect()
     assert len(rows) == odd.count()
@@ -663,6 +687,21 @@ def test_substring_dedup_of_overlapping_repeats(spark):
     assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect()), key=str) == brute_removed(rows)
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    """Texts that repeat a few words for long, with other words around, of several periods and lengths."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(70):
+        words = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 30))]
+        for _ in range(rng.randrange(1, 3)):
+            period = [["Is", "onhe."], ["a"], ["x", "y", "z"], [f"p{k}" for k in range(23)], [f"q{k}" for k in range(60)]][rng.randrange(5)]
+            words += (period * 200)[rng.randrange(3) : rng.randrange(40, 400)]
+            words += [f"u{rng.randrange(10**6)}"] * rng.randrange(3)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect()), key=str) == brute_removed(rows)
+
+
 def test_texts_lose_exactly_the_repeats(odd):
     cut = substring_dedup.with_repeats_cut(odd)
     assert cut.columns == odd.columns
