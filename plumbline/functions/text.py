@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.jsontext import REDACTED, SECRET_PARTS
+
 # Failure codes by pattern, in order of precedence.
 FAILURES = [
     (r'^Step \d+ \(".*"\) could not ', "journey_step_failed"),
@@ -17,8 +19,18 @@ FAILURES = [
 PLATFORMS = [("react", r"(?i)data-reactroot|__next"), ("wordpress", r"(?i)wp-content|wp-includes|wordpress")]
 # What each platform's adapter can tell.
 CAPABILITIES = {"generic": (False, False, False), "react": (True, True, False), "wordpress": (False, False, True)}
-SECRET_KEYS = r"(?i)token|secret|password|authorization|cookie|credential"
-REDACTED = "[redacted]"
+SECRET_KEYS = "(?i)" + "|".join(SECRET_PARTS)
+# What a failed run's reason means.
+FAILURE_WORDS = {
+    "journey_step_failed": "A step could not be performed — usually a selector that no longer matches the page. Record the journey again against the current site.",
+    "journey_has_no_steps": "This run named a site but no path through it, so there was nothing to walk.",
+    "journey_not_in_scope": "This journey is not in the run contract’s scope, so the run was refused.",
+    "action_not_allowed": "A step asked for something this environment forbids. Production is read-only.",
+    "invalid_step_id": "The run’s step name was not usable as an evidence filename.",
+    "navigation_not_allowed": "The run refused to follow a navigation: somewhere outside this journey’s allowed hosts, or a private address. If the destination is legitimate, the journey’s allowed hosts have to be widened deliberately.",
+    "run_timed_out": "The run never reported back and was closed out. Usually the journey outlived the function’s time limit.",
+    "audit_run_failed": "The run stopped for a reason it could not categorise. Running it again will say whether it repeats.",
+}
 
 
 def escape_html(text: Column) -> Column:
@@ -34,6 +46,34 @@ def slug(text: Column, most: int) -> Column:
     return F.regexp_replace(F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, most), r"-+$", "")
 
 
+def client_slug(name: Column, most: int = 48) -> Column:
+    """A client's id from its name, before it is made unique: as ``slug``, but what the cut leaves stays; client for nothing."""
+    dashed = F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, most), F.lit("")), F.lit("client"))
+
+
+def failure_words(code: Column) -> Column:
+    """A sentence on a failed run's reason code; unknown codes are told as they are."""
+    out = F.when(F.lit(False), "")
+    for known, words in FAILURE_WORDS.items():
+        out = out.when(code == known, words)
+    return out.otherwise(F.concat(F.lit("The run stopped: "), code, F.lit(".")))
+
+
+def policy_mode(environment: Column) -> Column:
+    return F.when(environment == "production", "read-only").otherwise("safe-write")
+
+
+def date_part(ts: Column) -> Column:
+    """The day of a time, as text."""
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def host_words(host: Column, most: int = 80) -> Column:
+    """A host as copy shows it, cut in front of an ellipsis."""
+    return clip(host, most)
+
+
 def page_key(index: Column, route: Column) -> Column:
     """File-name key of a captured page: two digits of its place and a slug of its route without extension."""
     bare = F.regexp_replace(route, r"\.[A-Za-z0-9]+$", "")

@@ -7,9 +7,11 @@ segments, percent-encoding) for input that needs it.
 
 from __future__ import annotations
 
+import html
 import ipaddress
+import posixpath
 import re
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,9 +35,28 @@ BLOCKED_IPV4 = [
     ("240.0.0.0", 4),
 ]
 # Suffixes under which anyone can register.
-PUBLIC_SUFFIXES = (
-    "co.uk org.uk me.uk com.au net.au org.au co.nz co.za co.jp ne.jp or.jp com.br com.mx com.ar co.in com.sg com.hk com.tr com.cn com.tw"
-).split()
+PUBLIC_SUFFIXES = [
+    "co.uk",
+    "org.uk",
+    "me.uk",
+    "com.au",
+    "net.au",
+    "org.au",
+    "co.nz",
+    "co.za",
+    "co.jp",
+    "ne.jp",
+    "or.jp",
+    "com.br",
+    "com.mx",
+    "com.ar",
+    "co.in",
+    "com.sg",
+    "com.hk",
+    "com.tr",
+    "com.cn",
+    "com.tw",
+]
 MAX_HOSTS, MAX_HOST = 10, 253
 _PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 _ABSOLUTE = r"^(?i)(https?|file)://([^/?#\s]*)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
@@ -136,25 +157,33 @@ def target_refusal(url: Column, allowed: Column) -> Column:
 
 
 def ipv4_number(address: Column) -> Column:
-    """An IPv4 address as a long, NULL if it is none."""
-    part = F.split(address, r"\.")
-    valid = address.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    at = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("bigint")
-    return F.when(valid, at(0) * 16777216 + at(1) * 65536 + at(2) * 256 + at(3))
+    """An IPv4 address as a long, NULL if it is none. Numbers of a part have no leading zeros."""
+    part = F.split(address, r"\.", 5)
+    at = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("int")
+    number = at(0).cast("long") * 16777216 + at(1) * 65536 + at(2) * 256 + at(3)
+    # written back, so signs, blanks, leading zeros and parts that are too long are found by one comparison
+    plain = F.concat_ws(".", *[at(i).cast("string") for i in range(4)])
+    small = F.greatest(*[at(i) for i in range(4)]) < 256
+    return F.when(small & (plain == address) & ~address.contains("-"), number)
 
 
 def blocked_ipv4(address: Column) -> Column:
-    """Whether an IPv4 address lies in a blocked range; NULL if it is no IPv4 address."""
-
-    def inside(number: Column) -> Column:
-        hit = F.lit(False)
-        for network, prefix in BLOCKED_IPV4:
-            low = int(ipaddress.IPv4Address(network))
-            hit = hit | number.between(low, low + (1 << (32 - prefix)) - 1)
-        return F.when(number.isNotNull(), hit)
-
-    # the lambda binds the parsed number, so it is worked out once and not once per range
-    return F.transform(F.array(ipv4_number(address)), inside)[0]
+    """Whether an IPv4 address lies in a blocked range; NULL if it is no IPv4 address.
+
+    A range is a text prefix or a comparison of its first parts, so no number is worked out.
+    """
+    part = F.split(address, r"\.", 5)
+    at = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("int")
+    hit = F.lit(False)
+    for network, prefix in BLOCKED_IPV4:
+        own, fixed = [int(x) for x in network.split(".")], prefix // 8
+        inside = F.lit(True)
+        for i in range(fixed):
+            inside = inside & (at(i) == own[i])
+        if prefix % 8:
+            inside = inside & at(fixed).between(own[fixed], own[fixed] + (1 << (8 - prefix % 8)) - 1)
+        hit = hit | inside
+    return F.when(ipv4_number(address).isNotNull(), hit)
 
 
 def blocked_address(address: Column) -> Column:
@@ -232,11 +261,87 @@ def parse_like_browser(url: str | None) -> tuple[str, str, str, str, str] | None
     return f"{scheme}:", host, shown, path, search
 
 
-@pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("protocol", "host", "hostname", "pathname", "search")]))
+PARTS = ("protocol", "host", "hostname", "pathname", "search")
+
+
+@pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in PARTS]))
 def browser_url(urls: pd.Series) -> pd.DataFrame:
     """The parts of each URL as a browser reads them; NULLs if it would refuse it."""
     rows = [parse_like_browser(u) or (None,) * 5 for u in urls]
-    return pd.DataFrame(rows, columns=["protocol", "host", "hostname", "pathname", "search"])
+    return pd.DataFrame(rows, columns=list(PARTS))
+
+
+def browser_origin(url: Column) -> Column:
+    """Protocol and host, NULL for a URL that a browser refuses; ``null`` where a URL has no host."""
+    parts = browser_url(url)
+    return F.when(parts["protocol"] == "file:", "null").otherwise(F.concat(parts["protocol"], F.lit("//"), parts["host"]))
+
+
+def browser_key(url: Column) -> Column:
+    """The discovery key as a browser builds it: origin, normalised path and query; NULL if it would refuse the URL."""
+    parts = browser_url(url)
+    return F.concat(browser_origin(url), normalise_path(parts["pathname"]), parts["search"])
+
+
+def browser_step_path(page_url: Column, target_url: Column) -> Column:
+    """Path and query of a page on the target's host as a browser reads both, else NULL."""
+    page, target = browser_url(page_url), browser_url(target_url)
+    return F.when(page["hostname"] == target["hostname"], F.concat(page["pathname"], page["search"]))
+
+
+def journey_origin(entry_url: Column, typed_url: Column) -> Column:
+    """Where a journey of crawled pages starts: the origin of the crawl's entry page, or of the URL as typed."""
+    return F.coalesce(browser_origin(entry_url), browser_origin(typed_url))
+
+
+def resolve_like_browser(base: str | None, link: str | None) -> str | None:
+    """A link on a page as an absolute URL, fragment kept; None if a browser would refuse it."""
+    if link is None:
+        return None
+    link = re.sub(r"[\t\n\r]", "", link.strip("\x00-\x20 "))
+    address, mark, fragment = link.partition("#")
+    scheme = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", address)
+    if scheme and scheme[0].lower() not in ("http:", "https:"):
+        return link
+    own = parse_like_browser(base)
+    if own is None and not scheme:
+        return None
+    try:
+        joined = address if scheme else urljoin(f"{own[0]}//{own[1]}{own[3]}{own[4]}", address.replace("\\", "/")) if address else f"{own[0]}//{own[1]}{own[3]}{own[4]}"
+    except ValueError:
+        return None
+    parts = parse_like_browser(joined)
+    return None if parts is None else f"{parts[0]}//{parts[1]}{parts[3]}{parts[4]}" + (mark + quote(fragment, safe="/%:@!$&'()*+,;=~-._?[]|^{}#\\") if fragment else mark)
+
+
+@pandas_udf(T.StringType())
+def resolved_url(bases: pd.Series, links: pd.Series) -> pd.Series:
+    """Each link of a page (base) as an absolute URL; NULL if a browser would refuse it."""
+    return pd.Series([resolve_like_browser(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
+
+
+@pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Texts with HTML's character references read."""
+    return texts.map(lambda x: None if x is None else html.unescape(x))
+
+
+@pandas_udf(T.StringType())
+def navigation_url(paths: pd.Series, targets: pd.Series, roots: pd.Series) -> pd.Series:
+    """Where a step's path leads: below the target URL, or without one to a file below the fixture root; NULL if it would leave the root."""
+
+    def one(path: str | None, target: str | None, root: str | None) -> str | None:
+        if path is None:
+            return None
+        if target:
+            return resolve_like_browser(target if target.endswith("/") else f"{target}/", path)
+        if root is None:
+            return None
+        top = posixpath.normpath(root)
+        place = posixpath.normpath(posixpath.join(top, path))
+        return "file://" + quote(place) if place == top or place.startswith(top.rstrip("/") + "/") else None
+
+    return pd.Series([one(*row) for row in zip(paths, targets, roots, strict=True)], dtype=object)
 
 
 def _blocked_v6(address: str | None) -> bool:

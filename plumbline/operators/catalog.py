@@ -5,10 +5,13 @@ Every time-dependent operator takes ``now``; none reads the clock.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import text as tx
 from plumbline.operators.views import run_refusal
@@ -18,7 +21,8 @@ STALE_SECONDS, RETENTION_DAYS = 360, 90
 DEFAULT_HOUR, DAILY_HOURS, WEEKLY_DAYS = 3, 23, 6
 RUNS_PER_HOUR, RUNS_PER_DAY, PREVIEWS_PER_HOUR, PREVIEWS_PER_DAY = 20, 100, 40, 200
 FAILURES_TO_THROTTLE, THROTTLE_SECONDS = 8, 300
-MAX_PAGES, MAX_DEPTH, MAX_ERRORS = 100, 3, 100
+MAX_PAGES, MAX_DEPTH, MAX_ERRORS, MAX_PAGE_LINKS = 100, 3, 100, 500
+RESERVED_SLUGS = ("new",)
 # What each environment lets a step do.
 READ_ONLY = ["login", "navigate", "inspect", "search", "filter", "paginate", "open-detail"]
 ALLOWED = {
@@ -72,6 +76,83 @@ def release_claim(journeys: DataFrame, journey_id) -> DataFrame:
     return journeys.withColumn("last_scheduled_at", F.when(F.col("id") != journey_id, F.col("last_scheduled_at")))
 
 
+def release_claims(journeys: DataFrame, failed: DataFrame) -> DataFrame:
+    """Journeys, those in ``failed`` (id) free again: their run was not started."""
+    lost = failed.select(F.col("id").alias("_lost")).distinct()
+    out = journeys.join(lost, F.col("id") == F.col("_lost"), "left")
+    return out.withColumn("last_scheduled_at", F.when(F.col("_lost").isNull(), F.col("last_scheduled_at"))).drop("_lost")
+
+
+def tick(runs: DataFrame, journeys: DataFrame, now: Column, limit: int = 3, seconds: int = STALE_SECONDS) -> dict[str, DataFrame]:
+    """One scheduled turn: runs after the sweep, how many it closed, the journeys to start, and all journeys with their claims.
+
+    Journeys whose start then fails go to ``release_claims``.
+    """
+    stale = is_abandoned(F.col("status"), F.col("started_at"), F.col("created_at"), now, seconds)
+    return {
+        "runs": reconcile_stale(runs, now, seconds),
+        "closed": runs.agg(F.count_if(stale).alias("rows_affected")),
+        "due": due_journeys(journeys, now, limit),
+        "journeys": claim_journeys(journeys, now, limit),
+    }
+
+
+def archive_journey(journeys: DataFrame, journey_id, now: Column) -> DataFrame:
+    """Journeys, one archived (again archived: the later time)."""
+    return journeys.withColumn("archived_at", F.when(F.col("id") == journey_id, now.cast(journeys.schema["archived_at"].dataType)).otherwise(F.col("archived_at")))
+
+
+def revoke_report(reports: DataFrame, report_id, now: Column) -> DataFrame:
+    """Reports, the share link of one revoked."""
+    return reports.withColumn("revoked_at", F.when(F.col("id") == report_id, now.cast(reports.schema["revoked_at"].dataType)).otherwise(F.col("revoked_at")))
+
+
+def clear_triage(triage: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Triage marks without those in ``cleared`` (client_id, finding_key)."""
+    return triage.join(cleared.select("client_id", "finding_key").distinct(), ["client_id", "finding_key"], "left_anti")
+
+
+def bump_epochs(operators: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Operators, the sessions of those in ``ids`` (id) ended."""
+    hit = operators.join(ids.select(F.col("id").alias("_hit")).distinct(), F.col("id") == F.col("_hit"), "left")
+    on = F.col("_hit").isNotNull()
+    return hit.withColumn("session_epoch", F.col("session_epoch") + F.when(on, 1).otherwise(0)).withColumn("updated_at", F.when(on, now).otherwise(F.col("updated_at"))).drop("_hit")
+
+
+def set_disabled(operators: DataFrame, ids: DataFrame, now: Column, disabled: bool = True) -> DataFrame:
+    """Operators, those in ``ids`` (id) disabled or not; either way their sessions end."""
+    hit = bump_epochs(operators, ids, now).join(ids.select(F.col("id").alias("_hit")).distinct(), F.col("id") == F.col("_hit"), "left")
+    when = now if disabled else F.lit(None)
+    return hit.withColumn("disabled_at", F.when(F.col("_hit").isNotNull(), when.cast(operators.schema["disabled_at"].dataType)).otherwise(F.col("disabled_at"))).drop("_hit")
+
+
+def upsert_operators(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
+    """Operators by address, whatever its case: id, address, epoch and creation stay as stored, name, hash and disabled_at are the incoming ones."""
+    kept = ("id", "email", "session_epoch", "created_at")
+    old = stored.select(*[F.col(c).alias(f"_{c}") for c in stored.columns])
+    new = incoming.withColumns({c: F.lit(None).cast(stored.schema[c].dataType) for c in stored.columns if c not in incoming.columns}).withColumn("_given", F.lit(True))
+    both = new.join(old, F.lower("email") == F.lower("_email"), "full_outer")
+    given = F.col("_given").isNotNull()
+    fresh = {"session_epoch": F.lit(0), "created_at": now, "updated_at": now}
+
+    def pick(c: str) -> Column:
+        if c in kept:
+            return F.coalesce(f"_{c}", F.coalesce(c, fresh[c]) if c in fresh else F.col(c))
+        return F.when(given, now if c == "updated_at" else F.col(c)).otherwise(F.col(f"_{c}"))
+
+    return both.select(*[pick(c).cast(stored.schema[c].dataType).alias(c) for c in stored.columns])
+
+
+def append_events(events: DataFrame, fresh: DataFrame, order: str = "created_at") -> DataFrame:
+    """Events with further ones, which get the next ids in their order; columns they lack are NULL.
+
+    One task numbers the further ones, a batch that is small next to the log.
+    """
+    last = events.agg(F.max("id").alias("last")).first().last or 0
+    numbered = fresh.drop("id").withColumn("id", F.row_number().over(Window.orderBy(order)) + F.lit(last))
+    return events.unionByName(numbered, allowMissingColumns=True)
+
+
 def clear_artifacts(pages: DataFrame, runs: DataFrame, cutoff: Column) -> DataFrame:
     """Pages, those of runs created before the cutoff without artifacts (map); others as they are."""
     old = runs.filter(F.col("created_at") < cutoff).select("request_id", F.lit(True).alias("_old"))
@@ -137,6 +218,12 @@ def actions_anywhere() -> list[str]:
     return list(dict.fromkeys(a for actions in ALLOWED.values() for a in actions))
 
 
+def distinct_actions(rows: DataFrame, actions: str, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct actions of all rows' arrays, in text order, per group or over all."""
+    one = rows.select(*by, F.explode(actions).alias("_action")).distinct()
+    return one.groupBy(*by).agg(F.array_sort(F.collect_list("_action")).alias(actions))
+
+
 def consume_budget(requests: DataFrame, ts: str, key: str, per_hour: int = RUNS_PER_HOUR, per_day: int = RUNS_PER_DAY, prefix: str = "runs") -> DataFrame:
     """Requests with their place in the UTC hour and day; the day is judged first, and refused requests count too.
 
@@ -216,11 +303,108 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_pa
     return seen
 
 
-def unique_slugs(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """Slugs with suffixes -2, -3 ... for repeats of a base, in order; a suffixed slug that meets a base of its own is moved on."""
-    place = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    out = rows.withColumn("_place", place)
-    plain = rows.select(F.col(base).alias("_taken")).distinct()
-    out = out.withColumn("slug", F.when(F.col("_place") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("_place").cast("string"))))
-    hit = out.join(plain, (F.col("slug") == F.col("_taken")) & (F.col("_place") > 1), "left")
-    return hit.withColumn("slug", F.when(F.col("_taken").isNotNull(), F.concat("slug", F.lit("-x"))).otherwise(F.col("slug"))).drop("_taken", "_place")
+def crawl_pages(links: DataFrame, seeds: DataFrame, failed: DataFrame | None = None, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, max_links: int = MAX_PAGE_LINKS, max_errors: int = MAX_ERRORS) -> tuple[DataFrame, DataFrame]:
+    """A crawl of every site at once, breadth first, within its bounds: pages (site, page, depth, seq) and outcomes.
+
+    ``links`` is (src, position, dst), ``seeds`` (site, page), ``failed`` (page, message) pages that cannot
+    be read. A page is visited once, in the order in which links to it are met: by the place of the
+    page that links and the link's position. Of a page ``max_links`` links count. A failed page is an
+    error, not a page, and its links are not seen. When as many pages are recorded or waiting as
+    ``max_pages`` allows, further links are met but not followed.
+
+    Outcomes (site, seen, truncated, errors, errors_omitted): ``seen`` counts all pages met,
+    ``truncated`` is url-cap if any was not followed, ``errors`` lists up to ``max_errors`` pages.
+
+    A level is one join of its pages with the links and two windows per site. The windows see the links
+    of one level of one site: at most ``max_pages`` times ``max_links``.
+    """
+    ws = Workspace(links.sparkSession, "crawl")
+    links = links.filter(F.col("position") < max_links)
+    broken = failed.select(F.col("page").alias("_bad"), "message") if failed is not None else None
+
+    def visited(rows: DataFrame) -> DataFrame:
+        """Rows of a level with ``error``, and ``lost``: the failures of the site among what was taken before them."""
+        rows = rows.join(broken, F.col("page") == F.col("_bad"), "left").withColumn("error", F.coalesce("message", F.when(F.col("_bad").isNotNull(), ""))).drop("_bad", "message") if broken is not None else rows.withColumn("error", F.lit(None).cast("string"))
+        so_far = Window.partitionBy("site").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("lost", F.col("lost") + F.coalesce(F.count_if(F.col("error").isNotNull()).over(so_far), F.lit(0)))
+
+    level = seeds.select("site", "page", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("lost"), F.lit(True).alias("followed"))
+    level = ws.save(visited(level.dropDuplicates(["site"])), "level")
+    every = level
+    for depth in range(1, max_depth + 1):
+        open_pages = level.filter("followed and error is null").select("site", F.col("page").alias("src"), F.col("seq").alias("from"), "lost")
+        met = open_pages.join(links, "src").select("site", F.col("dst").alias("page"), "from", "position", "lost")
+        met = met.join(every.select("site", "page"), ["site", "page"], "left_anti")
+        first = Window.partitionBy("site", "page").orderBy("from", "position")
+        met = met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+        # taken so far and the most that may be: a(i) = min(a(i - 1) + 1, cap(i)), as caps do not fall
+        taken = every.groupBy("site").agg(F.count_if("followed").alias("taken"), F.max("seq").alias("last"))
+        order = Window.partitionBy("site").orderBy("from", "position")
+        met = met.join(taken, "site").withColumn("i", F.row_number().over(order))
+        room = F.min(F.lit(max_pages) + F.col("lost") - F.col("i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("upto", F.least(F.col("taken") + F.col("i"), F.greatest(F.col("taken"), room + F.col("i"))))
+        met = met.withColumn("followed", F.col("upto") > F.lag("upto", 1).over(order).cast("long")).withColumn("followed", F.coalesce("followed", F.col("upto") > F.col("taken")))
+        # failures of this level are seen when it is worked off, after those before it
+        lost = level.groupBy("site").agg(F.max(F.col("lost") + F.when(F.col("error").isNotNull() & F.col("followed"), 1).otherwise(0)).alias("lost"))
+        rows = met.drop("lost").join(lost, "site").select("site", "page", F.lit(depth).alias("depth"), (F.col("last") + F.col("i")).cast("long").alias("seq"), "lost", "followed")
+        dropped = rows.filter("not followed").withColumn("error", F.lit(None).cast("string"))
+        level = ws.save(visited(rows.filter("followed")).unionByName(dropped), "level")
+        every = every.unionByName(level)
+    every = ws.save(every, "crawl")
+    pages = every.filter("followed and error is null")
+    pages = pages.select("site", "page", "depth", (F.row_number().over(Window.partitionBy("site").orderBy("seq")) - 1).alias("seq"))
+    told = F.struct("seq", "page", "error")
+    outcomes = every.groupBy("site").agg(
+        F.count("*").alias("seen"),
+        F.when(F.count_if(~F.col("followed")) > 0, "url-cap").alias("truncated"),
+        F.array_sort(F.collect_list(F.when(F.col("followed") & F.col("error").isNotNull(), told))).alias("_errors"),
+    )
+    listed = F.transform(F.slice("_errors", 1, max_errors), lambda e: F.struct(e["page"].alias("page"), e["error"].alias("message")))
+    return pages, outcomes.select("site", "seen", "truncated", listed.alias("errors"), F.greatest(F.size("_errors") - max_errors, F.lit(0)).alias("errors_omitted"))
+
+
+def unique_slugs(rows: DataFrame, base: str, order: str, taken: DataFrame | None = None, reserved: tuple[str, ...] = RESERVED_SLUGS) -> DataFrame:
+    """Slugs, each once: in order, a row gets its base if that is free, else the base with the first free suffix from -2 on.
+
+    ``taken`` (slug) are in use already; ``reserved`` ones never are given. Whether a name is free can
+    depend only on bases that are equal but for suffixes, so rows are dealt by the base without them,
+    and a task streams through its rows in order. It holds the names given for one such base, as
+    numbers up to which all are taken and the few beyond.
+    """
+    columns = [f.name for f in rows.schema.fields]
+    bare = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, r"(-[0-9]+)+$", ""), F.lit("")), c)
+    own = rows.select(bare(F.col(base)).alias("root"), F.lit(1).alias("late"), F.col(order).alias("place"), F.col(base).alias("base"), F.struct(*columns).alias("row"))
+    if taken is not None:
+        used = taken.select(bare(F.col("slug")).alias("root"), F.lit(0).alias("late"), F.lit(None).cast(rows.schema[order].dataType).alias("place"), F.col("slug").alias("base"), F.lit(None).cast(own.schema["row"].dataType).alias("row"))
+        own = own.unionByName(used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, given, upto = None, set(), {}
+
+        def is_taken(name: str) -> bool:
+            stem, _, number = name.rpartition("-")
+            return name in given or (number.isascii() and number.isdigit() and number[0] != "0" and 1 < int(number) <= upto.get(stem, 1))
+
+        for batch in batches:
+            slugs = []
+            for now, late, name in zip(batch.column("root").to_pylist(), batch.column("late").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                if now != root:
+                    root, given, upto = now, set(reserved), {}
+                slug = name
+                if not is_taken(name):
+                    given.add(name)
+                elif late:
+                    k = upto.get(name, 1) + 1
+                    while is_taken(f"{name}-{k}"):
+                        given.discard(f"{name}-{k}")
+                        upto[name] = k
+                        k += 1
+                    upto[name] = k
+                    slug = f"{name}-{k}"
+                slugs.append(slug)
+            keep = pa.compute.equal(batch.column("late"), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(keep), pa.array(slugs, pa.string()).filter(keep)], ["row", "slug"])
+
+    shape = T.StructType([own.schema["row"], T.StructField("slug", T.StringType())])
+    out = own.repartition("root").sortWithinPartitions("root", "late", "place").mapInArrow(run, shape)
+    return out.select("row.*", "slug")

@@ -15,10 +15,6 @@ from plumbline.functions import findings as fx
 from plumbline.functions.text import clamp_limit
 
 
-#: Ranges into which a group is cut to find an element by rank.
-SPLITS = 200
-
-
 def newest_first(created: str = "created_at", key: str = "request_id") -> list[Column]:
     return [F.desc_nulls_last(created), F.desc(key)]
 
@@ -163,25 +159,18 @@ def source_counts(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def upper_median(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The element at floor(n / 2) of each group's sorted values (no interpolation); NULL without any.
 
-    A large group must not meet in one task: approximate quantiles cut it into about SPLITS ranges,
-    counts tell which range holds the element, and only that range's distinct values are ranked.
+    Rows are counted per value before the shuffle, and the running count over a group's distinct
+    values finds the element, so a large group costs no more than its distinct values.
     """
     by = list(by)
-    some = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    counts = rows.groupBy(*by).agg(F.count(value).alias("n"))
-    cuts = some.groupBy(*by).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS).alias("_cuts"))
-    same = [F.col(f"_k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(by)]
-    named = lambda df: df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in df.columns if c not in by])
-    ranged = some.join(named(cuts), same).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).select(*by, "_v", "_range")
-    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_size"))
-    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("_upto", F.sum("_size").over(upto)).join(named(counts), same)
-    place = F.floor(F.col("n") / 2) + 1
-    chosen = sizes.filter((F.col("_upto") >= place) & (F.col("_upto") - F.col("_size") < place)).select(*by, "_range", (place - F.col("_upto") + F.col("_size")).alias("_place"))
-    values = ranged.join(named(chosen).withColumnRenamed("_range", "_chosen"), [*same, F.col("_range") == F.col("_chosen")]).groupBy(*by, "_v", "_place").agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    middle = values.withColumn("_upto", F.sum("_n").over(running)).filter((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place")))
-    return counts.join(named(middle.select(*by, F.col("_v").alias("upper_median"))), same, "left").select(*by, "n", "upper_median")
+    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    group = Window.partitionBy(*by)
+    upto = F.sum(known).over(group.orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*by, "_v", known.alias("_n"), upto.alias("_upto"), F.sum(known).over(group).cast("long").alias("n"))
+    place = F.floor(F.col("n") / 2)
+    middle = F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col("_v")))
+    return placed.groupBy(*by, "n").agg(middle.alias("upper_median"))
 
 
 def phase_headroom(runs: DataFrame, budget_ms: int = 300_000, usable_ms: int = 240_000) -> DataFrame:

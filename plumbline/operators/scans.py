@@ -74,11 +74,26 @@ def prune_ax_tree(nodes: Column, most: int = MAX_NODES) -> Column:
     return F.transform(F.slice(kept, 1, most), lambda n: F.struct(role(n).alias("role"), named(n).alias("name"), level(n).alias("level"), states(n).alias("states")))
 
 
-def page_links(pages: DataFrame, html: str = "html", most: int = MAX_LINKS) -> DataFrame:
-    """(all columns but html, position, href): a page's links in order, bounded in number and length."""
-    found = F.slice(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), 1), 1, most)
-    out = pages.select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("position", "href"))
-    return out.filter(F.length("href") <= MAX_HREF)
+#: An anchor's start tag up to its href, quoted or not; other attributes may hold any quoted text.
+_ANCHOR = r"""(?is)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*?[\s/"']href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template|textarea|title)\b.*?</\1\s*>"
+
+
+def page_links(pages: DataFrame, html: str = "html", url: str = "url", most: int = MAX_LINKS) -> DataFrame:
+    """(all columns but html, position, href): where a page's links lead, in order, as absolute http(s) URLs.
+
+    Anchors in comments, scripts and other text are none. Of a page the first ``most`` anchors with
+    an address count; of these, links that are not http(s), cannot be read or are longer than
+    MAX_HREF are left out. Positions count all anchors, from 0. Addresses are resolved against the
+    page's URL as a browser does.
+    """
+    bare = F.regexp_replace(html, _HIDDEN, " ")
+    found = F.slice(F.regexp_extract_all(bare, F.lit(_ANCHOR), 1), 1, most)
+    rest = [c for c in pages.columns if c != html]
+    out = pages.select(*rest, F.posexplode(found).alias("position", "_raw"))
+    raw = F.regexp_replace("_raw", r"^[\"']|[\"']$", "")
+    out = out.withColumn("href", ux.resolved_url(F.col(url), ux.unescaped(raw))).drop("_raw")
+    return out.filter(F.col("href").rlike("^https?://") & (F.length("href") <= MAX_HREF))
 
 
 def page_title(html: Column) -> Column:

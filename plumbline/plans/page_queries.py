@@ -68,11 +68,26 @@ def slugs(spark, d):
     return c.select("c_custkey", tx.slug(F.concat_ws(" ", "c_name", "c_mktsegment"), 24).alias("slug"))
 
 
-@query(r"""WITH b AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS base FROM part),
-r AS (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS i FROM b)
-SELECT p_partkey, CASE WHEN i = 1 THEN base ELSE base || '-' || i END AS slug FROM r""")
+def _slug_sql() -> str:
+    """Rows in order, each given its base or the first free suffix: one step of the recursion per row of a family of bases."""
+    return r"""WITH RECURSIVE n AS (SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN '  ' || p_brand || ' ! ' WHEN 1 THEN p_name || ' 2' WHEN 2 THEN 'New' WHEN 3 THEN '??' WHEN 4 THEN 'Client' ELSE p_name END AS name FROM part),
+b AS (SELECT p_partkey, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'client') AS base FROM n),
+f AS (SELECT *, coalesce(nullif(regexp_replace(base, '(-[0-9]+)+$', ''), ''), base) AS root FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY p_partkey) AS i FROM f),
+w AS (SELECT root, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS p_partkey, CAST(NULL AS VARCHAR) AS slug, ['new'] AS taken FROM (SELECT DISTINCT root FROM o)
+  UNION ALL
+  SELECT root, i, p_partkey, slug, list_append(taken, slug) FROM (
+    SELECT o.root, o.i, o.p_partkey, w.taken, CASE WHEN NOT list_contains(w.taken, o.base) THEN o.base
+      ELSE list_extract(list_filter(list_transform(range(2, len(w.taken) + 3), lambda k: o.base || '-' || k), lambda c: NOT list_contains(w.taken, c)), 1) END AS slug
+    FROM w JOIN o ON o.root = w.root AND o.i = w.i + 1))
+SELECT p_partkey, slug FROM w WHERE i > 0"""
+
+
+@query(_slug_sql())
 def unique_slugs(spark, d):
-    p = read_table(spark, d, "part").select("p_partkey", tx.slug(F.col("p_name"), 48).alias("base"))
+    key = F.col("p_partkey")
+    named = F.when(key % 11 == 0, F.concat(F.lit("  "), "p_brand", F.lit(" ! "))).when(key % 11 == 1, F.concat("p_name", F.lit(" 2"))).when(key % 11 == 2, "New").when(key % 11 == 3, "??").when(key % 11 == 4, "Client").otherwise(F.col("p_name"))
+    p = read_table(spark, d, "part").select("p_partkey", tx.client_slug(named).alias("base"))
     return catalog.unique_slugs(p, "base", "p_partkey").select("p_partkey", "slug")
 
 
@@ -111,16 +126,42 @@ def platform_detect(spark, d):
     return _pages(spark, d).select("page_id", tx.detect_platform(html).alias("platform"), tx.detect_platform(html, None, [("ads", 'class="ad"'), ("french", 'lang="fr"')]).alias("marked"))
 
 
-@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1) AS links FROM pages)
-SELECT page_id, CAST(i - 1 AS INTEGER) AS position, links[i] AS href FROM (SELECT page_id, links, unnest(range(1, least(len(links), 500) + 1)) AS i FROM l) WHERE length(links[i]) <= 2048""")
+#: Anchors that test what is no link, added to every page: in a comment, in a script, other schemes, no quotes, references, too long.
+_EXTRA = [
+    '<!-- <a href="/hidden">x</a> --><script>var a = "<a href=\'/script\'>"</script>',
+    '<a title="a > b" href=../up/K>x</a>',
+    "<A HREF='//Cdn.Example.COM:443/x?a=1&amp;b=K'>x</A>",
+    '<a href="mailto:k@example.org">x</a><a name="n">x</a><a href="javascript:void(0)">x</a><a href="?p=K#f">x</a><a href="http://">x</a>',
+    '<a href="/LONG">x</a>',
+]
+#: Where they lead, by the number of the anchor: what the query has to find.
+_LED = "[dir || 'up/' || page_id, CASE WHEN origin LIKE 'https:%' THEN 'https://cdn.example.com' ELSE 'http://cdn.example.com:443' END || '/x?a=1&b=' || page_id, NULL, NULL, origin || path || '?p=' || page_id || '#f', NULL, NULL]"
+
+
+def _extra_sql() -> str:
+    text = " || ".join("'" + x.replace("'", "''") + "'" for x in _EXTRA)
+    return f"replace(replace({text}, 'K', CAST(page_id AS VARCHAR)), 'LONG', repeat('x', 2048))"
+
+
+@query(rf"""WITH p AS (SELECT page_id, html, {_HEAD.format(n=1)} || '://' || {_HEAD.format(n=2)} AS origin, {_HEAD.format(n=3)} AS path FROM pages),
+l AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS own, origin, path,
+  CASE WHEN length(path) - length(replace(path, '/', '')) <= 2 THEN origin || '/' ELSE regexp_replace(origin || path, '[^/]*/[^/]*$', '') END AS dir FROM p),
+a AS (SELECT page_id, list_concat(list_transform(own, lambda x: replace(origin || '/' || url_encode(x), '%2C', ',')), CASE WHEN page_id % 3 < 2 THEN {_LED} ELSE [] END) AS hrefs FROM l)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(range(1, least(len(hrefs), 500) + 1)) AS i FROM a) WHERE hrefs[i] IS NOT NULL""")
 def link_extract(spark, d):
-    return scans.page_links(_pages(spark, d).select("page_id", "html"))
+    """Links of every page; two thirds of the pages get further anchors, so that all kinds of links are met."""
+    key = F.col("page_id").cast("string")
+    extra = F.replace(F.replace(F.lit("".join(_EXTRA)), F.lit("K"), key), F.lit("LONG"), F.lit("x" * 2048))
+    html = F.when(F.col("page_id") % 3 < 2, F.concat("html", extra)).otherwise(F.col("html"))
+    return scans.page_links(_pages(spark, d).select("page_id", "url", html.alias("html"))).drop("url")
 
 
 @query(f"""WITH t AS (SELECT page_id, {_NORM.format(p=_PATH)} AS route, lower({_HEAD.format(n=2)}) AS host, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS title, html FROM pages)
-SELECT page_id, route, host, CASE WHEN length(title) > 300 THEN substr(title, 1, 300) || '…' ELSE title END AS title, 'generic' AS platform FROM t""")
+SELECT page_id, route, host, CASE WHEN length(title) > 300 THEN substr(title, 1, 300) || '…' ELSE title END AS title,
+  CASE WHEN page_id % 4 = 1 OR regexp_matches(html, '(?i)data-reactroot|__next') THEN 'react' WHEN page_id % 4 = 2 OR regexp_matches(html, '(?i)wp-content|wp-includes|wordpress') THEN 'wordpress' ELSE 'generic' END AS platform FROM t""")
 def page_profiles(spark, d):
-    return scans.page_profiles(_pages(spark, d))
+    html = F.concat("html", F.when(F.col("page_id") % 4 == 1, F.lit('<div id="__NEXT">')).when(F.col("page_id") % 4 == 2, F.lit("<img src=/WP-Content/x>")).otherwise(""))
+    return scans.page_profiles(_pages(spark, d).withColumn("html", html))
 
 
 @query(r"""WITH v AS (SELECT c_nationkey AS request_id, c_custkey AS visit, 'u' || (c_custkey % 40) AS served_url, 'u' || (c_custkey % 60) AS current_url FROM customer),
@@ -143,11 +184,18 @@ def ip_blocklist(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ux.blocked_ipv4(address).alias("blocked"))
 
 
-@query(r"""WITH h AS (SELECT c_custkey, lower(c_mktsegment) || CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '.com' WHEN 2 THEN '.co.uk/x' WHEN 3 THEN '.*.com' WHEN 4 THEN '.10' ELSE '_.org' END AS host FROM customer)
-SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'not_a_hostname' WHEN 2 THEN 'not_just_a_host' WHEN 3 THEN 'wildcard' WHEN 4 THEN 'address' WHEN 5 THEN 'not_a_hostname' END AS problem FROM h""")
+#: Test input: what follows a market segment in a host.
+_TAILS = ["", ".com", ".co.uk/x", ".*.com", ".10", "_.org", ".com.", ":443", "ü.de", "-.org", ".LONG.org", ".x--y.example"]
+
+
+@query(rf"""WITH h AS (SELECT c_custkey, regexp_replace(lower(CASE WHEN c_custkey % 13 = 6 THEN 'co.uk' WHEN c_custkey % 13 = 7 THEN '  ' ELSE trim(' ' || c_mktsegment || replace(list_extract({_TAILS}, CAST(c_custkey % {len(_TAILS)} + 1 AS INTEGER)), 'LONG', repeat('a.', 130) || 'b')) END), '\.$', '') AS host FROM customer)
+SELECT c_custkey, CASE WHEN trim(host) = '' THEN 'blank' WHEN contains(host, '*') THEN 'wildcard' WHEN regexp_matches(host, '[:/?#@]') THEN 'not_just_a_host' WHEN length(host) > 253 THEN 'too_long'
+  WHEN NOT regexp_full_match(host, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?') THEN CASE WHEN regexp_matches(host, '[^ -~]') THEN 'not_punycode' ELSE 'not_a_hostname' END
+  WHEN regexp_matches(host, '(^|\.)[0-9]+$') THEN 'address' WHEN host IN ('co.uk', 'org.uk', 'com.au') THEN 'public_suffix' END AS problem FROM h""")
 def host_problems(spark, d):
-    tail = F.element_at(F.array(*[F.lit(x) for x in ("", ".com", ".co.uk/x", ".*.com", ".10", "_.org")]), (F.col("c_custkey") % 6 + 1).cast("int"))
-    rows = read_table(spark, d, "customer").withColumn("hosts", ux.normalised_hosts(F.array(F.concat(F.lit(" "), F.upper("c_mktsegment"), tail))))
+    tail = F.element_at(F.array(*[F.lit(x) for x in _TAILS]), (F.col("c_custkey") % len(_TAILS) + 1).cast("int"))
+    host = F.when(F.col("c_custkey") % 13 == 6, "co.uk").when(F.col("c_custkey") % 13 == 7, "  ").otherwise(F.concat(F.lit(" "), "c_mktsegment", F.replace(tail, F.lit("LONG"), F.lit("a." * 130 + "b"))))
+    rows = read_table(spark, d, "customer").withColumn("hosts", ux.normalised_hosts(F.array(host)))
     return rows.select("c_custkey", ux.host_problem(F.col("hosts")[0]).alias("problem"))
 
 
@@ -176,7 +224,7 @@ def tags_levels(spark, d):
 
 
 def _criteria_values() -> str:
-    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in line.split(" ", 2)) + ")" for line in wcag.CRITERIA.splitlines())
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in line) + ")" for line in wcag.CRITERIA)
 
 
 @query(f"""WITH dim(number, level, name) AS (VALUES {_criteria_values()}), r AS (SELECT p_partkey, 'WCAG 1.4.' || p_partkey % 20 AS raw, '1.4.' || p_partkey % 20 AS number FROM part)
@@ -212,26 +260,36 @@ def scan_findings(spark, d):
     return out.select("page_id", "undecided", "node_place", "code", "severity", "selector", "message", F.array_join("remediation_any", ",").alias("fixes"), F.array_join("wcag_criteria", ",").alias("criteria"), F.col("conformance_level").alias("level"))
 
 
-@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'journey_step_failed' WHEN 1 THEN 'journey_not_in_scope' WHEN 2 THEN 'action_not_allowed' WHEN 3 THEN 'action_not_allowed' WHEN 4 THEN 'invalid_step_id'
-  WHEN 5 THEN 'journey_has_no_steps' WHEN 6 THEN 'audit_run_failed' ELSE 'navigation_not_allowed' END AS code FROM events""")
+#: Test input: messages of failed runs; N stands for a number, T for a text.
+_TOLD = ['Step N ("T") could not click', "Step T could not", "journey-N is not allowed by run contract scope", "T not allowed by environment policy", 'Action "T" is not allowed in production', "stepId must be N", "A run against a target URL must name its own steps", "socket hang up N", "the stepId must"]
+
+
+def _told_sql() -> str:
+    items = ", ".join("'" + x.replace("'", "''") + "'" for x in _TOLD)
+    return f"replace(replace(list_extract([{items}], CAST(event_id % {len(_TOLD)} + 1 AS INTEGER)), 'N', CAST(user_id AS VARCHAR)), 'T', event_type)"
+
+
+@query(rf"""WITH m AS (SELECT event_id, {_told_sql()} AS message, event_id % 16 = 7 AS unsafe FROM events)
+SELECT event_id, CASE WHEN unsafe THEN 'navigation_not_allowed' WHEN regexp_matches(message, '^Step [0-9]+ \(".*"\) could not ') THEN 'journey_step_failed' WHEN contains(message, 'not allowed by run contract scope') THEN 'journey_not_in_scope'
+  WHEN contains(message, 'not allowed by environment policy') OR regexp_matches(message, '^Action ".*" is not allowed in ') THEN 'action_not_allowed' WHEN starts_with(message, 'stepId must') THEN 'invalid_step_id'
+  WHEN starts_with(message, 'A run against a target URL must name its own steps') THEN 'journey_has_no_steps' ELSE 'audit_run_failed' END AS code FROM m""")
 def failure_codes(spark, d):
-    told = ['Step 3 ("x") could not click', "J is not allowed by run contract scope", "a not allowed by environment policy", 'Action "delete" is not allowed in production', "stepId must be short", "A run against a target URL must name its own steps", "socket hang up", "stepId must"]
-    message = F.element_at(F.array(*[F.lit(x) for x in told]), (F.col("event_id") % 8 + 1).cast("int"))
-    name = F.when(F.col("event_id") % 8 == 7, "UnsafeTargetError")
+    chosen = F.element_at(F.array(*[F.lit(x) for x in _TOLD]), (F.col("event_id") % len(_TOLD) + 1).cast("int"))
+    message = F.replace(F.replace(chosen, F.lit("N"), F.col("user_id").cast("string")), F.lit("T"), F.col("event_type"))
+    name = F.when(F.col("event_id") % 16 == 7, "UnsafeTargetError")
     return read_table(spark, d, "events").select("event_id", tx.failure_code(message, name).alias("code"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'submit-safe' END AS forbidden, event_type IN ('click', 'view') OR (event_type = 'purchase' AND event_id % 2 = 1) AS allowed FROM events""")
+@query("""WITH policy(env, actions) AS (VALUES ('production', ['login', 'navigate', 'inspect', 'search', 'filter', 'paginate', 'open-detail']), ('staging', ['login', 'navigate', 'inspect', 'search', 'filter', 'paginate', 'open-detail', 'submit-safe']),
+  ('test', ['login', 'navigate', 'inspect', 'search', 'filter', 'paginate', 'open-detail', 'submit-safe', 'mutate-test-data'])),
+e AS (SELECT event_id, ['production', 'staging', 'test', 'elsewhere'][event_id % 4 + 1] AS env, [CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'submit-safe' WHEN 'click' THEN 'search' ELSE 'inspect' END, CASE WHEN user_id % 3 = 0 THEN 'mutate-test-data' ELSE 'filter' END, 'navigate'] AS actions FROM events),
+j AS (SELECT e.*, coalesce(p.actions, []) AS able FROM e LEFT JOIN policy p ON p.env = e.env)
+SELECT event_id, list_extract(list_filter(actions, lambda a: NOT list_contains(able, a)), 1) AS forbidden, list_contains(able, actions[1]) AS allowed FROM j""")
 def step_policy(spark, d):
-    action = fx.lookup(F.col("event_type"), {"error": "delete", "purchase": "submit-safe", "click": "search", "view": "inspect"})
-    env = F.when(F.col("event_id") % 2 == 0, "production").otherwise("staging")
-    return read_table(spark, d, "events").select("event_id", catalog.first_forbidden(env, F.array(F.lit("navigate"), action)).alias("forbidden"), catalog.action_allowed(env, action).alias("allowed"))
-
-
-@query("""SELECT event_id, '[redacted]' AS token, event_type AS kind FROM events""")
-def log_redaction(spark, d):
-    fields = tx.redact_map(F.create_map(F.lit("sessionToken"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type")))
-    return read_table(spark, d, "events").select("event_id", fields["sessionToken"].alias("token"), fields["kind"].alias("kind"))
+    one = fx.lookup(F.col("event_type"), {"error": "delete", "purchase": "submit-safe", "click": "search"}, "inspect")
+    two = F.when(F.col("user_id") % 3 == 0, "mutate-test-data").otherwise("filter")
+    env = F.element_at(F.array(*[F.lit(x) for x in ("production", "staging", "test", "elsewhere")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return read_table(spark, d, "events").select("event_id", catalog.first_forbidden(env, F.array(one, two, F.lit("navigate"))).alias("forbidden"), catalog.action_allowed(env, one).alias("allowed"))
 
 
 @query("""SELECT p_partkey, CAST(n AS INTEGER) AS n_nodes, 'button:Save' || CASE WHEN p_partkey % 2 = 0 THEN ':checked' ELSE ':invalid=grammar' END AS first_node FROM (SELECT p_partkey, 1 + p_size % 3 AS n FROM part)""")
@@ -253,13 +311,14 @@ def copy_words(spark, d):
     return c.select(F.col("c_custkey").alias("user_id"), tx.initials(name).alias("initials"), tx.depth_words((F.col("c_custkey") % 5).cast("int")).alias("words"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'evidence complete' WHEN event_id % 4 = 1 THEN 'evidence degraded' WHEN event_id % 4 = 2 THEN 'served 404 — not usable as evidence' ELSE 'evidence degraded (page returned 200)' END AS told,
-  CASE WHEN event_id % 4 IN (1, 3) AND event_id % 5 <> 0 THEN 'complete' WHEN event_id % 4 = 0 AND event_id % 5 <> 0 THEN 'complete' ELSE 'degraded' END AS status FROM events""")
+@query("""WITH e AS (SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN CAST(floor(value) AS INTEGER) % 400 + 200 END AS code, CASE WHEN event_id % 5 <> 0 THEN 's.png' WHEN event_id % 10 = 0 THEN '' END AS shot, CASE WHEN event_id % 7 = 3 THEN 'complete' ELSE 'degraded' END AS told FROM events)
+SELECT event_id, CASE WHEN told = 'complete' THEN 'evidence complete' WHEN code IS NULL THEN 'evidence ' || told WHEN code >= 400 THEN 'served ' || code || ' — not usable as evidence' ELSE 'evidence ' || told || ' (page returned ' || code || ')' END AS told,
+  CASE WHEN coalesce(shot, '') <> '' AND (code IS NULL OR code < 400) THEN 'complete' ELSE 'degraded' END AS status FROM e""")
 def evidence_words(spark, d):
     e = read_table(spark, d, "events")
-    code = F.when(F.col("event_id") % 4 == 2, 404).when(F.col("event_id") % 4 == 3, 200)
-    told = fx.page_evidence(F.when(F.col("event_id") % 4 == 0, "complete").otherwise("degraded"), code)
-    shot = F.when(F.col("event_id") % 5 != 0, "s.png")
+    code = F.when(F.col("user_id") % 4 != 0, F.floor("value").cast("int") % 400 + 200)
+    told = fx.page_evidence(F.when(F.col("event_id") % 7 == 3, "complete").otherwise("degraded"), code)
+    shot = F.when(F.col("event_id") % 5 != 0, "s.png").when(F.col("event_id") % 10 == 0, "")
     return e.select("event_id", told.alias("told"), fx.evidence_status(shot, F.lit("d.html"), F.lit("a.json"), code).alias("status"))
 
 

@@ -46,6 +46,21 @@ RUNS_SQL = """runs AS (
     o_orderdate AS created_at, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS started_at FROM orders)"""
 
 
+def intents(spark: SparkSession, d: str) -> DataFrame:
+    """What each run set out to walk: steps as JSON text, by the day of the order, with keys in either order, and a ruleset."""
+    o = read_table(spark, d, "orders")
+    key, day = F.col("o_orderkey"), F.dayofmonth("o_orderdate").cast("string")
+    one = F.concat(F.lit('[{"action":"open","at":{"path":"/d'), F.expr("string(dayofmonth(o_orderdate) % 2)"), F.lit('","tab":1}}]'))
+    other = F.concat(F.lit('[ {"at" : {"tab":1, "path":"/d'), F.expr("string(dayofmonth(o_orderdate) % 2)"), F.lit('"},"action":"open"}]'))
+    steps = F.when(key % 7 == 0, F.concat(F.lit('{"day":'), day, F.lit("}"))).when(key % 2 == 0, one).otherwise(other)
+    return o.select(key.alias("request_id"), steps.alias("steps"), F.when(key % 5 != 0, F.lit("v2")).when(key % 10 == 0, F.lit("v1")).alias("ruleset"))
+
+
+INTENTS_SQL = """intents AS (
+  SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 7 <> 0 THEN 'array' END AS form, CAST(day(o_orderdate) % 2 AS VARCHAR) AS path,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'v2' WHEN o_orderkey % 10 = 0 THEN 'v1' END AS ruleset FROM orders)"""
+
+
 def findings(spark: SparkSession, d: str) -> DataFrame:
     x = read_table(spark, d, "lineitem")
     tax = F.round(F.col("l_tax") * 100).cast("int")

@@ -55,29 +55,31 @@ codes AS (SELECT DISTINCT code FROM event_findings)
 SELECT code, (SELECT count(*) FROM fresh f WHERE f.code = c.code) AS new_findings, (SELECT count(*) FROM gone f WHERE f.code = c.code) AS resolved_findings,
   (SELECT count(*) FROM kept f WHERE f.code = c.code) AS unchanged_findings,
   CASE WHEN EXISTS (SELECT 1 FROM fresh f WHERE f.code = c.code AND severity = 'critical') THEN 'fail'
-    WHEN EXISTS (SELECT 1 FROM fresh f WHERE f.code = c.code AND severity = 'major') THEN 'warn' ELSE 'none' END AS status
+    WHEN EXISTS (SELECT 1 FROM fresh f WHERE f.code = c.code) THEN 'warn' ELSE 'none' END AS status
 FROM codes c""")
 def diff_status(spark, d):
     now, base = _sides(spark, d)
     return diff.diff_status(now, base, ["code"])
 
 
-@query(f"""WITH {px.RUNS_SQL}, {px.FINDINGS_SQL},
-pairs AS (SELECT request_id, lag(request_id) OVER (PARTITION BY journey_id, environment ORDER BY created_at, request_id) AS baseline_id FROM runs),
+@query(f"""WITH {px.RUNS_SQL}, {px.FINDINGS_SQL}, {px.INTENTS_SQL},
+pairs AS (SELECT * FROM (SELECT request_id, lag(request_id) OVER (PARTITION BY journey_id, environment ORDER BY created_at, request_id) AS baseline_id FROM runs) WHERE baseline_id IS NOT NULL),
+able AS (SELECT p.*, coalesce(a.form = b.form AND a.path = b.path, false) AND a.ruleset IS NOT DISTINCT FROM b.ruleset AS ok FROM pairs p JOIN intents a ON a.request_id = p.request_id JOIN intents b ON b.request_id = p.baseline_id),
 k AS (SELECT request_id, 'deterministic:' || code || ':' || page_url || ':' || coalesce(selector, '') AS finding_key, severity FROM findings WHERE source = 'deterministic'),
-c AS (SELECT p.request_id, finding_key, count(*) AS n, bool_or(severity = 'critical') AS cr, bool_or(severity = 'major') AS ma FROM pairs p JOIN k ON k.request_id = p.request_id WHERE baseline_id IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT p.request_id, finding_key, count(*) AS n FROM pairs p JOIN k ON k.request_id = p.baseline_id GROUP BY 1, 2),
-j AS (SELECT coalesce(c.request_id, b.request_id) AS request_id, c.n AS cn, b.n AS bn, cr, ma FROM c FULL JOIN b ON c.request_id = b.request_id AND c.finding_key = b.finding_key)
-SELECT request_id, CAST(coalesce(sum(cn) FILTER (bn IS NULL), 0) AS BIGINT) AS new_findings, CAST(coalesce(sum(bn) FILTER (cn IS NULL), 0) AS BIGINT) AS resolved_findings,
-  CAST(coalesce(sum(cn) FILTER (bn IS NOT NULL), 0) AS BIGINT) AS unchanged_findings,
-  CASE WHEN coalesce(bool_or(bn IS NULL AND cr), false) THEN 'fail' WHEN coalesce(bool_or(bn IS NULL AND ma), false) THEN 'warn' ELSE 'none' END AS status
-FROM j GROUP BY request_id""")
+fresh AS (SELECT p.request_id, count(*) AS n, bool_or(severity = 'critical') AS critical FROM able p JOIN k ON k.request_id = p.request_id WHERE ok AND NOT EXISTS (SELECT 1 FROM k b WHERE b.request_id = p.baseline_id AND b.finding_key = k.finding_key) GROUP BY 1),
+kept AS (SELECT p.request_id, count(*) AS n FROM able p JOIN k ON k.request_id = p.request_id WHERE ok AND EXISTS (SELECT 1 FROM k b WHERE b.request_id = p.baseline_id AND b.finding_key = k.finding_key) GROUP BY 1),
+gone AS (SELECT p.request_id, count(*) AS n FROM able p JOIN k ON k.request_id = p.baseline_id WHERE ok AND NOT EXISTS (SELECT 1 FROM k c WHERE c.request_id = p.request_id AND c.finding_key = k.finding_key) GROUP BY 1)
+SELECT p.request_id, p.baseline_id, CASE WHEN NOT ok THEN 'incomparable' WHEN critical THEN 'fail' WHEN fresh.n > 0 THEN 'warn' ELSE 'none' END AS status,
+  coalesce(fresh.n, 0) AS new_findings, coalesce(gone.n, 0) AS resolved_findings, coalesce(kept.n, 0) AS unchanged_findings
+FROM able p LEFT JOIN fresh ON fresh.request_id = p.request_id LEFT JOIN kept ON kept.request_id = p.request_id LEFT JOIN gone ON gone.request_id = p.request_id""")
 def regression_history(spark, d):
-    """Every run against the one before it in its journey and environment, in one plan."""
+    """Every run against the one before it in its journey and environment, in one plan; runs that walked other steps are incomparable."""
     pairs = ops.with_baseline(px.runs(spark, d), ["journey_id", "environment"]).select("request_id", "baseline_id").filter("baseline_id is not null")
-    keyed = diff.keyed(px.findings(spark, d)).select("request_id", "finding_key", "severity")
-    base = pairs.join(keyed.withColumnRenamed("request_id", "baseline_id"), "baseline_id").select("request_id", "finding_key", "severity")
-    return diff.diff_status(keyed.join(pairs, "request_id"), base, ["request_id"])
+    intents = px.intents(spark, d)
+    base = intents.select(F.col("request_id").alias("baseline_id"), F.col("steps").alias("old_steps"), F.col("ruleset").alias("old_ruleset"))
+    pairs = pairs.join(intents, "request_id").join(base, "baseline_id")
+    pairs = pairs.withColumn("comparable", diff.comparable(F.col("steps"), F.col("old_steps"), F.col("ruleset"), F.col("old_ruleset")))
+    return diff.regression_of_runs(pairs, diff.keyed(px.findings(spark, d)))
 
 
 def _nth_sql(n: int) -> str:
@@ -211,8 +213,7 @@ SELECT CAST(k.n_nationkey AS VARCHAR) AS client_id, k.n_name AS name, coalesce(j
 FROM nation k LEFT JOIN c ON c.client_id = CAST(k.n_nationkey AS VARCHAR) LEFT JOIN done ON done.client_id = CAST(k.n_nationkey AS VARCHAR)
 LEFT JOIN n ON n.client_id = CAST(k.n_nationkey AS VARCHAR) AND n.i = 1""")
 def portfolio(spark, d):
-    runs = px.runs(spark, d)
-    return views.portfolio(px.clients(spark, d), px.journeys(spark, d), _summaries(spark, d), runs.select("request_id", "journey_id", "status"))
+    return views.portfolio(px.clients(spark, d), px.journeys(spark, d), px.runs(spark, d), px.pages(spark, d), px.findings(spark, d))
 
 
 _CLIENT_SQL = f"""{SUMMARY_SQL}, {px.JOURNEYS_SQL},
@@ -224,21 +225,21 @@ details AS (SELECT l.journey_id, l.client_id, l.name AS journey_name,
 
 @query(f"WITH {_CLIENT_SQL} SELECT * FROM details")
 def client_detail(spark, d):
-    rows = views.client_journeys(px.journeys(spark, d), _summaries(spark, d))
+    rows = views.client_journeys(px.journeys(spark, d), px.runs(spark, d), px.pages(spark, d), px.findings(spark, d))
     return rows.select("journey_id", "client_id", "journey_name", "run_refusal", "schedule", "request_id", "verdict", "must_fix", "should_fix")
 
 
-@query(f"""WITH {_CLIENT_SQL}, done AS (SELECT DISTINCT client_id FROM live JOIN runs ON runs.journey_id = live.journey_id WHERE status = 'complete' AND request_id % 50 = 1),
-c AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY run_refusal IS NOT NULL, journey_id) AS k, count(*) OVER (PARTITION BY client_id) AS js FROM details)
-SELECT CAST(a.n_nationkey AS VARCHAR) AS client_id, CASE WHEN done.client_id IS NOT NULL THEN 'done' WHEN coalesce(js, 0) = 0 THEN 'site' WHEN run_refusal IS NOT NULL THEN 'steps'
+@query(f"""WITH {_CLIENT_SQL}, done AS (SELECT DISTINCT live.journey_id FROM live JOIN runs ON runs.journey_id = live.journey_id WHERE status = 'complete')
+SELECT CAST(j.id AS VARCHAR) AS client_id, CASE WHEN done.journey_id IS NOT NULL THEN 'done' WHEN d.journey_id IS NULL THEN 'site' WHEN run_refusal IS NOT NULL THEN 'steps'
   WHEN request_id IS NULL THEN 'first-run' WHEN verdict = 'scan' THEN 'running' ELSE 'failed' END AS stage
-FROM nation a LEFT JOIN c ON c.client_id = CAST(a.n_nationkey AS VARCHAR) AND k = 1 LEFT JOIN done ON done.client_id = CAST(a.n_nationkey AS VARCHAR)""")
+FROM journeys j LEFT JOIN details d ON d.journey_id = j.id LEFT JOIN done ON done.journey_id = j.id""")
 def setup_stages(spark, d):
-    journeys = px.journeys(spark, d)
-    details = views.client_journeys(journeys, _summaries(spark, d))
+    """Every customer as a client with one journey, so that all stages are met."""
+    journeys = px.journeys(spark, d).withColumn("client_id", F.col("id").cast("string"))
+    details = views.client_journeys(journeys, px.runs(spark, d), px.pages(spark, d), px.findings(spark, d))
     live = views.listed_journeys(journeys).select(F.col("id").alias("journey_id"), "client_id")
-    done = px.runs(spark, d).filter("status = 'complete' and request_id % 50 = 1").join(live, "journey_id").select("client_id")
-    return views.setup_stages(px.clients(spark, d), journeys, details, done)
+    done = px.runs(spark, d).filter("status = 'complete'").join(live, "journey_id").select("client_id")
+    return views.setup_stages(journeys.select(F.col("client_id").alias("id")), journeys, details, done)
 
 
 @query(f"""WITH {px.RUNS_SQL}, {px.JOURNEYS_SQL},
@@ -287,9 +288,9 @@ def clean_pages(spark, d):
     return views.clean_pages(px.pages(spark, d), px.findings(spark, d)).select("request_id", "position", "url")
 
 
-@query("SELECT DISTINCT l_partkey AS part_id FROM lineitem WHERE l_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10)")
+@query("SELECT DISTINCT l_partkey AS part_id FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10)")
 def backfill_missing(spark, d):
-    wanted = px.read_table(spark, d, "lineitem").filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("part_id"))
+    wanted = px.read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("part_id"))
     have = px.read_table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("part_id"))
     stored = catalog.insert_missing(have.withColumn("fresh", F.lit(False)), wanted.withColumn("fresh", F.lit(True)), "part_id")
     return stored.filter("fresh").select("part_id")
@@ -359,13 +360,13 @@ def preview_budget(spark, d):
 
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), edges AS (
   SELECT c_custkey AS src, (7 * c_custkey + 3) % n AS dst FROM customer, n UNION SELECT c_custkey, (11 * c_custkey + 5) % n FROM customer, n),
-walk(site, page, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey <= 20 UNION SELECT site, dst, depth + 1 FROM walk JOIN edges ON src = page WHERE depth < 3)
+walk(site, page, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT site, dst, depth + 1 FROM walk JOIN edges ON src = page WHERE depth < 3)
 SELECT site, page, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY site, page""")
 def crawl_bfs(spark, d):
     c = px.read_table(spark, d, "customer").select(F.col("c_custkey").alias("src"))
     n = c.count()
     edges = c.withColumn("dst", (F.col("src") * 7 + 3) % n).union(c.withColumn("dst", (F.col("src") * 11 + 5) % n)).distinct()
-    seeds = c.filter("src <= 20").select(F.col("src").alias("site"), F.col("src").alias("page"))
+    seeds = c.select(F.col("src").alias("site"), F.col("src").alias("page"))
     return catalog.crawl(edges, seeds)
 
 

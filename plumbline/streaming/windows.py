@@ -1,4 +1,4 @@
-"""Streaming twins of the budget and throttle, and their batch form.
+"""The throttle as a stream and in batch, counters that expire, and a stream of counts per hour for the budget.
 
 A throttle window is anchored at a key's first failure and lasts THROTTLE_SECONDS; a success
 clears it. Its state is three numbers per key, so the batch form is a per-key fold and the
@@ -55,6 +55,12 @@ def throttle(attempts: DataFrame, most: int = FAILURES_TO_THROTTLE, seconds: int
     return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInPandas(run, _OUT)
 
 
+def ttl_counter(hits: DataFrame, seconds: int) -> DataFrame:
+    """(key, event_id, hits): the count a hit (key, event_id, ts) brings its key's counter to; a counter goes ``seconds`` after its first hit."""
+    counted = throttle(hits.withColumn("failed", F.lit(True)), 2**31 - 1, seconds)
+    return counted.select("key", "event_id", (F.col("failures") + 1).alias("hits"))
+
+
 def throttle_stream(attempts: DataFrame, most: int = FAILURES_TO_THROTTLE, seconds: int = THROTTLE_SECONDS) -> DataFrame:
     """The throttle over a stream; a key's state goes after ``seconds`` without attempts."""
 

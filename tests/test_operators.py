@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import catalog, diff, runs, scans, views
+from plumbline.functions import jsontext
+from plumbline.operators import catalog, diff, lookups, runs, scans, steps, views
 from plumbline.streaming.windows import budget_stream, step, throttle, throttle_stream
 
 F_SCHEMA = "request_id string, source string, code string, page_url string, selector string, severity string"
@@ -26,6 +28,7 @@ def test_regression_cases(spark):
     assert status(spark, found(spark, a), found(spark, a)) == ("none", 0, 0, 1)
     assert status(spark, found(spark, a), none) == ("fail", 1, 0, 0)
     assert status(spark, found(spark, major), none) == ("warn", 1, 0, 0)
+    assert status(spark, found(spark, ("m", "/", None, "minor")), none) == ("warn", 1, 0, 0)  # any new finding warns
     assert status(spark, found(spark, a, b), found(spark, a)) == ("fail", 1, 0, 1)
     assert status(spark, found(spark, b), found(spark, a)) == ("fail", 1, 1, 0)
     assert status(spark, found(spark, ("ai-advisory", "x", None, None, "critical")), none) == ("none", 0, 0, 0)
@@ -39,6 +42,19 @@ def test_comparable(spark):
     assert [r.c for r in got] == [True, False, False, True, False, False]
 
 
+def test_comparable_at_every_depth(spark):
+    rows = [('[{"a":{"x":1,"y":[{"p":1,"q":2}]}}]', '[{"a":{"y":[{"q":2,"p":1}],"x":1}}]'), ('[{"a":{"x":1}}]', '[{"a":{"x":2}}]'), ('[{"a":1}]', '[{"a":"1"}]'), ("[", "[")]
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select(diff.comparable(F.col("a"), F.col("b"), F.lit(None), F.lit(None)).alias("c")).collect()
+    assert [r.c for r in got] == [True, False, False, False]
+
+
+def test_regression_of_runs(spark):
+    pairs = spark.createDataFrame([("new", "old", True), ("bare", "old0", True), ("other", "old", False)], "request_id string, baseline_id string, comparable boolean")
+    findings = diff.keyed(spark.createDataFrame([("new", "deterministic", "a", "/", None, "minor"), ("old", "deterministic", "b", "/", None, "minor"), ("other", "deterministic", "z", "/", None, "critical")], F_SCHEMA))
+    got = {r.request_id: tuple(r)[1:] for r in diff.regression_of_runs(pairs, findings).collect()}
+    assert got == {"new": ("old", "warn", 1, 1, 0), "bare": ("old0", "none", 0, 0, 0), "other": ("old", "incomparable", 0, 0, 0)}
+
+
 def test_scores_keep_null_apart_from_zero(spark):
     pages = spark.createDataFrame([("a", 10, 10, None, "complete"), ("a", None, None, None, "complete"), ("b", None, None, None, "complete"), ("c", 1, 0, 0, "degraded")], "request_id string, checks_passed int, checks_failed int, checks_incomplete int, evidence_status string")
     got = {r.request_id: (r.score, r.evidence_status) for r in runs.run_scores(pages).collect()}
@@ -194,10 +210,104 @@ def test_budget_stream(spark, tmp_path, sf):
     assert spark.table("hours").agg(F.sum("n")).first()[0] == 1000
 
 
-def test_unique_slugs_do_not_meet_a_base(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2")], "id int, base string")
-    slugs = [r.slug for r in catalog.unique_slugs(rows, "base", "id").collect()]
-    assert len(set(slugs)) == 3
+def brute_slugs(names: list[str], taken: list[str]) -> list[str]:
+    used, out = {*taken, "new"}, []
+    for base in names:
+        name, k = base, 2
+        while name in used:
+            name, k = f"{base}-{k}", k + 1
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def test_unique_slugs(spark):
+    cases = [["a", "a", "a-2"], ["a", "a", "a-2", "a-2"], ["a", "a", "a-2", "a-2-x"], ["new", "new", "new-2"], ["a-2", "a", "a", "a", "a-2", "a-3"], ["a-02", "a", "a", "a-2-2", "a-2", "a-2"], ["7", "7", "-3", "x--2", "x", "x"]]
+    for names in cases:
+        rows = spark.createDataFrame(list(enumerate(names)), "id int, base string").repartition(3)
+        got = [r.slug for r in catalog.unique_slugs(rows, "base", "id").orderBy("id").collect()]
+        assert got == brute_slugs(names, []), names
+    rows = spark.createDataFrame([(1, "a", "t"), (2, "acme", "t"), (3, "b", "t")], "id int, base string, slug0 string")
+    taken = spark.createDataFrame([("acme",), ("acme-2",), ("a",)], "slug string")
+    assert {r.id: (r.slug, r.slug0) for r in catalog.unique_slugs(rows, "base", "id", taken).collect()} == {1: ("a-2", "t"), 2: ("acme-3", "t"), 3: ("b", "t")}
+
+
+def test_unique_slugs_at_random(spark):
+    rng = random.Random(4)
+    names = [rng.choice("ab") + "".join(f"-{rng.randrange(5)}" for _ in range(rng.randrange(3))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, base string").repartition(4)
+    assert [r.slug for r in catalog.unique_slugs(rows, "base", "id").orderBy("id").collect()] == brute_slugs(names, [])
+
+
+def brute_crawl(links: dict[int, list[int]], bad: set[int], seed: int, max_depth: int, max_pages: int, max_links: int):
+    """The queue of one site, a page at a time."""
+    pages, errors, seen, queue, dropped = [], [], {seed}, [(seed, 0)], 0
+    while queue:
+        page, depth = queue.pop(0)
+        if page in bad:
+            errors.append(page)
+            continue
+        pages.append((page, depth))
+        if depth < max_depth:
+            for to in links.get(page, [])[:max_links]:
+                if to in seen:
+                    continue
+                seen.add(to)
+                if len(queue) >= max_pages - len(pages):
+                    dropped += 1
+                else:
+                    queue.append((to, depth + 1))
+    return pages, errors, len(seen), dropped
+
+
+def test_crawl_within_bounds(spark):
+    rng = random.Random(6)
+    links = {i: [rng.randrange(200) for _ in range(rng.randrange(12))] for i in range(200)}
+    bad = {i for i in range(200) if i % 6 == 1}
+    rows = spark.createDataFrame([(i, k, to) for i, tos in links.items() for k, to in enumerate(tos)], "src long, position int, dst long")
+    failed = spark.createDataFrame([(i, f"no {i}") for i in bad], "page long, message string")
+    seeds = spark.createDataFrame([(i, i) for i in range(0, 200, 5)], "site long, page long")
+    for most, width in ((100, 500), (20, 4), (5, 10), (1, 3)):
+        pages, outcomes = catalog.crawl_pages(rows, seeds, failed, max_pages=most, max_links=width, max_errors=2)
+        got: dict[int, list] = {}
+        for r in sorted(pages.collect(), key=lambda r: (r.site, r.seq)):
+            got.setdefault(r.site, []).append((r.page, r.depth))
+        for r in outcomes.collect():
+            want, errors, seen, dropped = brute_crawl(links, bad, r.site, 3, most, width)
+            assert got.get(r.site, []) == want
+            assert (r.seen, r.truncated) == (seen, "url-cap" if dropped else None)
+            assert [(e.page, e.message) for e in r.errors] == [(i, f"no {i}") for i in errors[:2]] and r.errors_omitted == max(0, len(errors) - 2)
+
+
+def test_links_as_a_browser_reads_them(spark):
+    html = """<a href="/a">1</a><A class='x>y' HREF='b?q=1&amp;r=2#f'>2</A><!-- <a href="/no">x</a> --><a href=//H.test:80/c>3</a><a>none</a><a data-href="/no" href="../up/./d">4</a>
+      <a href="mailto:x@y">m</a><a href="javascript:1">j</a><a href="">5</a><a href="#top">6</a><a href="http://h.test:99999/">bad</a><script>'<a href="/no">'</script><a href=" /sp ace ">7</a>"""
+    pages = spark.createDataFrame([("http://h.test/x/y/page.html?z=1#old", html)], "url string, html string")
+    got = [(r.position, r.href) for r in scans.page_links(pages).collect()]
+    here = "http://h.test/x/y/"
+    assert got == [(0, "http://h.test/a"), (1, here + "b?q=1&r=2#f"), (2, "http://h.test/c"), (3, "http://h.test/x/up/d"), (6, here + "page.html?z=1"), (7, here + "page.html?z=1#top"), (9, "http://h.test/sp%20ace")]
+    many = spark.createDataFrame([("http://h/", "<a href=/x>" * 600 + "<a href='/" + "y" * 3000 + "'>")], "url string, html string")
+    assert scans.page_links(many).count() == 500
+
+
+def test_read_artifacts(spark, tmp_path):
+    (tmp_path / "one.png").write_bytes(b"png")
+    wanted = spark.createDataFrame([("one.png",), ("two.png",)], "path string")
+    assert {r.path: (r.status, r.content) for r in lookups.read_artifacts(spark, str(tmp_path), wanted).collect()} == {"one.png": ("ok", bytearray(b"png")), "two.png": ("pruned", None)}
+
+
+def test_steps_payload_bounds(spark):
+    big = json.dumps([{"action": "filter", "type": "fill", "selector": "#q", "value": "x" * 4000}] * 20)
+    rows = [(json.dumps([{"action": "navigate", "type": "goto", "path": "/"}] * n),) for n in (50, 51, 5_000)] + [(big,), ("[]",), (None,), ("{",)]
+    got = [r.p for r in spark.createDataFrame(rows, "raw string").coalesce(1).select(steps.steps_problem(F.col("raw")).alias("p")).collect()]
+    assert got == [None, "too_many_steps", "too_many_steps", "too_large", None, "not_an_array", "not_an_array"]
+
+
+def test_redaction_to_its_depth(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"token": 1}}, "secret": 2}}}}}
+    out = spark.createDataFrame([(json.dumps(deep),), ("no json",), (None,)], "raw string").coalesce(1).select(jsontext.redact_keys("raw").alias("x")).collect()
+    want = {"a": {"b": {"c": {"d": {"e": {"f": {"token": 1}}, "secret": "[redacted]"}}}}}
+    assert json.loads(out[0].x) == want and out[1].x is None and out[2].x is None
 
 
 def test_workspace_lies_in_the_shared_folder(spark):
