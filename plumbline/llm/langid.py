@@ -9,7 +9,6 @@ than letters part words.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +21,17 @@ from plumbline.session import bounded_batches
 MAX_N, PROFILE = 3, 300
 #: Languages whose profiles go to every executor at a time; more are compared in several passes.
 MOST_LANGUAGES = 2_000
+#: Code points that are looked up in a table; higher ones are judged one by one.
+PLANES = 0x34000
 _BITS = 21  # a code point; three fit a long
 _BLANK = 1
 
 
-def _letter_table() -> np.ndarray:
-    """Lower-case code point of every letter of any plane, 0 for what is no letter."""
-    table = np.zeros(sys.maxunicode + 1, np.int32)
-    for c in range(len(table)):
-        x = chr(c)
-        if x.isalpha():
-            low = x.lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+def _letter(c: int) -> int:
+    """Lower-case code point of a letter of any plane, 0 for what is no letter."""
+    x = chr(c)
+    low = x.lower()
+    return 0 if not x.isalpha() else ord(low) if len(low) == 1 else c
 
 
 _TABLE: np.ndarray | None = None
@@ -44,10 +41,12 @@ def _codes(text: str) -> np.ndarray:
     """Letters of the text as lower-case code points, 0 between words and at both ends."""
     global _TABLE
     if _TABLE is None:
-        _TABLE = _letter_table()
+        _TABLE = np.array([_letter(c) for c in range(PLANES)], np.int32)
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     out = np.zeros(len(raw) + 2, np.int64)
-    out[1:-1] = _TABLE[raw]
+    out[1:-1] = _TABLE[np.minimum(raw, PLANES - 1)]
+    for i in np.flatnonzero(raw >= PLANES):
+        out[i + 1] = _letter(int(raw[i]))
     return out
 
 
@@ -120,8 +119,7 @@ def nearest(top: np.ndarray, starts: np.ndarray, grams: np.ndarray, langs: np.nd
     first, count = starts[at[hit]], starts[at[hit] + 1] - starts[at[hit]]
     pairs = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
     own = np.repeat(hit + 1, count)
-    np.subtract.at(out, langs[pairs], np.maximum(size - np.abs(ranks[pairs] - own), 0))
-    return out
+    return out - np.bincount(langs[pairs], np.maximum(size - np.abs(ranks[pairs] - own), 0), n_langs).astype(np.int64)
 
 
 def _predict(shared, size: int, most: int):

@@ -248,12 +248,6 @@ def _in_blocks(ws: Workspace, rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.join(counts, by).withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.col(f"{name}_blocks")).cast("int"))
 
 
-def _alike(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of the sketches may belong to texts similar to that of ``x``."""
-    at = np.flatnonzero((others[:, :SIGNATURE] == x[:SIGNATURE]).sum(axis=1) >= CLOSE[0])
-    return at[(others[at] == x).sum(axis=1) >= CLOSE[1]]
-
-
 def _suspects(percent: int):
     """Of a block of a region's outsiders and a block of its documents: (x, component) of outsiders that look similar to one of another component."""
 
@@ -263,10 +257,14 @@ def _suspects(percent: int):
             docs, parts, sizes = (left.column(f"l_{c}").to_numpy() for c in ("doc", "component", "n"))
             r_docs, r_parts, r_sizes, r_out = (right.column(f"r_{c}").to_numpy() for c in ("doc", "component", "n", "outside"))
             sketch, r_sketch = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for t, c in ((left, "l_sketch"), (right, "r_sketch")))
+            first = np.ascontiguousarray(r_sketch[:, :SIGNATURE])
             for i in range(len(docs)):
                 fit = (r_parts != parts[i]) & (100 * np.minimum(r_sizes, sizes[i]) >= percent * np.maximum(r_sizes, sizes[i]))
-                other = np.flatnonzero(fit & (~r_out | (r_docs > docs[i])))  # two outsiders meet twice
-                found.update((int(docs[i]), int(c)) for c in np.unique(r_parts[other[_alike(sketch[i], r_sketch[other])]]))
+                fit &= ~r_out | (r_docs > docs[i])  # two outsiders meet twice
+                fit &= (first == sketch[i, :SIGNATURE]).view(np.uint8).sum(axis=1, dtype=np.uint8) >= CLOSE[0]
+                at = np.flatnonzero(fit)
+                at = at[(r_sketch[at] == sketch[i]).sum(axis=1) >= CLOSE[1]]
+                found.update((int(docs[i]), int(c)) for c in np.unique(r_parts[at]))
         return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "component": pa.array([f[1] for f in found], pa.int64())})
 
     return run

@@ -86,8 +86,20 @@ def _sampled(docs: DataFrame, labelled: DataFrame, rows: int, size: int) -> dict
 
     ``labelled`` is (doc_id, label, size, purpose). Ids and sizes are chosen first, then the chosen texts fetched.
     """
-    order = Window.partitionBy("purpose", "label").orderBy(F.xxhash64("purpose", "doc_id"), "doc_id")
-    first = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).orderBy("purpose", "label", "place").collect()
+    drawn = F.xxhash64("purpose", "doc_id")
+    sizes = labelled.groupBy("purpose", "label").agg(F.count("*").alias("n")).collect()
+    order = Window.partitionBy("purpose", "label").orderBy(drawn, "doc_id")
+    for share in (4 * rows, None):  # the least hashes, some four times as many as wanted; all, should they ever be too few
+        near = labelled
+        if share is not None:
+            least = F.lit(False)
+            for r in sizes:
+                below = F.lit(True) if r.n <= share else drawn <= -(2**63) + share * 2**64 // r.n
+                least = least | ((F.col("purpose") == r.purpose) & (F.col("label") == r.label) & below)
+            near = labelled.filter(least)
+        first = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).orderBy("purpose", "label", "place").collect()
+        if len(first) == sum(min(r.n, rows) for r in sizes):
+            break
     keep: dict[tuple[str, int], list[int]] = {}
     total: dict[tuple[str, int], int] = {}
     for r in first:

@@ -167,7 +167,7 @@ def brute_grams(text: str) -> list[str]:
 def test_predictions_equal_brute_force(spark, sf, at_a_time, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGUAGES", at_a_time)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    han = spark.createDataFrame([(10**6, chr(0x30010) * 3 + " " + chr(0x31360), "hx"), (10**6 + 1, chr(0x30010), None), (10**6 + 2, "𝐀𝐁 ə", "mx"), (10**6 + 3, "12 !", None)], "doc_id long, text string, lang string")
+    han = spark.createDataFrame([(10**6, chr(0x30010) * 3 + " " + chr(0x31360), "hx"), (10**6 + 1, chr(0x30010), None), (10**6 + 2, "𝐀𝐁 ə", "mx"), (10**6 + 3, "12 !", None), (10**6 + 4, chr(0x10FFFD) + chr(0xE0041), None)], "doc_id long, text string, lang string")
     docs = docs.filter("doc_id % 4 = 0").unionByName(han)
     train: dict[str, list[str]] = {}
     for r in docs.collect():
@@ -180,7 +180,7 @@ def test_predictions_equal_brute_force(spark, sf, at_a_time, monkeypatch):
         far = {lang: sum(min(abs(i - rank[g]), 300) if g in rank else 300 for i, g in enumerate(top, 1)) for lang, rank in sorted(ranks.items())}
         lang = min(far, key=far.get) if top else "und"
         assert got[r.doc_id] == (lang, pytest.approx(1 - far[lang] / (300 * len(top)) if top else 0.0))
-    assert got[10**6 + 1][0] == "hx" and got[10**6 + 3] == ("und", 0.0)
+    assert got[10**6 + 1][0] == "hx" and got[10**6 + 3] == got[10**6 + 4] == ("und", 0.0)
 
 
 def test_profile_counts_equal_brute_force(spark):
