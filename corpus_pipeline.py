@@ -1,8 +1,8 @@
 """The corpus pipeline: ordered stages, each a corpus operator whose decisions take effect.
 
 Every stage but the last returns the columns of its input; rows with a null doc_id pass every
-filter that needs an id. Stages handle nulls, empty tables and further columns as their operators
-do.
+filter that needs an id. Stages handle nulls, empty and very long texts, ties, repeated rows and
+empty tables as their operators do; further columns of any name keep their values.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import bpe_digests
-from plumbline.llm.common import ids_only
+from plumbline.llm.common import fits_broadcast, ids_only
 from plumbline.llm.langid import fold
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_dedup import near_duplicates
@@ -42,25 +42,34 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: files and the rows in them follow mix_slot."""
-    mixed = mix_sources(docs)
-    return mixed.sort("mix_slot", "mix_block", "doc_id").select(*docs.columns)
+    """All documents in the order of the mixture: files and the rows in them follow mix_slot.
+
+    The columns travel in a struct, so that columns named like the operator's own keep their values.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source")
+    return mix_sources(rows).sort("mix_slot", "mix_block", "doc_id").select("row.*")
 
 
 def with_place(docs: DataFrame) -> DataFrame:
-    """A written table's rows with ``place``, the number of a row in the order of the table's files and their rows.
+    """(doc_id, text, place): place is the number of a row in the order of a written table's files and their rows.
 
-    Spark packs files by size, so only the files' names and the rows' numbers in them tell the order
-    in which a table was written. The window has a row per file. A frame without files is written first.
+    Spark packs files by size, so only the numbers in the files' names and the rows' numbers in the files tell the
+    order in which a table was written. The window has a row per file. A frame without files is
+    written first. Input columns of any name, ``_metadata`` and ``place`` among them, play no part.
     """
     try:
-        docs.select("_metadata.row_index")
+        file = docs.metadataColumn("_metadata")
+        docs.select(file["row_index"])
     except AnalysisException:
         docs = Workspace(docs.sparkSession, "pipeline-place").save(docs, "docs")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "place"], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy("_file").agg(F.count("*").alias("_n")).select("_file", F.coalesce(before, F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_file").withColumn("place", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+        file = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", file["file_name"].alias("file"), file["row_index"].alias("row"))
+    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = F.sum("n").over(Window.orderBy(*number, "file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = Workspace(docs.sparkSession, "pipeline-starts").save(starts, "starts")
+    starts = F.broadcast(starts) if fits_broadcast(starts, starts.count()) else starts
+    return rows.join(starts, "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("place"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
