@@ -3,12 +3,14 @@
 Every source's documents form blocks. With target weight w, block i (from 0) of a source is
 released at slot floor(i / w) and due at slot ceil((i + 1) / w). Earliest deadline first over the
 released blocks gives each slot one block, and no source is ever a whole block ahead of or behind
-its weight.
+its weight. A source that has run out goes on with blocks without rows, so the slots of the others
+never depend on it.
 
 Weights are kept as exact fractions. After as many slots as their common denominator the schedule
 repeats, so one period is scheduled, and each block takes its slot from the period's table by its
-number modulo the source's part. Where the period would be longer than MOST_SLOTS, all blocks are
-walked in order instead, by one task with a state of one row per source.
+number modulo the source's part. A period longer than MOST_SLOTS is not made: the slots are walked
+in order up to the last block that has rows. Both give the same slots. The schedule is made by one
+task in a state of one number a source; sources, sizes and weights are tables, none is collected.
 """
 
 from __future__ import annotations
@@ -24,26 +26,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import fits_broadcast
 from plumbline.session import Workspace
 
 #: Documents of a block.
 BLOCK = 64
 #: Default weights are the sources' sizes to this power (above 0 and below 1 lifts small sources), in parts of PARTS.
 POWER, PARTS = 0.5, 65_536
-#: The longest period whose schedule is made once and repeated.
+#: The longest period whose schedule is made once and repeated; where it is longer, all slots are walked.
 MOST_SLOTS = 4_000_000
 #: Given weights that are the floats nearest to fractions with denominators up to this are taken as those.
 DENOMINATOR = 100_000
-#: The most sources, of which the driver and the scheduling task hold a name, a weight and a size.
-MOST_SOURCES = 1_000_000
 _NEW = ["mix_block", "mix_release", "mix_deadline", "mix_slot"]
 
 
-def default_parts(sizes: dict[str, int], power: float = POWER) -> dict[str, int]:
-    """The default target weights: sizes to a power as whole parts, about PARTS in all and 1 at least for each."""
-    lifted = {s: float(n) ** power for s, n in sizes.items()}
-    unit = max(PARTS, 4 * len(sizes)) / sum(lifted.values())
-    return {s: max(1, round(x * unit)) for s, x in lifted.items()}
+def default_parts(sources: DataFrame, power: float = POWER) -> DataFrame:
+    """``sources`` (n) with part: sizes to a power as whole numbers, about PARTS in all and 1 at least for each."""
+    lifted = sources.withColumn("lift", F.pow(F.col("n").cast("double"), F.lit(power)))
+    count, all_of = lifted.agg(F.count("*"), F.sum("lift")).first()
+    unit = max(PARTS, 4 * count) / (all_of or 1.0)
+    return lifted.withColumn("part", F.greatest(F.lit(1), F.round(F.col("lift") * unit)).cast("long").cast("string")).drop("lift")
+
+
+def given_parts(sources: DataFrame, weights: dict[str | None, float]) -> DataFrame:
+    """``sources`` (s) with part: the given weights as whole numbers; a source that they lack weighs as the least of them."""
+    exact = exact_parts(weights)
+    named = sources.sparkSession.createDataFrame([(s, str(p)) for s, p in exact.items()], "named string, part string")
+    found = sources.join(named, F.col("s").eqNullSafe(F.col("named")), "left").drop("named")
+    return found.withColumn("part", F.coalesce("part", F.lit(str(min(exact.values())))))
 
 
 def exact_parts(weights: dict[str, float]) -> dict[str, int]:
@@ -63,33 +73,38 @@ def exact_parts(weights: dict[str, float]) -> dict[str, int]:
 def schedule(parts: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
     """(source's number, block, release, deadline, slot) of all blocks in the order of slots: earliest deadline first, ties by number.
 
-    A source's weight is its part of the sum of all parts. After its last block it takes no more slots.
+    A source's weight is its part of the sum of all parts. After its last block a source's slots pass without one.
     """
-    total = sum(parts)
+    total, left = sum(parts), sum(blocks)
     done = [0] * len(parts)
-    waiting = [(0, k) for k, n in enumerate(blocks) if n]
+    waiting = [(0, k) for k in range(len(parts))]
     ready: list[tuple[int, int]] = []
     slot = 0
-    while waiting or ready:
-        if not ready:
-            slot = max(slot, waiting[0][0])
+    while left:
         while waiting and waiting[0][0] <= slot:
             k = heapq.heappop(waiting)[1]
             heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
-        deadline, k = heapq.heappop(ready)
-        yield k, done[k], done[k] * total // parts[k], deadline, slot
+        deadline, k = heapq.heappop(ready)  # the weights make up the whole, so some block is always released
+        if done[k] < blocks[k]:
+            yield k, done[k], done[k] * total // parts[k], deadline, slot
+            left -= 1
         done[k] += 1
         slot += 1
-        if done[k] < blocks[k]:
-            heapq.heappush(waiting, (done[k] * total // parts[k], k))
+        heapq.heappush(waiting, (done[k] * total // parts[k], k))
+
 
+def _plan(block: int, again: bool):
+    """The schedule of a table of sources (s, n, part) in one task, in the order of their names, null first."""
 
-def _plan(names: list, parts: list[int], blocks: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sum(batch.num_rows for batch in batches):
-            for rows in batched(schedule(parts, blocks), 10_000):
-                source, *numbers = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in source], pa.string()), *[pa.array(x, pa.int64()) for x in numbers]], ["s3", "turn", "release", "deadline", "slot"])
+        names, parts, blocks = [], [], []
+        for batch in batches:
+            names += batch.column("s").to_pylist()
+            parts += map(int, batch.column("part").to_pylist())
+            blocks += [-(-n // block) for n in batch.column("n").to_pylist()]
+        for rows in batched(schedule(parts, parts if again else blocks), 10_000):
+            source, *numbers = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in source], pa.string()), *[pa.array(x, pa.int64()) for x in numbers]], ["s3", "turn", "release", "deadline", "slot"])
 
     return run
 
@@ -99,15 +114,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
 
     ``mix_slot`` orders the mixture; the rows of a slot are one block. While no source has run out,
     any source's share of the first n slots is within one block of its weight, however many slots
-    there are. When a source has run out, its share of the slots stays empty; every other block keeps
-    its release and deadline. No row is dropped or repeated.
+    there are. When a source has run out, its share of the slots stays empty, so every other block
+    keeps its slot. No row is dropped or repeated.
     Without ``weights`` they are the sources' sizes to the power ``power``, as whole parts
-    (``default_parts``); a source that ``weights`` lacks weighs as the least. Weights are kept exactly.
+    (``default_parts``); a source that ``weights`` lacks weighs as the least, and weights of sources
+    without rows count for nothing. Weights are kept exactly.
 
     Blocks are cut in the order of the ids within a source (nulls first; repeated ids by all other
     columns' hash). Texts of any length pass unread. A null source is a source. An empty table gives
     no rows. Input columns named like the new ones are replaced.
     """
+    if weights and any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     docs = docs.drop(*_NEW)
@@ -120,23 +138,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     ranked = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     ranked = ws.save(ranked.select("row", "s", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")), "ranked")
     counts = ws.save(ranked.groupBy("s", "range").agg(F.count("*").alias("n"), F.min("at").alias("first")), "counts")
-    sizes = counts.groupBy("s").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if not sizes:
+    sources = ws.save(counts.groupBy("s").agg(F.sum("n").alias("n")), "sizes")
+    if sources.isEmpty():
         return spark.createDataFrame([], T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in _NEW]]))
-    sizes = {r.s: r.n for r in sizes}
-    if weights and any(w <= 0 for w in weights.values()):
-        raise ValueError("weights must be above 0")
-    exact = exact_parts({s: weights.get(s, min(weights.values())) for s in sizes}) if weights else default_parts(sizes, power)
-    names = sorted(sizes, key=lambda s: (s is not None, s))
-    parts, blocks = [exact[s] for s in names], [-(-sizes[s] // block) for s in names]
-    total = sum(parts)
-    if max(-(-n * total // p) for n, p in zip(blocks, parts, strict=True)) >= 2**62:
+    sources = ws.save(given_parts(sources, weights) if weights else default_parts(sources, power), "sources")
+    # exact sum of parts of any length: the given ones are no more than the caller's weights
+    total = sum(int(r.part) * r.k for r in sources.groupBy("part").agg(F.count("*").alias("k")).toLocalIterator())
+    if total.bit_length() > 1_000 or sources.agg(F.max(F.ceil(F.col("n") / block).cast("double") / F.col("part").cast("double"))).first()[0] * total >= 2.0**62:
         raise ValueError("weights are too far from the sizes of the sources for slots of 64 bits")
     again = total <= MOST_SLOTS
-    plan = spark.range(0, 1, 1, 1).mapInArrow(_plan(names, parts, parts if again else blocks), "s3 string, turn long, release long, deadline long, slot long")
-    plan = ws.save(plan, "plan")
+    plan = sources.select("s", "n", "part").coalesce(1).sortWithinPartitions(F.asc_nulls_first("s"))
+    plan = ws.save(plan.mapInArrow(_plan(block, again), "s3 string, turn long, release long, deadline long, slot long"), "plan")
 
     # a row's number in its source: rows of the source in the ranges before, and its place in the range
     before = F.sum("n").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
@@ -144,7 +156,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     ranked = ranked.join(ws.save(starts, "starts"), F.col("s").eqNullSafe(F.col("s1")) & (F.col("range") == F.col("r1")))
     ranked = ranked.withColumn("block", F.floor((F.col("shift") + F.col("at")) / block))
     if again:
-        ranked = ranked.join(F.broadcast(spark.createDataFrame(list(zip(names, parts, strict=True)), "s2 string, part long")), F.col("s").eqNullSafe(F.col("s2")))
+        own = sources.select(F.col("s").alias("s2"), F.col("part").cast("long").alias("part"))
+        own = F.broadcast(own) if fits_broadcast(own, own.count()) else own
+        ranked = ranked.join(own, F.col("s").eqNullSafe(F.col("s2")))
         ranked = ranked.withColumn("round", F.floor(F.col("block") / F.col("part")) * total).withColumn("own", F.col("block") % F.col("part"))
     else:
         ranked = ranked.withColumn("round", F.lit(0)).withColumn("own", F.col("block"))

@@ -575,41 +575,60 @@ def test_pfair_schedule_stays_within_a_block(weights):
             assert all(abs(n * total - (slot + 1) * p) < total for n, p in zip(done, parts, strict=True))
 
 
+def edf_slots(parts: list[int], blocks: list[int], slots: int) -> list[tuple]:
+    """Slot by slot: the released block of least deadline, then source; blocks past a source's last have no rows."""
+    total, out, done = sum(parts), [], [0] * len(parts)
+    for slot in range(slots):
+        deadline, k = min((-(-(n + 1) * total // p), k) for k, (n, p) in enumerate(zip(done, parts, strict=True)) if n * total // p <= slot)
+        if done[k] < blocks[k]:
+            out.append((k, done[k], done[k] * total // parts[k], deadline, slot))
+        done[k] += 1
+    return out
+
+
 def test_schedule_equals_earliest_deadline_first_slot_by_slot():
     rng = random.Random(8)
     for _ in range(30):
         parts = [rng.randrange(1, 40) for _ in range(rng.randrange(1, 8))]
         blocks = [rng.randrange(60) for _ in parts]
-        total, want, done = sum(parts), [], [0] * len(parts)
-        for slot in range(60 * total):
-            open_now = [(-(-(n + 1) * total // p), k) for k, (n, p) in enumerate(zip(done, parts, strict=True)) if n < blocks[k] and n * total // p <= slot]
-            if open_now:
-                deadline, k = min(open_now)
-                want.append((k, done[k], done[k] * total // parts[k], deadline, slot))
-                done[k] += 1
-        assert list(mixing.schedule(parts, blocks)) == want
+        assert list(mixing.schedule(parts, blocks)) == edf_slots(parts, blocks, 60 * sum(parts))
+
+
+def default_parts(spark, sizes: dict) -> dict:
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "s string, n long")
+    return {r.s: int(r.part) for r in mixing.default_parts(rows).collect()}
 
 
 @pytest.mark.parametrize("most", [10**6, 1])
 def test_mixing_equals_the_schedule(spark, most, monkeypatch):
-    """The query's weights and given ones, by a repeated period and by a walk over all blocks, against the schedule itself."""
+    """One definition of slots: by a repeated period and by a walk over all slots, sources that run out among them."""
     monkeypatch.setattr(mixing, "MOST_SLOTS", most)
     docs = spark.createDataFrame([(i, f"s{(i * i) % 7 % 5}") for i in range(3_000)], "doc_id long, source string").repartition(5)
     sizes = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
-    for weights in (None, {"s0": 0.5, "s1": 0.25, "s2": 0.125, "s4": 0.125}):
-        exact = mixing.exact_parts(weights) if weights else mixing.default_parts(sizes)
+    for weights in (None, {"s0": 0.5, "s1": 0.25, "s2": 0.125, "s4": 0.125}, {"s0": 0.02, "s2": 0.98, "unknown": 0.3}):
+        exact = mixing.exact_parts(weights) if weights else default_parts(spark, sizes)
         names = sorted(sizes)
-        parts = [exact[s] for s in names]
+        parts = [exact.get(s, min(exact.values())) for s in names]
         blocks = [-(-sizes[s] // 16) for s in names]
-        # after the first source has run out, a repeated period leaves its slots empty
-        limit = min(n * sum(parts) // p for n, p in zip(blocks, parts, strict=True))
-        want = {(names[k], *rest) for k, *rest in mixing.schedule(parts, blocks)}
+        slots = max(-(-n * sum(parts) // p) for n, p in zip(blocks, parts, strict=True))
+        want = {(names[k], *rest) for k, *rest in edf_slots(parts, blocks, slots)}
         rows = mixing.mix_sources(docs, weights, block=16).collect()
-        got = {(r.source, r.mix_block, r.mix_release, r.mix_deadline, r.mix_slot) for r in rows}
-        assert {x[:4] for x in got} == {x[:4] for x in want}
-        assert {x for x in got if x[4] < limit} == {x for x in want if x[4] < limit} and limit > 40
-        if most == 1:
-            assert got == want
+        assert {(r.source, r.mix_block, r.mix_release, r.mix_deadline, r.mix_slot) for r in rows} == want
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_a_source_that_has_run_out_leaves_its_slots_empty(spark, most, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SLOTS", most)
+    docs = spark.createDataFrame([(i, "a" if i < 2 else "b") for i in range(8)], "doc_id long, source string")
+    rows = mixing.mix_sources(docs, {"a": 1, "b": 1}, block=2).collect()
+    assert sorted({(r.source, r.mix_slot) for r in rows}) == [("a", 0), ("b", 1), ("b", 3), ("b", 5)]
+
+
+def test_mixing_of_many_sources_stays_a_table(spark):
+    """A source a row, more than any list of names would hold on a driver at scale: slots are still each given once."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('s', id % 20000) AS source")
+    out = mixing.mix_sources(docs, block=1)
+    assert out.count() == 40_000 and out.select("mix_slot").distinct().count() == 40_000
 
 
 def test_mixing_places_every_row(spark, odd):
@@ -855,3 +874,31 @@ def test_pipeline_result_follows_the_weights(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").filter(F.col("doc_id").isin(got))
     order = lambda df: [r.doc_id for r in df.sort("mix_slot", "mix_block", "doc_id").collect()]
     assert got == order(mix(docs)) != order(mixing.mix_sources(docs))
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf, tmp_path):
+    """Columns named like those that the stages work with keep their values, and the place still follows the mixture."""
+    names = ["_file", "_row", "_start", "_metadata", "mix_slot", "mix_block", "mix_release", "mix_deadline", "place", "file", "row", "start", "n", "s", "k", "h", "m", "at", "block", "part", "round", "own", "dotted.name"]
+    more = [F.lit(77 + k).alias(c) for k, c in enumerate(names)]
+    docs = spark.createDataFrame([(i, f"text {i} " + prose(i, 8), "big" if i % 4 else None) for i in range(700)], "doc_id long, text string, source string").select("*", *more)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.mixing):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.select(*[f"`{c}`" for c in names]).distinct().collect()] == [tuple(range(77, 77 + len(names)))]
+    corpus_pipeline.mixing(spark, docs, sf).write.parquet(str(tmp_path / "mixed"))
+    found = corpus_pipeline.bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), sf).collect()
+    want = [r.doc_id for r in mixing.mix_sources(docs.select("doc_id", "source")).sort("mix_slot", "mix_block", "doc_id").collect()]
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.place)] == want
+
+
+def test_place_follows_the_numbers_of_files(spark, tmp_path):
+    """part-100000 comes after part-99999, though its name sorts before it."""
+    for k, number in enumerate(["00007", "99999", "100000"]):
+        spark.createDataFrame([(k, "x")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / number))
+        (made,) = (tmp_path / number).glob("part-*.parquet")
+        (tmp_path / "all").mkdir(exist_ok=True)
+        made.rename(tmp_path / "all" / made.name.replace("part-00000", f"part-{number}"))
+    rows = corpus_pipeline.with_place(spark.read.parquet(str(tmp_path / "all"))).collect()
+    assert [r.place for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 1, 2]
