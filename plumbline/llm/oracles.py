@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plumbline.llm.licenses import BASE, SHARE, SLACK, TEMPLATES
+
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 #: lower-cases A-Z only
 _ASCII_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,10 +94,131 @@ SELECT conv_id, speaker, segment, CAST(0 AS BIGINT) AS piece, CAST(min(pos - len
 FROM placed GROUP BY conv_id, speaker, segment
 """
 
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows of strings, numbers and lists of strings as SQL literals."""
+    one = lambda x: str(x) if isinstance(x, int) else "['" + "', '".join(x) + "']" if isinstance(x, list) else f"'{x}'"
+    return ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
+
+
+_PHRASES = sorted({*BASE, *[p for t in TEMPLATES for p in t.must]})
+LICENSES = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex({_ASCII_LOWER.format(text="coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+phrases AS (SELECT * FROM (VALUES {_values([(p, p.split()) for p in _PHRASES])}) t(phrase, ws)),
+base(phrase, label) AS (VALUES {_values(list(BASE.items()))}),
+templates AS (SELECT * FROM (VALUES {_values([(k, t.label, t.text.split()) for k, t in enumerate(TEMPLATES)])}) t(k, label, ws)),
+must(k, phrase) AS (VALUES {_values([(k, p) for k, t in enumerate(TEMPLATES) for p in t.must])}),
+postings AS (SELECT k, unnest(ws) AS word, unnest(range(len(ws))) AS q FROM templates),
+vocabulary AS (SELECT DISTINCT word FROM postings UNION SELECT unnest(ws) FROM phrases),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM flat JOIN vocabulary USING (word) GROUP BY 1),
+weights AS (
+  SELECT word, greatest(1, CAST(round(1000 * ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(df, 0)))) AS BIGINT)) AS weight
+  FROM vocabulary LEFT JOIN df USING (word)
+), places AS (
+  SELECT f.doc_id, phrase, len(ws) AS size, i FROM flat f JOIN phrases ON ws[1] = word JOIN words d ON d.doc_id = f.doc_id WHERE w[i + 1:i + len(ws)] = ws
+), sums AS (SELECT k, sum(weight) AS total, count(*) AS m FROM postings JOIN weights USING (word) GROUP BY 1),
+able AS (
+  SELECT doc_id, k FROM places JOIN must USING (phrase) GROUP BY 1, 2
+  HAVING count(DISTINCT phrase) = (SELECT count(*) FROM must o WHERE o.k = must.k)
+), hits AS (
+  SELECT DISTINCT doc_id, k, q, i - q - e AS d FROM flat JOIN postings USING (word) JOIN able USING (doc_id, k), (SELECT unnest(range(-{SLACK}, {SLACK} + 1)) AS e)
+), aligned AS (
+  SELECT doc_id, k, d, sum(weight) AS weighs FROM hits JOIN postings USING (k, q) JOIN weights USING (word) GROUP BY 1, 2, 3
+), good AS (
+  SELECT doc_id, a.k, d, weighs / total AS share FROM aligned a JOIN sums s ON s.k = a.k
+  WHERE 100 * weighs >= {SHARE} * total AND NOT EXISTS (
+    SELECT 1 FROM must o WHERE o.k = a.k AND NOT EXISTS (
+      SELECT 1 FROM places p WHERE p.doc_id = a.doc_id AND p.phrase = o.phrase AND p.i >= d - {SLACK} AND p.i + p.size <= d + m + {SLACK}))
+), own AS (SELECT doc_id, label, share FROM good JOIN templates USING (k)),
+found AS (SELECT doc_id, label, i FROM places JOIN base USING (phrase)),
+by_base AS (
+  SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY 1
+), every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT doc_id, label, 1.0::DOUBLE AS share FROM found UNION ALL SELECT doc_id, label, share FROM own) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  coalesce(b.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, CAST(coalesce(e.score, 0) AS DOUBLE) AS score
+FROM words d LEFT JOIN by_base b ON b.doc_id = d.doc_id LEFT JOIN every e ON e.doc_id = d.doc_id
+"""
+
+#: CRC-32 of an ASCII string, byte by byte with the table of one-byte remainders.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, remainders[1 + (xor(c, x) & 255)])), 4294967295)"
+_HALF = "xor(n >> 1, 3988292384 * (n & 1))"
+
+
+def _step(ops: list[tuple[str, str, str]]) -> str:
+    """The cheapest of some edits as a struct (cost, audit); an edit is (state before, cost, letters)."""
+    return "list_min([" + ", ".join(f"{{'c': {s}.c + {c}, 'a': {s}.a || '{a}'}}" for s, c, a in ops) + "])"
+
+
+_FAR = "CASE WHEN {0} THEN {1} ELSE 1000000000 END"
+_KEEPS = {x: _FAR.format(f"NOT gone AND role[1] = '{x}'", "late") for x in "sua"}
+_STAYS = _FAR.format("NOT gone", "late")
+_TO_USER = [(s, f"{c} + {k}", a + b) for s, c, a in (("n", 0, ""), ("s", 0, ""), ("a", 0, ""), ("u", 2, "I")) for k, b in ((_KEEPS["u"], "K"), ("2 + " + _STAYS, "R"))]
+_TO_ASSISTANT = [(s, f"{c} + {k}", a + b) for s, c, a in (("u", 0, ""), ("n", 2, "I"), ("s", 2, "I"), ("a", 2, "I")) for k, b in ((_KEEPS["a"], "K"), ("2 + " + _STAYS, "R"))]
+REPAIR = rf"""
+WITH RECURSIVE bytes AS (SELECT unnest(range(256)) AS b, unnest(range(256)) AS n, 0 AS k UNION ALL SELECT b, {_HALF}, k + 1 FROM bytes WHERE k < 8),
+crc AS (SELECT list(n ORDER BY b) AS remainders FROM bytes WHERE k = 8),
+marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format(text="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    NOT regexp_matches(text, '[^ 	-
+]') AS blank, regexp_matches(text, '[^ 	-
+.!?][ 	-
+]*$') AS cut FROM hurt
+), rows AS (
+  SELECT conv_id, i, turn, role, text, CASE WHEN blank THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN cut THEN 'truncated' END AS fault,
+    blank OR seen > 1 AS gone, CASE WHEN NOT blank AND seen = 1 AND cut THEN 1 ELSE 0 END AS late,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS past, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS n, {{'c': 1000000000::BIGINT, 'a': ''}} AS s,
+    {{'c': 1000000000::BIGINT, 'a': ''}} AS u, {{'c': 1000000000::BIGINT, 'a': ''}} AS a FROM rows
+  UNION ALL
+  SELECT w.conv_id, i, {_step([("n", "3", "D")])}, {_step([("s", "3", "D"), ("n", _KEEPS["s"], "K")])},
+    {_step([("u", "3", "D"), *_TO_USER])}, {_step([("a", "3", "D"), *_TO_ASSISTANT])}
+  FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND i = past + 1
+), ends AS (
+  SELECT conv_id, list_min([n, a, {{'c': u.c + 2, 'a': u.a || 'I'}}, {{'c': s.c + 4, 'a': s.a || 'II'}}]) AS best
+  FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY past DESC) = 1
+), letters AS (
+  SELECT conv_id, best.a AS audit, unnest(string_split(best.a, '')) AS e, unnest(range(1, len(best.a) + 1)) AS j FROM ends WHERE best.a <> ''
+), matched AS (
+  SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS o FROM letters
+), kept AS (
+  SELECT m.conv_id, j, o, CASE WHEN e = 'K' THEN role END AS role, CASE WHEN e = 'I' THEN '' ELSE text END AS text
+  FROM matched m JOIN rows r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = greatest(m.i, 1) WHERE e <> 'D'
+), lined AS (
+  -- after the system row, if any, users and assistants take turns
+  SELECT *, coalesce(role, CASE WHEN (o - max(CASE WHEN role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id)) % 2 = 1 THEN 'user' ELSE 'assistant' END) AS name FROM kept
+), texts AS (SELECT conv_id, string_agg(name || ':' || text, chr(10) ORDER BY j) AS whole FROM lined GROUP BY 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND coalesce(before, '') || coalesce(role[1], '') NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY 1
+), every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM every v LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM v.conv_id
+  LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": NEAR,
     "op6_warc": WARC,
     "op7_chat": CHAT,
     "op9_substring_dedup": SUBSTRING,
     "op10_top_k": TOP_K,
+    "op11_licenses": LICENSES,
+    "op13_conversation_repair": REPAIR,
 }

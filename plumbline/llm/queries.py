@@ -11,10 +11,13 @@ from plumbline.llm.bpe import bpe_digests
 from plumbline.llm.chat import rotate_perspectives
 from plumbline.llm.fingerprints import fingerprints
 from plumbline.llm.langid import fold, learn_profiles, predict_language
+from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.mtree import mtree_top_k
 from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.periods import planted, run_digests
 from plumbline.llm.quality import fit_quality, score_quality
+from plumbline.llm.repair import damaged, repair_digests
 from plumbline.llm.substring_dedup import remove_repeats
 from plumbline.llm.warc import archive_pages
 from plumbline.sources.tables import read_table
@@ -68,6 +71,20 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return run_digests(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(turns), turns)
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_bpe,
@@ -80,6 +97,9 @@ def queries() -> dict[str, Query]:
         op8_mixing,
         op9_substring_dedup,
         op10_top_k,
+        op11_licenses,
+        op12_periodic_runs,
+        op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
 
