@@ -7,11 +7,9 @@ segments, percent-encoding) for input that needs it.
 
 from __future__ import annotations
 
-import html
 import ipaddress
 import posixpath
-import re
-from urllib.parse import quote, urljoin, urlsplit
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from plumbline.functions.web import parse_url
+
 UNPARSEABLE = "(unparseable URL)"
 # Address ranges that must never be fetched, as network and prefix length.
 BLOCKED_IPV4 = [
@@ -58,7 +58,6 @@ PUBLIC_SUFFIXES = [
     "com.tw",
 ]
 MAX_HOSTS, MAX_HOST = 10, 253
-_PORTS = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
 _ABSOLUTE = r"^(?i)(https?|file)://([^/?#\s]*)([^?#\s]*)(\?[^#\s]*)?(#\S*)?$"
 
 
@@ -141,18 +140,36 @@ def host_allowed(host: Column, allowed: Column) -> Column:
     return F.coalesce(F.exists(allowed, lambda a: (own == entry(a)) | F.endswith(own, F.concat(F.lit("."), entry(a)))), F.lit(False))
 
 
+#: An http(s) URL of a plain form, which the built-in expressions read as a browser does: a name whose last label is
+#: letters, without escapes, Punycode or credentials. (``xn--`` labels are decoded and checked, so they are not plain.)
+_PLAIN = r"^(?i)https?://(?!([^/?#]*\.)?xn--)([a-z0-9_-]+\.)*[a-z][a-z-]*(:\d{1,4})?([/?#][!-~]*)?$"
+
+
+def host_as_browser(url: Column) -> Column:
+    """The host of a URL as a browser shows it, NULL if it would refuse the URL. Only URLs that are not of plain form go to Python."""
+    plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+    return F.when(plain, url_hostname(url)).otherwise(browser_url(F.when(~plain, url))["hostname"])
+
+
 def target_refusal(url: Column, allowed: Column) -> Column:
-    """Why a URL may not be audited, or NULL: no URL, scheme, credentials, host, private address."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    host = url_hostname(url)
+    """Why a URL may not be audited, or NULL: no URL, scheme, credentials, host, private address.
+
+    Hosts are those that a browser would connect to: numbers in any spelling are addresses, names
+    are in ASCII.
+    """
+    plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+    read = browser_target(F.when(~plain, url), allowed)
+    scheme = F.when(plain, "http").otherwise(read["scheme"])
+    host = F.when(plain, url_hostname(url)).otherwise(read["host"])
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
     numeric = host.rlike(r"^\d+(\.\d+){3}$") | host.startswith("[")
     return (
-        F.when(url.isNull() | (scheme == "") | (scheme.isin("http", "https") & ~is_absolute(url)), "invalid_url")
+        F.when(scheme.isNull(), "invalid_url")
         .when(~scheme.isin("http", "https"), "scheme")
-        .when(_part(url, 2).contains("@"), "credentials")
+        .when(~plain & read["login"], "credentials")
         .when(F.size(allowed) == 0, "no_allowed_hosts")
-        .when(~host_allowed(host, allowed), "host_not_allowed")
-        .when(numeric & F.coalesce(blocked_ipv4(host), F.lit(True)), "private_address")
+        .when(~F.when(plain, host_allowed(url_hostname(url), allowed)).otherwise(read["allowed"]), "host_not_allowed")
+        .when(numeric & F.coalesce(blocked_ipv4(host), blocked_ipv6(F.when(numeric & ~plain, bare))), "private_address")
     )
 
 
@@ -213,64 +230,34 @@ def host_problem(host: Column) -> Column:
 # --- as browsers do -------------------------------------------------------------------------
 
 
-def _dots(path: str) -> str:
-    out: list[str] = []
-    parts = path.split("/")[1:]
-    for i, part in enumerate(parts):
-        name = part.lower().replace("%2e", ".")
-        last = i == len(parts) - 1
-        if name == "..":
-            out = out[:-1]
-        elif name != ".":
-            out.append(part)
-            continue
-        if last:
-            out.append("")
-    return "/" + "/".join(out)
-
-
-def parse_like_browser(url: str | None) -> tuple[str, str, str, str, str] | None:
-    """(protocol, host, hostname, pathname, search) or None if a browser would refuse the URL."""
-    if url is None:
-        return None
-    text = re.sub(r"[\t\n\r]", "", url.strip("\x00-\x20 "))
-    found = re.match(r"(?i)^(https?|file|ftp|wss?):(.*)$", text, re.S)
-    if not found:
-        return None
-    scheme, rest = found[1].lower(), re.sub(r"\\", "/", found[2].split("#")[0].split("?")[0])
-    tail = found[2][len(found[2].split("#")[0].split("?")[0]) :]
-    rest = "//" + rest.lstrip("/") if scheme != "file" else rest
-    try:
-        parts = urlsplit(f"{scheme}:{rest}{tail}")
-        port = parts.port
-    except ValueError:
-        return None
-    name = (parts.hostname or "").lower()
-    if scheme != "file" and not name:
-        return None
-    if re.search(r"[\s<>^|%]", name):
-        return None
-    try:
-        name = name if name.isascii() else name.encode("idna").decode()
-    except UnicodeError:
-        return None
-    shown = f"[{name}]" if ":" in name else name
-    host = shown if port in (None, _PORTS.get(scheme)) else f"{shown}:{port}"
-    path = _dots(quote(parts.path or "/", safe="/%:@!$&'()*+,;=~-._[]|^\\"))
-    search = "?" + quote(parts.query, safe="/%:@!$&()*+,;=~-._?[]|^`{}\\") if parts.query else ""
-    return f"{scheme}:", host, shown, path, search
-
-
 PARTS = ("protocol", "host", "hostname", "pathname", "search")
 
 
 @pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in PARTS]))
 def browser_url(urls: pd.Series) -> pd.DataFrame:
     """The parts of each URL as a browser reads them; NULLs if it would refuse it."""
-    rows = [parse_like_browser(u) or (None,) * 5 for u in urls]
+    rows = []
+    for url in urls:
+        u = parse_url(url)
+        rows.append((None,) * 5 if u is None else (f"{u.scheme}:", u.hostport, u.host or "", u.path, u.search))
     return pd.DataFrame(rows, columns=list(PARTS))
 
 
+@pandas_udf(T.StructType([T.StructField("scheme", T.StringType()), T.StructField("host", T.StringType()), T.StructField("login", T.BooleanType()), T.StructField("allowed", T.BooleanType())]))
+def browser_target(urls: pd.Series, allowed: pd.Series) -> pd.DataFrame:
+    """Scheme, host, whether a login is in each URL and whether its host is an allowed one or below, as a browser reads it; NULLs if it would refuse it."""
+    rows = []
+    for url, hosts in zip(urls, allowed, strict=True):
+        u = parse_url(url)
+        if u is None:
+            rows.append((None,) * 4)
+            continue
+        host = (u.host or "").lower().removesuffix(".")
+        entries = [x.lower().removeprefix("*.").removesuffix(".") for x in (hosts if hosts is not None else ()) if x is not None]
+        rows.append((u.scheme, u.host or "", bool(u.user or u.password), any(host == x or host.endswith(f".{x}") for x in entries)))
+    return pd.DataFrame(rows, columns=["scheme", "host", "login", "allowed"]).astype({"login": "boolean", "allowed": "boolean"})
+
+
 def browser_origin(url: Column) -> Column:
     """Protocol and host, NULL for a URL that a browser refuses; ``null`` where a URL has no host."""
     parts = browser_url(url)
@@ -294,38 +281,6 @@ def journey_origin(entry_url: Column, typed_url: Column) -> Column:
     return F.coalesce(browser_origin(entry_url), browser_origin(typed_url))
 
 
-def resolve_like_browser(base: str | None, link: str | None) -> str | None:
-    """A link on a page as an absolute URL, fragment kept; None if a browser would refuse it."""
-    if link is None:
-        return None
-    link = re.sub(r"[\t\n\r]", "", link.strip("\x00-\x20 "))
-    address, mark, fragment = link.partition("#")
-    scheme = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", address)
-    if scheme and scheme[0].lower() not in ("http:", "https:"):
-        return link
-    own = parse_like_browser(base)
-    if own is None and not scheme:
-        return None
-    try:
-        joined = address if scheme else urljoin(f"{own[0]}//{own[1]}{own[3]}{own[4]}", address.replace("\\", "/")) if address else f"{own[0]}//{own[1]}{own[3]}{own[4]}"
-    except ValueError:
-        return None
-    parts = parse_like_browser(joined)
-    return None if parts is None else f"{parts[0]}//{parts[1]}{parts[3]}{parts[4]}" + (mark + quote(fragment, safe="/%:@!$&'()*+,;=~-._?[]|^{}#\\") if fragment else mark)
-
-
-@pandas_udf(T.StringType())
-def resolved_url(bases: pd.Series, links: pd.Series) -> pd.Series:
-    """Each link of a page (base) as an absolute URL; NULL if a browser would refuse it."""
-    return pd.Series([resolve_like_browser(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
-
-
-@pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """Texts with HTML's character references read."""
-    return texts.map(lambda x: None if x is None else html.unescape(x))
-
-
 @pandas_udf(T.StringType())
 def navigation_url(paths: pd.Series, targets: pd.Series, roots: pd.Series) -> pd.Series:
     """Where a step's path leads: below the target URL, or without one to a file below the fixture root; NULL if it would leave the root."""
@@ -334,7 +289,8 @@ def navigation_url(paths: pd.Series, targets: pd.Series, roots: pd.Series) -> pd
         if path is None:
             return None
         if target:
-            return resolve_like_browser(target if target.endswith("/") else f"{target}/", path)
+            led = parse_url(path, parse_url(target if target.endswith("/") else f"{target}/"))
+            return None if led is None else led.href
         if root is None:
             return None
         top = posixpath.normpath(root)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import urls as ux
 from plumbline.operators.runs import last_k_per_group
+from plumbline.operators.scans import failed_nodes
 from plumbline.operators.steps import MAX_STEPS, MAX_TEXT
 from plumbline.operators.views import listed_journeys
 
@@ -67,10 +68,7 @@ def names_taken(wanted: DataFrame, existing: DataFrame, name: str = "name") -> D
 
 def crawl_rows(pages: DataFrame, target: str = "target_url") -> DataFrame:
     """Crawled pages (site, url, depth, seq, target) with step_path and why they cannot be a step: other_host, too_long or NULL."""
-    parts, origin = ux.browser_url(F.col("url")), ux.browser_url(F.col(target))
-    rows = pages.withColumn("_page", parts).withColumn("_target", origin)
-    path = F.when(F.col("_page.hostname") == F.col("_target.hostname"), F.concat("_page.pathname", "_page.search"))
-    rows = rows.withColumn("step_path", path).drop("_page", "_target")
+    rows = pages.withColumn("step_path", ux.browser_step_path(F.col("url"), F.col(target)))
     return rows.withColumn("blocked_by", F.when(F.col("step_path").isNull(), "other_host").when(F.length("step_path") > MAX_TEXT, "too_long"))
 
 
@@ -91,8 +89,7 @@ def chosen_steps(rows: DataFrame, selected: DataFrame, on: list[str]) -> DataFra
 
 def rule_counts(scan: Column) -> Column:
     """struct(passed, failed, incomplete): rules passed, nodes failed and undecided of a parsed scan."""
-    nodes = lambda rules: F.aggregate(F.coalesce(F.transform(rules, lambda r: F.coalesce(F.size(r["nodes"]), F.lit(0))), F.array().cast("array<int>")), F.lit(0), lambda a, n: a + n)
-    return F.struct(F.coalesce("pass_count", F.lit(0)).alias("passed"), nodes(scan["violations"]).alias("failed"), nodes(scan["incomplete"]).alias("incomplete"))
+    return F.struct(F.coalesce("pass_count", F.lit(0)).alias("passed"), failed_nodes(scan["violations"]).alias("failed"), failed_nodes(scan["incomplete"]).alias("incomplete"))
 
 
 def pass_nodes(passes: Column) -> Column:

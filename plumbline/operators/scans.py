@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import findings as fx
 from plumbline.functions import text as tx
 from plumbline.functions import urls as ux
+from plumbline.functions.web import page_anchors
 
 CHECK = "array<struct<id:string,message:string>>"
 NODE = f"struct<html:string,target:array<array<string>>,failureSummary:string,any:{CHECK},all:{CHECK},none:{CHECK}>"
@@ -74,26 +79,33 @@ def prune_ax_tree(nodes: Column, most: int = MAX_NODES) -> Column:
     return F.transform(F.slice(kept, 1, most), lambda n: F.struct(role(n).alias("role"), named(n).alias("name"), level(n).alias("level"), states(n).alias("states")))
 
 
-#: An anchor's start tag up to its href, quoted or not; other attributes may hold any quoted text.
-_ANCHOR = r"""(?is)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*?[\s/"']href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style|template|textarea|title)\b.*?</\1\s*>"
-
-
 def page_links(pages: DataFrame, html: str = "html", url: str = "url", most: int = MAX_LINKS) -> DataFrame:
     """(all columns but html, position, href): where a page's links lead, in order, as absolute http(s) URLs.
 
-    Anchors in comments, scripts and other text are none. Of a page the first ``most`` anchors with
-    an address count; of these, links that are not http(s), cannot be read or are longer than
-    MAX_HREF are left out. Positions count all anchors, from 0. Addresses are resolved against the
-    page's URL as a browser does.
+    Pages are read by the HTML standard's tokenizer as in a browser that runs scripts: anchors in comments,
+    scripts, noscript, templates and other text are none, and the first base element with an address
+    is what links are relative to. Of a page the first ``most`` anchors with an address count; of
+    these, links that are not http(s), cannot be read or are longer than MAX_HREF are left out. Positions
+    count all anchors, from 0. Null pages have no links. Other columns, of any name, are carried in a struct.
     """
-    bare = F.regexp_replace(html, _HIDDEN, " ")
-    found = F.slice(F.regexp_extract_all(bare, F.lit(_ANCHOR), 1), 1, most)
     rest = [c for c in pages.columns if c != html]
-    out = pages.select(*rest, F.posexplode(found).alias("position", "_raw"))
-    raw = F.regexp_replace("_raw", r"^[\"']|[\"']$", "")
-    out = out.withColumn("href", ux.resolved_url(F.col(url), ux.unescaped(raw))).drop("_raw")
-    return out.filter(F.col("href").rlike("^https?://") & (F.length("href") <= MAX_HREF))
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
+    rows = pages.select(row, F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, positions, hrefs = [], [], []
+            for i, (text, own) in enumerate(zip(batch.column("html"), batch.column("url"), strict=True)):
+                for k, href in enumerate(page_anchors(text.as_py(), own.as_py(), most)):
+                    if href is not None and len(href) <= MAX_HREF and href.startswith(("http://", "https://")):
+                        at.append(i)
+                        positions.append(k)
+                        hrefs.append(href)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array(positions, pa.int32()), pa.array(hrefs, pa.string())], ["row", "position", "href"])
+
+    shape = T.StructType([rows.schema["row"], T.StructField("position", T.IntegerType()), T.StructField("href", T.StringType())])
+    out = rows.mapInArrow(run, shape)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rest], "position", "href")
 
 
 def page_title(html: Column) -> Column:
@@ -109,9 +121,15 @@ def page_profiles(pages: DataFrame, markers: list[tuple[str, str]] = tx.PLATFORM
 
 
 def dedupe_visits(visits: DataFrame, run: str = "request_id", order: str = "visit", cap: int = 20) -> DataFrame:
-    """First visit of each identity (served and current URL) of a run, at most ``cap``, with the number cut off."""
-    first = Window.partitionBy(run, "served_url", "current_url").orderBy(order)
-    rows = visits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(run).orderBy(order)) - 1)
-    total = F.count("*").over(Window.partitionBy(run))
-    return rows.withColumn("truncated", F.greatest(total - cap, F.lit(0))).filter(F.col("position") < cap)
+    """First visit of each identity (served and current URL) of a run, at most ``cap``, with the number cut off.
+
+    First visits are found by grouping and counted by grouping, so only the ``cap`` kept ones of a
+    run are ranked: Spark prunes the window before its shuffle.
+    """
+    row, place = F.struct(*[F.col(f"`{c}`") for c in visits.columns]), F.struct(F.col(order).alias("order"))  # a null order is the first
+    first = visits.groupBy(F.col(run).alias("run"), F.col("served_url").alias("served"), F.col("current_url").alias("current"))
+    first = first.agg(F.min(place)["order"].alias("order"), F.min_by(row, place).alias("row"))
+    counts = first.groupBy(F.col("run").alias("counted")).agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("truncated"))
+    kept = first.withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy("order")) - 1).filter(F.col("position") < cap)
+    out = kept.join(counts, F.col("run").eqNullSafe(F.col("counted")))
+    return out.select("row.*", "position", "truncated")

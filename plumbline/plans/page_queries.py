@@ -126,6 +126,59 @@ def platform_detect(spark, d):
     return _pages(spark, d).select("page_id", tx.detect_platform(html).alias("platform"), tx.detect_platform(html, None, [("ads", 'class="ad"'), ("french", 'lang="fr"')]).alias("marked"))
 
 
+#: Test input: hosts of part keys, in spellings of IPv4 addresses and of names, and what a browser makes of them.
+_FORMS_SQL = """n AS (SELECT p_partkey, p_partkey % 8 AS k, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey * 7919 * 104729) % 4294967296 ELSE 2130706432 + p_partkey END AS n, replace(lower(p_brand), '#', '-') AS brand FROM part),
+f AS (SELECT *, CASE WHEN k < 6 THEN (n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255) WHEN k = 6 THEN 'www.' || brand || '.example' END AS host FROM n)"""
+
+
+def _host_form() -> F.Column:
+    k = F.col("p_partkey") % 8
+    n = F.when(F.col("p_partkey") % 3 == 0, (F.col("p_partkey") * 7919 * 104729) % F.lit(2**32)).otherwise(F.lit(2130706432) + F.col("p_partkey"))
+    byte = lambda s: (F.shiftright(n, s) % 256).cast("string")
+    name = F.replace(F.upper("p_brand"), F.lit("#"), F.lit("-"))
+    octal = F.concat(F.lit("0"), F.conv(F.shiftright(n, 24).cast("string"), 10, 8))
+    return (
+        F.when(k == 0, n.cast("string"))
+        .when(k == 1, F.concat(F.lit("0x"), F.hex(n)))
+        .when(k == 2, F.concat_ws(".", octal, byte(16), (n % 65_536).cast("string")))
+        .when(k == 3, F.concat_ws(".", byte(24), F.concat(F.lit("0X"), F.hex(n % F.lit(1 << 24)))))
+        .when(k == 4, F.concat(F.concat_ws(".", byte(24), byte(16), byte(8), byte(0)), F.lit(".")))
+        .when(k == 5, F.concat_ws(".", F.concat(F.lit("%3"), F.lit("0"), F.conv(F.shiftright(n, 24).cast("string"), 10, 8)), byte(16), byte(8), byte(0)))
+        .when(k == 6, F.concat(F.lit("ＷＷＷ。"), name, F.lit(".ex%61mple")))
+        .otherwise(F.concat(F.lit("300."), byte(16), F.lit(".1.2")))
+    )
+
+
+@query(rf"""WITH {_FORMS_SQL} SELECT p_partkey, host, CASE WHEN k = 7 THEN 'invalid_url' WHEN k < 6 AND ({' OR '.join(f"n >> {32 - p} = {int(__import__('ipaddress').IPv4Address(a)) >> (32 - p)}" for a, p in ux.BLOCKED_IPV4)}) THEN 'private_address' END AS refusal FROM f""")
+def host_forms(spark, d):
+    """The host that a browser connects to, and whether it may, of hosts in odd spellings; all are in the allowlist."""
+    url = F.concat(F.lit("http://"), _host_form(), F.lit(":8080/x"))
+    rows = read_table(spark, d, "part").select("p_partkey", ux.host_as_browser(url).alias("host"), url.alias("url"))
+    return rows.select("p_partkey", "host", ux.target_refusal(F.col("url"), F.array(F.coalesce("host", F.lit("x")))).alias("refusal"))
+
+
+#: Test input: documents of kinds that only a tokenizer reads right, with the page's number for K.
+_DOCUMENTS = [
+    '<a href="first"></a><base target=x><base href="https://cdn.test/K/"><base href="https://no.test/"><a href="y">',
+    '<noscript><a href="/no"></noscript><a href="?page=K&section=2&copy=2&amp;lt=3">',
+    '<a href="/a&#47;K"><!-- <a href="/open">',
+    '<template><a href="/t"></template><svg><title><a href="/s"></a></title></svg><a href="/p/K">',
+    '<script><!-- <script> </script> <a href="/no"> --></script><textarea><a href="/no"></textarea><a href="http://2130706433/K">',
+    """<a href="http://fa\u00df.de/K"><a title='x>y' href=/u?a=1&lt=K data-x><a href="/unclosed""",
+]
+#: Where they lead, as structs of position and address.
+_READ = "[[{'p': 0, 'h': 'https://cdn.test/' || page_id || '/first'}, {'p': 1, 'h': 'https://cdn.test/' || page_id || '/y'}], [{'p': 0, 'h': origin || path || '?page=' || page_id || '&section=2&copy=2&lt=3'}], [{'p': 0, 'h': origin || '/a/' || page_id}], [{'p': 1, 'h': origin || '/p/' || page_id}], [{'p': 0, 'h': 'http://127.0.0.1/' || page_id}], [{'p': 0, 'h': 'http://xn--fa-hia.de/' || page_id}, {'p': 1, 'h': origin || '/u?a=1&lt=' || page_id}]]"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_HEAD.format(n=1)} || '://' || {_HEAD.format(n=2)} AS origin, {_HEAD.format(n=3)} AS path FROM pages),
+l AS (SELECT page_id, unnest(list_extract({_READ}, CAST(page_id % {len(_DOCUMENTS)} + 1 AS INTEGER))) AS x FROM p) SELECT page_id, x.p AS position, x.h AS href FROM l""")
+def link_documents(spark, d):
+    """Links behind bases, scripts, comments and references, which only the document as a browser builds it tells."""
+    text = F.element_at(F.array(*[F.lit(x) for x in _DOCUMENTS]), (F.col("page_id") % len(_DOCUMENTS) + 1).cast("int"))
+    html = F.replace(text, F.lit("K"), F.col("page_id").cast("string"))
+    return scans.page_links(_pages(spark, d).select("page_id", "url", html.alias("html"))).drop("url")
+
+
 #: Anchors that test what is no link, added to every page: in a comment, in a script, other schemes, no quotes, references, too long.
 _EXTRA = [
     '<!-- <a href="/hidden">x</a> --><script>var a = "<a href=\'/script\'>"</script>',

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import findings as fx
 from plumbline.functions import text as tx
 from plumbline.functions import urls as ux
-from plumbline.functions import wcag
+from plumbline.functions import wcag, web
 from plumbline.operators import catalog
 
 
@@ -103,6 +103,39 @@ def test_target_refusals(spark):
     assert values(spark, rows, "u string", ux.target_refusal(F.col("u"), allowed)) == [None, "scheme", "credentials", "host_not_allowed", "private_address", "invalid_url", "invalid_url"]
 
 
+def test_target_refusals_by_the_host_that_a_browser_connects_to(spark):
+    hosts = ["2130706433", "0x7f.1", "0x7f.0.0.1", "127.0.0.1.", "017700000001", "[::ffff:127.0.0.1]", "%31%32%37.0.0.1", "１２７。0.0.1", "256.0.0.1", "1.2.3.4.5", "fa\u00df.de", "XN--ZCA.de", "xn--a.de", "8.8.8.8", "a b", ""]
+    rows = [(f"http://{h}/",) for h in hosts]
+    allowed = F.array(*[F.lit(h) for h in ("127.0.0.1", "[::ffff:7f00:1]", "xn--fa-hia.de", "xn--zca.de", "8.8.8.8")])
+    got = spark.createDataFrame(rows, "u string").select(ux.host_as_browser(F.col("u")).alias("h"), ux.target_refusal(F.col("u"), allowed).alias("r")).collect()
+    assert [r.h for r in got] == ["127.0.0.1"] * 5 + ["[::ffff:7f00:1]", "127.0.0.1", "127.0.0.1", None, None, "xn--fa-hia.de", "xn--zca.de", None, "8.8.8.8", None, None]
+    private, bad = "private_address", "invalid_url"
+    assert [r.r for r in got] == [private] * 8 + [bad, bad, None, None, bad, None, bad, bad]
+
+
+def test_url_parser():
+    base = web.parse_url("http://h/a/b?c#d")
+    told = {"../x": "http://h/x", "?q": "http://h/a/b?q", "#f": "http://h/a/b?c#f", "": "http://h/a/b?c", "//O:80/y": "http://o/y", "\\\\o\\y": "http://o/y", "http:z": "http://h/a/z", "https:z": "https://z/", "a b\n\u00fc": "http://h/a/a%20b%C3%BC", "%2E%2e/z": "http://h/z", "mailto:a@b": "mailto:a@b", "javascript:x y": "javascript:x y", "http://u:p@q:081/": "http://u:p@q:81/"}
+    assert {k: web.parse_url(k, base).href for k in told} == told
+    for refused in ("http://", "http://a:b", "http://h:65536/", "http://[::1", "http://a^b/", "http://u@/", "x", "http://1.2.3.0x/a.b"[:14] + "zz.09"):
+        assert web.parse_url(refused) is None, refused
+    assert web.parse_url("file:///C|/a/../../b").href == "file:///C:/b" and web.parse_url("file://localhost/x").href == "file:///x"
+
+
+def test_links_of_a_document():
+    read = lambda text: web.page_anchors(text, "https://s.test/a/b", 99)
+    assert read('<base href="https://cdn.test/x/"><a href="y">') == ["https://cdn.test/x/y"]
+    assert read('<a href=1><base href="/z/"><base href="/w/">') == ["https://s.test/z/1"]
+    assert read('<base href="data:x"><a href=1>') == ["https://s.test/a/1"]
+    assert read("<noscript><a href=1></noscript><a href=2><!-- <a href=3>") == ["https://s.test/a/2"]
+    assert read("<a href='?page=1&section=2'><a href='?a&copy=2&copy;&amp;b&lt'>") == ["https://s.test/a/b?page=1&section=2", "https://s.test/a/b?a&copy=2%C2%A9&b%3C"]
+    assert read("<template><a href=1></template><svg><a href=2></a><title><a href=3></title></svg><a href=4>") == [None, None, "https://s.test/a/4"]
+    assert read("<script><!--<script></script><a href=1>--></script><style><a href=2></style ><A\nHREF\f=\f3 href=4><a href='5") == ["https://s.test/a/3"]
+    assert read("<!--><a href=1><!---><a href=2><!-- --!><a href=3><? <a href=4>><a/href=5/>") == [f"https://s.test/a/{k}" for k in (1, 2, 3)] + ["https://s.test/a/5/"]
+    assert read("<a href='http://h:99999/'><plaintext><a href=1>") == [None]
+    assert read(None) == [] and web.page_anchors("<a href=1>", None, 9) == [None]
+
+
 def test_host_problems(spark):
     rows = [("ok.example.com",), ("",), ("*.a.com",), ("a.com:80",), ("a" * 254,), ("münchen.de",), ("localhost",), ("1.2.3.4",), ("co.uk",)]
     assert values(spark, rows, "h string", ux.host_problem(F.col("h"))) == [None, "blank", "wildcard", "not_just_a_host", "too_long", "not_punycode", "not_a_hostname", "address", "public_suffix"]
