@@ -1,19 +1,14 @@
-"""Functions over JSON texts of any depth: redaction, log lines, canonical form.
+"""Functions over JSON texts: redaction, log lines, canonical form; all built in, as variants.
 
-Spark has no expression that walks a JSON value of unknown depth, so redaction is a pandas UDF of a
-few lines; all else is built in.
+What a text may hold that JSON cannot: a lone surrogate becomes ``?``, a number beyond doubles the
+string ``Infinity``, ``NaN`` is no JSON. Objects come back with their keys in order. Of a repeated
+key the last value counts where the session says so (``plumbline.session.lenient_json``), else the text is no JSON.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 # Parts of keys whose values are never told, what is told instead, the depth to which
 # keys are looked at, and the keys of a log line's envelope.
@@ -21,48 +16,45 @@ SECRET_PARTS = ["token", "secret", "password", "authorization", "cookie", "crede
 REDACTED, REDACTED_SECRET = "[redacted]", "[redacted credential]"
 MAX_DEPTH = 5
 ENVELOPE = ["type", "level", "ts"]
-_SECRET = re.compile("|".join(SECRET_PARTS), re.IGNORECASE)
-
+_SECRET = "(?i)" + "|".join(SECRET_PARTS)
+#: Strings (with their colon, if they are keys), numbers and what lies between, of canonical JSON.
+_TOKENS = r'"(?:[^"\\]|\\.)*"\s*:?|-?[0-9][0-9.eE+\-]*|[^"0-9\-]+'
 
-def _mapped(texts: pd.Series, change) -> pd.Series:
-    """Each JSON text after ``change`` of its value; NULL for NULL and for what is no JSON."""
 
-    def one(text: str | None) -> str | None:
-        try:
-            return None if text is None else json.dumps(change(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return None
+def _without_secrets(value: Column, depth: int = 0) -> Column:
+    """A variant with the values of secret keys replaced: one step of objects and of arrays a level."""
+    if depth > MAX_DEPTH:
+        return value
+    replaced = F.parse_json(F.lit(f'"{REDACTED}"'))
+    of_object = F.transform_values(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, x: F.when(k.rlike(_SECRET), replaced).otherwise(_without_secrets(x, depth + 1)))
+    of_array = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: _without_secrets(x, depth + 1))
+    return F.coalesce(F.to_variant_object(of_object), F.to_variant_object(of_array), value)
 
-    return texts.map(one)
 
+def redact_keys(text: Column | str) -> Column:
+    """JSON text in which values of keys that look secret are replaced, down to MAX_DEPTH levels; NULL for what is no JSON.
 
-def _without_secrets(value, depth: int = 0):
-    if depth > MAX_DEPTH or not isinstance(value, dict | list):
-        return value
-    if isinstance(value, list):
-        return [_without_secrets(x, depth + 1) for x in value]
-    return {k: REDACTED if _SECRET.search(k) else _without_secrets(x, depth + 1) for k, x in value.items()}
+    A text without any of the words is not taken apart.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    value = F.try_parse_json(text)
+    # a letter of a key may be written as an escape
+    return F.when(text.rlike(_SECRET + r"|\\u"), F.to_json(_without_secrets(value))).otherwise(F.to_json(value))
 
 
-@pandas_udf(T.StringType())
-def redact_keys(texts: pd.Series) -> pd.Series:
-    """JSON texts in which values of keys that look secret are replaced, down to MAX_DEPTH levels."""
-    return _mapped(texts, _without_secrets)
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
 
 
 def redact_values(text: Column, secrets: Column) -> Column:
-    """JSON text in which every string that equals one of ``secrets`` (an array) is replaced; empty and one-letter secrets are no secrets."""
-
-    @pandas_udf(T.StringType())
-    def run(texts: pd.Series, known: pd.Series) -> pd.Series:
-        def one(text: str | None, own) -> str | None:
-            usable = {s for s in (own if own is not None else []) if s is not None and len(s) > 1}
-            walk = lambda x: (REDACTED_SECRET if x in usable else x) if isinstance(x, str) else [walk(y) for y in x] if isinstance(x, list) else {k: walk(y) for k, y in x.items()} if isinstance(x, dict) else x
-            return _mapped(pd.Series([text], dtype=object), walk)[0]
-
-        return pd.Series([one(t, s) for t, s in zip(texts, known, strict=True)], dtype=object)
+    """JSON text in which every string that equals one of ``secrets`` (an array) is replaced; empty and one-letter secrets are no secrets.
 
-    return run(text, secrets)
+    Strings are replaced at any depth; keys are not. NULL for what is no JSON.
+    """
+    usable = F.filter(F.coalesce(secrets, F.array().cast("array<string>")), lambda s: F.coalesce(F.length(s) > 1, F.lit(False)))
+    quoted = F.transform(usable, lambda s: F.regexp_replace(F.to_json(F.to_variant_object(F.array(s))), r"^\[|\]$", ""))
+    told = F.transform(_tokens(F.to_json(F.try_parse_json(text))), lambda t: F.when(F.array_contains(quoted, t), f'"{REDACTED_SECRET}"').otherwise(t))
+    return F.array_join(told, "")
 
 
 def log_line(level: Column, kind: Column, ts: Column, fields: Column) -> Column:
@@ -74,5 +66,6 @@ def log_line(level: Column, kind: Column, ts: Column, fields: Column) -> Column:
 
 
 def canonical_json(text: Column) -> Column:
-    """JSON text with the keys of all objects in order and no blanks; NULL for what is no JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON text with the keys of all objects in order, no blanks and equal numbers written alike; NULL for what is no JSON."""
+    number = lambda t: F.regexp_replace(F.regexp_replace(t.try_cast("double").cast("string"), r"\.0$", ""), "^-0$", "0")
+    return F.array_join(F.transform(_tokens(F.to_json(F.try_parse_json(text))), lambda t: F.when(t.rlike("^-?[0-9]"), number(t)).otherwise(t)), "")

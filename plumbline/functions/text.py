@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.jsontext import REDACTED, SECRET_PARTS
 
 # Failure codes by pattern, in order of precedence.
 FAILURES = [
@@ -19,7 +18,6 @@ FAILURES = [
 PLATFORMS = [("react", r"(?i)data-reactroot|__next"), ("wordpress", r"(?i)wp-content|wp-includes|wordpress")]
 # What each platform's adapter can tell.
 CAPABILITIES = {"generic": (False, False, False), "react": (True, True, False), "wordpress": (False, False, True)}
-SECRET_KEYS = "(?i)" + "|".join(SECRET_PARTS)
 # What a failed run's reason means.
 FAILURE_WORDS = {
     "journey_step_failed": "A step could not be performed — usually a selector that no longer matches the page. Record the journey again against the current site.",
@@ -124,11 +122,6 @@ def capabilities(platform: Column) -> Column:
     return F.struct(pick(0).alias("spa_navigation"), pick(1).alias("component_source"), pick(2).alias("cms_template"))
 
 
-def redact_map(fields: Column) -> Column:
-    """Values of keys that look secret are replaced (map<string,string>)."""
-    return F.transform_values(fields, lambda k, v: F.when(k.rlike(SECRET_KEYS), F.lit(REDACTED)).otherwise(v))
-
-
 def verdict_words(text: Column) -> Column:
     """Letters and blanks of a verdict label, trimmed, lower-case."""
     return F.lower(F.trim(F.regexp_replace(text, r"[^A-Za-z ]", "")))

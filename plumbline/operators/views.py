@@ -184,7 +184,3 @@ def activity(events: DataFrame, clients: DataFrame, client_id=None, limit: float
         events = events.filter(F.col("client_id") == client_id)
     top = events.orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(clamp_limit(limit, default, 200))
     return top.join(clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name")), "client_id", "left")
-
-
-def newest_of(summaries: DataFrame) -> DataFrame:
-    return summaries.orderBy(*newest_first()).limit(1)

@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -44,6 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lenient_json(spark: SparkSession) -> None:
+    """Of a JSON object's repeated key the last value counts, as browsers and most parsers have it."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 #: Rows and bytes of an Arrow batch between Spark and its Python workers.
 BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 

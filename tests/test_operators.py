@@ -310,6 +310,34 @@ def test_redaction_to_its_depth(spark):
     assert json.loads(out[0].x) == want and out[1].x is None and out[2].x is None
 
 
+def test_redaction_never_fails_and_stays_in_the_jvm(spark):
+    rows = ['{"a":"\\ud800","b":"\\ud83d\\ude00","token":1}', '{"a":1e400,"Token":1}', '{"a":NaN,"token":1}', '{"p":1,"p":{"secret":2}}', '[1,{"token":"x"}]', '"token"', "null", '{"\\u0074oken":1}', '{"a":' + "[" * 3_000 + "]" * 3_000 + "}", '{"token":[' * 3]
+    out = spark.createDataFrame([(r,) for r in rows], "raw string").coalesce(1).select(jsontext.redact_keys("raw").alias("x"))
+    assert [r.x for r in out.collect()] == ['{"a":"?","b":"😀","token":"[redacted]"}', '{"Token":"[redacted]","a":"Infinity"}', None, '{"p":{"secret":"[redacted]"}}', '[1,{"token":"[redacted]"}]', '"token"', "null", '{"token":"[redacted]"}', None, None]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_redacted_at_any_depth(spark):
+    deep = '{"abc":"abc","x":' + '{"y":[' * 40 + '"abc","a\\"b","q","abcd",",",12' + "]}" * 40 + "}"
+    rows = [(deep, ["abc", 'a"b', "q", '","', None, "", "12"]), ('["a","b"]', ['","', ","]), ("[]", None), ("nope", ["nope"]), (None, ["ab"])]
+    out = spark.createDataFrame(rows, "raw string, secrets array<string>").coalesce(1).select(jsontext.redact_values(F.col("raw"), F.col("secrets")).alias("x"))
+    hidden = '"[redacted credential]"'
+    assert [r.x for r in out.collect()] == ['{"abc":' + hidden + ',"x":' + '{"y":[' * 40 + f'{hidden},{hidden},"q","abcd",",",12' + "]}" * 40 + "}", '["a","b"]', "[]", None, None]
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_canonical_json_writes_equal_numbers_alike(spark):
+    rows = ['[1e2,"1e2",-0.0,1.50,{"b":1,"a":2.0}]', '[100, "1e2", 0, 1.5, {"a":2,"b":1}]', '[100.0,"100",0,15e-1,{"a":2,"b":1}]']
+    got = [r.x for r in spark.createDataFrame([(r,) for r in rows], "raw string").coalesce(1).select(jsontext.canonical_json(F.col("raw")).alias("x")).collect()]
+    assert got[0] == got[1] == '[100,"1e2",0,1.5,{"a":2,"b":1}]' and got[2] != got[0]
+
+
+def test_steps_with_repeated_keys(spark):
+    raw = '[{"action":"navigate","type":"goto","path":"/a","path":"/b"},{"action":"navigate","type":"goto","path":"/c"}]'
+    row = spark.createDataFrame([(raw,)], "raw string").select(steps.steps_problem(F.col("raw")).alias("p"), F.size(steps.elements(F.col("raw"))).alias("n"), F.to_json(steps.elements(F.col("raw"))[0]).alias("first")).first()
+    assert row.p is None and row.n == 2 and json.loads(row.first)["path"] == "/b"
+
+
 def test_workspace_lies_in_the_shared_folder(spark):
     from plumbline.session import Workspace, shared_dir
 
