@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import catalog
 from plumbline.streaming import ordered
@@ -120,3 +121,45 @@ def test_state_of_counters_goes_after_its_time_to_live(rocks, tmp_path):
 
     q = ordered.ttl_counter_stream(stream, 1, grace=0).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).start()
     until(q, lambda: state(q))
+
+
+def test_hourly_turns_are_written_once(spark, sf, tmp_path):
+    """Ticks as a stream equal the turns one after another; a batch that is run again, whole or after a crash, changes nothing."""
+    from plumbline.plans import proxies as px
+    from plumbline.streaming import turns
+
+    runs = px.runs(spark, sf)
+    journeys = px.journeys(spark, sf)
+    ticks = [(dt.datetime(2024, 1, 20 + k // 2, 3, 30 * (k % 2)), [] if k % 3 else [6, 18]) for k in range(4)]
+    ledger = turns.Ledger(spark, str(tmp_path / "state"))
+    turns.start(ledger, runs, journeys)
+    stream = fed(spark, [ticks[:1], ticks[1:3], ticks[3:]], "at timestamp, failed array<long>", tmp_path)
+    run = turns.turn(ledger)
+    crashed: list[int] = []
+
+    def once_broken(df, batch):
+        if batch == 1 and not crashed:  # a run that wrote a table and died
+            crashed.append(batch)
+            runs.limit(1).write.parquet(str(tmp_path / "state" / "runs" / "v=1"))
+            raise RuntimeError("lost")
+        run(df, batch)
+
+    start = lambda f: stream.writeStream.foreachBatch(f).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = start(once_broken)
+    with pytest.raises(Exception, match="lost"):
+        q.awaitTermination(120)
+    assert start(once_broken).awaitTermination(120)
+    want_runs, want = runs, journeys
+    claimed = []
+    for at, failed in ticks:
+        done = catalog.tick(want_runs, want, F.lit(at).cast("timestamp"))
+        due = [r.id for r in done["due"].collect()]
+        claimed += [(i, at) for i in due if i not in failed]
+        want_runs, want = done["runs"], catalog.release_claims(done["journeys"], done["due"].filter(F.col("id").isin(failed)).select("id"))
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    state = lambda: (rows(ledger.read("journeys"), "id", "last_scheduled_at"), rows(ledger.read("runs"), "request_id", "status"), rows(ledger.read("claims"), "id", "at"))
+    before = state()
+    assert before == (rows(want, "id", "last_scheduled_at"), rows(want_runs, "request_id", "status"), sorted(claimed, key=str))
+    assert ledger.batches() == [-1, 0, 1, 2] and claimed
+    run(spark.createDataFrame(ticks[3:], "at timestamp, failed array<long>"), 2)  # a batch that is run again
+    assert state() == before
