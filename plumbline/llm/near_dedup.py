@@ -7,14 +7,16 @@ looked at deeper: its sub-regions are used where they are small enough, and at t
 document is paired with its next NEXT neighbours. So candidates grow with the documents, not with
 the square of a region. All candidates end in one component or are checked on full sets.
 
-What a large region may hide after that is closed: where it still holds several components, the
-documents outside its largest one (outsiders) are compared with all its documents by WIDE MinHash
-values, block by block, and each outsider that may be similar to another component is checked on
-full sets against that component's members. Only links come out of either step.
+What a large region may hide after that is closed, over all documents of large regions that still
+hold several components. Shingles are ordered by how often they occur there (the rarest first). Two
+documents of the wanted similarity share a shingle that is among the rarest seventh of the smaller and
+the rarest quarter of the larger one, so only documents and components that meet in such a
+shingle are compared: pages of one template, whose rarest shingles are their own, never meet. They are compared by WIDE MinHash values, block by block, and what may be similar
+is checked on full sets. Only links come out of either step.
 
 At similarity 0.75 a pair misses all TREES base prefixes with probability (1 - 0.75**3)**32, about
 2e-8; it has fewer than CLOSE[1] of WIDE equal values with 3e-10, and fewer than CLOSE[0] of the
-first SIGNATURE ones, which are looked at before, with as much.
+first SIGNATURE ones, which are looked at before, with as much. The rarest shingles miss nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import (
     U64,
     connected_components,
+    fits_broadcast,
     ids_only,
     merged_components,
     mix,
@@ -48,6 +51,8 @@ REGION, NEXT = 8, 2
 CLOSE = 64, 321
 #: Documents of a block, in the steps that compare blocks.
 BLOCK = 512
+#: Counters of the shingles' frequencies, a power of two; they set an order only, so shared ones cost time, not results.
+SLOTS = 1 << 20
 #: Best candidates of a document that are checked before the first components are formed.
 FIRST_LINKS = 3
 
@@ -249,18 +254,17 @@ def _in_blocks(ws: Workspace, rows: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def _suspects(percent: int):
-    """Of a block of a region's outsiders and a block of its documents: (x, component) of outsiders that look similar to one of another component."""
+    """Of a block of documents that met a component and a block of its documents: (x, component) of those that look similar to one of it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found: set[tuple[int, int]] = set()
         if left.num_rows and right.num_rows:
             docs, parts, sizes = (left.column(f"l_{c}").to_numpy() for c in ("doc", "component", "n"))
-            r_docs, r_parts, r_sizes, r_out = (right.column(f"r_{c}").to_numpy() for c in ("doc", "component", "n", "outside"))
+            r_parts, r_sizes = (right.column(f"r_{c}").to_numpy() for c in ("component", "n"))
             sketch, r_sketch = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for t, c in ((left, "l_sketch"), (right, "r_sketch")))
             first = np.ascontiguousarray(r_sketch[:, :SIGNATURE])
             for i in range(len(docs)):
                 fit = (r_parts != parts[i]) & (100 * np.minimum(r_sizes, sizes[i]) >= percent * np.maximum(r_sizes, sizes[i]))
-                fit &= ~r_out | (r_docs > docs[i])  # two outsiders meet twice
                 fit &= (first == sketch[i, :SIGNATURE]).view(np.uint8).sum(axis=1, dtype=np.uint8) >= CLOSE[0]
                 at = np.flatnonzero(fit)
                 at = at[(r_sketch[at] == sketch[i]).sum(axis=1) >= CLOSE[1]]
@@ -291,24 +295,90 @@ def _first_links(percent: int):
     return run
 
 
+def _frequencies(k: int):
+    """(slot, n): how many sets of a partition have a shingle of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, sets, _ in _sets(batch, k):
+                counts += np.bincount((np.concatenate(sets) % U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+
+    return run
+
+
+def _rarest(k: int, percent: int, shared):
+    """(doc, component, n, shingle, few): of every set the rarest shingles, one of which any set of the similarity shares.
+
+    Those marked ``few`` are enough towards sets that are no smaller: there the common part is larger.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            for low, sets, _ in _sets(batch, k):
+                kept, few = [], []
+                for own in sets:
+                    n = len(own)
+                    most = n - -(-percent * n // 100) + 1 if n else 0
+                    often = counts[(own % U64(SLOTS)).astype(np.int64)]
+                    kept.append(own[np.lexsort((own, often))[:most]])
+                    few.append(np.arange(most) <= n - -(-2 * percent * n // (100 + percent)))
+                at = np.repeat(np.arange(len(sets)), [len(x) for x in kept])
+                row = pa.array(at + low)
+                sizes = np.array([len(x) for x in sets])[at] if len(sets) else at
+                columns = [batch.column("doc_id").take(row), batch.column("component").take(row), pa.array(sizes.astype(np.int32)), pa.array(signed(np.concatenate(kept))), pa.array(np.concatenate(few))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "component", "n", "shingle", "few"])
+
+    return run
+
+
+def _meeting(ws: Workspace, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(x, other): documents of large regions (doc, component) that share one of their rarest shingles with a component of a greater number, or the shingle's largest."""
+    ids = rows.select(F.col("doc").alias("doc_id"), "component").distinct()
+    ids = ws.save(ids, "region-ids")
+    texts = docs.join(F.broadcast(ids) if fits_broadcast(ids, ids.count()) else ids, "doc_id")
+    found = texts.mapInArrow(_frequencies(k), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.uint32)  # of a fixed size, whatever the documents
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
+    shared = ws.spark.sparkContext.broadcast(counts)
+    rare = ws.save(texts.mapInArrow(_rarest(k, percent, shared), "doc long, component long, n int, shingle long, few boolean"), "rarest")
+    both = rare.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("few").alias("few"))
+    both = ws.save(both.filter("low <> high and few").select("shingle"), "met")
+    rare = ws.save(rare.join(both, "shingle"), "rare-met")
+    parts = rare.groupBy("shingle", "component").agg(F.count("*").alias("docs"), F.max("n").alias("largest"), F.min(F.when(F.col("few"), F.col("n"))).alias("least"))
+    parts = ws.save(parts, "rare-parts")
+    main = parts.groupBy("shingle").agg(F.max(F.struct("docs", "component"))["component"].alias("main"))
+    others = ws.save(parts.join(main, "shingle").select("shingle", F.col("component").alias("other"), "main", "largest", "least"), "others")
+    pairs = rare.join(others, "shingle").filter("component <> other and component <> main and (other = main or other > component)")
+    # the smaller of two documents has the shingle among its few
+    pairs = pairs.filter(f"(few and largest >= n) or (least <= n and 100 * largest >= {percent} * n)")
+    return ws.save(pairs.select(F.col("doc").alias("x"), "other").distinct(), "meeting")
+
+
 def _region_suspects(ws: Workspace, docs: DataFrame, large: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
-    """(x, component): outsiders of large regions that may be linked with a component which they are not in."""
+    """(x, component): documents of large regions that may be linked with a component which they are not in."""
     labels = first.select(F.col("node").alias("doc"), "component")
     rows = large.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = ws.save(rows, "regions")
-    parts = ws.save(rows.groupBy("key", "component").agg(F.count("*").alias("docs")), "parts")
-    main = parts.groupBy("key").agg(F.max(F.struct("docs", "component")).alias("m"), F.sum("docs").alias("docs"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = ws.save(main.select("key", F.col("m.component").alias("main"), blocks(F.col("docs")).alias("blocks"), blocks(F.col("docs") - F.col("m.docs")).alias("out_blocks")), "main")
-    rows = ws.save(rows.join(main, "key").withColumn("outside", F.col("component") != F.col("main")), "rows")
-    ids = ws.save(rows.select(F.col("doc").alias("doc_id")).distinct(), "region-ids")
+    open_keys = ws.save(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "open")
+    rows = ws.save(rows.join(open_keys, "key").select("doc", "component", "n").distinct(), "rows")
+    meeting = _meeting(ws, docs, rows, k, percent)
+    # the documents that met a component against its documents, block by block
+    left = meeting.join(rows.select(F.col("doc").alias("x"), "component", "n"), "x").select(F.col("other").alias("key"), F.col("x").alias("doc"), "component", "n")
+    left = ws.save(left, "left-docs")
+    right = ws.save(rows.join(left.select(F.col("key").alias("component")).distinct(), "component", "left_semi").withColumn("key", F.col("component")), "right-docs")
+    ids = ws.save(left.select(F.col("doc").alias("doc_id")).union(right.select("doc")).distinct(), "sketch-ids")
     sketches = ws.save(ids_only(docs, ids, "doc_id", ids.count()).mapInArrow(_sketches(k), "doc long, sketch binary"), "sketches")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int")).withColumn("out_block", F.pmod(F.xxhash64("doc"), "out_blocks").cast("int"))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["key", "out_block", "block", "doc", "component", "n", "outside", "sketch"]
+    left, right = _in_blocks(ws, left, "key", "doc"), _in_blocks(ws, right, "key", "doc")
+    left, right = ws.save(left.withColumnsRenamed({"doc_blocks": "own_blocks", "doc_block": "out_block"}), "left-blocks"), ws.save(right.withColumnsRenamed({"doc_blocks": "own_blocks", "doc_block": "block"}), "right-blocks")
+    times = lambda df: ws.save(df.groupBy("key").agg(F.max("own_blocks").alias("times")), "times")
+    spread = lambda df, other, name: df.join(times(other), "key").withColumn(name, F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    columns = ["key", "out_block", "block", "doc", "component", "n", "sketch"]
     side = lambda df, mark: df.join(sketches, "doc").select(*[F.col(c).alias(f"{mark}_{c}") for c in columns])
-    left = side(rows.filter("outside").withColumn("block", every("blocks")), "l")
-    right = side(rows.withColumn("out_block", every("out_blocks")), "r")
+    left, right = side(spread(left, right, "block"), "l"), side(spread(right, left, "out_block"), "r")
     both = left.groupBy(*left.columns[:3]).cogroup(right.groupBy(*right.columns[:3]))
     return ws.save(both.applyInArrow(_suspects(percent), "x long, component long").distinct(), "suspects")
 

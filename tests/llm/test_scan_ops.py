@@ -330,3 +330,31 @@ def test_matrices_of_a_grammar_equal_those_of_rows():
         for symbol in text[1:]:
             whole = repair.product(whole, repair.terminal(symbol))
         assert {k: (c, repair.flat(r)) for k, (c, r) in found.items()} == {k: (c, repair.flat(r)) for k, (c, r) in whole.items()}
+
+
+# --- op3's large regions --------------------------------------------------------------------
+
+
+def test_pages_of_a_template_never_meet_and_near_copies_among_them_do(spark, monkeypatch):
+    """Many pages that share 60 % of their shingles and link nothing: what is compared does not grow with their pairs."""
+    from plumbline.llm import near_dedup
+    from plumbline.session import Workspace
+
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(190)]
+    pages = 3_000
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(62)])) for i in range(pages)]
+    near = rows[7][1].split()
+    near[rng.randrange(200, 250)] = "edited"
+    rows.append((pages, " ".join(near)))
+    met = []
+    whole = near_dedup._meeting
+    monkeypatch.setattr(near_dedup, "_meeting", lambda *a: met.append(whole(*a)) or met[-1])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i for i in range(pages)} | {pages: 7}
+    assert len(met) == 1 and met[0].count() <= 2 * pages // 100
+    # the rarest shingles alone find a link that the trees and the components did not
+    ws = Workspace(spark, "t")
+    docs = spark.createDataFrame([rows[7], rows[8], rows[pages]], "doc_id long, text string")
+    alone = ws.save(spark.createDataFrame([(i, i, 248) for i in (7, 8, pages)], "doc long, component long, n int"), "rows")
+    assert sorted(map(tuple, whole(ws, docs, alone, 5, 75).collect())) == [(7, pages)]
