@@ -152,6 +152,13 @@ def positive_or(value: str | None, fallback: int) -> int:
     return int(number) if number.is_integer() and number > 0 else fallback
 
 
+def positive_number(value: Column, fallback: int) -> Column:
+    """A column of settings as positive whole numbers: ``12``, ``12.0``, ``1.2e1`` and blanks around them; the fallback for anything else."""
+    number = F.when(F.trim(value).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(value).try_cast("double"))
+    whole = (number > 0) & (number < 2.0**53) & (F.floor(number) == number)
+    return F.when(F.coalesce(whole, F.lit(False)), number.cast("long")).otherwise(F.lit(fallback).cast("long"))
+
+
 def clamp_limit(limit: float | None, default: int = 20, most: int = 100) -> int:
     """Rows of a page of a list: whole, at least 1, at most ``most``; no number means the default."""
     if limit is None or limit != limit or limit in (float("inf"), float("-inf")):

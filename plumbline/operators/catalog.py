@@ -66,10 +66,12 @@ def due_journeys(journeys: DataFrame, now: Column, limit: int = 3) -> DataFrame:
 
 def claim_journeys(journeys: DataFrame, now: Column, limit: int = 3) -> DataFrame:
     """All journeys, the due ones stamped with ``now``. A single writer must own the table: Spark has no row locks."""
-    due = due_journeys(journeys, now, limit).select("id", F.lit(True).alias("_due"))
-    out = journeys.join(due, "id", "left")
+    due = due_journeys(journeys, now, limit).select(F.col("id").alias("due"))
+    whole = journeys.select(F.struct(*[F.col(f"`{c}`") for c in journeys.columns]).alias("row"))
     kind = journeys.schema["last_scheduled_at"].dataType
-    return out.withColumn("last_scheduled_at", F.when(F.col("_due"), now.cast(kind)).otherwise(F.col("last_scheduled_at"))).drop("_due")
+    stamp = F.when(F.col("due").isNotNull(), now.cast(kind)).otherwise(F.col("row.last_scheduled_at"))
+    out = whole.join(due, F.col("row.id") == F.col("due"), "left")
+    return out.select(*[stamp.alias(c) if c == "last_scheduled_at" else F.col("row")[c].alias(c) for c in journeys.columns])
 
 
 def release_claim(journeys: DataFrame, journey_id) -> DataFrame:
@@ -78,9 +80,11 @@ def release_claim(journeys: DataFrame, journey_id) -> DataFrame:
 
 def release_claims(journeys: DataFrame, failed: DataFrame) -> DataFrame:
     """Journeys, those in ``failed`` (id) free again: their run was not started."""
-    lost = failed.select(F.col("id").alias("_lost")).distinct()
-    out = journeys.join(lost, F.col("id") == F.col("_lost"), "left")
-    return out.withColumn("last_scheduled_at", F.when(F.col("_lost").isNull(), F.col("last_scheduled_at"))).drop("_lost")
+    lost = failed.select(F.col("id").alias("lost")).distinct()
+    whole = journeys.select(F.struct(*[F.col(f"`{c}`") for c in journeys.columns]).alias("row"))
+    free = F.when(F.col("lost").isNull(), F.col("row.last_scheduled_at"))
+    out = whole.join(lost, F.col("row.id") == F.col("lost"), "left")
+    return out.select(*[free.alias(c) if c == "last_scheduled_at" else F.col("row")[c].alias(c) for c in journeys.columns])
 
 
 def tick(runs: DataFrame, journeys: DataFrame, now: Column, limit: int = 3, seconds: int = STALE_SECONDS) -> dict[str, DataFrame]:
@@ -193,9 +197,12 @@ def insert_missing(stored: DataFrame, incoming: DataFrame, key: str) -> DataFram
 def upsert_last(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), fallback: Sequence[str] = ()) -> DataFrame:
     """Last write wins by keys; ``keep`` columns stay as stored, ``fallback`` ones do where the new value is NULL."""
     keys = list(keys)
-    old = stored.select(*[F.col(c).alias(f"_{c}") for c in stored.columns])
-    joined = incoming.withColumn("_in", F.lit(True)).join(old, [F.col(k) == F.col(f"_{k}") for k in keys], "full_outer")
-    pick = lambda c: F.coalesce(f"_{c}", c) if c in keep else F.coalesce(c, f"_{c}") if c in fallback else F.when(F.col("_in"), F.col(c)).otherwise(F.col(f"_{c}"))
+    # rows travel in structs, so that columns of any name may come
+    old = stored.select(F.struct(*[F.col(f"`{c}`") for c in stored.columns]).alias("old"))
+    new = incoming.select(F.struct(*[F.col(f"`{c}`") for c in incoming.columns]).alias("new"))
+    joined = new.join(old, [F.col("new")[k] == F.col("old")[k] for k in keys], "full_outer")
+    was, now = (lambda c: F.col("old")[c]), (lambda c: F.col("new")[c])
+    pick = lambda c: F.coalesce(was(c), now(c)) if c in keep else F.coalesce(now(c), was(c)) if c in fallback else F.when(F.col("new").isNotNull(), now(c)).otherwise(was(c))
     return joined.select(*[pick(c).alias(c) for c in stored.columns])
 
 
@@ -230,14 +237,17 @@ def consume_budget(requests: DataFrame, ts: str, key: str, per_hour: int = RUNS_
     A place is the requests of earlier minutes of the hour (day) and the place within the minute, so
     no task ranks more than a minute's requests.
     """
-    out = requests.withColumn("_minute", F.date_trunc("minute", ts))
-    minutes = out.groupBy(F.col("_minute").alias("_at")).agg(F.count("*").alias("_n"))
-    earlier = lambda unit: F.coalesce(F.sum("_n").over(Window.partitionBy(F.date_trunc(unit, "_at")).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    minutes = minutes.withColumn("_hour", earlier("hour")).withColumn("_day", earlier("day"))
-    out = out.withColumn("_place", F.row_number().over(Window.partitionBy("_minute").orderBy(ts, key)))
-    out = out.join(minutes, F.col("_minute").eqNullSafe(F.col("_at")))
-    out = out.withColumn("hour_count", (F.col("_hour") + F.col("_place")).cast("int")).withColumn("day_count", (F.col("_day") + F.col("_place")).cast("int"))
-    out = out.drop("_minute", "_at", "_n", "_hour", "_day", "_place")
+    told = ["hour_count", "day_count", "refused_by", "allowed", "resets_in", "hour_key", "day_key"]
+    kept = [c for c in requests.columns if c not in told]
+    # the request travels in a struct, so that columns of any name may come
+    rows = requests.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(ts).alias("ts"), F.col(key).alias("key"), F.date_trunc("minute", ts).alias("minute"))
+    minutes = rows.groupBy(F.col("minute").alias("at")).agg(F.count("*").alias("n"))
+    earlier = lambda unit: F.coalesce(F.sum("n").over(Window.partitionBy(F.date_trunc(unit, "at")).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = minutes.withColumn("hour", earlier("hour")).withColumn("day", earlier("day"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("minute").orderBy("ts", "key")))
+    rows = rows.join(minutes, F.col("minute").eqNullSafe(F.col("at")))
+    count = lambda unit: (F.col(unit) + F.col("place")).cast("int").alias(f"{unit}_count")
+    out = rows.select(*[F.col("row")[c].alias(c) for c in kept], count("hour"), count("day"))
     over_day, over_hour = F.col("day_count") > per_day, F.col("hour_count") > per_hour
     window = F.when(over_day, "day").when(over_hour, "hour")
     out = out.withColumn("refused_by", window).withColumn("allowed", window.isNull())

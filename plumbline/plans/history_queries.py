@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as tx
 from plumbline.functions.records import table_record
 from plumbline.operators import catalog, expectations, history, views
 from plumbline.plans import proxies as px
@@ -97,6 +98,17 @@ def quarantined_rows(spark, d):
     return _checked(spark, d)[1].select("c_custkey", F.array_join("broken", ",").alias("broken"))
 
 
+@query("""WITH v AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '-' || p_size WHEN 2 THEN p_size || '.0' WHEN 3 THEN p_size || '.5' WHEN 4 THEN p_size || 'e2' WHEN 5 THEN ' ' || p_size || ' ' WHEN 6 THEN p_name END AS value FROM part),
+n AS (SELECT p_partkey, CASE WHEN regexp_full_match(trim(value), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(trim(value) AS DOUBLE) END AS number FROM v)
+SELECT p_partkey, CASE WHEN number > 0 AND floor(number) = number THEN CAST(number AS BIGINT) ELSE 20 END AS setting FROM n""")
+def configured_limits(spark, d):
+    """Settings as positive whole numbers, a default for what is none."""
+    size = F.col("p_size").cast("string")
+    forms = [size, F.concat(F.lit("-"), size), F.concat(size, F.lit(".0")), F.concat(size, F.lit(".5")), F.concat(size, F.lit("e2")), F.concat(F.lit(" "), size, F.lit(" ")), F.col("p_name"), F.lit(None).cast("string")]
+    value = F.element_at(F.array(*forms), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return px.read_table(spark, d, "part").select("p_partkey", tx.positive_number(value, 20).alias("setting"))
+
+
 _COLUMNS = ["request_id", "status", "failure_reason", "score", "started_at"]
 
 

@@ -315,7 +315,11 @@ def browser_keys(spark, d):
     return p.select("page_id", ux.browser_key(odd).alias("page_key"), ux.browser_step_path(odd, target).alias("step_path"), ux.journey_origin(entry, F.lit("HTTPS://Typed.example.org:443/x")).alias("origin"))
 
 
-@query(r"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://site.test/app/s/' || page_id WHEN 1 THEN 'https://site.test/s/' || page_id WHEN 2 THEN 'file:///fixtures/demo/s/' || page_id || '.html' WHEN 3 THEN NULL ELSE 'https://site.test/up' || page_id END AS led FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 's/' || page_id WHEN 1 THEN '/s/' || page_id WHEN 2 THEN './s/' || page_id || '.html' WHEN 3 THEN '../../etc/' || page_id ELSE '../up' || page_id END AS path,
+  CASE WHEN page_id % 5 IN (0, 1, 4) THEN 'https://site.test/app' END AS target FROM pages),
+-- a path from the root, or below the folder: one that goes up takes a part of it away, and may not leave the fixture's root
+r AS (SELECT *, CASE WHEN starts_with(path, '/') THEN [] WHEN target IS NULL THEN ['fixtures', 'demo'] ELSE ['app'] END AS base, len(regexp_extract_all(path, '\.\./')) AS up, regexp_replace(path, '^(\.{0,2}/)+', '') AS rest FROM p)
+SELECT page_id, CASE WHEN target IS NULL AND up > 0 THEN NULL ELSE CASE WHEN target IS NULL THEN 'file://' ELSE regexp_extract(target, '^https?://[^/]+') END || '/' || array_to_string(list_append(base[1:greatest(len(base) - up, 0)], rest), '/') END AS led FROM r""")
 def step_targets(spark, d):
     """Where a step's path leads, on a site and below a fixture's folder, which it cannot leave."""
     key = F.col("page_id").cast("string")

@@ -303,6 +303,22 @@ def test_steps_payload_bounds(spark):
     assert got == [None, "too_many_steps", "too_many_steps", "too_large", None, "not_an_array", "not_an_array"]
 
 
+def test_columns_of_any_name_pass_through(spark):
+    """Columns named like those that the operators work with are neither lost nor overwritten."""
+    names = ["_n", "_hour", "_day", "_place", "_in", "_due", "_lost", "n", "hour", "day", "place", "at", "minute", "row", "old", "new", "due", "lost", "ts0"]
+    more = [F.lit(7 + k).alias(c) for k, c in enumerate(names)]
+    rows = spark.createDataFrame([(i, dt.datetime(2026, 1, 1, 0, i)) for i in range(3)], "id long, ts timestamp").select("*", *more)
+    kept = lambda df: {tuple(r) for r in df.select(*names).collect()}
+    want = {tuple(range(7, 7 + len(names)))}
+    out = catalog.consume_budget(rows, "ts", "id")
+    assert kept(out) == want and out.columns[: len(rows.columns)] == rows.columns and [r.day_count for r in out.orderBy("id").collect()] == [1, 2, 3]
+    assert kept(catalog.upsert_last(rows, rows.filter("id = 1"), ["id"])) == want
+    journeys = rows.selectExpr("*", "ts AS last_scheduled_at", "'daily' AS schedule", "0 AS schedule_hour", "CAST(NULL AS STRING) AS archived_at", "'https://a.test/' AS target_url", "'[{}]' AS steps")
+    claimed = catalog.claim_journeys(journeys, F.lit("2026-01-03 00:00:00").cast("timestamp"), 2)
+    assert kept(claimed) == want and claimed.columns == journeys.columns
+    assert kept(catalog.release_claims(claimed, journeys.filter("id = 0").select("id"))) == want
+
+
 def test_redaction_to_its_depth(spark):
     deep = {"a": {"b": {"c": {"d": {"e": {"f": {"token": 1}}, "secret": 2}}}}}
     out = spark.createDataFrame([(json.dumps(deep),), ("no json",), (None,)], "raw string").coalesce(1).select(jsontext.redact_keys("raw").alias("x")).collect()
