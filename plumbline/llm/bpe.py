@@ -337,7 +337,8 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The strings of special tokens in a text become their ids; none are added. Null texts count as
     empty: no tokens, digests of the empty string. Repeated rows and null ids are returned as they
-    come with the columns named in ``carry``, other columns are ignored. There is no shuffle.
+    come with the columns named in ``carry``, other columns are ignored. Very long texts and unbroken
+    words are encoded whole. An empty table gives no rows. There is no shuffle.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *carry)}

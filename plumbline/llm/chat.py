@@ -70,8 +70,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     one multiple of ``segment``; if turn numbers repeat so that more rows fall into it, pieces of
     ``segment`` rows. A null role is a participant of its own, the null speaker, and to others a user without a name.
     Null texts are empty; null conversations form one. A conversation of system turns alone has no
-    participant and gives no row. Repeated rows are repeated messages. Other columns are ignored. An
-    empty table gives no rows.
+    participant and gives no row. Repeated rows are repeated messages. Very long texts are
+    rendered whole, in the part of their turn. Other columns are ignored. An empty table gives no rows.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),

@@ -18,6 +18,8 @@ from plumbline.session import Workspace
 
 #: Documents of a block of neighbouring ids, and blocks of a group of blocks.
 BLOCK, BLOCKS = 256, 1024
+#: Pieces of about as many ids each, in which blocks are cut evenly: ids may be dense, hashed or far apart. A power of two.
+PIECES = 256
 _ICU = "com.ibm.icu"
 
 
@@ -37,11 +39,32 @@ def wide_hash(text: Column) -> Column:
     return F.concat(lane(text), lane(F.lit("second lane"), text))
 
 
+def _blocks(docs: DataFrame) -> Column:
+    """A number of about BLOCK neighbouring ids that rises with doc_id: the piece between quantiles, and an even part of it.
+
+    Only quantiles come to the driver. They are found by a search tree of comparisons, so nothing is joined.
+    """
+    found = docs.stat.approxQuantile("doc_id", [i / PIECES for i in range(PIECES + 1)], 0.2 / PIECES)
+    n = docs.count()
+    cuts = sorted(set(found)) or [0.0]
+    each = max(1, -(-n // (PIECES * BLOCK)))  # blocks of a piece
+
+    def piece(low: int, high: int) -> Column:
+        if low == high:
+            wide = (cuts[low + 1] if low + 1 < len(cuts) else cuts[low] + 1) - cuts[low]
+            part = F.floor((F.col("doc_id").cast("double") - F.lit(cuts[low])) / F.lit(max(wide / each, 1.0)))
+            return F.lit(low * (each + 1)) + F.greatest(F.lit(0), F.least(F.lit(each), part))
+        middle = (low + high + 1) // 2
+        return F.when(F.col("doc_id").cast("double") < F.lit(cuts[middle]), piece(low, middle - 1)).otherwise(piece(middle, high))
+
+    return piece(0, len(cuts) - 1).cast("long")
+
+
 def _heads(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(block, doc_id, text): for every block of ids the document that follows its last, in descending order.
 
     Blocks are ordered within groups of BLOCKS, and the groups over all: only a row for each group,
-    a 262,144th of dense ids, meets in one task.
+    some 262,144th of the documents, meets in one task.
     """
     blocks = docs.groupBy("block").agg(F.max("doc_id").alias("head"))
     blocks = ws.save(blocks.withColumn("group", F.floor(F.col("block") / BLOCKS)), "blocks")
@@ -64,7 +87,8 @@ def with_next(ws: Workspace, docs: DataFrame) -> DataFrame:
     The row after the last is the first. Rows are dealt by blocks of ids, and each block gets the
     head of the following one, so no task orders all rows.
     """
-    docs = docs.filter("doc_id is not null").select("doc_id", "text", F.floor(F.col("doc_id") / BLOCK).alias("block"))
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    docs = docs.withColumn("block", _blocks(docs.select("doc_id")))
     heads = _heads(ws, docs)
     rows = docs.withColumn("extra", F.lit(False)).unionByName(heads.withColumn("extra", F.lit(True)))
     rows = rows.repartition("block").withColumn("canon", canonical(F.col("text")))
@@ -91,8 +115,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     likeness of exact fingerprints is 1 for equal canonical texts (by bytes), else 0.
 
     Null texts count as empty. Repeated rows are neighbours of each other. A row with a null doc_id
-    has no next: its edited text ends early and near_next is 0. Other columns are ignored. An empty
-    table gives no rows. Rows are shuffled once with their texts, by blocks of ids.
+    has no next: its edited text ends early and near_next is 0. Other columns are ignored. Very long
+    texts are taken whole (each is a value of a row, as is its edited text). An empty table gives no rows. Rows are shuffled once with their texts, by blocks of ids.
     """
     ws = Workspace(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

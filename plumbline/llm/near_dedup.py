@@ -436,7 +436,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have an empty set and are linked with nothing. Rows that repeat a doc_id
     count as one document: they share a component. A row with a null doc_id is returned unlinked,
-    with a null component, and kept. Other columns are ignored. An empty table gives no rows.
+    with a null component, and kept. Other columns are ignored. An empty table gives no rows. Very long
+    texts are taken whole; a task holds some 50 bytes a word of one.
     """
     spark: SparkSession = docs.sparkSession
     ws = Workspace(spark, "near")

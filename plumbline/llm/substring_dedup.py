@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words. Texts shorter than a window keep all. Rows that repeat a
     doc_id do not remove each other's words, and each loses what a smaller doc_id has. Rows with a
-    null doc_id lose and cause nothing. Other columns are ignored. An empty table gives no rows.
+    null doc_id lose and cause nothing. Other columns are ignored. An empty table gives no rows. Very
+    long texts are taken whole, in blocks of anchors; a task holds some 50 bytes a word of one.
     """
     ws = Workspace(docs.sparkSession, "substring")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

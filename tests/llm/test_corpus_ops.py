@@ -367,6 +367,20 @@ def test_fingerprints_stay_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("ids", ["dense", "hashed", "far", "clustered", "one"])
+def test_blocks_of_ids_are_even_and_in_order(spark, ids):
+    """However ids lie, blocks rise with them and hold few rows; repeated ids share one."""
+    n = 60_000
+    how = {"dense": "id", "hashed": "xxhash64(id)", "far": "id * 70000000000000 - 2000000000000000000", "clustered": "if(id < 30000, id, 4611686018427387904 + id * 3)", "one": "7L"}
+    docs = spark.range(n).selectExpr(f"{how[ids]} AS doc_id")
+    rows = docs.withColumn("block", fingerprints._blocks(docs)).groupBy("block").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("block").collect()
+    assert all(a.high < b.low for a, b in zip(rows, rows[1:], strict=False))
+    if ids == "one":
+        assert len(rows) == 1
+    else:
+        assert max(r.n for r in rows) <= 4 * fingerprints.BLOCK and len(rows) >= n // fingerprints.BLOCK // 4
+
+
 # --- op5 ------------------------------------------------------------------------------------
 
 
