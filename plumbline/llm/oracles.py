@@ -170,13 +170,11 @@ marked AS (
   SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
     CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
   FROM marked WHERE k <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hurt
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
-    NOT regexp_matches(text, '[^ 	-
-]') AS blank, regexp_matches(text, '[^ 	-
-.!?][ 	-
-]*$') AS cut FROM hurt
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') AS cut FROM numbered
 ), rows AS (
   SELECT conv_id, i, turn, role, text, CASE WHEN blank THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN cut THEN 'truncated' END AS fault,
     blank OR seen > 1 AS gone, CASE WHEN NOT blank AND seen = 1 AND cut THEN 1 ELSE 0 END AS late,
