@@ -39,6 +39,12 @@ def wide_hash(text: Column) -> Column:
     return F.concat(lane(text), lane(F.lit("second lane"), text))
 
 
+def _dense(docs: DataFrame) -> bool:
+    """Whether ids are so close that equal ranges of them hold enough rows. It sets only how rows are dealt, not what comes out."""
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+    return n == 0 or high - low < 4 * n
+
+
 def _blocks(docs: DataFrame) -> Column:
     """A number of about BLOCK neighbouring ids that rises with doc_id: the piece between quantiles, and an even part of it.
 
@@ -81,14 +87,14 @@ def _heads(ws: Workspace, docs: DataFrame) -> DataFrame:
     return ws.save(following.join(texts, "doc_id").select("block", "doc_id", "text"), "heads")
 
 
-def with_next(ws: Workspace, docs: DataFrame) -> DataFrame:
+def with_next(ws: Workspace, docs: DataFrame, dense: bool) -> DataFrame:
     """(doc_id, text, canon, next_id, next_text, next_canon) of rows with a doc_id, in the order doc_id descending, text.
 
     The row after the last is the first. Rows are dealt by blocks of ids, and each block gets the
     head of the following one, so no task orders all rows.
     """
     docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    docs = docs.withColumn("block", _blocks(docs.select("doc_id")))
+    docs = docs.withColumn("block", F.floor(F.col("doc_id") / BLOCK) if dense else _blocks(docs.select("doc_id")))
     heads = _heads(ws, docs)
     rows = docs.withColumn("extra", F.lit(False)).unionByName(heads.withColumn("extra", F.lit(True)))
     rows = rows.repartition("block").withColumn("canon", canonical(F.col("text")))
@@ -122,7 +128,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lost = docs.filter("doc_id is null").withColumn("canon", canonical(F.col("text")))
     lost = lost.select("*", F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("string").alias("next_canon"))
-    table = ws.save(_printed(_edited(with_next(ws, docs).unionByName(lost)), digest), "prints")
+    dense = _dense(docs)
+    table = ws.save(_printed(_edited(with_next(ws, docs, dense).unionByName(lost)), digest), "prints")
 
     # buckets with more than one text: compare the bytes
     both = table.select(F.col("fingerprint").alias("bucket")).union(table.select("edited_fingerprint"))
@@ -135,7 +142,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_again = again.count()
     if n_again:
         ids = again.select("doc_id").union(again.select("next_id")).distinct()
-        some = _edited(with_next(ws, ids_only(docs, ids, "doc_id", 2 * n_again)))
+        some = _edited(with_next(ws, ids_only(docs, ids, "doc_id", 2 * n_again), dense))
         some = some.select("doc_id", canonical(F.col("edited")).alias("canon")).select("doc_id", digest(F.col("canon")).alias("bucket"), "canon")
         members = members.unionByName(ids_only(some, shared, "bucket", n))
     mixed = ws.save(members.groupBy("bucket").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b").select("bucket"), "mixed")

@@ -338,7 +338,9 @@ def canonical(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def test_fingerprints_against_brute_force(odd):
+@pytest.mark.parametrize("dense", [True, False])
+def test_fingerprints_against_brute_force(odd, dense, monkeypatch):
+    monkeypatch.setattr(fingerprints, "_dense", lambda docs: dense)
     rows = sorted([(i, t or "") for i, t in odd_texts() if i is not None], key=lambda r: (-r[0], r[1].encode()))
     want = []
     for k, (i, t) in enumerate(rows):
