@@ -173,6 +173,27 @@ def target_refusal(url: Column, allowed: Column) -> Column:
     )
 
 
+def target_parts(url: Column) -> Column:
+    """What of ``target_refusal`` depends on the URL alone: struct(early, host, late).
+
+    ``early`` is why any list of hosts refuses it, ``late`` why one that allows ``host`` does.
+    """
+    plain = F.coalesce(url.rlike(_PLAIN), F.lit(False))
+    read = browser_target(F.when(~plain, url), F.array().cast("array<string>"))
+    scheme = F.when(plain, "http").otherwise(read["scheme"])
+    host = F.when(plain, url_hostname(url)).otherwise(read["host"])
+    numeric = host.rlike(r"^\d+(\.\d+){3}$") | host.startswith("[")
+    early = F.when(scheme.isNull(), "invalid_url").when(~scheme.isin("http", "https"), "scheme").when(~plain & read["login"], "credentials")
+    late = F.when(numeric & F.coalesce(blocked_ipv4(host), blocked_ipv6(F.when(numeric & ~plain, F.regexp_replace(host, r"^\[|\]$", "")))), "private_address")
+    return F.struct(early.alias("early"), host.alias("host"), late.alias("late"))
+
+
+def parts_refusal(parts: Column, allowed: Column) -> Column:
+    """``target_refusal`` of a URL whose ``target_parts`` are known (a stored column): only its host is compared."""
+    unlisted = F.when(F.size(allowed) == 0, "no_allowed_hosts").when(~host_allowed(parts["host"], allowed), "host_not_allowed")
+    return F.coalesce(parts["early"], unlisted, parts["late"])
+
+
 def ipv4_number(address: Column) -> Column:
     """An IPv4 address as a long, NULL if it is none. Numbers of a part have no leading zeros."""
     part = F.split(address, r"\.", 5)
@@ -205,7 +226,8 @@ def blocked_ipv4(address: Column) -> Column:
 
 def blocked_address(address: Column) -> Column:
     """Whether an address must not be fetched. IPv4 is decided in SQL; what is no address is blocked."""
-    return F.coalesce(blocked_ipv4(address), blocked_ipv6(address))
+    four = blocked_ipv4(address)
+    return F.coalesce(four, blocked_ipv6(F.when(ipv4_number(address).isNull(), address)))
 
 
 def normalised_hosts(hosts: Column) -> Column:
@@ -300,23 +322,31 @@ def navigation_url(paths: pd.Series, targets: pd.Series, roots: pd.Series) -> pd
     return pd.Series([one(*row) for row in zip(paths, targets, roots, strict=True)], dtype=object)
 
 
+def _ranges(networks: list[str]) -> list[tuple[int, int]]:
+    """First and last number of each network."""
+    return [(int(n.network_address), int(n.broadcast_address)) for n in map(ipaddress.ip_network, networks)]
+
+
+#: Blocked ranges as numbers, worked out once and not once an address.
+_RANGES_V4 = _ranges([f"{n}/{p}" for n, p in BLOCKED_IPV4])
+_RANGES_V6 = _ranges(["fc00::/7", "fe80::/10", "ff00::/8"])
+
+
 def _blocked_v6(address: str | None) -> bool:
     try:
         ip = ipaddress.ip_address((address or "").split("%")[0])
     except ValueError:
         return True
-    nets = [ipaddress.ip_network(f"{n}/{p}") for n, p in BLOCKED_IPV4]
+    number, ranges = int(ip), _RANGES_V4
     if ip.version == 6:
-        high, low = int(ip) >> 32, int(ip) & 0xFFFFFFFF
-        inner = None
+        high = number >> 32
         if high in (0, 0xFFFF) or high == 0x0064FF9B << 64:
-            inner = low
-        elif int(ip) >> 112 == 0x2002:
-            inner = (int(ip) >> 80) & 0xFFFFFFFF
-        if inner is None:
-            return any(ip in ipaddress.ip_network(n) for n in ("fc00::/7", "fe80::/10", "ff00::/8"))
-        ip = ipaddress.IPv4Address(inner)
-    return any(ip in net for net in nets)
+            number &= 0xFFFFFFFF
+        elif number >> 112 == 0x2002:
+            number = (number >> 80) & 0xFFFFFFFF
+        else:
+            ranges = _RANGES_V6
+    return any(first <= number <= last for first, last in ranges)
 
 
 @pandas_udf(T.BooleanType())

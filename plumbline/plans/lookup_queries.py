@@ -422,7 +422,10 @@ def ipv6_blocklist(spark, d):
     quad = F.concat_ws(".", F.shiftright(low, 8).cast("string"), (low % 256).cast("string"), F.lit("1"), F.lit("1"))
     hexa = F.lower(F.hex(low))
     kinds = [F.lit("::1"), F.concat(F.lit("::ffff:"), quad), F.concat(F.lit("fd00::"), hexa), F.concat(F.lit("2001:db8:"), hexa, F.lit("::1")), F.concat(F.lit("fe80::"), hexa, F.lit("%eth0")), F.lit("no address"), F.concat(F.lit("2002:"), hexa, F.lit(":101::1")), F.concat(F.lit("ff02::"), hexa)]
-    return read_table(spark, d, "customer").select("c_custkey", ux.blocked_address(F.element_at(F.array(*kinds), (k + 1).cast("int"))).alias("blocked"))
+    address = F.element_at(F.array(*kinds), (k + 1).cast("int")).alias("address")
+    # made before they are dealt out: a small file is one partition, and an address is named many times
+    rows = read_table(spark, d, "customer").select("c_custkey", address).repartition("c_custkey")
+    return rows.select("c_custkey", ux.blocked_address(F.col("address")).alias("blocked"))
 
 
 @query("""SELECT o_orderpriority AS environment, array_to_string(list_sort(list_distinct(list(CASE o_orderstatus WHEN 'F' THEN 'login' WHEN 'O' THEN 'search' ELSE 'filter' END))), ',') AS actions FROM orders GROUP BY 1""")

@@ -180,3 +180,31 @@ def test_policy(spark):
     rows = [("production", "delete"), ("production", "search"), ("staging", "submit-safe"), ("test", "mutate-test-data"), ("nowhere", "login"), (None, None)]
     assert values(spark, rows, "e string, a string", catalog.action_allowed(F.col("e"), F.col("a"))) == [False, True, True, True, False, False]
     assert "mutate-test-data" in catalog.actions_anywhere() and "delete" not in catalog.actions_anywhere()
+
+
+def test_target_parts_refuse_as_whole_urls_do(spark):
+    odd = ["https://a.test/x", "HTTP://B.A.Test.:80/x/../y#f", "https://u:p@a.test/", "ftp://a.test/", "no url", None, "https://0x7f.1/", "http://[::1]/", "http://[2001:db8::1]/", "https://10.0.0.1/", "https://8.8.8.8/", "https://xn--mnchen-3ya.test/", "https://münchen.test/"]
+    lists = [["a.test"], ["*.A.test."], [], None, ["127.0.0.1", "[::1]", None, "8.8.8.8", "[2001:db8::1]", "10.0.0.1"], ["münchen.test", "xn--mnchen-3ya.test"]]
+    rows = spark.createDataFrame([(u, a) for u in odd for a in lists], "url string, allowed array<string>")
+    stored = rows.withColumn("parts", ux.target_parts(F.col("url"))).localCheckpoint()
+    got = stored.select("url", "allowed", ux.target_refusal(F.col("url"), F.col("allowed")).alias("whole"), ux.parts_refusal(F.col("parts"), F.col("allowed")).alias("parts")).collect()
+    assert [r.parts for r in got] == [r.whole for r in got] and len({r.whole for r in got}) > 6
+
+
+def test_blocked_ranges_are_not_built_for_every_address(monkeypatch):
+    """Ranges are numbers made once; the ends of each are in it, their neighbours as the networks say."""
+    import ipaddress
+
+    nets = [ipaddress.ip_network(f"{n}/{p}") for n, p in ux.BLOCKED_IPV4]
+    six = [ipaddress.ip_network(n) for n in ("fc00::/7", "fe80::/10", "ff00::/8")]
+    want = {}
+    for net, all_nets in [(n, nets) for n in nets] + [(n, six) for n in six]:
+        for at in (int(net.network_address) - 1, int(net.network_address), int(net.broadcast_address), int(net.broadcast_address) + 1):
+            if 0 <= at < 1 << net.max_prefixlen:
+                ip = type(net.network_address)(at)
+                want[str(ip)] = any(ip in n for n in all_nets)
+    for text in [t for t in want if "." in t]:
+        want[f"::ffff:{text}"] = want[f"64:ff9b::{text}"] = want[text]
+    monkeypatch.setattr(ipaddress, "ip_network", None)
+    assert {a: ux._blocked_v6(a) for a in want} == want  # noqa: SLF001
+    assert ux._blocked_v6(None) and ux._blocked_v6("no") and not ux._blocked_v6("2001:db8::1%eth0")  # noqa: SLF001
