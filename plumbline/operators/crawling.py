@@ -7,7 +7,9 @@ level, which is bounded: at most MAX_PAGES visits of MAX_PAGE_LINKS links.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ MAX_TITLE = 200
 
 _ROW = "kind string, n long, url string, key string, depth int, settled string, settled_key string, title string, cost long, error string, refusal string"
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_KEY, _SETTLED_KEY = _NAMES.index("key"), _NAMES.index("settled_key")
 #: The state of a site's crawl after a level, as a row: pages, time, links met but not followed, why it stopped or was refused.
 _STATE = {"n": "pages", "cost": "elapsed", "depth": "dropped", "error": "truncated", "refusal": "refused", "url": "host"}
 
@@ -28,16 +31,21 @@ _STATE = {"n": "pages", "cost": "elapsed", "depth": "dropped", "error": "truncat
 def _level(depth: int, max_depth: int, max_pages: int, budget: int, pause: int):
     """One level of one site: its visits in order against all that the crawl has seen."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.astype(object).where(rows.notna(), None)
-        of = {kind: part.sort_values("n", kind="stable").to_dict("records") for kind, part in rows.groupby("kind")}
+    def fold(rows: list[tuple]) -> list[dict]:
+        of: dict[str, list[dict]] = {"visit": [], "state": []}
+        seen: set[str] = set()
+        links: dict[str, list[tuple]] = {}
+        for row in rows:
+            kind = row[0]
+            if kind == "seen":
+                seen.add(row[_KEY])
+            elif kind == "link":
+                links.setdefault(row[_SETTLED_KEY], []).append(row)
+            else:
+                of[kind].append(dict(zip(_NAMES, row, strict=True)))
         known = of["state"][0]
         state = {name: known[c] for c, name in _STATE.items()}
-        seen = {r["key"] for r in of.get("seen", ())}
-        links: dict[str, list[dict]] = {}
-        for r in of.get("link", ()):
-            links.setdefault(r["settled_key"], []).append(r)
-        queue, after, out = of.get("visit", []), [], []
+        queue, after, out = of["visit"], [], []
 
         def met(key: str) -> None:
             seen.add(key)
@@ -65,7 +73,8 @@ def _level(depth: int, max_depth: int, max_pages: int, budget: int, pause: int):
                 if not again:
                     state["pages"] += 1
                     out.append({"kind": "page", "n": visit["n"], "url": visit["settled"], "title": visit["title"], "depth": depth})
-                    for link in links.get(visit["settled_key"], ()) if depth < max_depth else ():
+                    for row in links.get(visit["settled_key"], ()) if depth < max_depth else ():
+                        link = dict(zip(_NAMES, row, strict=True))
                         if link["key"] is None or link["key"] in seen or link["refusal"] is not None:
                             continue
                         met(link["key"])
@@ -84,13 +93,55 @@ def _level(depth: int, max_depth: int, max_pages: int, budget: int, pause: int):
             if row["kind"] == "error":
                 row["cost"] = k  # errors in the order in which they came
         out.append({"kind": "state", **{c: state[name] for c, name in _STATE.items()}})
-        found = pd.DataFrame(out, columns=_NAMES, dtype=object)
-        found.insert(0, "site", pd.Series([rows["site"].iloc[0]] * len(found), dtype=object))
-        return found.astype({c: "Int64" for c in ("n", "depth", "cost")})
+        return out
 
     return fold
 
 
+#: Rows of a fold's results that are sent on at once.
+_SENT = 10_000
+
+
+def _by_site(fold):
+    """Folds every site of a partition that is sorted by site and ``n``; a task holds one site's rows and a batch.
+
+    A call per group would cost milliseconds a site, which is more than all of a small site's work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sites: list = []
+        out: list[dict] = []
+        site, held, kind, types = None, [], None, []
+
+        def ended() -> None:
+            if held:
+                made = fold(held)
+                out.extend(made)
+                sites.extend([site] * len(made))
+
+        def sent() -> pa.RecordBatch:
+            columns = [pa.array([r.get(c) for r in out], t) for c, t in zip(_NAMES, types, strict=True)]
+            batch = pa.RecordBatch.from_arrays([pa.array(sites, kind), *columns], ["site", *_NAMES])
+            sites.clear()
+            out.clear()
+            return batch
+
+        for batch in batches:
+            kind, types = batch.schema.field("site").type, [batch.schema.field(c).type for c in _NAMES]
+            for own, *row in zip(*(batch.column(c).to_pylist() for c in ["site", *_NAMES]), strict=True):
+                if own != site and (own == own or site == site):  # a site that is not a number equals itself
+                    ended()
+                    site, held = own, []
+                held.append(row)
+            if len(out) >= _SENT:
+                yield sent()
+        ended()
+        if out:
+            yield sent()
+
+    return run
+
+
 def crawl_sites(
     seeds: DataFrame,
     captured: DataFrame,
@@ -121,6 +172,8 @@ def crawl_sites(
     an entry that cannot be crawled. A site without seeds is not in either table; a null URL is refused.
     """
     ws = Workspace(seeds.sparkSession, "crawl-sites")
+    # small files may come as one partition: reading URLs is the work, so rows are dealt out before it
+    seeds, captured, links = seeds.repartition("site"), captured.repartition("url"), links.repartition("url", "position")
     own = ux.host_as_browser(F.col("url"))
     hosts = seeds.select("site", "url", F.array_compact(F.concat(F.array(own), F.coalesce("allowed", F.array().cast("array<string>")))).alias("allowed"))
     hosts = ws.save(hosts.dropDuplicates(["site"]), "seeds")
@@ -133,7 +186,7 @@ def crawl_sites(
     else:
         bad = unsafe.select("host", F.coalesce("message", F.lit("")).alias("error"))
         links = links.withColumn("host", ux.host_as_browser(F.col("url"))).join(bad, "host", "left").drop("host")
-    links = ws.save(links, "links")
+    links = ws.save(links.withColumn("parts", ux.target_parts(F.col("url"))), "links")  # a link is read once, not once a site
 
     def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
         """``df`` in the common shape of states, visits, links and results."""
@@ -155,9 +208,10 @@ def crawl_sites(
         visits = visits.withColumn("title", F.when(F.col("refusal") == "host_not_allowed", away).otherwise(F.left("title", F.lit(MAX_TITLE))))
         visits = ws.save(visits, "visits")
         out = visits.filter("error is null and refusal is null").select("site", "allowed", "settled_key").distinct().join(links, "settled_key")
-        out = out.withColumn("refusal", ux.target_refusal(F.col("url"), F.col("allowed")))
+        out = out.withColumn("refusal", ux.parts_refusal(F.col("parts"), F.col("allowed")))
         group = rows(visits, "visit").unionByName(rows(out, "link")).unionByName(state).unionByName(every.filter("kind = 'seen'"))
-        done = ws.save(group.groupBy("site").applyInPandas(_level(depth, max_depth, max_pages, budget_ms, pause_ms), f"site {site}, {_ROW}"), "level")
+        group = group.repartition("site").sortWithinPartitions("site", "n")
+        done = ws.save(group.mapInArrow(_by_site(_level(depth, max_depth, max_pages, budget_ms, pause_ms)), f"site {site}, {_ROW}"), "level")
         state, level = done.filter("kind = 'state'"), done.filter("kind = 'next'")
         every = every.unionByName(done.filter("kind in ('seen', 'page', 'error')").withColumn("depth", F.when(F.col("kind") == "error", depth).otherwise(F.col("depth"))))
     every = ws.save(every, "every")

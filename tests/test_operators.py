@@ -372,3 +372,25 @@ def test_backfill_gives_the_operator_the_stored_rows(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "insert_missing", lambda stored, incoming, key: met.append((stored.count(), stored.join(incoming, key).count())) or insert(stored, incoming, key))
     run_queries.backfill_missing(spark, sf).count()
     assert len(met) == 1 and min(met[0]) > 0
+
+
+def test_crawl_folds_sites_in_one_stream(spark, monkeypatch):
+    """Sites over several Arrow batches, null and equal keys among them, give what each gives alone; no call per site."""
+    calls = []
+    from pyspark.sql import GroupedData
+
+    from plumbline.operators.crawling import crawl_sites
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda *a, **k: calls.append(1))
+    seeds = spark.createDataFrame([(i, f"https://a.test/{i % 40}", ["a.test"]) for i in range(1_500)] + [(None, "https://a.test/1", ["a.test"])], "site long, url string, allowed array<string>").repartition(3)
+    captured = spark.createDataFrame([(f"https://a.test/{i}", None, "t", 1, None) for i in range(40)], "url string, settled_url string, title string, cost_ms long, error string")
+    links = spark.createDataFrame([(f"https://a.test/{i}", k, f"https://a.test/{(i * 3 + k) % 40}") for i in range(40) for k in range(3)], "url string, position int, href string")
+    pages, outcomes = crawl_sites(seeds, captured, links, max_depth=1, max_pages=3)
+    got: dict = {}
+    for r in pages.collect():
+        got.setdefault(r.site, set()).add(int(r.url.rsplit("/", 1)[1]))
+    for i in range(1_500):
+        p = i % 40
+        met = [p] + [x for k in range(3) if (x := (p * 3 + k) % 40) != p]
+        assert got[i] == set(list(dict.fromkeys(met))[:3])
+    assert outcomes.count() >= 1_500 and not calls
