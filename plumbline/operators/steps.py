@@ -49,39 +49,62 @@ def _keys(v: Column) -> Column:
     return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
 
 
-def _sized(v: Column, field: str, least: int = 1, most: int = MAX_TEXT) -> Column:
+#: The fields of a step that any form has.
+_TEXTS = ["action", "type", "path", "selector", "value", "credentialRef", "field", "urlIncludes"]
+
+
+def step_facts(v: Column) -> Column:
+    """What the checks ask of a step (variant), as a struct: whether it is an object, its keys, its text fields.
+
+    In a lambda Spark works out an expression as often as it is named. The checks name these dozens of
+    times, so they go over an array of facts, where each is a field.
+    """
+    return F.struct(_is_object(v).alias("object"), _keys(v).alias("keys"), *[_text(v, f).alias(f) for f in _TEXTS])
+
+
+def all_facts(raw: Column) -> Column:
+    """``step_facts`` of every element of a JSON array; NULL for anything else."""
+    return F.transform(elements(raw), step_facts)
+
+
+def _sized(s: Column, field: str, least: int = 1, most: int = MAX_TEXT) -> Column:
     """Whether a field is a string of a length within bounds."""
-    return F.coalesce(F.length(_text(v, field)).between(least, most), F.lit(False))
+    return F.coalesce(F.length(s[field]).between(least, most), F.lit(False))
 
 
-def _matches(v: Column, field: str, pattern: str) -> Column:
-    return F.coalesce(_text(v, field).rlike(pattern), F.lit(False))
+def _matches(s: Column, field: str, pattern: str) -> Column:
+    return F.coalesce(s[field].rlike(pattern), F.lit(False))
 
 
-def _optional(v: Column, field: str) -> Column:
-    return ~F.array_contains(_keys(v), field) | _sized(v, field)
+def _optional(s: Column, field: str) -> Column:
+    return ~F.array_contains(s["keys"], field) | _sized(s, field)
 
 
 def step_problem(v: Column) -> Column:
-    """Why a step (variant) may not be stored as authored, or NULL.
+    """Why a step (variant) may not be stored as authored, or NULL."""
+    return F.element_at(F.transform(F.array(step_facts(v)), _problem), 1)
+
+
+def _problem(s: Column) -> Column:
+    """Why a step (its facts) may not be stored as authored, or NULL.
 
     The checks go from the whole to its parts: object, action, type, the type's fields, further keys.
     """
-    has = lambda f: F.array_contains(_keys(v), f)
-    only = lambda *names: F.size(F.array_except(_keys(v), F.array(*[F.lit(n) for n in ("action", "type", *names)]))) == 0
-    kind, action = _text(v, "type"), _text(v, "action")
+    has = lambda f: F.array_contains(s["keys"], f)
+    only = lambda *names: F.size(F.array_except(s["keys"], F.array(*[F.lit(n) for n in ("action", "type", *names)]))) == 0
+    kind, action = s["type"], s["action"]
     named = has("credentialRef") | has("field")
     return (
-        F.when(~_is_object(v), "not_an_object")
+        F.when(~s["object"], "not_an_object")
         .when(~F.coalesce(action.isin(*actions_anywhere()), F.lit(False)), "action")
         .when(~F.coalesce(kind.isin(*TYPES), F.lit(False)), "type")
-        .when((kind == "goto") & ~_sized(v, "path"), "path")
-        .when(kind.isin("click", "fill") & ~_sized(v, "selector"), "selector")
-        .when((kind == "fill") & named & ~_matches(v, "credentialRef", CREDENTIAL), "credential")
-        .when((kind == "fill") & named & ~F.coalesce(_text(v, "field").isin(*FIELDS), F.lit(False)), "field")
-        .when((kind == "fill") & ~named & ~_sized(v, "value", 1, MAX_VALUE), "value")
+        .when((kind == "goto") & ~_sized(s, "path"), "path")
+        .when(kind.isin("click", "fill") & ~_sized(s, "selector"), "selector")
+        .when((kind == "fill") & named & ~_matches(s, "credentialRef", CREDENTIAL), "credential")
+        .when((kind == "fill") & named & ~F.coalesce(s["field"].isin(*FIELDS), F.lit(False)), "field")
+        .when((kind == "fill") & ~named & ~_sized(s, "value", 1, MAX_VALUE), "value")
         .when((kind == "fill") & ~named & (action == "login"), "literal_login")
-        .when((kind == "expect") & ~(_optional(v, "urlIncludes") & _optional(v, "selector")), "expectation")
+        .when((kind == "expect") & ~(_optional(s, "urlIncludes") & _optional(s, "selector")), "expectation")
         .when((kind == "expect") & ~(has("urlIncludes") | has("selector")), "nothing_expected")
         .when((kind == "goto") & ~only("path"), "unknown_key")
         .when((kind == "click") & ~only("selector"), "unknown_key")
@@ -93,23 +116,32 @@ def step_problem(v: Column) -> Column:
 
 def steps_problem(raw: Column) -> Column:
     """Why a journey's steps (JSON text) may not be stored, or NULL. Steps are counted before any is looked at."""
-    steps = elements(raw)
-    found = F.filter(F.transform(steps, step_problem), lambda p: p.isNotNull())
-    return (
-        F.when(steps.isNull(), "not_an_array")
-        .when(F.size(steps) > MAX_STEPS, "too_many_steps")
-        .when(F.size(found) > 0, F.try_element_at(found, F.lit(1)))
-        .when(F.length(F.to_json(F.try_parse_json(raw))) > MAX_PAYLOAD, "too_large")
-    )
+
+
+    def first(steps: Column) -> Column:
+        few = F.when(F.size(steps) <= MAX_STEPS, steps)
+        found = F.filter(F.transform(F.transform(few, step_facts), _problem), lambda p: p.isNotNull())
+        step = F.try_element_at(found, F.lit(1))
+        return F.when(steps.isNull(), "not_an_array").when(F.size(steps) > MAX_STEPS, "too_many_steps").otherwise(step)
+
+    def whole(problem: Column) -> Column:
+        return F.coalesce(problem, F.when(F.length(F.to_json(F.try_parse_json(raw))) > MAX_PAYLOAD, "too_large"))
+
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(once(elements(raw), first), whole)
 
 
 def is_recognised(v: Column) -> Column:
-    """Whether a stored step has one of the known forms; further keys do no harm."""
-    kind = _text(v, "type")
-    filled = _sized(v, "value", 0, MAX_VALUE) | (_matches(v, "credentialRef", CREDENTIAL) & F.coalesce(_text(v, "field").isin(*FIELDS), F.lit(False)))
-    expects = _optional(v, "urlIncludes") & _optional(v, "selector") & (_sized(v, "urlIncludes") | _sized(v, "selector"))
-    form = F.when(kind == "goto", _sized(v, "path")).when(kind == "click", _sized(v, "selector")).when(kind == "fill", _sized(v, "selector") & filled).when(kind == "expect", expects)
-    return _is_object(v) & _sized(v, "action") & F.coalesce(form, F.lit(False))
+    """Whether a stored step (variant) has one of the known forms; further keys do no harm."""
+    return F.element_at(F.transform(F.array(step_facts(v)), _recognised), 1)
+
+
+def _recognised(s: Column) -> Column:
+    kind = s["type"]
+    filled = _sized(s, "value", 0, MAX_VALUE) | (_matches(s, "credentialRef", CREDENTIAL) & F.coalesce(s["field"].isin(*FIELDS), F.lit(False)))
+    expects = _optional(s, "urlIncludes") & _optional(s, "selector") & (_sized(s, "urlIncludes") | _sized(s, "selector"))
+    form = F.when(kind == "goto", _sized(s, "path")).when(kind == "click", _sized(s, "selector")).when(kind == "fill", _sized(s, "selector") & filled).when(kind == "expect", expects)
+    return s["object"] & _sized(s, "action") & F.coalesce(form, F.lit(False))
 
 
 def step_views(raw: Column) -> Column:
@@ -118,27 +150,29 @@ def step_views(raw: Column) -> Column:
     A literal value is never told, only that there is one. What is not recognised says so, with a
     bounded action and type.
     """
-    loose = lambda v, f: F.coalesce(F.substring(_text(v, f), 1, MAX_TEXT), F.lit("unknown"))
-
-    def view(v: Column, i: Column) -> Column:
-        known, kind = is_recognised(v), _text(v, "type")
-        literal = (kind == "fill") & _sized(v, "value", 0, MAX_VALUE)
-        told = lambda f, *kinds: F.when(known & kind.isin(*kinds), _text(v, f))
+    loose = lambda s, f: F.coalesce(F.substring(s[f], 1, MAX_TEXT), F.lit("unknown"))
+    judged = lambda s: F.struct(s.alias("s"), _recognised(s).alias("known"))
+
+    def view(of: Column, i: Column) -> Column:
+        s, known = of["s"], of["known"]
+        kind = s["type"]
+        literal = (kind == "fill") & _sized(s, "value", 0, MAX_VALUE)
+        told = lambda f, *kinds: F.when(known & kind.isin(*kinds), s[f])
         named = lambda f: F.when(~literal, told(f, "fill"))
         return F.struct(
             (i + 1).alias("position"),
-            loose(v, "action").alias("action"),
-            loose(v, "type").alias("type"),
+            loose(s, "action").alias("action"),
+            loose(s, "type").alias("type"),
             told("path", "goto").alias("path"),
             told("selector", "click", "fill", "expect").alias("selector"),
             told("urlIncludes", "expect").alias("url_includes"),
             named("credentialRef").alias("credential_ref"),
             named("field").alias("field"),
-            F.when(known, F.coalesce(literal, F.lit(False))).otherwise(_kind(v, "value") == "STRING").alias("has_literal_value"),
+            F.when(known, F.coalesce(literal, F.lit(False))).otherwise(s["value"].isNotNull()).alias("has_literal_value"),
             known.alias("recognised"),
         )
 
-    return F.coalesce(F.transform(elements(raw), view), F.array().cast("array<struct<position:int,action:string,type:string,path:string,selector:string,url_includes:string,credential_ref:string,field:string,has_literal_value:boolean,recognised:boolean>>"))
+    return F.coalesce(F.transform(F.transform(all_facts(raw), judged), view), F.array().cast("array<struct<position:int,action:string,type:string,path:string,selector:string,url_includes:string,credential_ref:string,field:string,has_literal_value:boolean,recognised:boolean>>"))
 
 
 def redacted_steps(raw: Column) -> Column:

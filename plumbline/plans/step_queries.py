@@ -66,7 +66,7 @@ def _pick_sql(templates: list[str], k: str) -> str:
 
 def _raw_steps(spark, d):
     """(event_id, raw): two steps each; now and then too many, or no array at all."""
-    e = read_table(spark, d, "events")
+    e = read_table(spark, d, "events").select("event_id", "user_id").repartition("event_id")  # a small file is one partition, and the work is by row
     k = F.col("event_id")
     one, two = _pick(_STEPS, k, F.col("user_id")), _pick(_STEPS, k * 7 + 1, F.col("user_id"))
     many = F.concat(F.lit("["), F.repeat(F.concat(one, F.lit(",")), F.lit(50)), two, F.lit("]"))
@@ -109,9 +109,10 @@ _AUTHORED = f"""coalesce(json_type(j) = 'OBJECT' AND {_IS.format(f='action')} AN
 SELECT raw.event_id, json_type(raw) = 'ARRAY' AND coalesce(n, 0) <= 50 AND coalesce(ok, true) AS storable,
   CASE WHEN json_type(raw) <> 'ARRAY' THEN 'not_an_array' WHEN n > 50 THEN 'too_many_steps' WHEN NOT ok THEN 'step' END AS problem FROM raw LEFT JOIN judged ON judged.event_id = raw.event_id""")
 def step_validation(spark, d):
-    problem = steps.steps_problem(F.col("raw"))
+    rows = _raw_steps(spark, d).select("event_id", steps.steps_problem(F.col("raw")).alias("found"))
+    problem = F.col("found")
     whole = F.when(problem.isin("not_an_array", "too_many_steps", "too_large"), problem).when(problem.isNotNull(), "step")
-    return _raw_steps(spark, d).select("event_id", problem.isNull().alias("storable"), whole.alias("problem"))
+    return rows.select("event_id", problem.isNull().alias("storable"), whole.alias("problem"))
 
 
 @query(f"SELECT event_id, position, {_AUTHORED} AS authored FROM (WITH {_RAW_SQL} SELECT * FROM items)")

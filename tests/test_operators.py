@@ -394,3 +394,11 @@ def test_crawl_folds_sites_in_one_stream(spark, monkeypatch):
         met = [p] + [x for k in range(3) if (x := (p * 3 + k) % 40) != p]
         assert got[i] == set(list(dict.fromkeys(met))[:3])
     assert outcomes.count() >= 1_500 and not calls
+
+
+def test_steps_are_read_once(spark):
+    """Each field of a step is taken from its variant in one place of the plan, as a lambda repeats what it names."""
+    rows = spark.createDataFrame([('[{"action":"navigate","type":"goto","path":"/a"}]',)], "raw string")
+    for made in (steps.steps_problem(F.col("raw")), steps.step_views(F.col("raw"))):
+        plan = rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("json_object_keys(") <= 2
