@@ -26,8 +26,8 @@ def write_checked(df: DataFrame, rules: dict[str, Column], name: str = "rows") -
     """Write ``df`` once: rows that keep all rules, rows that break some (with ``broken``, their names), and violations per rule.
 
     Counts come from the write itself (``DataFrame.observe``), so the rows are read once and each
-    rule is worked out once. A rule that is NULL passes, as in a CHECK. Both tables lie in the shared folder, in two
-    partitions of one write.
+    rule is worked out once. A rule that is NULL passes, as in a CHECK. Both tables are one in the shared folder, told apart
+    by a column: a write to two partitions would sort all of a task's rows first, and hold them.
     """
     ws = Workspace(df.sparkSession, "expectations")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.coalesce(~c, F.lit(False)).alias(f"rule_{k}") for k, c in enumerate(rules.values())])
@@ -36,7 +36,7 @@ def write_checked(df: DataFrame, rules: dict[str, Column], name: str = "rows") -
     row = row.observe(seen, F.count("*").alias("rows"), *[F.count_if(F.col(f"rule_{k}")).alias(f"rule_{k}") for k in range(len(rules))])
     where = ws.path(name)
     out = row.select("row", broken.alias("broken")).withColumn("quarantined", F.size("broken") > 0)
-    out.write.partitionBy("quarantined").parquet(where)
+    out.write.parquet(where)
     told = seen.get
     stored = df.sparkSession.read.schema(out.schema).parquet(where)
     kept = stored.filter(~F.col("quarantined")).select("row.*")

@@ -59,7 +59,7 @@ _BODY = "CASE c_custkey % 7 WHEN 0 THEN '[]' WHEN 1 THEN '{{\"journeyId\":\" \",
 
 
 def _checked(spark, d):
-    c = px.read_table(spark, d, "customer")
+    c = px.read_table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition("c_custkey")  # a small file is one partition, and the work is by row
     key = F.col("c_custkey")
     step = F.concat(F.lit('{"action":"navigate","type":"goto","path":"/'), key.cast("string"), F.lit('"}'))
     steps = F.when(key % 5 == 0, step).when(key % 5 == 1, F.concat(F.lit("["), F.array_join(F.array_repeat(step, 51), ","), F.lit("]"))).when(key % 5 == 2, '[{"action":"fly"}]').otherwise(F.concat(F.lit("["), step, F.lit("]")))

@@ -402,3 +402,14 @@ def test_steps_are_read_once(spark):
     for made in (steps.steps_problem(F.col("raw")), steps.step_views(F.col("raw"))):
         plan = rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1 and plan.count("json_object_keys(") <= 2
+
+
+def test_checked_write_does_not_sort(spark, monkeypatch):
+    """A write into partitions sorts and holds a task's rows; this one has none, and gives both tables."""
+    from pyspark.sql import DataFrameWriter
+
+    from plumbline.operators.expectations import write_checked
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", None)
+    kept, held, counts = write_checked(spark.range(10), {"small": F.col("id") < 7}, "few")
+    assert kept.count() == 7 and sorted((r.id, r.broken) for r in held.collect()) == [(i, ["small"]) for i in (7, 8, 9)] and counts == {"rows": 10, "small": 3}
