@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as tx
 from plumbline.operators.views import run_refusal
-from plumbline.session import Workspace
+from plumbline.session import Workspace, dealt
 
 STALE_SECONDS, RETENTION_DAYS = 360, 90
 DEFAULT_HOUR, DAILY_HOURS, WEEKLY_DAYS = 3, 23, 6
@@ -313,6 +313,10 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, max_pa
     return seen
 
 
+#: Links of a page that a level's tasks are laid out for; pages with more only make the tasks larger.
+USUAL_LINKS = 16
+
+
 def crawl_pages(links: DataFrame, seeds: DataFrame, failed: DataFrame | None = None, max_depth: int = MAX_DEPTH, max_pages: int = MAX_PAGES, max_links: int = MAX_PAGE_LINKS, max_errors: int = MAX_ERRORS) -> tuple[DataFrame, DataFrame]:
     """A crawl of every site at once, breadth first, within its bounds: pages (site, page, depth, seq) and outcomes.
 
@@ -326,7 +330,7 @@ def crawl_pages(links: DataFrame, seeds: DataFrame, failed: DataFrame | None = N
     ``truncated`` is url-cap if any was not followed, ``errors`` lists up to ``max_errors`` pages.
 
     A level is one join of its pages with the links and two windows per site. The windows see the links
-    of one level of one site: at most ``max_pages`` times ``max_links``.
+    of one level of one site: at most ``max_pages`` times ``max_links``. Tasks are as many as the pages found so far ask for.
     """
     ws = Workspace(links.sparkSession, "crawl")
     links = links.filter(F.col("position") < max_links)
@@ -343,7 +347,10 @@ def crawl_pages(links: DataFrame, seeds: DataFrame, failed: DataFrame | None = N
     every = level
     for depth in range(1, max_depth + 1):
         open_pages = level.filter("followed and error is null").select("site", F.col("page").alias("src"), F.col("seq").alias("from"), "lost")
-        met = open_pages.join(links, "src").select("site", F.col("dst").alias("page"), "from", "position", "lost")
+        found = every.count()
+        most = max(found, open_pages.count() * min(max_links, USUAL_LINKS))
+        met = dealt(open_pages, most, "src").join(links, "src").select("site", F.col("dst").alias("page"), "from", "position", "lost")
+        met = dealt(met, most, "site")  # all that follows is by site
         met = met.join(every.select("site", "page"), ["site", "page"], "left_anti")
         first = Window.partitionBy("site", "page").orderBy("from", "position")
         met = met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
@@ -361,6 +368,7 @@ def crawl_pages(links: DataFrame, seeds: DataFrame, failed: DataFrame | None = N
         level = ws.save(visited(rows.filter("followed")).unionByName(dropped), "level")
         every = every.unionByName(level)
     every = ws.save(every, "crawl")
+    every = dealt(every, every.count(), "site")
     pages = every.filter("followed and error is null")
     pages = pages.select("site", "page", "depth", (F.row_number().over(Window.partitionBy("site").orderBy("seq")) - 1).alias("seq"))
     told = F.struct("seq", "page", "error")

@@ -63,6 +63,20 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Rows of a sort or a grouping that one task may hold at once.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many tasks that each gets about TASK_ROWS of ``rows``.
+
+    Without a number Spark deals to a fixed count and joins small partitions up to a size in bytes as
+    shuffled, so what a task holds would grow with the table.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return df.repartition(parts, *keys)
+
+
 class Workspace:
     """Intermediate tables of one run, written as Parquet below the shared folder.
 
