@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import findings as fx
 from plumbline.functions.text import clamp_limit
+from plumbline.session import dealt
 
 
 def newest_first(created: str = "created_at", key: str = "request_id") -> list[Column]:
@@ -53,7 +54,10 @@ def latest_excluding(runs: DataFrame, journey_id, environment, exclude=None) ->
 
 
 def hydrate(runs: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame:
-    """Runs with their pages and findings as arrays in position order; empty arrays without children."""
+    """Runs with their pages and findings as arrays in position order; empty arrays without children.
+
+    Children are counted first, so that there are as many tasks as their number asks for.
+    """
 
     def nested(child: DataFrame, name: str) -> DataFrame:
         rest = [c for c in child.columns if c not in ("request_id", "position")]
@@ -61,6 +65,7 @@ def hydrate(runs: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame
 
     out = runs
     for child, name in ((pages, "pages"), (findings, "findings")):
+        child = dealt(child, child.count(), "request_id")
         out = out.join(nested(child.join(runs.select("request_id"), "request_id", "left_semi"), name), "request_id", "left")
         out = out.withColumn(name, F.coalesce(name, F.array()))
     return out

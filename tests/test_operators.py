@@ -404,6 +404,21 @@ def test_steps_are_read_once(spark):
         assert plan.count("from_json(") == 1 and plan.count("json_object_keys(") <= 2
 
 
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """What is nested, and a crawl's levels, are dealt to as many tasks as the number of rows asks for."""
+    from plumbline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    r = spark.range(100).withColumnRenamed("id", "request_id")
+    children = r.withColumn("position", F.lit(1)).withColumn("code", F.lit("x"))
+    out = runs.hydrate(r, children, children)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [request_id") == 2 and out.filter("size(pages) = 1").count() == 100
+    assert session.dealt(children, children.count(), "request_id").rdd.getNumPartitions() == 10
+    links = spark.createDataFrame([(i, 0, (i + 1) % 100) for i in range(100)], "src long, position int, dst long")
+    pages, _ = catalog.crawl_pages(links, spark.range(100).select(F.col("id").alias("site"), F.col("id").alias("page")))
+    assert "RepartitionByExpression [site" in pages._jdf.queryExecution().optimizedPlan().toString() and pages.count() == 400
+
+
 def test_checked_write_does_not_sort(spark, monkeypatch):
     """A write into partitions sorts and holds a task's rows; this one has none, and gives both tables."""
     from pyspark.sql import DataFrameWriter
