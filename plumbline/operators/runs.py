@@ -65,8 +65,10 @@ def hydrate(runs: DataFrame, pages: DataFrame, findings: DataFrame) -> DataFrame
 
     out = runs
     for child, name in ((pages, "pages"), (findings, "findings")):
-        child = dealt(child, child.count(), "request_id")
-        out = out.join(nested(child.join(runs.select("request_id"), "request_id", "left_semi"), name), "request_id", "left")
+        n = child.count()
+        # Spark moves the semi join below the dealing of the children, so its other side is dealt as well
+        kept = dealt(child, n, "request_id").join(dealt(runs.select("request_id"), n, "request_id"), "request_id", "left_semi")
+        out = out.join(nested(kept, name), "request_id", "left")
         out = out.withColumn(name, F.coalesce(name, F.array()))
     return out
 

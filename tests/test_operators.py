@@ -412,7 +412,7 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     r = spark.range(100).withColumnRenamed("id", "request_id")
     children = r.withColumn("position", F.lit(1)).withColumn("code", F.lit("x"))
     out = runs.hydrate(r, children, children)
-    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [request_id") == 2 and out.filter("size(pages) = 1").count() == 100
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [request_id") == 4 and out.filter("size(pages) = 1").count() == 100
     assert session.dealt(children, children.count(), "request_id").rdd.getNumPartitions() == 10
     links = spark.createDataFrame([(i, 0, (i + 1) % 100) for i in range(100)], "src long, position int, dst long")
     pages, _ = catalog.crawl_pages(links, spark.range(100).select(F.col("id").alias("site"), F.col("id").alias("page")))
