@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import ipaddress
 import posixpath
+import re
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from plumbline.functions.web import parse_url
 
@@ -194,6 +196,24 @@ def parts_refusal(parts: Column, allowed: Column) -> Column:
     return F.coalesce(parts["early"], unlisted, parts["late"])
 
 
+#: An http(s) URL that is written as a browser shows it: lower case, a name whose last label is letters, nothing but a path without dots.
+_SHOWN = r"^https?://(?![^/]*(?:xn--|\.\.))(?:[a-z0-9_-][a-z0-9_.-]*\.)?[a-z][a-z-]*(?:/[A-Za-z0-9_~/-]*)?\z"
+
+
+def url_facts(url: Column) -> Column:
+    """All that a crawl asks of a URL, read once: struct(key, early, host, late), as ``browser_key`` and ``target_parts`` give them.
+
+    Only URLs that are not written as a browser shows them go to Python.
+    """
+    shown = F.coalesce(url.rlike(_SHOWN), F.lit(False))
+    none = F.lit(None).cast("string")
+    bare = F.rtrim(url, F.lit("/"))
+    key = F.when(F.locate("/", bare, 9) > 0, bare).otherwise(F.concat(bare, F.lit("/")))
+    host = F.substring_index(F.substring_index(url, "/", 3), "/", -1)
+    plain = F.struct(key.alias("key"), none.alias("early"), host.alias("host"), none.alias("late"))
+    return F.when(shown, plain).otherwise(browser_facts(F.when(~shown, url)))
+
+
 def ipv4_number(address: Column) -> Column:
     """An IPv4 address as a long, NULL if it is none. Numbers of a part have no leading zeros."""
     part = F.split(address, r"\.", 5)
@@ -280,6 +300,33 @@ def browser_target(urls: pd.Series, allowed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["scheme", "host", "login", "allowed"]).astype({"login": "boolean", "allowed": "boolean"})
 
 
+FACTS = ("key", "early", "host", "late")
+
+
+def _facts(url: str | None) -> tuple[str | None, str | None, str | None, str | None]:
+    u = parse_url(url)
+    if u is None:
+        return None, "invalid_url", None, None
+    host = u.host or ""
+    early = "scheme" if u.scheme not in ("http", "https") else "credentials" if u.user or u.password else None
+    address = host[0:1] == "[" or re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host)
+    late = "private_address" if address and _blocked_v6(host.strip("[]")) else None
+    path = re.sub(r"/+$", "", re.sub(r"/index\.html?$", "/", u.path, flags=re.IGNORECASE)) or "/"
+    return ("null" if u.scheme == "file" else f"{u.scheme}://{u.hostport}") + path + u.search, early, host, late
+
+
+@arrow_udf(T.StructType([T.StructField(c, T.StringType()) for c in FACTS]))
+def browser_facts(urls: pa.Array) -> pa.Array:
+    """``url_facts`` of URLs of any form."""
+    none = _facts(None)
+    rows = [none if url is None else _facts(url) for url in urls.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(FACTS))], FACTS)
+
+
+# what is not deterministic for the optimizer is neither worked out twice nor moved before the rows are dealt out
+browser_facts = browser_facts.asNondeterministic()
+
+
 def browser_origin(url: Column) -> Column:
     """Protocol and host, NULL for a URL that a browser refuses; ``null`` where a URL has no host."""
     parts = browser_url(url)

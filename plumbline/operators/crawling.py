@@ -1,98 +1,105 @@
 """Crawls of captured sites as a browser makes them: redirects, one page a key, scope, errors and a time budget.
 
-A level of all sites is one join with what was captured and one with the links. What depends on the
-order of visits (which link is met first, what still fits, when time is up) is a fold over one site's
-level, which is bounded: at most MAX_PAGES visits of MAX_PAGE_LINKS links.
+A level of all sites is one join with what was captured and one with the links of each page. What depends on
+the order of visits (which link is met first, what still fits, when time is up) is a fold over one site's
+level, which is bounded: at most MAX_PAGES visits of MAX_PAGE_LINKS links. A site is one row of state
+between levels, and only sites that still have visits go on to the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls as ux
 from plumbline.operators.catalog import MAX_DEPTH, MAX_ERRORS, MAX_PAGE_LINKS, MAX_PAGES
-from plumbline.session import Workspace
+from plumbline.session import Workspace, dealt
 
 #: Milliseconds that a crawl may take before it starts another page, and the pause between pages.
 BUDGET_MS, PAUSE_MS = 60_000, 0
 MAX_TITLE = 200
 
-_ROW = "kind string, n long, url string, key string, depth int, settled string, settled_key string, title string, cost long, error string, refusal string"
-_NAMES = [x.split()[0] for x in _ROW.split(", ")]
-_KEY, _SETTLED_KEY = _NAMES.index("key"), _NAMES.index("settled_key")
-#: The state of a site's crawl after a level, as a row: pages, time, links met but not followed, why it stopped or was refused.
-_STATE = {"n": "pages", "cost": "elapsed", "depth": "dropped", "error": "truncated", "refusal": "refused", "url": "host"}
 
+def _shape(ddl: str) -> dict[str, str]:
+    return dict(c.split(" ", 1) for c in ddl.split(", "))
 
-def _level(depth: int, max_depth: int, max_pages: int, budget: int, pause: int):
+
+#: A site's crawl so far: pages, time, links met but not followed, failures, why it stopped or was refused (and by which
+#: host); the keys that it has met and the hosts that it may visit.
+_STATE = _shape("pages long, elapsed long, dropped long, failed long, truncated string, refused string, refused_host string, met array<string>, allowed array<string>")
+#: A page to visit, why its own address was refused, where it settles with what ``url_facts`` tells of that, and the page's links.
+_VISIT = _shape("n long, url string, key string, refusal string, settled string, settled_key string, early string, host string, late string, title string, cost long, error string")
+_LINKS = _shape("to_url array<string>, to_key array<string>, to_host array<string>, to_error array<string>")
+_IN = {"kind": "string"} | _STATE | _VISIT | _LINKS
+#: Of a level: ``state`` of sites that go on and their ``next`` visits, ``end`` of the others, each ``page`` and each ``error``.
+_OUT = {"kind": "string"} | _shape("n long, url string, key string, title string, depth int, error string, seen long") | _STATE
+_NO_STATE = (None,) * (1 + len(_STATE))
+
+
+def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget: int, pause: int):
     """One level of one site: its visits in order against all that the crawl has seen."""
 
-    def fold(rows: list[tuple]) -> list[dict]:
-        of: dict[str, list[dict]] = {"visit": [], "state": []}
-        seen: set[str] = set()
-        links: dict[str, list[tuple]] = {}
-        for row in rows:
-            kind = row[0]
-            if kind == "seen":
-                seen.add(row[_KEY])
-            elif kind == "link":
-                links.setdefault(row[_SETTLED_KEY], []).append(row)
-            else:
-                of[kind].append(dict(zip(_NAMES, row, strict=True)))
-        known = of["state"][0]
-        state = {name: known[c] for c, name in _STATE.items()}
-        queue, after, out = of["visit"], [], []
-
-        def met(key: str) -> None:
-            seen.add(key)
-            out.append({"kind": "seen", "key": key})
-
-        for place, visit in enumerate(queue):
-            if state["elapsed"] > budget:
-                state["truncated"] = "budget"
-            elif state["pages"] >= max_pages:
-                state["truncated"] = "url-cap"
-            if state["truncated"] or state["refused"]:
+    def fold(state: tuple, queue: list[tuple]) -> list[tuple]:
+        pages, elapsed, dropped, failed, truncated, refused, refused_host, met, allowed = state
+        seen, after, out = set(met or ()), [], []
+        hosts = [h.removeprefix("*.").lower().removesuffix(".") for h in allowed or ()]
+        listed: dict[str, bool] = {}
+
+        def refusal(host: str | None) -> str | None:
+            """As ``parts_refusal`` compares a host with the site's."""
+            if host not in listed:
+                own = (host or "").lower().removesuffix(".")
+                listed[host] = host is not None and any(own == h or own.endswith(f".{h}") for h in hosts)
+            return None if listed[host] else "host_not_allowed" if hosts else "no_allowed_hosts"
+
+        def error(n: int, url: str, message: str) -> None:
+            nonlocal failed
+            if failed < max_errors:
+                out.append(("error", failed, url, None, None, None, message, *_NO_STATE))
+            failed += 1
+
+        for place, (n, url, key, own, settled, settled_key, early, host, late, title, cost, broken, *links) in enumerate(queue):
+            if elapsed > budget:
+                truncated = "budget"
+            elif pages >= max_pages:
+                truncated = "url-cap"
+            if truncated or refused:
                 break
-            state["elapsed"] += visit["cost"] or 0
-            failure = visit["error"] if visit["error"] is not None else visit["refusal"]
-            if failure is not None and depth == 0:
-                away = visit["error"] is None and failure == "host_not_allowed" and visit["title"] is not None
-                state["refused"] = "unreachable" if visit["error"] is not None else "redirected" if away else "not_allowed"
-                state["host"] = visit["title"] if away else None  # where it came to rest
-            elif failure is not None:
-                out.append({"kind": "error", "n": visit["n"], "url": visit["url"], "error": failure})
-            else:
-                again = visit["settled_key"] != visit["key"] and visit["settled_key"] in seen
-                if visit["settled_key"] not in seen:
-                    met(visit["settled_key"])
-                if not again:
-                    state["pages"] += 1
-                    out.append({"kind": "page", "n": visit["n"], "url": visit["settled"], "title": visit["title"], "depth": depth})
-                    for row in links.get(visit["settled_key"], ()) if depth < max_depth else ():
-                        link = dict(zip(_NAMES, row, strict=True))
-                        if link["key"] is None or link["key"] in seen or link["refusal"] is not None:
-                            continue
-                        met(link["key"])
-                        if link["error"] is not None:  # its host cannot be resolved to a safe address
-                            out.append({"kind": "error", "n": visit["n"], "url": link["url"], "error": link["error"]})
-                        elif len(queue) - place - 1 + len(after) >= max_pages - state["pages"]:
-                            state["dropped"] += 1
-                        else:
-                            after.append({"kind": "next", "url": link["url"], "key": link["key"]})
+            elapsed += cost or 0
+            why = own or early or (None if host is None else refusal(host)) or late
+            if (broken is not None or why is not None) and depth == 0:
+                # an entry that came to rest elsewhere is told by its host, but not by an address that must not be fetched
+                away = broken is None and why == "host_not_allowed" and late is None
+                refused = "unreachable" if broken is not None else "redirected" if away else "not_allowed"
+                refused_host = host if away else None
+            elif broken is not None or why is not None:
+                error(n, url, why if broken is None else broken)
+            elif settled_key == key or settled_key not in seen:
+                seen.add(settled_key)
+                pages += 1
+                out.append(("page", n, settled, None, title, depth, None, *_NO_STATE))
+                for to_url, to_key, to_host, to_error in zip(*(x or () for x in links), strict=True) if depth < max_depth else ():
+                    if to_key in seen or refusal(to_host) is not None:
+                        continue
+                    seen.add(to_key)
+                    if to_error is not None:  # its host cannot be resolved to a safe address
+                        error(n, to_url, to_error)
+                    elif len(queue) - place - 1 + len(after) >= max_pages - pages:
+                        dropped += 1
+                    else:
+                        after.append((to_url, to_key))
             if place + 1 < len(queue) or after:
-                state["elapsed"] += pause
-        first = max((v["n"] for v in queue), default=0) + 1
-        if not (state["truncated"] or state["refused"]):
-            out += [v | {"n": first + k} for k, v in enumerate(after)]
-        for k, row in enumerate(out):
-            if row["kind"] == "error":
-                row["cost"] = k  # errors in the order in which they came
-        out.append({"kind": "state", **{c: state[name] for c, name in _STATE.items()}})
+                elapsed += pause
+        first = max((v[0] for v in queue), default=0) + 1
+        goes_on = bool(after) and not (truncated or refused)
+        if goes_on:
+            out += [("next", first + k, url, key, None, None, None, *_NO_STATE) for k, (url, key) in enumerate(after)]
+        kept = (list(seen), allowed) if goes_on else (None, None)
+        out.append(("state" if goes_on else "end", None, None, None, None, None, None, len(seen), pages, elapsed, dropped, failed, truncated, refused, refused_host, *kept))
         return out
 
     return fold
@@ -102,37 +109,58 @@ def _level(depth: int, max_depth: int, max_pages: int, budget: int, pause: int):
 _SENT = 10_000
 
 
+def _values(column: pa.Array) -> Iterator:
+    """A column's values, read as a whole and not one by one; a number that is missing is 0."""
+    kind = column.type
+    if column.null_count == len(column):
+        return repeat(None, len(column))
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        return _cut(_values(column.flatten()), column.value_lengths().to_pylist())
+    if pa.types.is_integer(kind):
+        column = column.fill_null(0)
+    return iter(column.to_numpy(zero_copy_only=False).tolist())
+
+
+def _cut(items: Iterator, sizes: list[int | None]) -> Iterator[list | None]:
+    for size in sizes:
+        yield None if size is None else list(islice(items, size))
+
+
 def _by_site(fold):
     """Folds every site of a partition that is sorted by site and ``n``; a task holds one site's rows and a batch.
 
     A call per group would cost milliseconds a site, which is more than all of a small site's work.
     """
+    first = len(_STATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sites: list = []
-        out: list[dict] = []
-        site, held, kind, types = None, [], None, []
+        out: list[tuple] = []
+        site, state, queue, type_ = None, None, [], None
 
         def ended() -> None:
-            if held:
-                made = fold(held)
+            if state is not None:
+                made = fold(state, queue)
                 out.extend(made)
                 sites.extend([site] * len(made))
 
         def sent() -> pa.RecordBatch:
-            columns = [pa.array([r.get(c) for r in out], t) for c, t in zip(_NAMES, types, strict=True)]
-            batch = pa.RecordBatch.from_arrays([pa.array(sites, kind), *columns], ["site", *_NAMES])
+            columns = [pa.array(values, _arrow(t)) for values, t in zip(zip(*out, strict=True), _OUT.values(), strict=True)]
+            batch = pa.RecordBatch.from_arrays([pa.array(sites, type_), *columns], ["site", *_OUT])
             sites.clear()
             out.clear()
             return batch
 
         for batch in batches:
-            kind, types = batch.schema.field("site").type, [batch.schema.field(c).type for c in _NAMES]
-            for own, *row in zip(*(batch.column(c).to_pylist() for c in ["site", *_NAMES]), strict=True):
+            type_ = batch.schema.field("site").type
+            for own, kind, *row in zip(batch.column("site").to_pylist(), *(_values(batch.column(c)) for c in _IN), strict=True):
                 if own != site and (own == own or site == site):  # a site that is not a number equals itself
                     ended()
-                    site, held = own, []
-                held.append(row)
+                    site, state, queue = own, None, []
+                if kind == "state":
+                    state = row[:first]
+                else:
+                    queue.append(row[first:])
             if len(out) >= _SENT:
                 yield sent()
         ended()
@@ -142,6 +170,15 @@ def _by_site(fold):
     return run
 
 
+def _arrow(kind: str) -> pa.DataType:
+    return pa.list_(pa.string()) if kind.startswith("array") else {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[kind]
+
+
+def _rows(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` in the common shape of states and visits."""
+    return df.select("site", *[(F.lit(kind) if c == "kind" else F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _IN.items()])
+
+
 def crawl_sites(
     seeds: DataFrame,
     captured: DataFrame,
@@ -172,66 +209,63 @@ def crawl_sites(
     an entry that cannot be crawled. A site without seeds is not in either table; a null URL is refused.
     """
     ws = Workspace(seeds.sparkSession, "crawl-sites")
-    # small files may come as one partition: reading URLs is the work, so rows are dealt out before it
-    seeds, captured, links = seeds.repartition("site"), captured.repartition("url"), links.repartition("url", "position")
-    own = ux.host_as_browser(F.col("url"))
-    hosts = seeds.select("site", "url", F.array_compact(F.concat(F.array(own), F.coalesce("allowed", F.array().cast("array<string>")))).alias("allowed"))
-    hosts = ws.save(hosts.dropDuplicates(["site"]), "seeds")
-    key = lambda c: F.coalesce(ux.browser_key(F.col(c)), F.lit(None).cast("string"))
-    captured = captured.select(key("url").alias("key"), F.coalesce("settled_url", "url").alias("settled"), "title", F.col("cost_ms").cast("long").alias("cost"), "error")
-    captured = ws.save(captured.filter("key is not null").dropDuplicates(["key"]).withColumn("settled_key", key("settled")), "captured")
-    links = links.filter(F.col("position") < max_links).select(key("url").alias("settled_key"), F.col("position").cast("long").alias("n"), F.col("href").alias("url"), key("href").alias("key"))
+    # small files may come as one partition: reading URLs is the work, so rows are dealt out before it, and an address is read once
+    links = links.filter(F.col("position") < max_links)
+    seeds, captured, links = (dealt(df, df.count(), *keys) for df, *keys in ((seeds, "site"), (captured, "url"), (links, "url", "position")))
+    own = ux.url_facts(F.col("url"))
+    hosts = seeds.dropDuplicates(["site"]).withColumn("own", own)
+    allowed = F.array_compact(F.concat(F.array("own.host"), F.coalesce("allowed", F.array().cast("array<string>"))))
+    hosts = ws.save(hosts.select("site", "url", "own.key", F.coalesce("own.early", "own.late").alias("refusal"), allowed.alias("allowed")), "seeds")
+    rest = F.coalesce("settled_url", "url")
+    captured = captured.select(ux.url_facts(F.col("url"))["key"].alias("key"), rest.alias("settled"), ux.url_facts(rest).alias("at"), F.left("title", F.lit(MAX_TITLE)).alias("title"), F.col("cost_ms").cast("long").alias("cost"), "error")
+    captured = captured.filter("key is not null").dropDuplicates(["key"])
+    captured = ws.save(captured.select("key", "settled", F.col("at.key").alias("settled_key"), "at.early", "at.host", "at.late", "title", "cost", "error"), "captured")
+    # links that every site refuses are never met
+    links = links.select(ux.url_facts(F.col("url"))["key"].alias("settled_key"), F.col("position").cast("long").alias("position"), F.col("href").alias("url"), ux.url_facts(F.col("href")).alias("to"))
+    links = links.filter("settled_key is not null and to.key is not null and to.early is null and to.late is null").select("settled_key", "position", "url", "to.key", "to.host")
     if unsafe is None:
         links = links.withColumn("error", F.lit(None).cast("string"))
     else:
-        bad = unsafe.select("host", F.coalesce("message", F.lit("")).alias("error"))
-        links = links.withColumn("host", ux.host_as_browser(F.col("url"))).join(bad, "host", "left").drop("host")
-    links = ws.save(links.withColumn("parts", ux.target_parts(F.col("url"))), "links")  # a link is read once, not once a site
-
-    def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
-        """``df`` in the common shape of states, visits, links and results."""
-        made = {c: F.lit(None) for c in _NAMES} | {c: F.col(c) for c in df.columns if c in _NAMES} | columns | {"kind": F.lit(kind)}
-        return df.select("site", *[made[c.split()[0]].cast(c.split()[1]).alias(c.split()[0]) for c in _ROW.split(", ")])
-
-    first = hosts.select("site", "url", key("url").alias("key"), F.lit(0).alias("n"))
-    state = rows(hosts, "state", n=F.lit(0), cost=F.lit(0), depth=F.lit(0), url=F.lit(None))
-    every, level = rows(first.filter("key is not null"), "seen"), rows(first, "next")
+        links = links.join(unsafe.select("host", F.coalesce("message", F.lit("")).alias("error")), "host", "left")
+    links = links.groupBy("settled_key").agg(F.sort_array(F.collect_list(F.struct("position", "url", "key", "host", "error"))).alias("to"))
+    links = ws.save(links.select("settled_key", *[F.col(f"to.{c}").alias(f"to_{c}") for c in ("url", "key", "host", "error")]), "links")
+
+    known = hosts.filter("site is not null")  # one without a site is told, but not crawled
+    start = hosts.withColumns({c: F.lit(0) for c in ("pages", "elapsed", "dropped", "failed")})
+    state = _rows(start.withColumn("met", F.when(F.col("site").isNotNull() & F.col("key").isNotNull(), F.array("key")).otherwise(F.array())).drop("url", "key", "refusal"), "state")
+    level = known.filter(F.lit(max_depth >= 0)).withColumn("n", F.lit(0)).select("site", "n", "url", "key", "refusal")
+    per_page = links.agg(F.avg(F.size("to_key"))).first()[0] or 0
     site = seeds.schema["site"].dataType.simpleString()
-    for depth in range(max_depth + 1):
-        visits = level.select("site", "n", "url", "key").join(captured, "key", "left").join(hosts.select("site", "allowed"), "site")
-        visits = visits.withColumn("settled", F.coalesce("settled", "url")).withColumn("settled_key", F.coalesce("settled_key", "key"))
-        visits = visits.withColumn("refusal", F.coalesce(ux.target_refusal(F.col("url"), F.col("allowed")), ux.target_refusal(F.col("settled"), F.col("allowed"))))
-        # an entry that came to rest elsewhere is told by its host, but not by an address that must not be fetched
-        away = ux.host_as_browser(F.col("settled"))
-        literal = away.rlike(r"^\d+(\.\d+){3}$") | away.startswith("[")
-        away = F.when(~(literal & ux.blocked_address(F.regexp_replace(away, r"^\[|\]$", ""))), away)
-        visits = visits.withColumn("title", F.when(F.col("refusal") == "host_not_allowed", away).otherwise(F.left("title", F.lit(MAX_TITLE))))
-        visits = ws.save(visits, "visits")
-        out = visits.filter("error is null and refusal is null").select("site", "allowed", "settled_key").distinct().join(links, "settled_key")
-        out = out.withColumn("refusal", ux.parts_refusal(F.col("parts"), F.col("allowed")))
-        group = rows(visits, "visit").unionByName(rows(out, "link")).unionByName(state).unionByName(every.filter("kind = 'seen'"))
-        group = group.repartition("site").sortWithinPartitions("site", "n")
-        done = ws.save(group.mapInArrow(_by_site(_level(depth, max_depth, max_pages, budget_ms, pause_ms)), f"site {site}, {_ROW}"), "level")
-        state, level = done.filter("kind = 'state'"), done.filter("kind = 'next'")
-        every = every.unionByName(done.filter("kind in ('seen', 'page', 'error')").withColumn("depth", F.when(F.col("kind") == "error", depth).otherwise(F.col("depth"))))
-    every = ws.save(every, "every")
+    shape = ", ".join(f"{c} {t}" for c, t in ({"site": site} | _OUT).items())
+    levels: list[DataFrame] = []
+    n_states, n_visits = hosts.count(), known.count()
+    for depth in range(max(max_depth, 0) + 1):
+        visits = level.join(captured, "key", "left").withColumn("settled", F.coalesce("settled", "url")).withColumn("settled_key", F.coalesce("settled_key", "key"))
+        if depth < max_depth:
+            visits = visits.join(links, "settled_key", "left")
+        group = dealt(_rows(visits, "visit").unionByName(state), int(n_states + n_visits * (1 + per_page)), "site").sortWithinPartitions("site", "n")
+        done = ws.save(group.mapInArrow(_by_site(_level(depth, max_depth, max_pages, max_errors, budget_ms, pause_ms)), shape), "level")
+        levels.append(done)
+        state, level = _rows(done.filter("kind = 'state'"), "state"), done.filter("kind = 'next'").select("site", "n", "url", "key", F.col("error").alias("refusal"))
+        sizes = {r.kind: r["count"] for r in done.groupBy("kind").count().collect()}
+        n_states, n_visits = sizes.get("state", 0), sizes.get("next", 0)
+        if not n_visits:
+            break
+    every = levels[0]
+    for done in levels[1:]:
+        every = every.unionByName(done)
     # numbers of visits rise from level to level within a site
     pages = every.filter("kind = 'page'").select("site", "url", "title", "depth", F.col("n").alias("seq"))
-    met = every.groupBy("site").agg(
-        F.count_if(F.col("kind") == "page").alias("pages"),
-        F.count_if(F.col("kind") == "seen").alias("seen"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "error", F.struct("depth", "cost", "url", "error")))).alias("failed"),
-    )
-    last = state.select("site", F.coalesce("error", F.when(F.col("depth") > 0, "url-cap")).alias("truncated"), F.col("cost").alias("elapsed_ms"), F.col("refusal").alias("refused"), F.col("url").alias("refused_host"))
-    told = F.transform(F.slice("failed", 1, max_errors), lambda e: F.struct(e["url"].alias("url"), e["error"].alias("message")))
-    outcomes = last.join(met, "site", "left").select(
+    failed = every.filter("kind = 'error'").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("n", "url", "error"))).alias("told"))
+    told = F.transform("told", lambda e: F.struct(e["url"].alias("url"), e["error"].alias("message")))
+    outcomes = every.filter("kind = 'end'").join(failed, "site", "left").select(
         "site",
-        F.coalesce("pages", F.lit(0)).alias("pages"),
-        F.coalesce("seen", F.lit(0)).alias("seen"),
-        "truncated",
+        "pages",
+        "seen",
+        F.coalesce("truncated", F.when(F.col("dropped") > 0, "url-cap")).alias("truncated"),
         F.coalesce(told, F.array().cast("array<struct<url:string,message:string>>")).alias("errors"),
-        F.greatest(F.coalesce(F.size("failed"), F.lit(0)) - max_errors, F.lit(0)).alias("errors_omitted"),
-        "elapsed_ms",
+        F.greatest(F.col("failed") - max_errors, F.lit(0)).cast("int").alias("errors_omitted"),
+        F.col("elapsed").alias("elapsed_ms"),
         "refused",
         "refused_host",
     )

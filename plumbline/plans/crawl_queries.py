@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.crawling import crawl_sites
+from plumbline.session import dealt
 from plumbline.sources.tables import read_table
 
 Q: dict = {}
@@ -34,6 +35,7 @@ def _address(k: F.Column) -> F.Column:
 def _crawled(spark, d):
     c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     n = c.count()
+    c = dealt(c, n * _FAN, "k")
     k = F.col("k")
     settled = F.when(k % 17 == 8, "https://idp.test/login").when(k % 19 == 5, "http://127.0.0.1/").when(k % 11 == 4, _address((k + 1) % n))
     captured = c.select(_address(k).alias("url"), settled.alias("settled_url"), F.concat(F.lit("Page "), k.cast("string")).alias("title"), (k % 50 * 3).alias("cost_ms"), F.when(k % 7 == 3, "timeout").alias("error"))

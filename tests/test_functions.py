@@ -191,6 +191,19 @@ def test_target_parts_refuse_as_whole_urls_do(spark):
     assert [r.parts for r in got] == [r.whole for r in got] and len({r.whole for r in got}) > 6
 
 
+def test_url_facts_are_key_and_parts(spark):
+    """Read at once, in SQL or in Python, a URL has the key and parts that it has by the functions for each."""
+    shown = ["https://a.test/x", "https://a.test", "http://a.test/", "http://a/", "https://a.test/x/y//", "https://a_b.a-.test//", "https://1.2.b/", "https://a.test/~x/A_b-c"]
+    odd = ["HTTP://B.A.Test.:80/x/../y#f", "https://a.test:443/x", "https://a.test/x?", "https://a.test/x?q=1#f", "https://a.test/Index.HTML", "https://a.test/x/%2e%2e/y", "https://a.test/x\\y", "https://u:p@a.test/", "ftp://a.test/"]
+    odd += ["file:///etc/x", "mailto:a@b.test", "no url", "", None, "https://0x7f.1/", "http://[::1]/", "http://[::ffff:10.0.0.1]/", "http://[2001:db8::1]/", "https://10.0.0.1/", "https://8.8.8.8/x/", "https://1.2/"]
+    odd += ["https://xn--mnchen-3ya.test/", "https://a.xn--b/", "https://münchen.test/", "https://a..b/", "https://.a/", "https://a.test\n", " https://a.test/x ", "https://a.test/x y", "https:///a.test/x", "https://a.test./", "https://a.1a/"]
+    rows = spark.createDataFrame([(u,) for u in shown + odd], "url string")
+    whole = ux.target_parts(F.col("url"))
+    got = rows.select("url", ux.url_facts(F.col("url")).alias("facts"), F.struct(ux.browser_key(F.col("url")).alias("key"), whole["early"].alias("early"), whole["host"].alias("host"), whole["late"].alias("late")).alias("want")).collect()
+    assert {r.url: r.facts for r in got} == {r.url: r.want for r in got}
+    assert [r.url for r in rows.filter(F.col("url").rlike(ux._SHOWN)).collect()] == shown  # noqa: SLF001
+
+
 def test_blocked_ranges_are_not_built_for_every_address(monkeypatch):
     """Ranges are numbers made once; the ends of each are in it, their neighbours as the networks say."""
     import ipaddress

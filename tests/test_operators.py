@@ -396,6 +396,30 @@ def test_crawl_folds_sites_in_one_stream(spark, monkeypatch):
     assert outcomes.count() >= 1_500 and not calls
 
 
+def test_crawl_levels_take_open_sites_only(spark, monkeypatch):
+    """Each level is dealt by its rows, and holds a row of state and the visits of sites that still have some."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from plumbline import session
+    from plumbline.operators.crawling import crawl_sites
+
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    levels, run = [], DataFrame.mapInArrow
+
+    def kept(df, *args):
+        levels.append((df.groupBy("site").count().collect(), df.rdd.getNumPartitions()))
+        return run(df, *args)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", kept)
+    seeds = spark.createDataFrame([(i, f"https://a.test/{i}", ["a.test"]) for i in range(40)], "site long, url string, allowed array<string>")
+    captured = spark.createDataFrame([("https://a.test/0", None, "t", 1, None)], "url string, settled_url string, title string, cost_ms long, error string")
+    links = spark.createDataFrame([("https://a.test/0", k, f"HTTPS://A.test/x/../{41 + k}") for k in range(3)] + [("https://a.test/41", 0, "https://a.test/50")], "url string, position int, href string")
+    pages, outcomes = crawl_sites(seeds, captured, links, max_depth=3)
+    assert [(len(sites), sum(r["count"] for r in sites)) for sites, _ in levels] == [(40, 80), (1, 4), (1, 2)] and levels[0][1] >= 16
+    assert sorted((r.url, r.depth) for r in pages.filter("site = 0").collect()) == [("HTTPS://A.test/x/../41", 1), ("HTTPS://A.test/x/../42", 1), ("HTTPS://A.test/x/../43", 1), ("https://a.test/0", 0), ("https://a.test/50", 2)]
+    assert {r.site: (r.pages, r.seen) for r in outcomes.collect()} == {i: (1, 1) for i in range(1, 40)} | {0: (5, 5)}
+
+
 def test_steps_are_read_once(spark):
     """Each field of a step is taken from its variant in one place of the plan, as a lambda repeats what it names."""
     rows = spark.createDataFrame([('[{"action":"navigate","type":"goto","path":"/a"}]',)], "raw string")
