@@ -31,8 +31,8 @@ def _shape(ddl: str) -> dict[str, str]:
 #: A site's crawl so far: pages, time, links met but not followed, failures, why it stopped or was refused (and by which
 #: host); the keys that it has met and the hosts that it may visit.
 _STATE = _shape("pages long, elapsed long, dropped long, failed long, truncated string, refused string, refused_host string, met array<string>, allowed array<string>")
-#: A page to visit, why its own address was refused, where it settles with what ``url_facts`` tells of that, and the page's links.
-_VISIT = _shape("n long, url string, key string, refusal string, settled string, settled_key string, early string, host string, late string, title string, cost long, error string")
+#: A page to visit, why it is refused, where it settles (and by which host), and the page's links.
+_VISIT = _shape("n long, url string, key string, refusal string, settled string, settled_key string, host string, late string, title string, cost long, error string")
 _LINKS = _shape("to_url array<string>, to_key array<string>, to_host array<string>, to_error array<string>")
 _IN = {"kind": "string"} | _STATE | _VISIT | _LINKS
 #: Of a level: ``state`` of sites that go on and their ``next`` visits, ``end`` of the others, each ``page`` and each ``error``.
@@ -46,15 +46,14 @@ def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget:
     def fold(state: tuple, queue: list[tuple]) -> list[tuple]:
         pages, elapsed, dropped, failed, truncated, refused, refused_host, met, allowed = state
         seen, after, out = set(met or ()), [], []
-        hosts = [h.removeprefix("*.").lower().removesuffix(".") for h in allowed or ()]
         listed: dict[str, bool] = {}
 
-        def refusal(host: str | None) -> str | None:
-            """As ``parts_refusal`` compares a host with the site's."""
+        def unlisted(host: str) -> bool:
+            """Whether a host is none of the site's nor lies under one."""
             if host not in listed:
-                own = (host or "").lower().removesuffix(".")
-                listed[host] = host is not None and any(own == h or own.endswith(f".{h}") for h in hosts)
-            return None if listed[host] else "host_not_allowed" if hosts else "no_allowed_hosts"
+                own = host.lower().removesuffix(".")
+                listed[host] = not any(own == h or own.endswith(f".{h}") for h in allowed or ())
+            return listed[host]
 
         def error(n: int, url: str, message: str) -> None:
             nonlocal failed
@@ -62,7 +61,7 @@ def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget:
                 out.append(("error", failed, url, None, None, None, message, *_NO_STATE))
             failed += 1
 
-        for place, (n, url, key, own, settled, settled_key, early, host, late, title, cost, broken, *links) in enumerate(queue):
+        for place, (n, url, key, why, settled, settled_key, host, late, title, cost, broken, *links) in enumerate(queue):
             if elapsed > budget:
                 truncated = "budget"
             elif pages >= max_pages:
@@ -70,7 +69,6 @@ def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget:
             if truncated or refused:
                 break
             elapsed += cost or 0
-            why = own or early or (None if host is None else refusal(host)) or late
             if (broken is not None or why is not None) and depth == 0:
                 # an entry that came to rest elsewhere is told by its host, but not by an address that must not be fetched
                 away = broken is None and why == "host_not_allowed" and late is None
@@ -83,7 +81,7 @@ def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget:
                 pages += 1
                 out.append(("page", n, settled, None, title, depth, None, *_NO_STATE))
                 for to_url, to_key, to_host, to_error in zip(*(x or () for x in links), strict=True) if depth < max_depth else ():
-                    if to_key in seen or refusal(to_host) is not None:
+                    if to_key in seen or unlisted(to_host):
                         continue
                     seen.add(to_key)
                     if to_error is not None:  # its host cannot be resolved to a safe address
@@ -97,7 +95,7 @@ def _level(depth: int, max_depth: int, max_pages: int, max_errors: int, budget:
         first = max((v[0] for v in queue), default=0) + 1
         goes_on = bool(after) and not (truncated or refused)
         if goes_on:
-            out += [("next", first + k, url, key, None, None, None, *_NO_STATE) for k, (url, key) in enumerate(after)]
+            out += [("next", first + k, url, key, None, None, None, *_NO_STATE[:-1], allowed) for k, (url, key) in enumerate(after)]
         kept = (list(seen), allowed) if goes_on else (None, None)
         out.append(("state" if goes_on else "end", None, None, None, None, None, None, len(seen), pages, elapsed, dropped, failed, truncated, refused, refused_host, *kept))
         return out
@@ -214,12 +212,15 @@ def crawl_sites(
     seeds, captured, links = (dealt(df, df.count(), *keys) for df, *keys in ((seeds, "site"), (captured, "url"), (links, "url", "position")))
     own = ux.url_facts(F.col("url"))
     hosts = seeds.dropDuplicates(["site"]).withColumn("own", own)
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\.$", "")
+    # the hosts of a site are written once as ``host_allowed`` compares them, not once a visit
     allowed = F.array_compact(F.concat(F.array("own.host"), F.coalesce("allowed", F.array().cast("array<string>"))))
+    allowed = F.transform(allowed, lambda a: plain(F.regexp_replace(a, r"^\*\.", "")))
     hosts = ws.save(hosts.select("site", "url", "own.key", F.coalesce("own.early", "own.late").alias("refusal"), allowed.alias("allowed")), "seeds")
     rest = F.coalesce("settled_url", "url")
     captured = captured.select(ux.url_facts(F.col("url"))["key"].alias("key"), rest.alias("settled"), ux.url_facts(rest).alias("at"), F.left("title", F.lit(MAX_TITLE)).alias("title"), F.col("cost_ms").cast("long").alias("cost"), "error")
     captured = captured.filter("key is not null").dropDuplicates(["key"])
-    captured = ws.save(captured.select("key", "settled", F.col("at.key").alias("settled_key"), "at.early", "at.host", "at.late", "title", "cost", "error"), "captured")
+    captured = ws.save(captured.select("key", "settled", F.col("at.key").alias("settled_key"), "at.early", "at.host", "at.late", plain("at.host").alias("plain"), "title", "cost", "error"), "captured")
     # links that every site refuses are never met
     links = links.select(ux.url_facts(F.col("url"))["key"].alias("settled_key"), F.col("position").cast("long").alias("position"), F.col("href").alias("url"), ux.url_facts(F.col("href")).alias("to"))
     links = links.filter("settled_key is not null and to.key is not null and to.early is null and to.late is null").select("settled_key", "position", "url", "to.key", "to.host")
@@ -228,25 +229,37 @@ def crawl_sites(
     else:
         links = links.join(unsafe.select("host", F.coalesce("message", F.lit("")).alias("error")), "host", "left")
     links = links.groupBy("settled_key").agg(F.sort_array(F.collect_list(F.struct("position", "url", "key", "host", "error"))).alias("to"))
-    links = ws.save(links.select("settled_key", *[F.col(f"to.{c}").alias(f"to_{c}") for c in ("url", "key", "host", "error")]), "links")
+    links = ws.save(links.select(F.col("settled_key").alias("page"), *[F.col(f"to.{c}").alias(f"to_{c}") for c in ("url", "key", "host", "error")]), "links")
 
     known = hosts.filter("site is not null")  # one without a site is told, but not crawled
     start = hosts.withColumns({c: F.lit(0) for c in ("pages", "elapsed", "dropped", "failed")})
     state = _rows(start.withColumn("met", F.when(F.col("site").isNotNull() & F.col("key").isNotNull(), F.array("key")).otherwise(F.array())).drop("url", "key", "refusal"), "state")
-    level = known.filter(F.lit(max_depth >= 0)).withColumn("n", F.lit(0)).select("site", "n", "url", "key", "refusal")
-    per_page = links.agg(F.avg(F.size("to_key"))).first()[0] or 0
+    level = known.filter(F.lit(max_depth >= 0)).withColumn("n", F.lit(0)).select("site", "n", "url", "key", "refusal", "allowed")
+    n_captured, n_linked, n_links = captured.count(), *links.agg(F.count("*"), F.coalesce(F.sum(F.size("to_key")), F.lit(0))).first()
+    per_page = n_links / max(n_linked, 1)
     site = seeds.schema["site"].dataType.simpleString()
     shape = ", ".join(f"{c} {t}" for c, t in ({"site": site} | _OUT).items())
     levels: list[DataFrame] = []
+
+    def beside(left: DataFrame, right: DataFrame, by: str, rows: float) -> DataFrame:
+        """A left join with as many tasks as the rows ask for, so that what one sorts does not grow with the tables."""
+        return dealt(left, int(rows), by).join(dealt(right, int(rows), by), by, "left")
+
     n_states, n_visits = hosts.count(), known.count()
     for depth in range(max(max_depth, 0) + 1):
-        visits = level.join(captured, "key", "left").withColumn("settled", F.coalesce("settled", "url")).withColumn("settled_key", F.coalesce("settled_key", "key"))
+        visits = beside(level, captured, "key", n_visits + n_captured).withColumn("settled", F.coalesce("settled", "url")).withColumn("settled_key", F.coalesce("settled_key", "key"))
+        listed = F.exists("allowed", lambda a: (F.col("plain") == a) | F.endswith("plain", F.concat(F.lit("."), a)))
+        unlisted = F.when(F.size("allowed") == 0, "no_allowed_hosts").when(~listed, "host_not_allowed")  # NULL for what was not captured
+        visits = visits.withColumn("refusal", F.coalesce("refusal", "early", F.when(F.col("plain").isNotNull(), unlisted), "late")).drop("allowed")
         if depth < max_depth:
-            visits = visits.join(links, "settled_key", "left")
+            # refused ones have no links; many may come to rest at one address, so they are spread by their own
+            read = F.when(F.col("error").isNull() & F.col("refusal").isNull(), F.col("settled_key"))
+            visits = visits.withColumn("page", F.coalesce(read, F.concat(F.lit("!"), F.coalesce("key", F.col("site").cast("string")))))
+            visits = beside(visits, links, "page", n_visits * (1 + per_page) + n_links)
         group = dealt(_rows(visits, "visit").unionByName(state), int(n_states + n_visits * (1 + per_page)), "site").sortWithinPartitions("site", "n")
         done = ws.save(group.mapInArrow(_by_site(_level(depth, max_depth, max_pages, max_errors, budget_ms, pause_ms)), shape), "level")
         levels.append(done)
-        state, level = _rows(done.filter("kind = 'state'"), "state"), done.filter("kind = 'next'").select("site", "n", "url", "key", F.col("error").alias("refusal"))
+        state, level = _rows(done.filter("kind = 'state'"), "state"), done.filter("kind = 'next'").select("site", "n", "url", "key", F.col("error").alias("refusal"), "allowed")
         sizes = {r.kind: r["count"] for r in done.groupBy("kind").count().collect()}
         n_states, n_visits = sizes.get("state", 0), sizes.get("next", 0)
         if not n_visits:
